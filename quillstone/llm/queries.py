@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import mixing, quality_rules, stream_dedup
+from quillstone.llm import mixing, ngram_join, quality_rules, stream_dedup
 from quillstone.llm.common import Scratch
 
 
@@ -24,6 +24,10 @@ def op6_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_dedup.dedup(spark, f"{sf_dir}/documents.parquet").drop("at")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_documents(Scratch(spark, "ngram-join"), _documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "quality")
     measured = quality_rules.measure(_documents(spark, sf_dir).select("doc_id", "text")).drop("text")
@@ -34,10 +38,34 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op6_stream_dedup": op6_stream_dedup,
+    "op9_ngram_join": op9_ngram_join,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE: dict[str, str] = {
+    "op9_ngram_join": r"""
+        WITH RECURSIVE words AS MATERIALIZED (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        sh AS MATERIALIZED (
+            SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS s
+            FROM words, LATERAL (SELECT unnest(range(1, greatest(2, len(w) - 3))) AS i) WHERE len(w) > 0),
+        sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+        rare AS MATERIALIZED (
+            SELECT doc_id, s, n, row_number() OVER (PARTITION BY doc_id ORDER BY df, s) AS r
+            FROM sh JOIN sizes USING (doc_id) JOIN (SELECT s, count(*) AS df FROM sh GROUP BY 1) USING (s)),
+        pre AS MATERIALIZED (SELECT doc_id, s, n FROM rare WHERE r <= n - (4 * n + 4) // 5 + 1),
+        cand AS MATERIALIZED (
+            SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM pre a JOIN pre b USING (s)
+            WHERE a.doc_id < b.doc_id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+        links AS MATERIALIZED (
+            SELECT a, b FROM cand JOIN sh x ON x.doc_id = a JOIN sh y ON y.doc_id = b AND x.s = y.s
+            GROUP BY a, b, na, nb HAVING 100 * count(*) >= 80 * (na + nb - count(*))),
+        edges AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach AS (SELECT a AS id, b AS other FROM edges UNION SELECT id, e.b FROM reach JOIN edges e ON e.a = other)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(least_other, doc_id)) AS component_id
+        FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT id AS doc_id, min(other) AS least_other FROM reach GROUP BY 1) USING (doc_id)
+    """,
     "op6_stream_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
