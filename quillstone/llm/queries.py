@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import mixing, ngram_join, quality_rules, stream_dedup
+from quillstone.llm import line_dedup, mixing, ngram_join, quality_rules, stream_dedup
 from quillstone.llm.common import Scratch
 
 
@@ -20,6 +20,14 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(Scratch(spark, "mix"), docs).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document: lines, lines that go, and the digest of the text that stays."""
+    marked = line_dedup.mark_lines(Scratch(spark, "lines"), _documents(spark, sf_dir).select("doc_id", "text"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    n_gone = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
+    return marked.select("doc_id", n_lines.alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(n_gone).cast("long").alias("n_dropped"), F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op6_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_dedup.dedup(spark, f"{sf_dir}/documents.parquet").drop("at")
 
@@ -37,6 +45,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
+    "op3_line_dedup": op3_line_dedup,
     "op6_stream_dedup": op6_stream_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_quality_rules": op10_quality_rules,
