@@ -7,14 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import line_dedup, mixing, ngram_join, quality_rules, stream_dedup
+from quillstone.llm import line_dedup, mixing, ngram_join, piece_fst, quality_rules, separator_scan, stream_dedup, token_files
 from quillstone.llm.common import Scratch
+from quillstone.llm.vocabularies import default_path, vocabulary_bytes
+
+PIECES, WORDS = "piece_bpe_32k.model", "word_bpe_49k.json"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_piece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = vocabulary_bytes(default_path(PIECES))
+    return piece_fst.encode_documents(_documents(spark, sf_dir).select("doc_id", "text"), model, with_ids=False)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text", "source")
     return mixing.mix(Scratch(spark, "mix"), docs).select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -28,10 +36,25 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", n_lines.alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(n_gone).cast("long").alias("n_dropped"), F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op5_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "separator-scan")
+    path = scratch.path("flat")
+    separator_scan.write_flat(_documents(spark, sf_dir).select("doc_id", "text"), path, vocabulary_bytes(default_path(PIECES)))
+    counted = scratch.cut(separator_scan.count_tokens(scratch, f"{path}/kind=ids"), "counted")
+    return separator_scan.name_documents(scratch, path, counted).select("doc_id", "n_tokens", "start", "closed")
+
+
 def op6_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_dedup.dedup(spark, f"{sf_dir}/documents.parquet").drop("at")
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "token-files")
+    path = scratch.path("files")
+    token_files.write_files(_documents(spark, sf_dir), path, vocabulary_bytes(default_path(WORDS)), end_id=2)
+    return token_files.read_files(scratch, path)
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_documents(Scratch(spark, "ngram-join"), _documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -44,9 +67,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_piece_fst": op1_piece_fst,
     "op2_mix_sources": op2_mix_sources,
     "op3_line_dedup": op3_line_dedup,
+    "op5_separator_scan": op5_separator_scan,
     "op6_stream_dedup": op6_stream_dedup,
+    "op8_token_files": op8_token_files,
     "op9_ngram_join": op9_ngram_join,
     "op10_quality_rules": op10_quality_rules,
 }
