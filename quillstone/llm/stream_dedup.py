@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import Scratch
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Settings of the stream: state on disk, and no preallocated files (one store per shuffle partition).
+SETTINGS = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
 def _located(rows: DataFrame, digest_bits: int) -> DataFrame:
@@ -53,8 +54,9 @@ def run_stream(spark: SparkSession, path: str, folder: str, digest_bits: int = 2
     """
     rows = _located(read_stream(spark, path, max_bytes), digest_bits).select("digest", "at")
     state = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("keeper"))
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         query = (
             state.writeStream.outputMode("update")
@@ -65,7 +67,8 @@ def run_stream(spark: SparkSession, path: str, folder: str, digest_bits: int = 2
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = state.withColumn("batch", F.lit(0).cast("long")).schema
     place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/changes")
     if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
