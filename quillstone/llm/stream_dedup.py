@@ -29,6 +29,9 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 #: Settings of the stream: state on disk, and no preallocated files (one store per shuffle partition).
 SETTINGS = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
+#: The digests seen twice are broadcast, as 64-bit hashes, if so many at most; else they are joined.
+BROADCAST_ROWS = 1_000_000
+
 
 def _located(rows: DataFrame, digest_bits: int) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -88,11 +91,16 @@ def dedup(spark: SparkSession, path: str, digest_bits: int = 256, max_bytes: int
     state = scratch.cut(run_stream(spark, path, folder or scratch.path("stream"), digest_bits, max_bytes), "state")
     rows = _located(spark.read.parquet(path), digest_bits)
     light = scratch.cut(rows.select("at", "digest", "text_sha256"), "rows")
-    hits = state.where("n > 1").select("digest", "keeper")
-    # full bytes: each row of a digest with hits against the text at the keeper's locator
-    copies = rows.select("at", "text", "digest").join(hits, "digest", "left_semi")
-    originals = rows.select(F.col("at").alias("keeper"), F.col("text").alias("kept_text"), "digest").join(hits, ["digest", "keeper"], "left_semi")
-    differing = copies.join(originals, "digest").where(~F.col("text").eqNullSafe(F.col("kept_text"))).select("digest").distinct()
+    hits = scratch.cut(state.where("n > 1").select("digest", "keeper"), "hits")
+    # full bytes: each row of a digest with hits against the text at the keeper's locator. A filter
+    # by hash keeps the other texts out of the shuffle.
+    rough = rows
+    if hits.count() <= BROADCAST_ROWS:
+        marks = hits.select(F.xxhash64("digest").alias("mark")).distinct()
+        rough = rows.withColumn("mark", F.xxhash64("digest")).join(F.broadcast(marks), "mark", "left_semi").drop("mark")
+    copies = rough.join(hits, "digest").select("digest", "at", "text", "keeper")
+    originals = copies.where("at <=> keeper").select("digest", F.col("text").alias("kept_text"))
+    differing = copies.join(originals, "digest").where("text <> kept_text").select("digest").distinct()
     collided = scratch.cut(differing, "collided")
     known = light.join(state, "digest")
     good = known.join(collided, "digest", "left_anti").select("at", "text_sha256", "keeper", F.col("n").alias("group_size"))
