@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import line_dedup, mixing, ngram_join, piece_fst, quality_rules, separator_scan, stream_dedup, token_files
+from quillstone.llm import line_dedup, mixing, ngram_join, piece_fst, quality_rules, quotes, separator_scan, stream_dedup, token_files
 from quillstone.llm.common import Scratch
 from quillstone.llm.vocabularies import default_path, vocabulary_bytes
 
@@ -36,6 +36,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", n_lines.alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(n_gone).cast("long").alias("n_dropped"), F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op4_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return quotes.order_replies(Scratch(spark, "quotes"), messages)
+
+
 def op5_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "separator-scan")
     path = scratch.path("flat")
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_fst": op1_piece_fst,
     "op2_mix_sources": op2_mix_sources,
     "op3_line_dedup": op3_line_dedup,
+    "op4_quotes": op4_quotes,
     "op5_separator_scan": op5_separator_scan,
     "op6_stream_dedup": op6_stream_dedup,
     "op8_token_files": op8_token_files,
