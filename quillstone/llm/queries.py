@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import line_dedup, mixing, ngram_join, piece_fst, quality_rules, quotes, separator_scan, stream_dedup, token_files
+from quillstone.llm import katz, line_dedup, mixing, ngram_join, piece_fst, quality_rules, quotes, separator_scan, stream_dedup, token_files
 from quillstone.llm.common import Scratch
 from quillstone.llm.vocabularies import default_path, vocabulary_bytes
 
@@ -53,6 +53,10 @@ def op6_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_dedup.dedup(spark, f"{sf_dir}/documents.parquet").drop("at")
 
 
+def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(Scratch(spark, "katz"), _documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "token-files")
     path = scratch.path("files")
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quotes": op4_quotes,
     "op5_separator_scan": op5_separator_scan,
     "op6_stream_dedup": op6_stream_dedup,
+    "op7_katz": op7_katz,
     "op8_token_files": op8_token_files,
     "op9_ngram_join": op9_ngram_join,
     "op10_quality_rules": op10_quality_rules,
