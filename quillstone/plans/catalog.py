@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillstone.plans import retrieval
+from quillstone.plans import quality, retrieval
 
 QUERIES, ORACLE = {}, {}
-for _part in (retrieval,):
+for _part in (retrieval, quality):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE
