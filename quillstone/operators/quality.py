@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,15 +55,16 @@ def vector_pairs(points: DataFrame) -> DataFrame:
     most 500 entries (the scan's own bound)."""
     firsts = points.groupBy("domain", "kid").agg(F.min_by("vector", "vec_id").alias("vector"), F.first("status").alias("status"))
 
-    def near(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("kid")
-        m = unit_rows(list(rows["vector"]))
+    def near(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("kid")
+        m = unit_rows(rows.column("vector").to_pylist())
         c = np.round(m @ m.T, 4)
         a, b = np.nonzero(np.triu(c >= NEAR, 1))
-        names = rows["kid"].to_numpy(dtype=object)
-        return pd.DataFrame({"domain": [rows["domain"].iloc[0]] * len(a), "kid_a": names[a], "kid_b": names[b], "cosine": c[a, b]})
+        names = rows.column("kid").combine_chunks()
+        domain = pa.array([rows.column("domain")[0].as_py()] * len(a), pa.string())
+        return pa.table({"domain": domain, "kid_a": names.take(pa.array(a)), "kid_b": names.take(pa.array(b)), "cosine": pa.array(c[a, b], pa.float64())})
 
-    return cap_pairs(eligible(firsts).groupBy("domain").applyInPandas(near, "domain string, kid_a string, kid_b string, cosine double"))
+    return cap_pairs(eligible(firsts).groupBy("domain").applyInArrow(near, "domain string, kid_a string, kid_b string, cosine double"))
 
 
 def tag_pairs(entries: DataFrame) -> DataFrame:

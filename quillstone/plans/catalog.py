@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillstone.plans import quality, retrieval
+from quillstone.plans import events, quality, retrieval
 
 QUERIES, ORACLE = {}, {}
-for _part in (retrieval, quality):
+for _part in (retrieval, quality, events):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE
