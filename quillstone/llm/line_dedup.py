@@ -3,10 +3,11 @@
 A line is compared in its normal form: lower case, white space runs as one space, trimmed. Lines
 without a word always stay and are not compared. The distinct lines get a MinHash signature over
 character shingles, the SHINGLE characters from the start of each word on (of a shorter line, the
-line). One hash per shingle serves all positions: sorted together with BANDS * ROWS fixed
-boundaries, the shingle after a boundary is that position's minimum, and an empty position takes
-the next one's. Two positions make a band. At the threshold, lines share a band with a probability
-of about 0.99 or more.
+line). One hash per shingle serves all permutations: the values are split into 2 ** BAND_BITS
+intervals, and an interval's band is its least hash with the hash that follows it, so two lines with
+similarity s share a band with probability s ** 2. At the threshold some pair of 16 bands agrees
+with a probability of 0.99 or more; the shingles differ more than the verified 5-grams do, which is
+allowed for.
 
 Candidates that share a band are verified exactly: Jaccard of their distinct character 5-grams, at
 least 0.8. In each bucket all lines are compared with one hub; after components are taken, only
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import Scratch
 from quillstone.llm.components import components
 
-SHINGLE, GRAM, BANDS, ROWS = 12, 5, 12, 2
+SHINGLE, GRAM, BAND_BITS = 12, 5, 4
 SPACE = r"[\x20\x09-\x0D]+"
 #: Up to so many rows of (doc_id, line numbers) go to every executor, some 50 MB; more are shuffled.
 BROADCAST_ROWS = 500_000
@@ -38,37 +39,39 @@ def normal_form(line: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(line, SPACE, " ")))
 
 
-def shingle_hashes(line: Column) -> Column:
-    """Even hashes of the shingles of a normal line."""
+def sorted_hashes(line: Column) -> Column:
+    """The hashes of the shingles of a normal line, in order."""
     starts = F.regexp_extract_all(line, F.lit(f"(?s)(?<![^ ])(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    return F.transform(F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(starts), lambda s: F.shiftleft(F.xxhash64(s), 1))
+    return F.sort_array(F.array_distinct(F.transform(F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(starts), lambda s: F.xxhash64(s))))
 
 
-def with_bands(lines: DataFrame) -> DataFrame:
-    """Adds `bands` (array of BANDS keys) to lines with the column `line`."""
-    n = BANDS * ROWS
-    bounds = [(-(1 << 63) + j * ((1 << 64) // n)) | 1 for j in range(n)]  # odd, evenly spread
-    out = lines.withColumn("_sorted", F.sort_array(F.concat(shingle_hashes(F.col("line")), F.array(*map(F.lit, bounds)))))
-    found = []
-    for b in bounds:  # what follows the boundary, unless it is a boundary (odd) itself
-        after = F.get("_sorted", F.array_position("_sorted", F.lit(b)).cast("int"))
-        found.append(F.when(after.bitwiseAND(F.lit(1)) == 0, after))
-    out = out.withColumns({f"_m{j}": c for j, c in enumerate(found)}).drop("_sorted")
-    filled = lambda j: F.coalesce(*[F.col(f"_m{(j + k) % n}") for k in range(n)])
-    keys = [F.xxhash64(F.lit(i), *[filled(i + BANDS * r) for r in range(ROWS)]) for i in range(BANDS)]
-    return out.withColumn("bands", F.array(*keys)).drop(*[f"_m{j}" for j in range(n)])
+def bands(hashes: Column) -> Column:
+    """A key per interval of hash values that has a shingle: its least hash and the one after that, in a
+    circle."""
+    part = lambda x: F.shiftright(x, 64 - BAND_BITS)
+
+    def key(x: Column, i: Column) -> Column:
+        first = (i == 0) | (part(x) != part(F.get(hashes, i - 1)))
+        return F.when(first, F.xxhash64(part(x), x, F.get(hashes, (i + 1) % F.size(hashes))))
+
+    return F.array_compact(F.transform(hashes, key))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that later expressions use several times: the generator keeps Spark from copying
+    their expressions into every use."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
 
 
 def grams(line: Column) -> Column:
     found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
-    return F.array_distinct(F.when(F.length(line) < GRAM, F.array(line)).otherwise(found))
+    return F.array_distinct(F.transform(F.when(F.length(line) < GRAM, F.array(line)).otherwise(found), lambda s: F.xxhash64(s)))
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
     """doc_id, pos, line (normal form), node (its hash) of all lines that have a word."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    lines = lines.select("doc_id", "pos", normal_form(F.col("raw")).alias("line")).where("line <> ''")
-    return lines.withColumn("node", F.xxhash64("line"))
+    lines = docs.select("doc_id", F.posexplode(F.transform(F.split("text", "\n"), normal_form)).alias("pos", "line"))
+    return lines.where("line <> ''").withColumn("node", F.xxhash64("line"))
 
 
 def sized_join(docs: DataFrame, small: DataFrame, how: str) -> DataFrame:
@@ -78,18 +81,21 @@ def sized_join(docs: DataFrame, small: DataFrame, how: str) -> DataFrame:
 
 def verify(scratch: Scratch, pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of lines whose Jaccard similarity is at least 0.8."""
+    for s in "ab":  # the sizes alone rule most pairs out
+        pairs = pairs.join(texts.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}")), s)
+    near = scratch.cut(pairs.where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").select("a", "b"), "near")
     side = lambda c: texts.select(F.col("node").alias(c), F.col("line").alias(f"line_{c}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
-    both = both.withColumns({"ga": grams(F.col("line_a")), "gb": grams(F.col("line_b"))})
-    both = both.where("5 * least(size(ga), size(gb)) >= 4 * greatest(size(ga), size(gb))")
-    both = both.withColumn("common", F.size(F.array_intersect("ga", "gb")))
+    both = near.join(side("b"), "b").join(side("a"), "a")
+    both = once(both.select("a", "b", "line_a", "line_b"), ga=grams(F.col("line_a")), gb=grams(F.col("line_b")))
+    both = once(both, common=F.size(F.array_intersect("ga", "gb")))
     return scratch.cut(both.where("100 * common >= 80 * (size(ga) + size(gb) - common)").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
 
 
 def line_components(scratch: Scratch, docs: DataFrame, lines: DataFrame) -> DataFrame:
     """node, component, first (doc_id, pos of the line that stays) for every distinct line."""
     at = F.struct("doc_id", "pos")
-    signed = with_bands(lines).groupBy("node").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    hashed = once(lines, hashes=sorted_hashes(F.col("line"))).select("node", at.alias("at"), bands(F.col("hashes")).alias("bands"))
+    signed = hashed.groupBy("node").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     signed = scratch.cut(signed, "signed")
     bucket = Window.partitionBy("key")
     listed = signed.select("node", F.explode("bands").alias("key")).withColumn("held", F.count(F.lit(1)).over(bucket)).withColumn("hub", F.min("node").over(bucket))
@@ -100,7 +106,8 @@ def line_components(scratch: Scratch, docs: DataFrame, lines: DataFrame) -> Data
     refs = scratch.cut(refs, "refs")
     found = sized_join(docs.select("doc_id", "text").where("doc_id is not null"), refs, "inner")
     found = found.select(F.explode("refs").alias("r"), F.split("text", "\n").alias("raw")).select("r.node", normal_form(F.get("raw", F.col("r.pos"))).alias("line"))
-    texts = scratch.cut(found.where(F.xxhash64("line") == F.col("node")).dropDuplicates(["node"]), "texts")
+    found = found.where(F.xxhash64("line") == F.col("node")).dropDuplicates(["node"])
+    texts = scratch.cut(found.withColumn("n", F.size(grams(F.col("line")))), "texts")
 
     star = scratch.cut(listed.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     links = verify(scratch, star, texts)
