@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
 from quillstone.llm.common import text_bytes
-from quillstone.llm.vocabularies import UNIT, Remembered
+from quillstone.llm.vocabularies import Remembered, shared, units
 
 VISIBLE = "▁"
 NORMAL, USER_DEFINED, BYTE, UNIGRAM, BPE = 1, 4, 6, 1, 2
@@ -128,10 +128,9 @@ class Transducer:
 
         return Remembered(solve)
 
-    def encode(self, text: bytes, by_units: Remembered) -> bytes:
-        """The ids of a text, 16 bits each, little-endian."""
-        text = self.normalise(text)
-        return by_units(UNIT.findall(b" " + text)) if text else b""
+    def encode_all(self, texts: list[bytes], by_units: Remembered) -> list[bytes]:
+        """The ids of each text, 16 bits each, little-endian."""
+        return by_units.many([self.normalise(t) for t in texts], units)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.text.__getitem__, ids.tolist()))[1:]
@@ -148,11 +147,10 @@ def encode_documents(docs: DataFrame, model: bytes, with_ids: bool = True) -> Da
 
     def run(batches):
         machine = Transducer(model)
-        by_units = machine.encoder()
+        by_units = shared(("pieces", hash(model)), machine.encoder)
         for batch in batches:
-            rows = []
-            for text in text_bytes(batch):
-                raw = machine.encode(text, by_units)
+            rows, texts = [], text_bytes(batch)
+            for text, raw in zip(texts, machine.encode_all(texts, by_units), strict=True):
                 ids = np.frombuffer(raw, "<u2")
                 rows.append((raw, len(ids), int(machine.is_byte[ids].sum()), zlib.crc32(raw), machine.decode(ids) == machine.normalise(text)))
             columns = list(zip(*rows, strict=True)) or [[]] * 5

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import Scratch, prefix_sums, text_bytes
-from quillstone.llm.vocabularies import UNIT, Remembered
+from quillstone.llm.vocabularies import Remembered, shared, units
 
 END_ID, BLOCK_IDS = 2, 1 << 20
 _SEPARATOR = END_ID.to_bytes(2, "little").decode()
@@ -46,15 +46,10 @@ def write_flat(docs: DataFrame, path: str, model: bytes, records_per_file: int =
     """Flat token files below path/kind=ids, the doc_ids in order below path/kind=names."""
 
     def run(batches):
-        encode = piece_encoder(model)
+        by_units = shared(("library pieces", hash(model)), lambda: piece_encoder(model))
         for batch in batches:
             names = [b"" if d is None else str(d).encode() for d in batch.column("doc_id").to_pylist()]
-            ids = []
-            for text in text_bytes(batch):
-                text = text.replace("▁".encode(), b" ")
-                units = UNIT.findall(b" " + text) if text else []
-                # a lone space is what the library makes of no text at all
-                ids.append(encode(units) if units != [b" "] else b"")
+            ids = by_units.many([t.replace("▁".encode(), b" ") for t in text_bytes(batch)], units)
             for kind, values in (("ids", ids), ("names", names)):
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * len(values)), pa.array(values, pa.binary())], names=["kind", "value"])
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import Scratch, prefix_sums, text_bytes
-from quillstone.llm.vocabularies import Remembered
+from quillstone.llm.vocabularies import Remembered, shared
 
 MAGIC = b"EFSHARD1"
 SAMPLE = 256
@@ -145,23 +145,23 @@ def library_encoder(vocabulary: bytes, width: int) -> Remembered:
     library = Tokenizer.from_str(vocabulary.decode())
 
     def encode(words: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, f"<u{width}").tobytes() for e in library.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+        return [np.array(e.ids, f"<u{width}").tobytes() for e in library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
 
     return Remembered(encode)
 
 
 def write_files(docs: DataFrame, path: str, vocabulary: bytes, end_id: int, width: int = 2, shard_ids: int = SHARD_IDS) -> None:
     def run(batches):
-        encode, end = library_encoder(vocabulary, width), end_id.to_bytes(width, "little")
+        by_words, end = shared(("words", hash(vocabulary), width), lambda: library_encoder(vocabulary, width)), end_id.to_bytes(width, "little")
         names, held, size = [], [], 0
 
         def flush():
             return pa.RecordBatch.from_arrays([pa.array([pack_shard(names, held, width)], pa.binary())], names=["shard"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), text_bytes(batch), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), by_words.many(text_bytes(batch), bytes.split), strict=True):
                 names.append(doc_id)
-                held.append(encode(text.split()) + end)
+                held.append(ids + end)
                 size += len(held[-1]) // width
                 if size >= shard_ids:
                     yield flush()

@@ -20,22 +20,54 @@ def default_path(name: str) -> str:
 #: No piece of a SentencePiece model that splits by white space has a space after another character,
 #: so a text falls into these units, which are encoded one by one.
 UNIT = re.compile(rb" *[^ ]+| +")
-_CACHE_LIMIT, _CACHED_LENGTH = 400_000, 64
+GENERATION, _CACHED_LENGTH, _AT_ONCE = 350_000, 64, 1_000_000
 
 
 class Remembered:
-    """unit -> ids as bytes, remembered up to a bound; `encode` takes a list of new units."""
+    """unit -> ids as bytes. Two generations are remembered: when the younger is full it becomes the
+    older, so frequent units stay and memory is bounded. `encode` takes a list of new units."""
 
     def __init__(self, encode):
-        self.encode, self.known = encode, {}
+        self.encode, self.young, self.old = encode, {}, {}
 
-    def __call__(self, units: list[bytes]) -> bytes:
-        new = [u for u in set(units) if u not in self.known]
+    def _learn(self, units: set[bytes]) -> None:
+        new = units - self.young.keys()
         if new:
-            if len(self.known) > _CACHE_LIMIT:
-                self.known.clear()
-                new = list(set(units))
-            found = dict(zip(new, self.encode(new), strict=True))
-            self.known.update((k, v) for k, v in found.items() if len(k) <= _CACHED_LENGTH)
-            return b"".join([self.known[u] if u in self.known else found[u] for u in units])
-        return b"".join(map(self.known.__getitem__, units))
+            if len(self.young) + len(new) > GENERATION:
+                self.old, self.young = self.young, {}
+                new = units
+            self.young.update((u, self.old[u]) for u in new if u in self.old)
+            new = [u for u in new if u not in self.young]
+            self.young.update(zip(new, self.encode(new), strict=True))
+
+    def many(self, texts: list[bytes], split) -> list[bytes]:
+        """The ids of each text; `split` makes a text's units. Some texts at a time are held as units."""
+        out, held, size = [], [], 0
+        for k, text in enumerate(texts, 1):
+            held.append(split(text))
+            size += len(text)
+            if size >= _AT_ONCE or k == len(texts):
+                units = set().union(*held)
+                self._learn(units)
+                out += [b"".join(map(self.young.__getitem__, x)) for x in held]
+                for u in units:
+                    if len(u) > _CACHED_LENGTH:
+                        del self.young[u]
+                held, size = [], 0
+        return out
+
+
+def units(text: bytes) -> list[bytes]:
+    """A text's units, a space in front of the first."""
+    return UNIT.findall(b" " + text) if text else []
+
+
+_SHARED: dict[tuple, Remembered] = {}
+
+
+def shared(key: tuple, make) -> Remembered:
+    """The one memory of a Python worker for this key: later tasks of the worker go on with it."""
+    if key not in _SHARED:
+        _SHARED.clear()
+        _SHARED[key] = make()
+    return _SHARED[key]
