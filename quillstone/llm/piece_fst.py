@@ -34,7 +34,9 @@ from quillstone.llm.vocabularies import Remembered, shared, units
 VISIBLE = "▁"
 NORMAL, USER_DEFINED, BYTE, UNIGRAM, BPE = 1, 4, 6, 1, 2
 _INF = math.inf
-_PAIR_LIMIT = 2_000_000
+_PAIR_LIMIT = 1_000_000
+#: States of characters without a piece; ids of pieces are below.
+_CHARACTERS = 1 << 20
 
 
 class Transducer:
@@ -56,7 +58,9 @@ class Transducer:
             self.text[k] = bytes([b])
         self.is_byte = np.zeros(len(m.pieces), bool)
         self.is_byte[list(self.bytes.values())] = True
-        self._pairs: dict[tuple[str, str], bool] = {}
+        #: Pieces that merging makes of their own text; no other can be on a path.
+        self.proper = {p: k for p, (k, _) in self.pieces.items() if not self.bpe or self.merged(p) == [p]}
+        self._pairs: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """What merging makes of a short text: always the best-scored pair, leftmost first."""
@@ -71,44 +75,61 @@ class Transducer:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def pair_weight(self, left: str, right: str) -> float:
-        """The pair automaton's weight for `right` after `left` ("" is the start)."""
-        if not self.bpe:
-            return 0.0
-        stable = self._pairs.get((left, right))
-        if stable is None:
-            if len(self._pairs) > _PAIR_LIMIT:
-                self._pairs.clear()
-            stable = self._pairs[left, right] = self.merged(left + right) == ([left, right] if left else [right])
-        return 0.0 if stable else _INF
-
-    def arcs_to(self, text: str, end: int):
-        """(start, weight) of each arc of the lattice that ends at `end`, the longest first."""
-        for start in range(max(0, end - self.longest), end):
-            found = self.pieces.get(text[start:end])
-            if found:
-                yield start, 0.0 if self.bpe else -found[1]
-            elif start == end - 1:
-                yield start, 0.0 if self.bpe else self.fallback
+    def stable(self, left: str, right: str) -> bool:
+        """The pair automaton: do the two stay apart when their joint text is merged?"""
+        return self.merged(left + right) == [left, right]
 
     def shortest_path(self, text: str) -> list[str]:
         """The pieces (or characters to be given by their bytes) on the path of least weight."""
+        return self._bpe_path(text) if self.bpe else self._unigram_path(text)
+
+    def _unigram_path(self, text: str) -> list[str]:
         n = len(text)
         weight, back = [0.0] + [_INF] * n, [0] * (n + 1)
         for end in range(1, n + 1):
-            for start, w in self.arcs_to(text, end):
-                if weight[start] + w < weight[end]:
-                    piece = text[start:end]
-                    # a piece must come out of merging its own text, and stay apart from the one before
-                    w += weight[start] + self.pair_weight("", piece)
-                    if start and w < _INF:
-                        w += self.pair_weight(text[back[start] : start], piece)
-                    if w < weight[end]:
-                        weight[end], back[end] = w, start
-        out = []
-        while n:
-            out.append(text[back[n] : n])
-            n = back[n]
+            for start in range(max(0, end - self.longest), end):
+                found = self.pieces.get(text[start:end])
+                if found:
+                    w = weight[start] - found[1]
+                elif start == end - 1:
+                    w = weight[start] + self.fallback
+                else:
+                    continue
+                if w < weight[end]:
+                    weight[end], back[end] = w, start
+        return self._follow(text, back)
+
+    def _bpe_path(self, text: str) -> list[str]:
+        """All weights are 0 or infinite here, so the first arc of finite weight into a state is the
+        shortest; a state is a place in the text with the piece that ends there."""
+        proper, pairs, longest, n = self.proper, self._pairs, self.longest, len(text)
+        last, back = [0] * (n + 1), [0] * (n + 1)
+        for end in range(1, n + 1):
+            for start in range(max(0, end - longest), end):
+                piece = proper.get(text[start:end])
+                if piece is None:
+                    if start < end - 1:
+                        continue
+                    piece = _CHARACTERS + ord(text[start])
+                if start:
+                    key = last[start] << 22 | piece
+                    open_ = pairs.get(key)
+                    if open_ is None:
+                        if len(pairs) > _PAIR_LIMIT:
+                            pairs.clear()
+                        open_ = pairs[key] = self.stable(text[back[start] : start], text[start:end])
+                    if not open_:
+                        continue
+                last[end], back[end] = piece, start
+                break
+        return self._follow(text, back)
+
+    @staticmethod
+    def _follow(text: str, back: list[int]) -> list[str]:
+        out, end = [], len(text)
+        while end:
+            out.append(text[back[end] : end])
+            end = back[end]
         return out[::-1]
 
     def encode_unit(self, unit: str) -> list[int]:
