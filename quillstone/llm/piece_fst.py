@@ -60,24 +60,50 @@ class Transducer:
         self.is_byte[list(self.bytes.values())] = True
         #: Pieces that merging makes of their own text; no other can be on a path.
         self.proper = {p: k for p, (k, _) in self.pieces.items() if not self.bpe or self.merged(p) == [p]}
+        #: When a piece comes into being, and of what: (order, left part, right part). Characters are
+        #: there from the start. Runs of spaces tie in order and are left out.
+        self.born = {p: (-_INF, "", "") if len(p) == 1 else (-self.pieces[p][1], *self.merged(p, 2)) for p in self.proper if self.bpe and (len(p) == 1 or set(p) != {VISIBLE})}
         self._pairs: dict[int, bool] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """What merging makes of a short text: always the best-scored pair, leftmost first."""
+    def merged(self, text: str, least: int = 1) -> list[str]:
+        """What merging makes of a short text, or what it is when `least` parts are left: always the
+        best-scored pair, leftmost first."""
         parts = list(text)
-        while True:
+        while len(parts) > least:
             best, at = -_INF, -1
             for k in range(len(parts) - 1):
                 found = self.pieces.get(parts[k] + parts[k + 1])
                 if found and found[1] > best:
                     best, at = found[1], k
             if at < 0:
-                return parts
+                break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
 
     def stable(self, left: str, right: str) -> bool:
-        """The pair automaton: do the two stay apart when their joint text is merged?"""
-        return self.merged(left + right) == [left, right]
+        """The pair automaton: do the two stay apart when their joint text is merged?
+
+        Followed back in time, the later-born of the two neighbours falls apart first. A piece across
+        the border would have been made if it is due while both neighbours of a moment are there; a
+        tie goes to the left.
+        """
+        born, pieces = self.born, self.pieces
+        x, y = born.get(left), born.get(right)
+        if not x or not y:
+            return self.merged(left + right) == [left, right]
+        until_x = until_y = _INF
+        while True:
+            across = pieces.get(left + right)
+            if across and -across[1] < until_x and -across[1] <= until_y:
+                return False
+            if x[0] > y[0]:
+                until_x, left = x[0], x[2]
+                x = born.get(left)
+            elif y[1]:
+                until_y, right = y[0], y[1]
+                y = born.get(right)
+            else:
+                return True
 
     def shortest_path(self, text: str) -> list[str]:
         """The pieces (or characters to be given by their bytes) on the path of least weight."""
