@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillstone.plans import events, quality, retrieval
+from quillstone.plans import documents, events, provenance, quality, retrieval, workspace
 
 QUERIES, ORACLE = {}, {}
-for _part in (retrieval, quality, events):
+for _part in (retrieval, quality, events, provenance, workspace, documents):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE
