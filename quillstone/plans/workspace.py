@@ -115,7 +115,7 @@ def observation_window(spark, sf_dir) -> DataFrame:
 
 
 @query("""WITH RECURSIVE r AS (SELECT user_id, event_id, CAST(epoch_us(ts) // 1000000 AS DOUBLE) AS sec, 1 + event_id % 3 AS c, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000, event_id) AS i FROM events),
-    b AS (SELECT user_id, event_id, i, sec, c <= 5.0 AS allowed, CASE WHEN c <= 5.0 THEN 5.0 - c ELSE 5.0 END AS tokens FROM r WHERE i = 1
+    b AS (SELECT user_id, event_id, i, sec, c <= 5.0 AS allowed, CAST(CASE WHEN c <= 5.0 THEN 5.0 - c ELSE 5.0 END AS DOUBLE) AS tokens FROM r WHERE i = 1
      UNION ALL SELECT r.user_id, r.event_id, r.i, r.sec, least(5.0, b.tokens + (r.sec - b.sec) * 0.0001) >= r.c, least(5.0, b.tokens + (r.sec - b.sec) * 0.0001) - CASE WHEN least(5.0, b.tokens + (r.sec - b.sec) * 0.0001) >= r.c THEN r.c ELSE 0 END FROM b JOIN r ON r.user_id = b.user_id AND r.i = b.i + 1)
     SELECT event_id AS seq, allowed FROM b""")
 def token_bucket(spark, sf_dir) -> DataFrame:
