@@ -1,13 +1,13 @@
 """Fuzzy line dedup by MinHash, with DataFrame functions only.
 
-A line is compared in its normal form: lower case, white space runs as one space, trimmed. Lines
+A line is compared in its normal form: lower case, white space as spaces, trimmed. Lines
 without a word always stay and are not compared. The distinct lines get a MinHash signature over
 character shingles, the SHINGLE characters from the start of each word on (of a shorter line, the
 line). One hash per shingle serves all permutations: the values are split into 2 ** BAND_BITS
-intervals, and an interval's band is its least hash with the hash that follows it, so two lines with
-similarity s share a band with probability s ** 2. At the threshold some pair of 16 bands agrees
-with a probability of 0.99 or more; the shingles differ more than the verified 5-grams do, which is
-allowed for.
+intervals, and an interval's band is its least hash with the ROWS - 1 that follow it, so two lines
+with similarity s share a band with probability s ** ROWS. Where words are exchanged, shingles are
+about 0.67 alike at the threshold of the verified 5-grams, and one of 16 bands agrees in 99.5 % of
+cases.
 
 Candidates that share a band are verified exactly: Jaccard of their distinct character 5-grams, at
 least 0.8. In each bucket all lines are compared with one hub; after components are taken, only
@@ -29,14 +29,13 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import Scratch
 from quillstone.llm.components import components
 
-SHINGLE, GRAM, BAND_BITS = 12, 5, 4
-SPACE = r"[\x20\x09-\x0D]+"
+SHINGLE, GRAM, BAND_BITS, ROWS = 12, 5, 4, 3
 #: Up to so many rows of (doc_id, line numbers) go to every executor, some 50 MB; more are shuffled.
 BROADCAST_ROWS = 500_000
 
 
 def normal_form(line: Column) -> Column:
-    return F.trim(F.lower(F.regexp_replace(line, SPACE, " ")))
+    return F.trim(F.translate(F.lower(line), "\t\x0b\x0c\r", "    "))
 
 
 def sorted_hashes(line: Column) -> Column:
@@ -52,7 +51,7 @@ def bands(hashes: Column) -> Column:
 
     def key(x: Column, i: Column) -> Column:
         first = (i == 0) | (part(x) != part(F.get(hashes, i - 1)))
-        return F.when(first, F.xxhash64(part(x), x, F.get(hashes, (i + 1) % F.size(hashes))))
+        return F.when(first, F.xxhash64(part(x), x, *[F.get(hashes, (i + k) % F.size(hashes)) for k in range(1, ROWS)]))
 
     return F.array_compact(F.transform(hashes, key))
 
@@ -91,11 +90,22 @@ def verify(scratch: Scratch, pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return scratch.cut(both.where("100 * common >= 80 * (size(ga) + size(gb) - common)").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
 
 
-def line_components(scratch: Scratch, docs: DataFrame, lines: DataFrame) -> DataFrame:
+def open_buckets(scratch: Scratch, listed: DataFrame, comps: DataFrame) -> DataFrame:
+    """key, node, comp, main of the buckets with more than one component; main is the most frequent one."""
+    entries = listed.join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+    spread = entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.mode("comp", True).alias("main")).where("lo <> hi")
+    return scratch.cut(entries.join(spread.select("key", "main"), "key"), "open")
+
+
+def grown(scratch: Scratch, comps: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more links."""
+    return components(scratch, comps.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links))
+
+
+def line_components(scratch: Scratch, docs: DataFrame, occurrences: DataFrame) -> DataFrame:
     """node, component, first (doc_id, pos of the line that stays) for every distinct line."""
     at = F.struct("doc_id", "pos")
-    hashed = once(lines, hashes=sorted_hashes(F.col("line"))).select("node", at.alias("at"), bands(F.col("hashes")).alias("bands"))
-    signed = hashed.groupBy("node").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    signed = occurrences.groupBy("node").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     signed = scratch.cut(signed, "signed")
     bucket = Window.partitionBy("key")
     listed = signed.select("node", F.explode("bands").alias("key")).withColumn("held", F.count(F.lit(1)).over(bucket)).withColumn("hub", F.min("node").over(bucket))
@@ -112,15 +122,18 @@ def line_components(scratch: Scratch, docs: DataFrame, lines: DataFrame) -> Data
     star = scratch.cut(listed.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     links = verify(scratch, star, texts)
     comps = components(scratch, links)
-    entries = listed.join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    spread = entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.mode("comp", True).alias("main")).where("lo <> hi")
-    entries = scratch.cut(entries.join(spread.select("key", "main"), "key"), "open")
+    entries = open_buckets(scratch, listed, comps)
+    hubs = entries.where("comp = main").groupBy("key").agg(F.min_by("node", F.xxhash64("node")).alias("hub"))
+    second = entries.where("comp <> main").join(hubs, "key").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    second = scratch.cut(second.join(tried, ["a", "b"], "left_anti"), "pairs")
+    comps = grown(scratch, comps, verify(scratch, second, texts))
+    entries = open_buckets(scratch, listed, comps)
+    tried = tried.union(second.select("a", "b"))
     others = entries.where("comp <> main").select("key", F.col("node").alias("other"), F.col("comp").alias("comp2"))
     cross = entries.join(others, "key").where("comp <> comp2 and (comp = main or node < other)")
     cross = cross.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = verify(scratch, scratch.cut(cross.join(tried, ["a", "b"], "left_anti"), "pairs"), texts)
-    comps = components(scratch, comps.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
+    comps = grown(scratch, comps, verify(scratch, scratch.cut(cross.join(tried, ["a", "b"], "left_anti"), "pairs"), texts))
 
     named = signed.select("node", "first", "copies").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     firsts = named.join(comps.select("node"), "node", "left_semi").groupBy("component").agg(F.min("first").alias("comp_first"))
@@ -129,7 +142,8 @@ def line_components(scratch: Scratch, docs: DataFrame, lines: DataFrame) -> Data
 
 def dropped_lines(scratch: Scratch, docs: DataFrame) -> DataFrame:
     """doc_id and the numbers of its lines (from 0) that go, for documents that lose any."""
-    lines = split_lines(docs)
+    lines = once(split_lines(docs), hashes=sorted_hashes(F.col("line")))
+    lines = scratch.cut(lines.select("doc_id", "pos", "node", bands(F.col("hashes")).alias("bands")), "lines")
     named = line_components(scratch, docs, lines)
     doubtful = scratch.cut(named.where("copies > 1 or not first <=> own_first").select("node", "first"), "doubtful")
     where = lines.select("doc_id", "pos", "node").join(doubtful, "node").where("not (doc_id <=> first.doc_id and pos = first.pos)")
