@@ -20,6 +20,7 @@ space; ids are returned as 16-bit little-endian; repeated rows repeat; other col
 from __future__ import annotations
 
 import math
+import re
 import zlib
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
 from quillstone.llm.common import text_bytes
-from quillstone.llm.vocabularies import Remembered, shared, units
+from quillstone.llm.vocabularies import Remembered, fine_units, shared, units
 
 VISIBLE = "▁"
 NORMAL, USER_DEFINED, BYTE, UNIGRAM, BPE = 1, 4, 6, 1, 2
@@ -64,6 +65,8 @@ class Transducer:
         #: there from the start. Runs of spaces tie in order and are left out.
         self.born = {p: (-_INF, "", "") if len(p) == 1 else (-self.pieces[p][1], *self.merged(p, 2)) for p in self.proper if self.bpe and (len(p) == 1 or set(p) != {VISIBLE})}
         self._pairs: dict[int, bool] = {}
+        #: Finer units where the model has no piece across their borders.
+        self.fine = not any(re.search("[A-Za-z][.,]|\n", p) for p in self.pieces)
 
     def merged(self, text: str, least: int = 1) -> list[str]:
         """What merging makes of a short text, or what it is when `least` parts are left: always the
@@ -177,7 +180,7 @@ class Transducer:
 
     def encode_all(self, texts: list[bytes], by_units: Remembered) -> list[bytes]:
         """The ids of each text, 16 bits each, little-endian."""
-        return by_units.many([self.normalise(t) for t in texts], units)
+        return by_units.many([self.normalise(t) for t in texts], fine_units if self.fine else units)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.text.__getitem__, ids.tolist()))[1:]

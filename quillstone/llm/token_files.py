@@ -21,7 +21,9 @@ doc_ids keep all their rows, in the order of their texts; an empty table gives n
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 
@@ -31,11 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import Scratch, prefix_sums, text_bytes
-from quillstone.llm.vocabularies import Remembered, shared
+from quillstone.llm.vocabularies import Remembered, lower_words, shared
 
 MAGIC = b"EFSHARD1"
 SAMPLE = 256
 SHARD_IDS = 1 << 22
+_PLAIN = re.compile(rb"[a-z]+|[.,]").fullmatch
 
 
 class EliasFano:
@@ -143,9 +146,26 @@ def library_encoder(vocabulary: bytes, width: int) -> Remembered:
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_str(vocabulary.decode())
+    suffix = json.loads(vocabulary)["model"].get("end_of_word_suffix") or None
+    size = library.get_vocab_size()
+    closes = np.zeros(size, bool)
+    closes[[k for w, k in library.get_vocab().items() if suffix and w.endswith(suffix)]] = True
 
     def encode(words: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, f"<u{width}").tobytes() for e in library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        # plain words are one piece group each, which an end-of-word id closes: one call does for all
+        plain = [k for k, w in enumerate(words) if suffix and _PLAIN(w)]
+        out: list[bytes] = [b""] * len(words)
+        if plain:
+            ids = np.array(library.encode_batch_fast([" ".join([words[k].decode() for k in plain])], add_special_tokens=False)[0].ids, f"<u{width}")
+            ends = ((np.flatnonzero(closes[ids]) + 1) * width).tolist()
+            if len(ends) == len(plain):
+                raw, start = ids.tobytes(), 0
+                for k, end in zip(plain, ends, strict=True):
+                    out[k], start = raw[start:end], end
+        rest = [k for k in range(len(words)) if not out[k]]
+        for k, e in zip(rest, library.encode_batch_fast([words[k].decode() for k in rest], add_special_tokens=False), strict=True):
+            out[k] = np.array(e.ids, f"<u{width}").tobytes()
+        return out
 
     return Remembered(encode)
 
@@ -159,7 +179,7 @@ def write_files(docs: DataFrame, path: str, vocabulary: bytes, end_id: int, widt
             return pa.RecordBatch.from_arrays([pa.array([pack_shard(names, held, width)], pa.binary())], names=["shard"])
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), by_words.many(text_bytes(batch), bytes.split), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), by_words.many(text_bytes(batch), lower_words), strict=True):
                 names.append(doc_id)
                 held.append(ids + end)
                 size += len(held[-1]) // width

@@ -20,7 +20,7 @@ def default_path(name: str) -> str:
 #: No piece of a SentencePiece model that splits by white space has a space after another character,
 #: so a text falls into these units, which are encoded one by one.
 UNIT = re.compile(rb" *[^ ]+| +")
-GENERATION, _CACHED_LENGTH, _AT_ONCE = 350_000, 64, 1_000_000
+GENERATION, _CACHED_LENGTH, _AT_ONCE = 550_000, 64, 1_000_000
 
 
 class Remembered:
@@ -30,30 +30,32 @@ class Remembered:
     def __init__(self, encode):
         self.encode, self.young, self.old = encode, {}, {}
 
-    def _learn(self, units: set[bytes]) -> None:
-        new = units - self.young.keys()
-        if new:
-            if len(self.young) + len(new) > GENERATION:
-                self.old, self.young = self.young, {}
-                new = units
-            self.young.update((u, self.old[u]) for u in new if u in self.old)
-            new = [u for u in new if u not in self.young]
-            self.young.update(zip(new, self.encode(new), strict=True))
+    def _learn(self, units: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of units that the younger generation lacks."""
+        found = {u: self.old[u] for u in units if u in self.old}
+        new = [u for u in units if u not in found]
+        found.update(zip(new, self.encode(new), strict=True))
+        if len(self.young) + len(found) > GENERATION:
+            self.old, self.young = self.young, {}
+        self.young.update((u, v) for u, v in found.items() if len(u) <= _CACHED_LENGTH)
+        return found
 
     def many(self, texts: list[bytes], split) -> list[bytes]:
         """The ids of each text; `split` makes a text's units. Some texts at a time are held as units."""
-        out, held, size = [], [], 0
+        out, flat, ends, size = [], [], [0], 0
         for k, text in enumerate(texts, 1):
-            held.append(split(text))
+            flat += split(text)
+            ends.append(len(flat))
             size += len(text)
             if size >= _AT_ONCE or k == len(texts):
-                units = set().union(*held)
-                self._learn(units)
-                out += [b"".join(map(self.young.__getitem__, x)) for x in held]
-                for u in units:
-                    if len(u) > _CACHED_LENGTH:
-                        del self.young[u]
-                held, size = [], 0
+                ids = list(map(self.young.get, flat))
+                gaps = [i for i, x in enumerate(ids) if x is None]
+                if gaps:
+                    found = self._learn({flat[i] for i in gaps})
+                    for i in gaps:
+                        ids[i] = found[flat[i]]
+                out += [b"".join(ids[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+                flat, ends, size = [], [0], 0
         return out
 
 
@@ -62,6 +64,21 @@ def units(text: bytes) -> list[bytes]:
     return UNIT.findall(b" " + text) if text else []
 
 
+_STOPS = re.compile(rb"(?<=[A-Za-z])([.,])(?=[ \n]|\Z)")
+_FINE = re.compile(rb" *[^ \n\xff]+|\n| +")
+
+
+def fine_units(text: bytes) -> list[bytes]:
+    """Units with line feeds, and a stop or comma at the end of a word, on their own. 0xff is in no text."""
+    return _FINE.findall(_STOPS.sub(b"\xff\\1", b" " + text)) if text else []
+
+
+def lower_words(text: bytes) -> list[bytes]:
+    """Words for a vocabulary that lower-cases and splits letters from stops: in lower case, a final stop
+    or comma on its own. A text that may name a special token is only split."""
+    return text.split() if b"<|" in text else _STOPS.sub(rb" \1", text.lower()).split()
+
+
 _SHARED: dict[tuple, Remembered] = {}
 
 
