@@ -37,7 +37,10 @@ def piece_encoder(model: bytes) -> Remembered:
 
     def encode(units: list[bytes]) -> list[bytes]:
         # the library puts a space in front, which the unit already has
-        return [np.array(ids, "<u2").tobytes() for ids in library.encode([u[1:].decode() for u in units], num_threads=1)]
+        found = library.encode([u[1:].decode() for u in units], num_threads=1)
+        # which it does not for an empty text, so a lone space (at a text's end) is named
+        lone = [library.piece_to_id("▁")]
+        return [np.array(lone if u == b" " else ids, "<u2").tobytes() for u, ids in zip(units, found, strict=True)]
 
     return Remembered(encode)
 
