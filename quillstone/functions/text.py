@@ -51,8 +51,12 @@ def meaningful(content: Column) -> Column:
     return F.coalesce(content, F.lit("")).rlike("[A-Za-zА-Яа-я0-9]")
 
 
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def normalized_body(content: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(content, r"^\s+|\s+$", ""), r"\n{3,}", "\n\n")
+    return F.regexp_replace(strip(content), r"\n{3,}", "\n\n")
 
 
 def body_hash(content: Column) -> Column:

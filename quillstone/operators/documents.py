@@ -16,8 +16,8 @@ def h2_sections(entries: DataFrame) -> DataFrame:
     """kid, nth, header, body: text before the first "## " is dropped, and so are empty bodies."""
     parts = F.split("content", r"(?m)^##[\x20\t]+")
     rows = entries.where(F.col("content").rlike(r"(?m)^##[\x20\t]+")).select("kid", F.posexplode(F.slice(parts, 2, 1_000_000)).alias("nth", "part"))
-    head, body = F.regexp_extract("part", r"^([^\n]*)", 1), F.trim(F.regexp_replace("part", r"^[^\n]*\n?", ""))
-    return rows.select("kid", "nth", F.trim(head).alias("header"), body.alias("body")).where("body <> ''")
+    head, body = F.regexp_extract("part", r"^([^\n]*)", 1), tx.strip(F.regexp_replace("part", r"^[^\n]*\n?", ""))
+    return rows.select("kid", "nth", tx.strip(head).alias("header"), body.alias("body")).where("body <> ''")
 
 
 def chunk_windows(entries: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def keywords(documents: DataFrame, corpus: list[str], stop_words: list[str], fea
     `corpus` names the columns that tell corpora apart. Equal weights: the later in the alphabet first.
     """
     words = F.regexp_extract_all(F.lower("content"), F.lit(r"[a-zа-яё0-9]{2,}"), F.lit(0))
-    rows = documents.select(*corpus, "kid", F.explode(F.array_except(words, F.array().cast("array<string>")) if not stop_words else words).alias("word"))
+    rows = documents.select(*corpus, "kid", F.explode(words).alias("word"))
     if stop_words:
         rows = rows.where(~F.col("word").isin(*stop_words))
     tf = rows.groupBy(*corpus, "kid", "word").agg(F.count(F.lit(1)).alias("tf"))

@@ -37,7 +37,7 @@ def chunk_stride(spark, sf_dir) -> DataFrame:
 
 
 @query(f"""WITH {ENTRIES}, p AS (SELECT kid, string_split_regex(content, '(?m)^##[ \\t]+') AS a FROM entries WHERE regexp_matches(content, '(?m)^##[ \\t]+')),
-    s AS (SELECT kid, unnest(range(2, len(a) + 1)) AS i, a FROM p), h AS (SELECT kid, i - 2 AS nth, trim(regexp_extract(a[i], '^([^\\n]*)', 1)) AS header, trim(regexp_replace(a[i], '^[^\\n]*\\n?', '')) AS body FROM s)
+    s AS (SELECT kid, unnest(range(2, len(a) + 1)) AS i, a FROM p), h AS (SELECT kid, i - 2 AS nth, regexp_replace(regexp_extract(a[i], '^([^\\n]*)', 1), '^\\s+|\\s+$', '', 'g') AS header, regexp_replace(regexp_replace(a[i], '^[^\\n]*\\n?', ''), '^\\s+|\\s+$', '', 'g') AS body FROM s)
     SELECT kid, nth, header, length(body) AS chars FROM h WHERE body <> ''""")
 def h2_sections(spark, sf_dir) -> DataFrame:
     return dc.h2_sections(t.entries(spark, sf_dir)).select("kid", F.col("nth").cast("long").alias("nth"), "header", F.length("body").cast("long").alias("chars"))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.functions.text import marker, strip
+
 FRONT = r"(?s)^---\r?\n(.*?)\r?\n---\r?\n?(.*)$"
 _META = "knowledge_id string, domain string, subject string, project string, tags array<string>, status string, zone string, version int, updated_at string, parent_knowledge_id string, keys array<string>"
 
@@ -48,7 +50,7 @@ def read_markdown(spark: SparkSession, folder: str, skip_underscore: bool = True
         files = files.where(~F.element_at(F.split("path", "/"), -1).startswith("_"))
     text = F.decode("content", "UTF-8")
     rows = files.select("path", text.alias("text"))
-    rows = rows.withColumns({"front": F.regexp_extract("text", FRONT, 1), "body": F.trim(F.regexp_extract("text", FRONT, 2)), "has": F.col("text").rlike(FRONT)})
+    rows = rows.withColumns({"front": F.regexp_extract("text", FRONT, 1), "body": strip(F.regexp_extract("text", FRONT, 2)), "has": F.col("text").rlike(FRONT)})
     rows = rows.withColumn("meta", front_matter()(F.when(F.col("has"), F.col("front"))))
     error = (
         F.when(F.trim("text") == "", "empty").when(~F.col("text").startswith("---"), "no_delimiter").when(~F.col("has"), "unclosed").when(F.size("meta.keys") == 0, "not_a_mapping")
@@ -85,7 +87,5 @@ def access_status(line: Column) -> Column:
 
 def captured(line: Column) -> Column:
     """What a log source keeps: a marker, a level from WARNING on, or a status from 400 on."""
-    from quillstone.functions.text import marker
-
     level = line.rlike(r"\[(WARNING|ERROR|CRITICAL)\]|^(WARNING|ERROR|CRITICAL):")
     return marker(line).isNotNull() | level | F.coalesce(access_status(line) >= 400, F.lit(False))
