@@ -35,7 +35,7 @@ from quillstone.llm.vocabularies import Remembered, fine_units, shared, units
 VISIBLE = "▁"
 NORMAL, USER_DEFINED, BYTE, UNIGRAM, BPE = 1, 4, 6, 1, 2
 _INF = math.inf
-_PAIR_LIMIT = 1_000_000
+_PAIR_LIMIT = 500_000
 #: States of characters without a piece; ids of pieces are below.
 _CHARACTERS = 1 << 20
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstone.llm.common import text_bytes
+from quillstone.llm.vocabularies import forget
 
 SYMBOLS = b"#*$%&|<>"
 #: Frequent function words of the corpus' four languages; fixed values.
@@ -93,6 +94,7 @@ def measure(docs: DataFrame) -> DataFrame:
     schema = T.StructType([*slim.schema.fields, *(T.StructField(k, v) for k, v in FEATURES.items())])
 
     def run(batches):
+        forget()
         for batch in batches:
             rows = [features(x) for x in text_bytes(batch)]
             table = np.array(rows, np.int64).reshape(-1, len(FEATURES))

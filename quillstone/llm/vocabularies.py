@@ -20,7 +20,7 @@ def default_path(name: str) -> str:
 #: No piece of a SentencePiece model that splits by white space has a space after another character,
 #: so a text falls into these units, which are encoded one by one.
 UNIT = re.compile(rb" *[^ ]+| +")
-GENERATION, _CACHED_LENGTH, _AT_ONCE = 550_000, 64, 1_000_000
+GENERATION, _CACHED_LENGTH, _AT_ONCE = 350_000, 64, 1_000_000
 
 
 class Remembered:
@@ -88,3 +88,8 @@ def shared(key: tuple, make) -> Remembered:
         _SHARED.clear()
         _SHARED[key] = make()
     return _SHARED[key]
+
+
+def forget() -> None:
+    """Frees the memory that an encoding stage left in this Python worker."""
+    _SHARED.clear()
