@@ -36,11 +36,13 @@ def chunk_stride(spark, sf_dir) -> DataFrame:
     return w.select("kid", F.col("nth").cast("long").alias("nth"), F.col("start").cast("long").alias("start"), F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
 
 
-@query(f"""WITH {ENTRIES}, p AS (SELECT kid, string_split_regex(content, '(?m)^##[ \\t]+') AS a FROM entries WHERE regexp_matches(content, '(?m)^##[ \\t]+')),
+@query(f"""WITH {ENTRIES}, m AS (SELECT kid, replace(content, chr(10), chr(10) || '## Part' || chr(10)) AS content FROM entries), p AS (SELECT kid, string_split_regex(content, '(?m)^##[ \\t]+') AS a FROM m WHERE regexp_matches(content, '(?m)^##[ \\t]+')),
     s AS (SELECT kid, unnest(range(2, len(a) + 1)) AS i, a FROM p), h AS (SELECT kid, i - 2 AS nth, regexp_replace(regexp_extract(a[i], '^([^\\n]*)', 1), '^\\s+|\\s+$', '', 'g') AS header, regexp_replace(regexp_replace(a[i], '^[^\\n]*\\n?', ''), '^\\s+|\\s+$', '', 'g') AS body FROM s)
     SELECT kid, nth, header, length(body) AS chars FROM h WHERE body <> ''""")
 def h2_sections(spark, sf_dir) -> DataFrame:
-    return dc.h2_sections(t.entries(spark, sf_dir)).select("kid", F.col("nth").cast("long").alias("nth"), "header", F.length("body").cast("long").alias("chars"))
+    """Every line but the first under a heading of its own."""
+    marked = t.entries(spark, sf_dir).withColumn("content", F.replace("content", F.lit("\n"), F.lit("\n## Part\n")))
+    return dc.h2_sections(marked).select("kid", F.col("nth").cast("long").alias("nth"), "header", F.length("body").cast("long").alias("chars"))
 
 
 @query(f"""WITH {ENTRIES}, s AS (SELECT kid, list_filter(string_split_regex(regexp_replace(content, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ') <> '') AS a FROM entries)
