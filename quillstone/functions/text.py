@@ -149,3 +149,23 @@ def byte_range(header: Column, size: Column) -> Column:
     end = F.when(a.isNull() | b.isNull(), size - 1).otherwise(F.least(b, size - 1))
     fits = (a.isNotNull() | b.isNotNull()) & (start <= end) & (start < size) & ~(a.isNull() & (b == 0))
     return F.when(fits, F.struct(start.cast("long").alias("start"), end.cast("long").alias("end")))
+
+
+def source_id(content: Column) -> Column:
+    """src- and the first 16 digits of the content's SHA-256."""
+    return F.concat(F.lit("src-"), F.substring(F.sha2(content.cast("binary"), 256), 1, 16))
+
+
+def dupe_hash(name: Column, phone: Column) -> Column:
+    """A person's requests share it: lower case, single spaces."""
+    return F.sha2(F.lower(F.trim(F.regexp_replace(F.concat_ws("|", name, phone), r"\s+", " "))).cast("binary"), 256)
+
+
+def effect_id(job: Column, node: Column, effect: Column) -> Column:
+    """The same for every attempt of a job's effect."""
+    return F.sha2(F.concat_ws("\u001f", job, node, effect).cast("binary"), 256)
+
+
+def prompt_hash(text: Column) -> Column:
+    """Trailing white space of lines does not count."""
+    return F.sha2(F.regexp_replace(text, r"(?m)\s+$", "").cast("binary"), 256)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as tx
+from quillstone.functions import time as tm
 from quillstone.operators import documents as dc
 from quillstone.plans.sql import ENTRIES
 from quillstone.sources import tables as t
@@ -121,3 +122,20 @@ def tree_checksum(spark, sf_dir) -> DataFrame:
 def mask_secrets(spark, sf_dir) -> DataFrame:
     n = F.col("event_id").cast("string")
     return t.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), tx.mask_secrets(F.concat(F.lit("token: abc"), n, F.lit(" see mcp_ab_K"), n, F.lit(" end"))).alias("masked"))
+
+
+@query("""SELECT event_id AS id, strftime(ts, '%G-W%V') AS week, strftime(ts + INTERVAL 3 HOUR, '%Y-%m-%d') AS day, strftime(ts + INTERVAL 3 HOUR, '%Y-%m') AS month,
+    CAST(86400 - (hour(ts + INTERVAL 3 HOUR) * 3600 + minute(ts) * 60 + second(ts)) AS BIGINT) AS to_midnight, (isodow(ts + INTERVAL 3 HOUR) = 1 AND hour(ts + INTERVAL 3 HOUR) >= 10) OR isodow(ts + INTERVAL 3 HOUR) IN (2, 3) AS due,
+    CASE WHEN event_id >= 86400 THEN CAST(event_id // 86400 AS VARCHAR) || 'd' WHEN event_id >= 3600 THEN CAST(event_id // 3600 AS VARCHAR) || 'h' WHEN event_id >= 60 THEN CAST(event_id // 60 AS VARCHAR) || 'm' ELSE 'now' END AS age FROM events""")
+def time_keys(spark, sf_dir) -> DataFrame:
+    ts, zone = F.col("ts").cast("timestamp"), "Europe/Moscow"
+    return t.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), tm.iso_week(ts).alias("week"), tm.local_day(ts, zone).alias("day"), tm.local_month(ts, zone).alias("month"), tm.seconds_to_midnight(ts, zone).alias("to_midnight"), tm.digest_due(ts, zone).alias("due"), tm.age_text(F.col("event_id")).alias("age"),
+    )
+
+
+@query("""SELECT p_partkey AS id, 'src-' || sha256('p' || p_partkey)[1:16] AS source_id, sha256(lower(trim(regexp_replace(p_name || '|' || p_brand, '\\s+', ' ', 'g')))) AS dupe_hash,
+    sha256('job' || p_partkey || chr(31) || 'node' || chr(31) || p_type) AS effect_id FROM part""")
+def identifiers(spark, sf_dir) -> DataFrame:
+    n = F.col("p_partkey").cast("string")
+    return t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), tx.source_id(F.concat(F.lit("p"), n)).alias("source_id"), tx.dupe_hash(F.col("p_name"), F.col("p_brand")).alias("dupe_hash"), tx.effect_id(F.concat(F.lit("job"), n), F.lit("node"), F.col("p_type")).alias("effect_id"))
