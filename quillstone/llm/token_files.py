@@ -167,7 +167,7 @@ def library_encoder(vocabulary: bytes, width: int) -> Remembered:
             out[k] = np.array(e.ids, f"<u{width}").tobytes()
         return out
 
-    return Remembered(encode)
+    return Remembered(encode, generation=500_000)
 
 
 def write_files(docs: DataFrame, path: str, vocabulary: bytes, end_id: int, width: int = 2, shard_ids: int = SHARD_IDS) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import public_tokenizers
 
@@ -21,21 +22,25 @@ def default_path(name: str) -> str:
 #: so a text falls into these units, which are encoded one by one.
 UNIT = re.compile(rb" *[^ ]+| +")
 GENERATION, _CACHED_LENGTH, _AT_ONCE = 350_000, 64, 1_000_000
+HOT = 8_000
 
 
 class Remembered:
     """unit -> ids as bytes. Two generations are remembered: when the younger is full it becomes the
     older, so frequent units stay and memory is bounded. `encode` takes a list of new units."""
 
-    def __init__(self, encode):
-        self.encode, self.young, self.old = encode, {}, {}
+    def __init__(self, encode, generation: int = GENERATION):
+        self.encode, self.generation, self.young, self.old = encode, generation, {}, {}
+        #: The commonest units again, in a dict small enough for a processor's cache.
+        self.hot: dict[bytes, bytes] = {}
+        self._chunks = 0
 
     def _learn(self, units: set[bytes]) -> dict[bytes, bytes]:
         """Ids of units that the younger generation lacks."""
         found = {u: self.old[u] for u in units if u in self.old}
         new = [u for u in units if u not in found]
         found.update(zip(new, self.encode(new), strict=True))
-        if len(self.young) + len(found) > GENERATION:
+        if len(self.young) + len(found) > self.generation:
             self.old, self.young = self.young, {}
         self.young.update((u, v) for u, v in found.items() if len(u) <= _CACHED_LENGTH)
         return found
@@ -48,12 +53,18 @@ class Remembered:
             ends.append(len(flat))
             size += len(text)
             if size >= _AT_ONCE or k == len(texts):
-                ids = list(map(self.young.get, flat))
+                ids = list(map(self.hot.get, flat))
                 gaps = [i for i, x in enumerate(ids) if x is None]
-                if gaps:
-                    found = self._learn({flat[i] for i in gaps})
-                    for i in gaps:
-                        ids[i] = found[flat[i]]
+                rest = [flat[i] for i in gaps]
+                known = list(map(self.young.get, rest))
+                new = {u for u, x in zip(rest, known, strict=True) if x is None}
+                found = self._learn(new) if new else {}
+                for i, u, x in zip(gaps, rest, known, strict=True):
+                    ids[i] = found[u] if x is None else x
+                if self._chunks % 64 == 0:
+                    seen = dict(zip(flat, ids, strict=True))
+                    self.hot = {u: seen[u] for u, _ in Counter(flat).most_common(HOT)}
+                self._chunks += 1
                 out += [b"".join(ids[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
                 flat, ends, size = [], [0], 0
         return out
