@@ -167,3 +167,42 @@ def reachable(spark: SparkSession, edges: DataFrame) -> DataFrame:
 def reconcile_budget(journal: DataFrame) -> DataFrame:
     """Spend per month and user, and per month (user null)."""
     return journal.groupBy("month", "user").agg(F.sum("micro").alias("micro")).unionByName(journal.groupBy("month").agg(F.sum("micro").alias("micro")).withColumn("user", F.lit(None).cast("long")))
+
+
+def token_charge(usage: DataFrame, zone: str) -> DataFrame:
+    """What a user has spent so far on each local day, call by call."""
+    day = F.date_format(F.from_utc_timestamp("ts", zone), "yyyy-MM-dd")
+    spent = F.sum("tokens").over(Window.partitionBy("user", "day").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0))
+    return usage.withColumn("day", day).withColumn("spent", spent)
+
+
+def latency_histogram(rows: DataFrame, key: str, value: str, edges: tuple) -> DataFrame:
+    """Cumulative counts up to each edge and in all, as monitoring systems want them; one pass, no window."""
+    counts = [F.struct(F.lit(str(e)).alias("le"), F.count_if(F.col(value) <= e).alias("n")) for e in edges]
+    total = F.struct(F.lit("+Inf").alias("le"), F.count(F.lit(1)).alias("n"))
+    return rows.groupBy(key).agg(F.array(*counts, total).alias("h")).select(key, F.inline("h"))
+
+
+def repeated_within(requests: DataFrame, seconds: int) -> DataFrame:
+    """Requests that come within so many seconds of an equal one."""
+    before = F.lag("at").over(Window.partitionBy("dupe_hash").orderBy("at", "id"))
+    return requests.withColumn("before", before).where(F.col("at") - F.col("before") <= seconds).drop("before")
+
+
+def pilot_gates(runs: DataFrame) -> DataFrame:
+    """Per mode compliance, accuracy of the compliant, escalation; delta passes with an accuracy of full's
+    less 0.2 and a compliance of 0.8."""
+    rate = lambda c: F.round(F.avg(c.cast("double")), 6)
+    out = runs.groupBy("mode").agg(rate(F.col("compliant")).alias("compliance"), rate(F.when(F.col("compliant"), F.col("correct"))).alias("accuracy"), rate(F.col("correct")).alias("accuracy_raw"), rate(F.col("escalated")).alias("escalation"))
+    full = out.where("mode = 'full'").select(F.col("accuracy").alias("full_accuracy"))
+    return out.join(F.broadcast(full)).withColumn("passes", (F.col("accuracy") >= F.col("full_accuracy") - 0.2) & (F.col("compliance") >= 0.8)).drop("full_accuracy")
+
+
+def resolve_settings(pins: DataFrame, profiles: DataFrame, defaults: dict) -> DataFrame:
+    """Each setting from the pin, else the profile, else the default."""
+    both = profiles.join(pins, "cell", "left")
+    return both.select("cell", *[F.coalesce(f"pin_{k}", f"profile_{k}", F.lit(v)).alias(k) for k, v in defaults.items()])
+
+
+def structural_score(verdict: Column, sections: Column, citation: Column, length: Column) -> Column:
+    return F.round(0.2 * verdict + 0.4 * sections + 0.2 * citation + 0.2 * length, 3)

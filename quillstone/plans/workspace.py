@@ -249,3 +249,45 @@ def dag_cycles(spark, sf_dir) -> DataFrame:
 @query(f"WITH RECURSIVE {EDGES} SELECT g, dst AS node, count(DISTINCT src) AS ancestors FROM walk GROUP BY ALL")
 def ancestor_closure(spark, sf_dir) -> DataFrame:
     return w.reachable(spark, edges(spark, sf_dir)).groupBy("g", F.col("dst").alias("node")).agg(F.countDistinct("src").alias("ancestors"))
+
+
+@query("""WITH u AS (SELECT user_id AS user, event_id, ts, event_id % 100 AS tokens, strftime(ts + INTERVAL 3 HOUR, '%Y-%m-%d') AS day FROM events)
+    SELECT event_id AS seq, day, CAST(sum(tokens) OVER (PARTITION BY user, day ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent FROM u""")
+def token_charge(spark, sf_dir) -> DataFrame:
+    u = t.table(spark, sf_dir, "events").select(F.col("user_id").alias("user"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 100).alias("tokens"))
+    return w.token_charge(u, "Europe/Moscow").select("seq", "day", "spent")
+
+
+@query("""SELECT event_type, le, n FROM (SELECT event_type, unnest(['5', '25', '100', '+Inf']) AS le, unnest([count(*) FILTER (value <= 5), count(*) FILTER (value <= 25), count(*) FILTER (value <= 100), count(*)]) AS n FROM events GROUP BY event_type)""")
+def latency_histogram(spark, sf_dir) -> DataFrame:
+    return w.latency_histogram(t.table(spark, sf_dir, "events"), "event_type", "value", (5, 25, 100))
+
+
+@query("""WITH r AS (SELECT event_id AS id, CAST(floor(epoch(ts)) AS BIGINT) AS sec, lag(CAST(floor(epoch(ts)) AS BIGINT)) OVER (PARTITION BY user_id, event_type ORDER BY floor(epoch(ts)), event_id) AS b FROM events) SELECT id FROM r WHERE sec - b <= 3600""")
+def dupe_window(spark, sf_dir) -> DataFrame:
+    r = t.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.unix_timestamp("ts").alias("at"), F.concat_ws("|", "user_id", "event_type").alias("dupe_hash"))
+    return w.repeated_within(r, 3600).select("id")
+
+
+@query("""WITH g AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'full' ELSE 'delta' END AS mode, round(avg(CASE WHEN doc_id % 13 <> 0 THEN 1.0 ELSE 0.0 END), 6) AS compliance, round(avg(CASE WHEN doc_id % 13 <> 0 THEN CAST(quality AS DOUBLE) END), 6) AS accuracy,
+      round(avg(CAST(quality AS DOUBLE)), 6) AS accuracy_raw, round(avg(CAST(toxic AS DOUBLE)), 6) AS escalation FROM labels GROUP BY 1)
+    SELECT g.*, g.accuracy >= f.accuracy - 0.2 AND g.compliance >= 0.8 AS passes FROM g, (SELECT accuracy FROM g WHERE mode = 'full') f""")
+def pilot_aggregate(spark, sf_dir) -> DataFrame:
+    n = F.col("doc_id")
+    runs = t.table(spark, sf_dir, "labels").select(F.when(n % 2 == 0, "full").otherwise("delta").alias("mode"), (n % 13 != 0).alias("compliant"), F.col("quality").alias("correct"), F.col("toxic").alias("escalated"))
+    return w.pilot_gates(runs)
+
+
+@query("""SELECT p_partkey AS cell, coalesce(CASE WHEN p_partkey % 5 = 0 THEN 1 END, CASE WHEN p_partkey % 3 = 0 THEN p_size END, 7) AS budget, coalesce(CASE WHEN p_partkey % 5 = 0 AND p_partkey % 2 = 0 THEN 2 END, CASE WHEN p_partkey % 4 = 0 THEN p_size + 1 END, 9) AS retries FROM part""")
+def calibration_resolve(spark, sf_dir) -> DataFrame:
+    n = F.col("p_partkey")
+    p = t.table(spark, sf_dir, "part")
+    pins = p.where("p_partkey % 5 = 0").select(n.alias("cell"), F.lit(1).alias("pin_budget"), F.when(n % 2 == 0, 2).alias("pin_retries"))
+    profiles = p.select(n.alias("cell"), F.when(n % 3 == 0, F.col("p_size")).alias("profile_budget"), F.when(n % 4 == 0, F.col("p_size") + 1).alias("profile_retries"))
+    return w.resolve_settings(pins, profiles, {"budget": 7, "retries": 9})
+
+
+@query("SELECT doc_id AS id, round(CAST(0.2 * quality + 0.4 * (doc_id % 5 / 4.0) + 0.2 * toxic + 0.2 * (doc_id % 2) AS DOUBLE), 3) AS score FROM labels")
+def structural_score(spark, sf_dir) -> DataFrame:
+    n = F.col("doc_id")
+    return t.table(spark, sf_dir, "labels").select(n.alias("id"), w.structural_score(F.col("quality"), n % 5 / 4.0, F.col("toxic"), n % 2).alias("score"))
