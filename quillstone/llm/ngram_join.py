@@ -7,7 +7,8 @@ n - ceil(0.8 n) + 1 of either. So:
 
 1. equal sets form a class, and only one document of a class goes on;
 2. classes with the same prefix and size form a group; only one prefix per group is posted;
-3. postings of shingles that a single group has are dropped;
+3. postings of shingles that a single group has are dropped, but for the first one of a group of
+   several classes, which lists them all;
 4. in each posting list the most central group (the one with the largest part of its prefix shared)
    is compared with all others, under the length and position filters, and each group's first
    member with its other members;
@@ -184,12 +185,12 @@ def link_documents(scratch: Scratch, docs: DataFrame) -> DataFrame:
     classes = full.groupBy("set_digest").agg(F.min("doc_id").alias("class_id"))
     members = scratch.cut(signed.select("doc_id", "n_shingles", "set_digest").join(classes, "set_digest", "left").drop("set_digest"), "members")
     heads = full.select("doc_id", "n_shingles", "prefix_digest").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
-    named = heads.groupBy("prefix_digest", "n_shingles").agg(F.min("doc_id").alias("gid"))
-    groups = scratch.cut(heads.join(named, ["prefix_digest", "n_shingles"]).select("gid", F.col("doc_id").alias("class_id")), "groups")
-    firsts = groups.where("gid = class_id").select(F.col("gid").alias("doc_id"))
-    posted = full.join(firsts, "doc_id", "left_semi").select(F.col("doc_id").alias("gid"), F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+    named = heads.groupBy("prefix_digest", "n_shingles").agg(F.min("doc_id").alias("gid"), F.count(F.lit(1)).alias("classes"))
+    groups = scratch.cut(heads.join(named, ["prefix_digest", "n_shingles"]).select("gid", F.col("doc_id").alias("class_id"), "classes"), "groups")
+    firsts = groups.where("gid = class_id").select(F.col("gid").alias("doc_id"), "classes")
+    posted = full.join(firsts, "doc_id").select(F.col("doc_id").alias("gid"), F.col("n_shingles").alias("n"), "classes", F.posexplode("prefix").alias("pos", "token"))
     held = F.count(F.lit(1)).over(Window.partitionBy("token"))
-    lists = scratch.cut(posted.withColumn("held", held).where("held > 1").drop("held"), "lists")
+    lists = scratch.cut(posted.withColumn("held", held).where("held > 1 or (classes > 1 and pos = 0)").drop("held", "classes"), "lists")
 
     central = lists.groupBy("gid").agg((F.count(F.lit(1)) / F.first(F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1)).alias("part"))
     hubs = lists.join(central, "gid").groupBy("token").agg(F.max_by(F.struct("gid", "n", "pos"), F.struct("part", -F.col("gid"))).alias("h"))

@@ -378,6 +378,17 @@ def test_ngram_join_equals_brute_force(spark, scratch, seed):
     assert kept == {c for _, c in got.values()}
 
 
+def test_ngram_join_links_inside_a_prefix_group(spark, scratch):
+    r = random.Random(4)
+    fresh = lambda k: [f"w{r.randrange(10**9)}" for _ in range(k)]
+    core, far, near = fresh(25), fresh(79), fresh(79)
+    fillers = [far, near, near[:-5] + fresh(5)]  # 2 and 3 link, 1 is far from both; the core's 21 shingles are their prefix
+    rows = [(i + 1, " ".join(core + f)) for i, f in enumerate(fillers)]
+    rows += [(10 + 5 * i + k, " ".join(core[-4:] + f + fresh(300 + k))) for i, f in enumerate(fillers) for k in range(5)]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.join_documents(scratch, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_links(rows) and got[1] == (100, 1) and got[3] == (100, 2)
+
+
 def test_ngram_join_on_a_chain_and_odd_ids(spark, scratch):
     r = random.Random(3)
     w = [f"w{r.randrange(10**6)}" for _ in range(200)]
