@@ -2,12 +2,10 @@
 
 A line is compared in its normal form: lower case, white space as spaces, trimmed. Lines
 without a word always stay and are not compared. The distinct lines get a MinHash signature over
-character shingles, the SHINGLE characters from the start of each word on (of a shorter line, the
-line). One hash per shingle serves all permutations: the values are split into 2 ** BAND_BITS
+their character 5-grams at all positions (of a shorter line, the line), the very sets that are
+verified. One hash per 5-gram serves all permutations: the values are split into 2 ** BAND_BITS
 intervals, and an interval's band is its least hash with the ROWS - 1 that follow it, so two lines
-with similarity s share a band with probability s ** ROWS. Where words are exchanged, shingles are
-about 0.67 alike at the threshold of the verified 5-grams, and one of 16 bands agrees in 99.5 % of
-cases.
+with similarity s share a band with probability s ** ROWS.
 
 Candidates that share a band are verified exactly: Jaccard of their distinct character 5-grams, at
 least 0.8. In each bucket all lines are compared with one hub; after components are taken, only
@@ -29,7 +27,7 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import Scratch
 from quillstone.llm.components import components
 
-SHINGLE, GRAM, BAND_BITS, ROWS = 12, 5, 4, 3
+GRAM, BAND_BITS, ROWS = 5, 4, 3
 #: Up to so many rows of (doc_id, line numbers) go to every executor, some 50 MB; more are shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -39,9 +37,8 @@ def normal_form(line: Column) -> Column:
 
 
 def sorted_hashes(line: Column) -> Column:
-    """The hashes of the shingles of a normal line, in order."""
-    starts = F.regexp_extract_all(line, F.lit(f"(?s)(?<![^ ])(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    return F.sort_array(F.array_distinct(F.transform(F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(starts), lambda s: F.xxhash64(s))))
+    """The hashes of the 5-grams of a normal line, in order."""
+    return F.sort_array(grams(line))
 
 
 def bands(hashes: Column) -> Column:

@@ -222,6 +222,19 @@ def test_line_dedup_finds_what_brute_force_finds(spark, scratch, rows, docs):
     assert line_dedup.apply_lines(empty(spark), scratch).count() == 0
 
 
+def lines_gone(spark, scratch, lines):
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    return {r["doc_id"] for r in line_dedup.mark_lines(scratch, rows).collect() if r["gone"]}
+
+
+def test_line_dedup_of_lines_without_spaces_and_of_short_ones(spark, scratch):
+    r = random.Random(7)
+    han = ["".join(chr(0x4E00 + r.randrange(5000)) for _ in range(500)) for _ in range(20)]
+    lines = [y for x in han for y in (x, x[:5] + "z" + x[6:])] + ["chapter 1", "chapter 12", "https://a.example/" + "q1w2e3r4t5" * 9, "http://a.example/" + "q1w2e3r4t5" * 9]
+    got = lines_gone(spark, scratch, lines)
+    assert got <= set(range(1, 44, 2)) and 41 in got and len(got) >= 21
+
+
 # ---- 4
 
 
