@@ -3,12 +3,17 @@
 A line is compared in its normal form: lower case, white space as spaces, trimmed. Lines
 without a word always stay and are not compared. The distinct lines get a MinHash signature over
 their character 5-grams at all positions (of a shorter line, the line), the very sets that are
-verified. One hash per 5-gram serves all permutations: the values are split into 2 ** BAND_BITS
-intervals, and an interval's band is its least hash with the ROWS - 1 that follow it, so two lines
-with similarity s share a band with probability s ** ROWS.
+verified. One hash per 5-gram serves all permutations: a band is a run of neighbours in the circle of
+a line's sorted hashes. At a similarity of 0.8 four fifths of the union are common, so somewhere four
+common hashes follow each other, and both lines have that run: short lines have a band from every
+hash on and miss no link. Longer ones have bands of five from the first hash of each of 16 intervals,
+the longest only among the lowest quarter of hash values; a run of five is common with a probability
+of 0.33, one of 16 runs in 99.8 % of cases. Lines that may link differ by a fifth in their number of
+5-grams at most, and the sizes of the three FAMILIES overlap by more.
 
 Candidates that share a band are verified exactly: Jaccard of their distinct character 5-grams, at
-least 0.8. In each bucket all lines are compared with one hub; after components are taken, only
+least 0.8. Before, their sizes and sketches (256 parities of hashes, which differ in no more places
+than the sets do) rule out pairs that cannot reach it; no link is lost by that. In each bucket all lines are compared with one hub; after components are taken, only
 buckets with several components are looked at again, lines outside the main component against all
 others of another component. So a bucket of copies costs a pair per line, not per pair of lines.
 
@@ -27,7 +32,11 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import Scratch
 from quillstone.llm.components import components
 
-GRAM, BAND_BITS, ROWS = 5, 4, 3
+GRAM = 5
+#: Least and most 5-grams (distinct), hashes in a band, bits of an interval (None: every hash starts a
+#: band), highest hash that is looked at (None: all).
+FAMILIES = ((0, 40, 4, None, None), (32, 250, 5, 4, None), (200, 1 << 31, 5, 6, -(1 << 62)))
+SKETCH_WORDS = 4
 #: Up to so many rows of (doc_id, line numbers) go to every executor, some 50 MB; more are shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -36,21 +45,25 @@ def normal_form(line: Column) -> Column:
     return F.trim(F.translate(F.lower(line), "\t\x0b\x0c\r", "    "))
 
 
-def sorted_hashes(line: Column) -> Column:
-    """The hashes of the 5-grams of a normal line, in order."""
-    return F.sort_array(grams(line))
+def bands(hashes: Column, n: Column) -> Column:
+    """The keys of a line's bands, from its n distinct hashes."""
 
+    def of(rows: int, bits: int | None, top: int | None) -> Column:
+        picked = F.sort_array(hashes if top is None else F.filter(hashes, lambda x: x < top))
 
-def bands(hashes: Column) -> Column:
-    """A key per interval of hash values that has a shingle: its least hash and the one after that, in a
-    circle."""
-    part = lambda x: F.shiftright(x, 64 - BAND_BITS)
+        def key(all_: Column) -> Column:
+            part = lambda x: F.shiftright(x, 64 - bits)
 
-    def key(x: Column, i: Column) -> Column:
-        first = (i == 0) | (part(x) != part(F.get(hashes, i - 1)))
-        return F.when(first, F.xxhash64(part(x), x, *[F.get(hashes, (i + k) % F.size(hashes)) for k in range(1, ROWS)]))
+            def run(x: Column, i: Column) -> Column:
+                band = F.xxhash64(F.lit(rows), x, *[F.get(all_, (i + k) % F.size(all_)) for k in range(1, rows)])
+                return band if bits is None else F.when((i == 0) | (part(x) != part(F.get(all_, i - 1))), band)
 
-    return F.array_compact(F.transform(hashes, key))
+            return F.array_compact(F.transform(all_, run))
+
+        # a lambda's variable holds the sorted hashes, so that they are sorted once
+        return F.flatten(F.transform(F.array(picked), key))
+
+    return F.array_distinct(F.concat(*[F.when((n >= lo) & (n <= hi), of(*how)).otherwise(F.array().cast("array<bigint>")) for lo, hi, *how in FAMILIES]))
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -64,6 +77,29 @@ def grams(line: Column) -> Column:
     return F.array_distinct(F.transform(F.when(F.length(line) < GRAM, F.array(line)).otherwise(found), lambda s: F.xxhash64(s)))
 
 
+def sketches(hashes: Column) -> list[Column]:
+    """SKETCH_WORDS words of 64 parities each; a hash counts in one place of one word."""
+    place = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+    word = lambda h: F.shiftright(h, 6).bitwiseAND(SKETCH_WORDS - 1)
+
+    def parities(w: int) -> Column:
+        return F.aggregate(F.filter(hashes, lambda h: word(h) == w), F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(place(h)))
+
+    return [parities(w).alias(f"s{w}") for w in range(SKETCH_WORDS)]
+
+
+def sizes(texts: DataFrame, side: str) -> DataFrame:
+    """node, n and sketch of the lines, named for one side of a pair."""
+    return texts.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", *(f"s{w}" for w in range(SKETCH_WORDS)))])
+
+
+def may_link(a: str, b: str) -> str:
+    """Whether sizes and sketches of two sides allow a Jaccard similarity of 0.8: of two such sets at most
+    a ninth of n_a + n_b are not common."""
+    apart = " + ".join(f"bit_count(s{w}_{a} ^ s{w}_{b})" for w in range(SKETCH_WORDS))
+    return f"5 * least(n_{a}, n_{b}) >= 4 * greatest(n_{a}, n_{b}) and 9 * ({apart}) <= n_{a} + n_{b}"
+
+
 def split_lines(docs: DataFrame) -> DataFrame:
     """doc_id, pos, line (normal form), node (its hash) of all lines that have a word."""
     lines = docs.select("doc_id", F.posexplode(F.transform(F.split("text", "\n"), normal_form)).alias("pos", "line"))
@@ -77,9 +113,9 @@ def sized_join(docs: DataFrame, small: DataFrame, how: str) -> DataFrame:
 
 def verify(scratch: Scratch, pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of lines whose Jaccard similarity is at least 0.8."""
-    for s in "ab":  # the sizes alone rule most pairs out
-        pairs = pairs.join(texts.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}")), s)
-    near = scratch.cut(pairs.where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)").select("a", "b"), "near")
+    for s in "ab":  # sizes and sketches alone rule most pairs out
+        pairs = pairs.join(sizes(texts, s), s)
+    near = scratch.cut(pairs.where(may_link("a", "b")).select("a", "b"), "near")
     side = lambda c: texts.select(F.col("node").alias(c), F.col("line").alias(f"line_{c}"))
     both = near.join(side("b"), "b").join(side("a"), "a")
     both = once(both.select("a", "b", "line_a", "line_b"), ga=grams(F.col("line_a")), gb=grams(F.col("line_b")))
@@ -114,7 +150,8 @@ def line_components(scratch: Scratch, docs: DataFrame, occurrences: DataFrame) -
     found = sized_join(docs.select("doc_id", "text").where("doc_id is not null"), refs, "inner")
     found = found.select(F.explode("refs").alias("r"), F.split("text", "\n").alias("raw")).select("r.node", normal_form(F.get("raw", F.col("r.pos"))).alias("line"))
     found = found.where(F.xxhash64("line") == F.col("node")).dropDuplicates(["node"])
-    texts = scratch.cut(found.withColumn("n", F.size(grams(F.col("line")))), "texts")
+    found = once(found, hashes=grams(F.col("line")))
+    texts = scratch.cut(found.select("node", "line", F.size("hashes").alias("n"), *sketches(F.col("hashes"))), "texts")
 
     star = scratch.cut(listed.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     links = verify(scratch, star, texts)
@@ -127,8 +164,9 @@ def line_components(scratch: Scratch, docs: DataFrame, occurrences: DataFrame) -
     comps = grown(scratch, comps, verify(scratch, second, texts))
     entries = open_buckets(scratch, listed, comps)
     tried = tried.union(second.select("a", "b"))
-    others = entries.where("comp <> main").select("key", F.col("node").alias("other"), F.col("comp").alias("comp2"))
-    cross = entries.join(others, "key").where("comp <> comp2 and (comp = main or node < other)")
+    others = entries.where("comp <> main").select("key", F.col("node").alias("other"), F.col("comp").alias("comp2")).join(sizes(texts, "other"), "other")
+    entries = entries.join(sizes(texts, "node"), "node")
+    cross = entries.join(others, "key").where("comp <> comp2 and (comp = main or node < other)").where(may_link("node", "other"))
     cross = cross.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     comps = grown(scratch, comps, verify(scratch, scratch.cut(cross.join(tried, ["a", "b"], "left_anti"), "pairs"), texts))
 
@@ -139,8 +177,8 @@ def line_components(scratch: Scratch, docs: DataFrame, occurrences: DataFrame) -
 
 def dropped_lines(scratch: Scratch, docs: DataFrame) -> DataFrame:
     """doc_id and the numbers of its lines (from 0) that go, for documents that lose any."""
-    lines = once(split_lines(docs), hashes=sorted_hashes(F.col("line")))
-    lines = scratch.cut(lines.select("doc_id", "pos", "node", bands(F.col("hashes")).alias("bands")), "lines")
+    lines = once(split_lines(docs), hashes=grams(F.col("line")))
+    lines = scratch.cut(lines.select("doc_id", "pos", "node", bands(F.col("hashes"), F.size("hashes")).alias("bands")), "lines")
     named = line_components(scratch, docs, lines)
     doubtful = scratch.cut(named.where("copies > 1 or not first <=> own_first").select("node", "first"), "doubtful")
     where = lines.select("doc_id", "pos", "node").join(doubtful, "node").where("not (doc_id <=> first.doc_id and pos = first.pos)")

@@ -227,6 +227,25 @@ def lines_gone(spark, scratch, lines):
     return {r["doc_id"] for r in line_dedup.mark_lines(scratch, rows).collect() if r["gone"]}
 
 
+def test_line_dedup_recall_by_length(spark, scratch):
+    r = random.Random(8)
+    classes, lines, want = [(10, 20), (20, 40), (40, 60), (60, 80), (80, 200), (200, 320)], [], defaultdict(list)
+    grams = lambda x: {x[k : k + 5] for k in range(len(x) - 4)}
+    for low, high in classes:
+        while len(want[low]) < 100:
+            a = " ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(3, 8))) for _ in range(high))[: r.randrange(low, high)].strip()
+            b = list(a)
+            for k in range(r.randrange(45), len(a), 45) if len(a) > 60 else [r.randrange(len(a))]:
+                b[k] = "#"
+            x, y = grams(a), grams("".join(b))
+            if len(x & y) >= 0.8 * len(x | y):
+                want[low].append(len(lines) + 1)
+                lines += [a, "".join(b)]
+    got = lines_gone(spark, scratch, lines)
+    assert got <= {i for w in want.values() for i in w}
+    assert min(len(got & set(w)) for w in want.values()) >= 98, {k: len(got & set(w)) for k, w in want.items()}
+
+
 def test_line_dedup_of_lines_without_spaces_and_of_short_ones(spark, scratch):
     r = random.Random(7)
     han = ["".join(chr(0x4E00 + r.randrange(5000)) for _ in range(500)) for _ in range(20)]
