@@ -1,6 +1,6 @@
 """Fuzzy line dedup by MinHash, with DataFrame functions only.
 
-A line is compared in its normal form: lower case, white space as spaces, trimmed. Lines
+A line is compared in its normal form: lower case, white space runs as one space, trimmed. Lines
 without a word always stay and are not compared. The distinct lines get a MinHash signature over
 their character 5-grams at all positions (of a shorter line, the line), the very sets that are
 verified. One hash per 5-gram serves all permutations: a band is a run of neighbours in the circle of
@@ -41,8 +41,11 @@ SKETCH_WORDS = 4
 BROADCAST_ROWS = 500_000
 
 
-def normal_form(line: Column) -> Column:
-    return F.trim(F.translate(F.lower(line), "\t\x0b\x0c\r", "    "))
+def normal_lines(text: Column) -> Column:
+    """The normal forms of a text's lines; runs are looked for only where two spaces meet."""
+    flat = F.translate(F.lower(text), "\t\x0b\x0c\r", "    ")
+    flat = F.when(flat.contains("  "), F.regexp_replace(flat, " {2,}", " ")).otherwise(flat)
+    return F.transform(F.split(flat, "\n"), lambda x: F.trim(x))
 
 
 def bands(hashes: Column, n: Column) -> Column:
@@ -102,7 +105,7 @@ def may_link(a: str, b: str) -> str:
 
 def split_lines(docs: DataFrame) -> DataFrame:
     """doc_id, pos, line (normal form), node (its hash) of all lines that have a word."""
-    lines = docs.select("doc_id", F.posexplode(F.transform(F.split("text", "\n"), normal_form)).alias("pos", "line"))
+    lines = docs.select("doc_id", F.posexplode(normal_lines(F.col("text"))).alias("pos", "line"))
     return lines.where("line <> ''").withColumn("node", F.xxhash64("line"))
 
 
@@ -148,7 +151,7 @@ def line_components(scratch: Scratch, docs: DataFrame, occurrences: DataFrame) -
     refs = refs.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("node", F.col("first.pos").alias("pos"))).alias("refs"))
     refs = scratch.cut(refs, "refs")
     found = sized_join(docs.select("doc_id", "text").where("doc_id is not null"), refs, "inner")
-    found = found.select(F.explode("refs").alias("r"), F.split("text", "\n").alias("raw")).select("r.node", normal_form(F.get("raw", F.col("r.pos"))).alias("line"))
+    found = once(found.select("refs", "text"), all=normal_lines(F.col("text"))).select(F.explode("refs").alias("r"), "all").select("r.node", F.get("all", F.col("r.pos")).alias("line"))
     found = found.where(F.xxhash64("line") == F.col("node")).dropDuplicates(["node"])
     found = once(found, hashes=grams(F.col("line")))
     texts = scratch.cut(found.select("node", "line", F.size("hashes").alias("n"), *sketches(F.col("hashes"))), "texts")

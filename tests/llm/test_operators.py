@@ -227,6 +227,11 @@ def lines_gone(spark, scratch, lines):
     return {r["doc_id"] for r in line_dedup.mark_lines(scratch, rows).collect() if r["gone"]}
 
 
+def test_line_dedup_of_lines_that_differ_in_spacing(spark, scratch):
+    lines = ["a b", "a  b", "\ta \t b\r", "one. two. three.", "one.  two.  three.", "name   age    town", "name age town", "ab", "x\x0b\x0cy", "x y"]
+    assert lines_gone(spark, scratch, lines) == {1, 2, 4, 6, 9}
+
+
 def test_line_dedup_recall_by_length(spark, scratch):
     r = random.Random(8)
     classes, lines, want = [(10, 20), (20, 40), (40, 60), (60, 80), (80, 200), (200, 320)], [], defaultdict(list)
