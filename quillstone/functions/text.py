@@ -34,10 +34,17 @@ def normalize_tag(word: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, "-{2,}", "-"), "^-+|-+$", "")
 
 
-def knowledge_id(domain: Column, subject: Column, title: Column, suffix: Column) -> Column:
-    """domain-subject-slug-suffix, at most 127 characters."""
-    head = F.concat_ws("-", slugify(domain), slugify(subject), slugify(title))
-    return F.concat(F.regexp_replace(F.substring(head, 1, 118), "-+$", ""), F.lit("-"), suffix)
+def or_else(value: Column, default: str) -> Column:
+    return F.coalesce(F.nullif(value, F.lit("")), F.lit(default))
+
+
+def knowledge_id(domain: Column, subject: Column, title: Column, suffix: Column, default: str = "section") -> Column:
+    """domain-subject-slug-suffix with slugs of 40 characters. Over 127 characters the title's slug is cut."""
+    d, s = or_else(slugify(domain, 40), "domain"), or_else(slugify(subject, 40), "subject")
+    slug = slugify(or_else(title, default), 40)
+    over = F.length(d) + F.length(s) + F.length(slug) + F.length(suffix) + 3 - 127
+    kept = F.substr(slug, F.lit(1), F.greatest(F.length(slug) - F.greatest(over, F.lit(0)), F.lit(0)))
+    return F.concat(d, F.lit("-"), s, F.lit("-"), kept, F.lit("-"), suffix)
 
 
 def derive_title(content: Column, fallback: Column) -> Column:
@@ -126,11 +133,20 @@ def endpoint(line: Column) -> Column:
     return F.when(target != "", F.substring(route, 1, 200))
 
 
-def shape_section(text: Column, budget: int, mark: str = "\n…[cut]…\n") -> Column:
-    """Over the budget (200 at least): the first 80 % and the last 20 %, with a mark between."""
-    budget = max(200, budget)
-    head, tail = budget * 8 // 10, budget - budget * 8 // 10
-    return F.when(F.length(text) <= budget, text).otherwise(F.concat(F.substring(text, 1, head), F.lit(mark), F.right(text, F.lit(tail))))
+#: A budget of so many characters or fewer shapes nothing; fixed value.
+SHAPING_FLOOR = 200
+
+
+def shape_section(text: Column, budget: int, mark: str = "[…cut %s% …]") -> Column:
+    """Over the budget: the first 80 % and the last 20 % of it, between them a mark with the share in percent
+    that was cut."""
+    if budget <= SHAPING_FLOOR:
+        return text
+    n = F.length(text)
+    head = int(budget * 0.8)
+    percent = F.bround((n - budget) * 100 / n).cast("int").cast("string")
+    between = F.concat(F.lit("\n\n"), F.replace(F.lit(mark), F.lit("%s"), percent), F.lit("\n\n"))
+    return F.when(n <= budget, text).otherwise(F.concat(F.substring(text, 1, head), between, F.right(text, F.lit(budget - head))))
 
 
 def snippet(text: Column, lines: int = 30, chars: int = 2000) -> Column:

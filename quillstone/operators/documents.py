@@ -15,7 +15,7 @@ WINDOW_CHARS, STRIDE_CHARS = 480, 240
 def h2_sections(entries: DataFrame) -> DataFrame:
     """kid, nth, header, body: text before the first "## " is dropped, and so are empty bodies."""
     parts = F.split("content", r"(?m)^##[\x20\t]+")
-    rows = entries.where(F.col("content").rlike(r"(?m)^##[\x20\t]+")).select("kid", F.posexplode(F.slice(parts, 2, 1_000_000)).alias("nth", "part"))
+    rows = entries.where(F.col("content").rlike(r"(?m)^##[\x20\t]+")).select("kid", F.posexplode(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))).alias("nth", "part"))
     head, body = F.regexp_extract("part", r"^([^\n]*)", 1), tx.strip(F.regexp_replace("part", r"^[^\n]*\n?", ""))
     return rows.select("kid", "nth", tx.strip(head).alias("header"), body.alias("body")).where("body <> ''")
 
@@ -55,7 +55,7 @@ def keywords(documents: DataFrame, corpus: list[str], stop_words: list[str], fea
     rank = F.row_number().over(Window.partitionBy(*corpus).orderBy(F.desc("total"), "word"))
     kept = stats.withColumn("f", rank).where(F.col("f") <= features).join(n, corpus)
     idf = F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1
-    weighted = tf.join(kept.select(*corpus, "word", idf.alias("idf")), [*corpus, "word"]).withColumn("w", F.col("tf") * F.col("idf"))
+    weighted = tf.join(F.broadcast(kept.select(*corpus, "word", idf.alias("idf"))), [*corpus, "word"]).withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*corpus, "kid")))
     weighted = weighted.withColumn("weight", F.round(F.col("w") / norm, 6))
     best = F.row_number().over(Window.partitionBy(*corpus, "kid").orderBy(F.desc("weight"), F.desc("word")))
@@ -69,6 +69,17 @@ def point_id(namespace: str, name: Column) -> Column:
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 19, 2)), F.substring(h, 21, 12))
 
 
+def tree_checksum(rows: DataFrame, group: str, key: str, digest: str, cuts: tuple[int, ...]) -> DataFrame:
+    """One checksum a group over its rows' digests, as a tree: digests of rows whose keys agree in so many
+    characters are joined in order and hashed, level by level, so no node gathers a whole group."""
+    level = rows.select(group, F.col(key).alias("key"), F.col(digest).alias("digest"))
+    for n in (*cuts, 0):
+        node = F.substring("key", 1, n)
+        lines = F.transform(F.array_sort(F.collect_list(F.struct("key", "digest"))), lambda x: F.concat_ws(" ", x["key"], x["digest"]))
+        level = level.withColumn("node", node).groupBy(group, "node").agg(F.sha2(F.array_join(lines, "\n").cast("binary"), 256).alias("digest")).withColumnRenamed("node", "key")
+    return level.select(group, F.col("digest").alias("checksum"))
+
+
 def average_linkage(vectors: np.ndarray, threshold: float) -> np.ndarray:
     """Labels of agglomerative clustering by mean cosine distance, up to a distance."""
     n = len(vectors)
@@ -92,8 +103,12 @@ def average_linkage(vectors: np.ndarray, threshold: float) -> np.ndarray:
 
 def cluster_paragraphs(paragraphs: DataFrame, threshold: float = 0.25, most: int = 2000) -> DataFrame:
     """doc, nth, section: paragraphs of a document clustered by vector; neighbours of one cluster form a
-    section. A document has 2,000 paragraphs at most, so a group is small."""
-    capped = paragraphs.where(F.col("nth") < most)
+    section. Documents of more than `most` paragraphs are not clustered: all of theirs are returned, as one
+    section, for the recursive split."""
+    n = paragraphs.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
+    sized = paragraphs.join(n, "doc")
+    capped = sized.where(F.col("n") <= most).drop("n")
+    long = sized.where(F.col("n") > most).select(F.col("doc").cast("long").alias("doc"), F.col("nth").cast("long").alias("nth"), F.lit(0).cast("long").alias("section"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("nth")
@@ -101,4 +116,4 @@ def cluster_paragraphs(paragraphs: DataFrame, threshold: float = 0.25, most: int
         section = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])]) if len(label) else label
         return pd.DataFrame({"doc": rows["doc"].to_numpy(), "nth": rows["nth"].to_numpy(), "section": section.astype(np.int64)})
 
-    return capped.groupBy("doc").applyInPandas(run, "doc long, nth long, section long")
+    return capped.groupBy("doc").applyInPandas(run, "doc long, nth long, section long").unionByName(long)

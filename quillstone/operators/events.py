@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators.running import streamed
 from quillstone.functions import score as sc
 
 # Hints of the highest priority, and client errors that are the usual noise.
@@ -94,21 +95,22 @@ def burst_means(cycles: DataFrame) -> DataFrame:
 
 
 def burst_states(cycles: DataFrame) -> DataFrame:
-    """The state after each active cycle: a fold over a signature's ordered cycles. state: armed, fired,
-    held, re-armed; since: active cycles since the last fire (-1: never)."""
-    flagged = burst_means(cycles).groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("cycle", "n", "hit"))).alias("c"))
-    start = F.struct(F.lit("armed").alias("state"), F.lit(-1).alias("since"), F.array().cast("array<struct<cycle:bigint,n:bigint,state:string>>").alias("log"))
+    """sig, cycle, n, state after each active cycle: a fold that streams a signature's ordered cycles. state:
+    armed, fired, held, re-armed; what it carries is the state and the active cycles since the last fire."""
 
-    def step(acc: Column, x: Column) -> Column:
-        quiet = acc["state"].isin("fired", "held")
-        fires = ~quiet & x["hit"] & ((acc["since"] < 0) | (acc["since"] >= BURST_COOLDOWN))
-        state = F.when(quiet, F.when(x["hit"], "held").otherwise("re-armed")).when(fires, "fired").when(x["hit"], "held").otherwise(acc["state"])
-        since = F.when(fires, 0).when(acc["since"] < 0, -1).otherwise(acc["since"] + 1)
-        entry = F.struct(x["cycle"].cast("long").alias("cycle"), x["n"].cast("long").alias("n"), state.alias("state"))
-        return F.struct(state.alias("state"), since.alias("since"), F.array_append(acc["log"], entry).alias("log"))
+    def step(carried: dict, row: tuple) -> tuple:
+        sig, cycle, n, hit = row
+        state, since = carried["state"], carried["since"]
+        quiet = state in ("fired", "held")
+        fires = not quiet and hit and (since < 0 or since >= BURST_COOLDOWN)
+        state = ("held" if hit else "re-armed") if quiet else "fired" if fires else "held" if hit else state
+        carried["since"] = 0 if fires else since + (since >= 0)
+        carried["state"] = state
+        return sig, cycle, n, state
 
-    folded = flagged.select("sig", F.aggregate("c", start, step)["log"].alias("log"))
-    return folded.select("sig", F.explode("log").alias("l")).select("sig", "l.cycle", "l.n", "l.state")
+    rows = burst_means(cycles).select("sig", F.col("cycle").cast("long").alias("cycle"), F.col("n").cast("long").alias("n"), "hit")
+    kind = dict(rows.dtypes)["sig"]
+    return streamed(rows, "sig", ["cycle"], f"sig {kind}, cycle long, n long, state string", lambda: {"state": "armed", "since": -1}, step)
 
 
 def hangs(starts: DataFrame, oks: DataFrame, now: Column) -> DataFrame:
@@ -153,11 +155,15 @@ def alert_candidates(aggregates: DataFrame, state: DataFrame, suppression: DataF
     return rows.withColumn("kind", F.when(new, "new_p0").when(burst, "burst")).where("kind is not null")
 
 
-def alert_budget(candidates: DataFrame, per_run: int = 2) -> DataFrame:
-    """New P0 before bursts, newest first; the first two are sent, the others summed up."""
-    w = Window.orderBy(F.when(F.col("kind") == "new_p0", 0).otherwise(1), F.desc("last_seen"), "sig")
-    top = candidates.orderBy(F.when(F.col("kind") == "new_p0", 0).otherwise(1), F.desc("last_seen"), "sig").limit(per_run + 100)
-    return top.withColumn("sent", F.row_number().over(w) <= per_run)
+def alert_budget(candidates: DataFrame, per_run: int = 2, sent_this_hour: int = 0, per_hour: int = 6) -> DataFrame:
+    """New P0 before bursts, newest first: the first ones are sent, within what the hour leaves; the rest is
+    one row a kind with its number."""
+    room = max(0, min(per_run, per_hour - sent_this_hour))
+    order = [F.when(F.col("kind") == "new_p0", 0).otherwise(1), F.desc("last_seen"), F.col("sig")]
+    sent = candidates.orderBy(*order).limit(room).select("kind", "sig", F.lit(1).cast("long").alias("n"), F.lit(True).alias("sent"))
+    rest = candidates.join(F.broadcast(sent.select("kind", "sig")), ["kind", "sig"], "left_anti")  # `room` rows
+    summed = rest.groupBy("kind").agg(F.lit(None).cast("string").alias("sig"), F.count(F.lit(1)).alias("n"), F.lit(False).alias("sent"))
+    return sent.unionByName(summed)
 
 
 def weekly_status(rows: DataFrame, now: Column) -> DataFrame:
@@ -216,18 +222,25 @@ def merge_aggregates(a: DataFrame, b: DataFrame) -> DataFrame:
     return rows.groupBy("sig").agg(F.sum("count_total").alias("count_total"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max("burst").alias("burst"), best.alias("priority"), F.when(F.max(F.col("status") == "active"), "active").otherwise("resolved").alias("status"))
 
 
-def edge_trigger(samples: DataFrame) -> DataFrame:
-    """Events on the change from fine to breached, and a snapshot in each further hour of a breach."""
-    w = Window.partitionBy("metric").orderBy("ts", "seq")
-    fine_before = ~F.coalesce(F.lag("breached").over(w), F.lit(False))
-    rows = samples.withColumn("edge", F.col("breached") & fine_before)
-    run = F.sum(F.col("edge").cast("int")).over(w)
-    rows = rows.withColumn("run", run).where("breached")
-    first = F.min("ts").over(Window.partitionBy("metric", "run"))
-    hour = F.floor((F.unix_timestamp("ts") - F.unix_timestamp(first)) / 3600)
-    nth = F.row_number().over(Window.partitionBy("metric", "run", "hour").orderBy("ts", "seq"))
-    rows = rows.withColumn("hour", hour).withColumn("nth", nth).where("nth = 1")
-    return rows.select("metric", "ts", "seq", F.when(F.col("hour") == 0, "edge").otherwise("snapshot").alias("kind"))
+def edge_trigger(samples: DataFrame, seconds: int = 3600) -> DataFrame:
+    """Events on the change from fine to breached, and snapshots while a breach lasts: one when at least so
+    many seconds have passed since the metric's last snapshot, or since the edge if there was none yet."""
+    before = F.lag("breached").over(Window.partitionBy("metric").orderBy("ts", "seq"))
+    rows = samples.withColumn("edge", F.col("breached") & ~F.coalesce(before, F.lit(False))).where("breached")
+    rows = rows.select("metric", "ts", "seq", "edge", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+
+    def step(state: dict, row: tuple) -> tuple | None:
+        metric, ts, seq, edge, at = row
+        if edge:
+            state["edge"] = at
+            return metric, ts, seq, "edge"
+        if at - state.get("snapshot", state.get("edge")) >= seconds * 1_000_000:
+            state["snapshot"] = at
+            return metric, ts, seq, "snapshot"
+        return None
+
+    kinds = dict(rows.dtypes)
+    return streamed(rows, "metric", ["ts", "seq"], f"metric {kinds['metric']}, ts {kinds['ts']}, seq {kinds['seq']}, kind string", dict, step)
 
 
 def silence_gaps(events: DataFrame, minutes: int = 30) -> DataFrame:

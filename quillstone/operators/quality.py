@@ -119,7 +119,11 @@ def gate_issues(entries: DataFrame, existing: DataFrame | None = None, strict: b
     miss = lambda c, level: F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", F.struct(F.lit(level).alias("severity"), F.lit(c).alias("field")))
     level = "critical" if strict else "warn"
     issues = F.array_compact(F.array(*[miss(c, "critical") for c in ("kid", "domain", "subject", "tags", "version", "content")], *[miss(c, level) for c in ("project", "source_url", "content_type")]))
-    return entries.select("kid", F.explode(issues).alias("i")).select("kid", "i.severity", "i.field")
+    found = entries.select("kid", F.explode(issues).alias("i")).select("kid", "i.severity", "i.field")
+    if existing is None:
+        return found
+    taken = entries.join(existing.select("kid").distinct(), "kid", "left_semi")
+    return found.unionByName(taken.select("kid", F.lit("critical").alias("severity"), F.lit("kid").alias("field")))
 
 
 def issue_id(kind, kid, detail) -> F.Column:

@@ -80,10 +80,13 @@ def section_gaps(entries: DataFrame) -> DataFrame:
     missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in RECOMMENDED]))
     rows = entries.withColumn("missing", missing)
     gap = F.size("missing") > 0
-    return rows.groupBy("domain").agg(
+    counts = rows.groupBy("domain").agg(
         F.count(F.lit(1)).alias("entries"), F.count_if(gap).alias("with_gaps"), F.round(100 * F.count_if(~gap) / F.count(F.lit(1)), 1).alias("coverage"),
-        F.sum(F.size("missing")).alias("missing_fields"), F.array_join(F.slice(F.array_sort(F.collect_list(F.when(gap, F.col("kid")))), 1, 5), ",").alias("first_gaps"),
+        F.sum(F.size("missing")).alias("missing_fields"),
     )
+    first = rows.where(gap).withColumn("rank", F.row_number().over(Window.partitionBy("domain").orderBy("kid"))).where("rank <= 5")
+    first = first.groupBy("domain").agg(F.array_join(F.array_sort(F.collect_list("kid")), ",").alias("first_gaps"))
+    return counts.join(first, "domain", "left").withColumn("first_gaps", F.coalesce("first_gaps", F.lit("")))
 
 
 def subject_groups(entries: DataFrame, keep: int = 10) -> DataFrame:

@@ -58,10 +58,12 @@ def admission(users: DataFrame) -> DataFrame:
 
 
 def ema(rows: DataFrame, key: str, alpha: float = 0.3) -> DataFrame:
-    """Exponential mean in time order: a fold over each key's values."""
-    values = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "value"))).alias("v"))
-    folded = F.aggregate("v", F.lit(None).cast("double"), lambda acc, x: F.when(acc.isNull(), x["value"]).otherwise(alpha * x["value"] + (1 - alpha) * acc))
-    return values.select(key, folded.alias("ema"))
+    """Exponential mean in time order, as a weighted sum: weights fall with the rank from the end, and the
+    first value has what is left. So a key's history is ranked, which may spill, but never gathered."""
+    order = Window.partitionBy(key).orderBy(F.desc("ts"), F.desc("seq"))
+    ranked = rows.withColumns({"r": F.row_number().over(order), "n": F.count(F.lit(1)).over(Window.partitionBy(key))})
+    weight = F.pow(F.lit(1 - alpha), F.col("r") - 1) * F.when(F.col("r") == F.col("n"), 1.0).otherwise(alpha)
+    return ranked.groupBy(key).agg(F.sum(weight * F.col("value")).alias("ema"))
 
 
 def p95(rows: DataFrame, key: str) -> DataFrame:
@@ -155,13 +157,21 @@ def gpu_slots(free: Column, weights: Column, resident: Column, safety: Column, k
 
 
 def reachable(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """All pairs (src, dst) with a path, by a recursive query; for the small graphs of modes."""
-    edges.createOrReplaceTempView("quillstone_edges")
-    return spark.sql("""
-        WITH RECURSIVE walk(g, src, dst, d) AS (
-            SELECT g, src, dst, 1 FROM quillstone_edges
-            UNION ALL SELECT w.g, w.src, e.dst, w.d + 1 FROM walk w JOIN quillstone_edges e ON e.g = w.g AND e.src = w.dst WHERE w.d < 12)
-        SELECT DISTINCT g, src, dst FROM walk""")
+    """All pairs (g, src, dst) with a path, of any length. Paths double in a round until there is no new pair;
+    a round's pairs are cut by checkpoint() where the session has a folder for it."""
+    now = edges.select("g", "src", "dst").distinct()
+    held = now.count()
+    durable = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if durable and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(durable)
+    while True:
+        after = now.select("g", F.col("src").alias("dst"), F.col("dst").alias("to"))
+        then = now.union(now.join(after, ["g", "dst"]).select("g", "src", F.col("to").alias("dst"))).distinct()
+        then = then.checkpoint() if durable else then.cache()
+        n = then.count()
+        if n == held:
+            return then
+        now, held = then, n
 
 
 def reconcile_budget(journal: DataFrame) -> DataFrame:

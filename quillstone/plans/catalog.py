@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillstone.plans import documents, events, maintenance, provenance, quality, retrieval, streams, workspace
+from quillstone.plans import authoring, documents, events, lifecycle, maintenance, provenance, quality, retrieval, streams, workspace
 
 QUERIES, ORACLE = {}, {}
-for _part in (retrieval, quality, events, provenance, workspace, documents, maintenance, streams):
+for _part in (retrieval, quality, events, provenance, workspace, documents, authoring, lifecycle, maintenance, streams):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE

@@ -53,10 +53,15 @@ def sentence_split(spark, sf_dir) -> DataFrame:
     return t.entries(spark, sf_dir).select("kid", F.size(s).cast("long").alias("sentences"), F.get(s, 0).alias("first"))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {ENTRIES}, s AS MATERIALIZED (SELECT kid, list_filter(string_split_regex(regexp_replace(content, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ') <> '') AS a FROM entries),
+    l AS MATERIALIZED (SELECT kid, list_transform(a, lambda x: length(x)) AS n FROM s WHERE len(a) > 0),
+    w AS (SELECT kid, 1 AS i, 0 AS nth, n[1] AS open FROM l UNION ALL
+        SELECT w.kid, i + 1, CASE WHEN ceil((open + 1 + l.n[i + 1]) / 4) > 120 THEN nth + 1 ELSE nth END, CASE WHEN ceil((open + 1 + l.n[i + 1]) / 4) > 120 THEN l.n[i + 1] ELSE open + 1 + l.n[i + 1] END
+        FROM w JOIN l USING (kid) WHERE i < len(l.n))
+    SELECT kid, nth, CAST(ceil(max(open) / 4) AS BIGINT) AS tokens FROM w GROUP BY ALL""")
 def sentence_packs(spark, sf_dir) -> DataFrame:
     packs = dc.pack_sentences(F.col("content"), 120)
-    return t.entries(spark, sf_dir).select("kid", F.posexplode(packs).alias("nth", "pack")).select("kid", "nth", tx.token_count(F.col("pack")).alias("tokens"))
+    return t.entries(spark, sf_dir).select("kid", F.posexplode(packs).alias("nth", "pack")).select("kid", F.col("nth").cast("long").alias("nth"), tx.token_count(F.col("pack")).alias("tokens"))
 
 
 @query(f"""WITH {ENTRIES}, w AS (SELECT domain, kid, unnest(regexp_extract_all(lower(content), '[a-zа-яё0-9]{{2,}}')) AS word FROM entries),
@@ -75,7 +80,11 @@ def slugify(spark, sf_dir) -> DataFrame:
     return t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), tx.slugify(F.concat("p_name", F.lit(" — "), "p_brand")).alias("slug"))
 
 
-@query(f"WITH {ENTRIES} SELECT kid, length(CASE WHEN length(content) <= 1000 THEN content ELSE content[1:800] || chr(10) || '…[cut]…' || chr(10) || right(content, 200) END) AS chars, sha256(CASE WHEN length(content) <= 1000 THEN content ELSE content[1:800] || chr(10) || '…[cut]…' || chr(10) || right(content, 200) END) AS digest FROM entries")
+_SHAPED = """CASE WHEN length(content) <= 1000 THEN content ELSE content[1:800] || chr(10) || chr(10)
+    || '[…cut ' || CAST(CAST(round_even((length(content) - 1000) * 100 / length(content), 0) AS INTEGER) AS VARCHAR) || '% …]' || chr(10) || chr(10) || right(content, 200) END"""
+
+
+@query(f"WITH {ENTRIES}, s AS (SELECT kid, {_SHAPED} AS t FROM entries) SELECT kid, length(t) AS chars, sha256(t) AS digest FROM s")
 def shape_section(spark, sf_dir) -> DataFrame:
     s = tx.shape_section(F.col("content"), 1000)
     return t.entries(spark, sf_dir).select("kid", F.length(s).cast("long").alias("chars"), F.sha2(s.cast("binary"), 256).alias("digest"))
@@ -112,16 +121,26 @@ def cluster_paragraphs(spark, sf_dir) -> DataFrame:
     return dc.cluster_paragraphs(p)
 
 
-@query(f"WITH {ENTRIES} SELECT domain, sha256(string_agg(kid || ' ' || sha256(content), chr(10) ORDER BY kid)) AS checksum FROM entries GROUP BY domain")
+@query(f"""WITH {ENTRIES}, a AS (SELECT domain, kid[1:9] AS k, sha256(string_agg(kid || ' ' || sha256(content), chr(10) ORDER BY kid)) AS h FROM entries GROUP BY ALL),
+    b AS (SELECT domain, k[1:6] AS k, sha256(string_agg(k || ' ' || h, chr(10) ORDER BY k)) AS h FROM a GROUP BY domain, k[1:6])
+    SELECT domain, sha256(string_agg(k || ' ' || h, chr(10) ORDER BY k)) AS checksum FROM b GROUP BY domain""")
 def tree_checksum(spark, sf_dir) -> DataFrame:
-    line = F.concat_ws(" ", "kid", F.sha2(F.col("content").cast("binary"), 256))
-    return t.entries(spark, sf_dir).groupBy("domain").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n").cast("binary"), 256).alias("checksum"))
+    e = t.entries(spark, sf_dir).select("domain", "kid", F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
+    return dc.tree_checksum(e, "domain", "kid", "digest", (9, 6))
 
 
-@query("SELECT event_id AS id, 'token=<secret> see <secret> end' AS masked FROM events")
+@query("""SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN 'token=<secret> see <secret> end' WHEN 1 THEN 'Authorization: <secret>' WHEN 2 THEN 'x Bearer <secret> y'
+    WHEN 3 THEN 'sum <secret> of ' || event_id WHEN 4 THEN 'API_KEY=<secret> and password=<secret>' ELSE 'plain ' || event_type || ' token' END AS masked FROM events""")
 def mask_secrets(spark, sf_dir) -> DataFrame:
+    """Every pattern, and a text that none matches."""
     n = F.col("event_id").cast("string")
-    return t.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), tx.mask_secrets(F.concat(F.lit("token: abc"), n, F.lit(" see mcp_ab_K"), n, F.lit(" end"))).alias("masked"))
+    k = F.col("event_id") % 6
+    text = (
+        F.when(k == 0, F.concat(F.lit("token: abc"), n, F.lit(" see mcp_ab_K"), n, F.lit(" end"))).when(k == 1, F.concat(F.lit("Authorization: Basic "), n))
+        .when(k == 2, F.concat(F.lit("x Bearer a."), n, F.lit(" y"))).when(k == 3, F.concat(F.lit("sum "), F.sha2(n.cast("binary"), 256), F.lit(" of "), n))
+        .when(k == 4, F.concat(F.lit("API_KEY=k"), n, F.lit(" and password = p"), n)).otherwise(F.concat(F.lit("plain "), "event_type", F.lit(" token")))
+    )
+    return t.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), tx.mask_secrets(text).alias("masked"))
 
 
 @query("""SELECT event_id AS id, strftime(ts, '%G-W%V') AS week, strftime(ts + INTERVAL 3 HOUR, '%Y-%m-%d') AS day, strftime(ts + INTERVAL 3 HOUR, '%Y-%m') AS month,

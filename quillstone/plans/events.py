@@ -154,10 +154,10 @@ def burst_fsm(spark, sf_dir) -> DataFrame:
     return ev.burst_states(cycles(spark, sf_dir))
 
 
-@query(f"""{E}, b AS (SELECT *, 'tool' || CAST(k AS VARCHAR) AS tool FROM error_events WHERE ts > TIMESTAMP '2024-01-29 12:00:00' AND ts <= TIMESTAMP '2024-01-30 12:00:00'),
+@query(f"""{E}, b AS (SELECT *, 'tool' || CAST(k * 10 + seq % 10 AS VARCHAR) AS tool FROM error_events WHERE ts > TIMESTAMP '2024-01-29 12:00:00' AND ts <= TIMESTAMP '2024-01-30 12:00:00'),
     s AS (SELECT * FROM b WHERE event_type = 'click') SELECT seq, tool FROM s WHERE epoch(TIMESTAMP '2024-01-30 12:00:00') - floor(epoch(ts)) BETWEEN 1800 AND 7200 AND tool NOT IN (SELECT tool FROM b WHERE event_type = 'purchase')""")
 def hang_antijoin(spark, sf_dir) -> DataFrame:
-    b = t.error_events(spark, sf_dir).where((F.col("ts") > now("2024-01-29 12:00:00")) & (F.col("ts") <= now())).withColumn("tool", F.concat(F.lit("tool"), F.col("k").cast("string")))
+    b = t.error_events(spark, sf_dir).where((F.col("ts") > now("2024-01-29 12:00:00")) & (F.col("ts") <= now())).withColumn("tool", F.concat(F.lit("tool"), (F.col("k") * 10 + F.col("seq") % 10).cast("string")))
     return ev.hangs(b.where("event_type = 'click'"), b.where("event_type = 'purchase'"), now()).select("seq", "tool")
 
 
@@ -266,9 +266,18 @@ def merged_aggregates(spark, sf_dir) -> DataFrame:
     return out.select("sig", "count_total", F.unix_timestamp("first_seen").alias("first_seen"), "burst", "priority")
 
 
-@query(f"""{E}, s AS (SELECT source AS metric, ts, seq, k >= 40 AS breached FROM error_events), e AS (SELECT *, breached AND NOT coalesce(lag(breached) OVER (PARTITION BY metric ORDER BY ts, seq), false) AS edge FROM s),
-    r AS (SELECT *, sum(CAST(edge AS INTEGER)) OVER (PARTITION BY metric ORDER BY ts, seq) AS run FROM e), b AS (SELECT *, CAST(floor(epoch(ts)) - floor(epoch(min(ts) OVER (PARTITION BY metric, run))) AS BIGINT) // 3600 AS hour FROM r WHERE breached),
-    n AS (SELECT *, row_number() OVER (PARTITION BY metric, run, hour ORDER BY ts, seq) AS nth FROM b) SELECT metric, seq, CASE WHEN hour = 0 THEN 'edge' ELSE 'snapshot' END AS kind FROM n WHERE nth = 1""")
+_SINCE = "b.t0 - coalesce(walk.snapshot, walk.edge) >= 3600"
+
+
+@query(f"""WITH RECURSIVE {E[5:] if E.startswith('WITH ') else E}, s AS (SELECT source AS metric, ts, seq, k >= 40 AS breached FROM error_events),
+    e AS (SELECT *, breached AND NOT coalesce(lag(breached) OVER (PARTITION BY metric ORDER BY ts, seq), false) AS is_edge FROM s),
+    b AS MATERIALIZED (SELECT metric, seq, is_edge, epoch(ts) AS t0, row_number() OVER (PARTITION BY metric ORDER BY ts, seq) AS rn FROM e WHERE breached),
+    walk AS (SELECT metric, seq, rn, t0 AS edge, CAST(NULL AS DOUBLE) AS snapshot, 'edge' AS kind FROM b WHERE rn = 1
+            UNION ALL
+            SELECT b.metric, b.seq, b.rn, CASE WHEN b.is_edge THEN b.t0 ELSE walk.edge END, CASE WHEN NOT b.is_edge AND {_SINCE} THEN b.t0 ELSE walk.snapshot END,
+                CASE WHEN b.is_edge THEN 'edge' WHEN {_SINCE} THEN 'snapshot' END
+            FROM walk JOIN b ON b.metric = walk.metric AND b.rn = walk.rn + 1)
+    SELECT metric, seq, kind FROM walk WHERE kind IS NOT NULL""")
 def edge_trigger(spark, sf_dir) -> DataFrame:
     s = t.error_events(spark, sf_dir).select(F.col("source").alias("metric"), "ts", "seq", (F.col("k") >= 40).alias("breached"))
     return ev.edge_trigger(s).select("metric", "seq", "kind")

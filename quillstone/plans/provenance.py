@@ -51,18 +51,18 @@ def blobs(spark, sf_dir) -> DataFrame:
     return t.table(spark, sf_dir, "part").where(n % 17 != 0).select(own.alias("sha256"), F.when(n % 23 == 0, sha(F.lit("changed"))).otherwise(own).alias("actual_sha256"), F.col("p_size").alias("size"), F.when(n % 13 != 0, n % 60).alias("age"), n.alias("n"))
 
 
-SPANS = """spans AS (SELECT user_id AS doc, event_id AS id, k * 40 AS s, k * 40 + 1 + CAST(event_id % 70 AS BIGINT) AS e FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 3 = 0)),
-    chunks AS (SELECT o_custkey AS doc, o_orderkey AS chunk, o_orderkey % 50 * 100 AS cs, o_orderkey % 50 * 100 + 120 AS ce FROM orders WHERE o_custkey < 150)"""
+SPANS = """spans AS (SELECT user_id AS doc, event_id AS id, k * 40 AS s, k * 40 + 1 + CAST(event_id % 70 AS BIGINT) AS e FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)),
+    chunks AS (SELECT o_custkey AS doc, o_orderkey AS chunk, o_orderkey % 50 * 100 AS cs, o_orderkey % 50 * 100 + 120 AS ce FROM orders)"""
 
 
 def spans(spark, sf_dir) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
-    return t.table(spark, sf_dir, "events").where("event_id % 3 = 0").select(F.col("user_id").alias("doc"), F.col("event_id").alias("id"), (k * 40).alias("s"), (k * 40 + 1 + F.col("event_id") % 70).alias("e"))
+    return t.table(spark, sf_dir, "events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("id"), (k * 40).alias("s"), (k * 40 + 1 + F.col("event_id") % 70).alias("e"))
 
 
 def chunks(spark, sf_dir) -> DataFrame:
     start = F.col("o_orderkey") % 50 * 100
-    return t.table(spark, sf_dir, "orders").where("o_custkey < 150").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("chunk"), start.alias("cs"), (start + 120).alias("ce"))
+    return t.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("chunk"), start.alias("cs"), (start + 120).alias("ce"))
 
 
 @query(f"WITH {SPANS} SELECT id, chunk FROM spans JOIN chunks USING (doc) WHERE s < ce AND cs < e")

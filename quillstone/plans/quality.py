@@ -22,14 +22,14 @@ def query(sql: str):
     return add
 
 
-WARS = "wars AS (SELECT doc AS n, count(*) AS commits FROM (SELECT event_id % 500 AS doc, ts FROM events) WHERE ts > TIMESTAMP '2024-01-29 00:00:00' AND ts <= TIMESTAMP '2024-01-30 00:00:00' GROUP BY 1 HAVING count(*) >= 3)"
+WARS = "wars AS (SELECT doc AS n, count(*) AS commits FROM (SELECT event_id % 60 AS doc, ts FROM events) WHERE ts > TIMESTAMP '2024-01-29 00:00:00' AND ts <= TIMESTAMP '2024-01-30 00:00:00' GROUP BY 1 HAVING count(*) >= 3)"
 SCORED = f"""{ENTRIES}, {WARS}, scored AS (SELECT entries.*, round(least(1.0, greatest(0.0,
     0.47 * least(1.0, greatest(0.0, coalesce(CASE WHEN explicit THEN ({NOW_DAY} - updated_day) / (CASE WHEN evergreen THEN 1825 ELSE 365 END) END, 0.0)))
     + 0.16 * (CASE WHEN source_url IS NULL THEN 1 ELSE 0 END) / 3.0 + 0.10 * (CASE WHEN wars.n IS NOT NULL THEN 1.0 ELSE 0.0 END))), 4) AS score FROM entries LEFT JOIN wars ON wars.n = entries.n)"""
 
 
 def commits(spark, sf_dir) -> DataFrame:
-    return t.table(spark, sf_dir, "events").select(t.doc_name(F.col("event_id") % 500).alias("kid"), "ts")
+    return t.table(spark, sf_dir, "events").select(t.doc_name(F.col("event_id") % 60).alias("kid"), "ts")
 
 
 def wars(spark, sf_dir) -> DataFrame:
@@ -96,7 +96,8 @@ def dup_map(spark, sf_dir) -> DataFrame:
     return q.dup_map(q.tag_pairs(t.entries(spark, sf_dir)))
 
 
-_VECTORS = f"""{POINTS}, first AS (SELECT domain, kid, any_value(status) AS status, arg_min(vector, vec_id) AS vector FROM points GROUP BY domain, kid),
+_VECTORS = f"""{POINTS}, first AS (SELECT domain, kid, any_value(status) AS status, arg_min(vector, vec_id) AS vector FROM (SELECT domain, kid, status, vec_id, vector FROM points
+    UNION ALL SELECT domain, kid || '-copy', status, vec_id, vector FROM points WHERE vec_id % 40 = 0) GROUP BY domain, kid),
     el AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY kid) AS rn FROM first WHERE coalesce(status, '') <> 'deprecated'),
     c AS (SELECT a.domain, a.kid AS kid_a, b.kid AS kid_b, round(list_cosine_similarity(a.vector, b.vector), 4) AS cosine FROM el a JOIN el b ON a.domain = b.domain AND a.rn < b.rn WHERE a.rn <= 500 AND b.rn <= 500),
     pairs AS (SELECT domain, kid_a, kid_b, cosine FROM (SELECT *, row_number() OVER (PARTITION BY kid_a ORDER BY kid_b) AS nth FROM c WHERE cosine >= 0.92) WHERE nth <= 10)"""
@@ -104,7 +105,9 @@ _VECTORS = f"""{POINTS}, first AS (SELECT domain, kid, any_value(status) AS stat
 
 @query(f"WITH {_VECTORS} SELECT * FROM pairs")
 def vector_dup_pairs(spark, sf_dir) -> DataFrame:
-    return q.vector_pairs(t.points(spark, sf_dir))
+    """With planted copies, which the random vectors lack."""
+    p = t.points(spark, sf_dir)
+    return q.vector_pairs(p.unionByName(p.where("vec_id % 40 = 0").withColumn("kid", F.concat("kid", F.lit("-copy")))))
 
 
 _SIDES = f"""f AS (SELECT kid, subject, sha256({BODY}) AS hash, length({BODY}) AS length, parent IS NULL AS alone FROM entries),
@@ -154,9 +157,10 @@ def sensitive(spark, sf_dir) -> DataFrame:
 
 @query(f"""WITH {ENTRIES} SELECT kid, 'warn' AS severity, field FROM (
     SELECT kid, unnest([CASE WHEN project IS NULL THEN 'project' END, CASE WHEN source_url IS NULL THEN 'source_url' END, CASE WHEN content_type IS NULL THEN 'content_type' END]) AS field FROM entries) WHERE field IS NOT NULL
-    UNION ALL SELECT kid, 'critical', 'content' FROM entries WHERE coalesce(content, '') = ''""")
+    UNION ALL SELECT kid, 'critical', 'content' FROM entries WHERE coalesce(content, '') = '' UNION ALL SELECT kid, 'critical', 'kid' FROM entries WHERE n % 25 = 0""")
 def frontmatter_gate(spark, sf_dir) -> DataFrame:
-    return q.gate_issues(t.entries(spark, sf_dir).withColumn("tags", F.array_join("tags", ",")))
+    e = t.entries(spark, sf_dir)
+    return q.gate_issues(e.withColumn("tags", F.array_join("tags", ",")), e.where("n % 25 = 0"))
 
 
 _ISSUES = """issues AS (SELECT 'iss_' || sha256('missing_field|' || kid || '|source')[1:16] AS issue_id, kid, 'missing_field' AS type,

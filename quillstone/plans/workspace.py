@@ -232,13 +232,13 @@ def gpu_k(spark, sf_dir) -> DataFrame:
     return t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), w.gpu_slots(F.lit(8000), F.col("p_size") * 100, F.lit(500), F.lit(200), F.col("p_partkey") % 5 * 300).alias("k"))
 
 
-EDGES = """edges AS (SELECT DISTINCT s_suppkey % 6 AS g, s_suppkey % 11 AS src, (s_suppkey * 7 + 3) % 11 AS dst FROM supplier WHERE s_suppkey < 60),
-    walk(g, src, dst, d) AS (SELECT g, src, dst, 1 FROM edges UNION ALL SELECT w.g, w.src, e.dst, w.d + 1 FROM walk w JOIN edges e ON e.g = w.g AND e.src = w.dst WHERE w.d < 12)"""
+EDGES = """edges AS (SELECT DISTINCT s_suppkey % 40 AS g, s_suppkey % 53 AS src, (s_suppkey % 53 * 5 + s_suppkey % 3 * 7 + 1) % 53 AS dst FROM supplier),
+    walk(g, src, dst) AS (SELECT g, src, dst FROM edges UNION SELECT w.g, w.src, e.dst FROM walk w JOIN edges e ON e.g = w.g AND e.src = w.dst)"""
 
 
 def edges(spark, sf_dir) -> DataFrame:
     n = F.col("s_suppkey")
-    return t.table(spark, sf_dir, "supplier").where("s_suppkey < 60").select((n % 6).alias("g"), (n % 11).alias("src"), ((n * 7 + 3) % 11).alias("dst")).distinct()
+    return t.table(spark, sf_dir, "supplier").select((n % 40).alias("g"), (n % 53).alias("src"), ((n % 53 * 5 + n % 3 * 7 + 1) % 53).alias("dst")).distinct()
 
 
 @query(f"WITH RECURSIVE {EDGES} SELECT DISTINCT g, src AS node FROM walk WHERE src = dst")
