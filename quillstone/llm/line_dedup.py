@@ -1,136 +1,199 @@
 """Fuzzy line dedup by MinHash, with DataFrame functions only.
 
 A line is compared in its normal form: lower case, white space runs as one space, trimmed. Lines
-without a word always stay and are not compared. The distinct lines get a MinHash signature over
-their character 5-grams at all positions (of a shorter line, the line), the very sets that are
-verified. One hash per 5-gram serves all permutations: a band is a run of neighbours in the circle of
-a line's sorted hashes. At a similarity of 0.8 four fifths of the union are common, so somewhere four
-common hashes follow each other, and both lines have that run: short lines have a band from every
-hash on and miss no link. Longer ones have bands of five from the first hash of each of 16 intervals,
-the longest only among the lowest quarter of hash values; a run of five is common with a probability
-of 0.33, one of 16 runs in 99.8 % of cases. Lines that may link differ by a fifth in their number of
-5-grams at most, and the sizes of the three FAMILIES overlap by more.
-
-Candidates that share a band are verified exactly: Jaccard of their distinct character 5-grams, at
-least 0.8. Before, their sizes and sketches (256 parities of hashes, which differ in no more places
-than the sets do) rule out pairs that cannot reach it; no link is lost by that. In each bucket all lines are compared with one hub; after components are taken, only
-buckets with several components are looked at again, lines outside the main component against all
-others of another component. So a bucket of copies costs a pair per line, not per pair of lines.
-
-Of each component one line stays: the first by (doc_id, line number); so does one of exact copies.
-
-Defined results: null text has no lines and stays null; rows that repeat a doc_id share its
-decisions; a null doc_id orders first; an empty table gives an empty result; other columns pass
-through.
+without a word always stay and are not compared. Two lines link when the Jaccard similarity of their
+distinct character 5-grams (of a shorter line: the line) is at least 0.8. Of each component of links
+one line stays, the first by (doc_id, hash of the text, line number); so does one of exact copies.
+
+Signatures. Shingles are the 5-grams at all positions of lines of up to ALL_TO characters, and from
+SOME_FROM characters on those that start with a character of LEAD, a sample by content of about an
+eighth; lines between, and long lines with few such characters (other scripts, numbers), have both.
+One 64-bit hash a shingle serves all permutations: a band is a run of neighbours in the circle of a
+line's sorted hashes. Up to SMALL hashes every one starts a band: at a similarity of 0.8 four fifths
+of the union are common, so runs of common ones are long. Of more hashes the first in each of
+INTERVALS equal intervals starts a band of five, which is common with a probability of 0.33.
+
+Buckets are the lines that share a band. In each, the line with the most exact copies is the hub, and
+all others are compared with it. After components are taken, only buckets with several components are
+looked at again: lines outside the main component with a second hub, then with all lines of another
+component. There, sizes and 1,024 parities of all 5-grams rule pairs out while they are joined, by an
+exact bound, and buckets of FINE_FROM lines or more are first split by finer bands (eight neighbours,
+40 intervals, all 5-grams), so that lines that only share a passage do not meet. A bucket of copies
+thus costs a pair a line, not a pair per pair of lines.
+
+Pairs are verified in two steps. The shingle hashes tell the similarity exactly, if those of all
+positions are there, and otherwise estimate it; pairs more than SLACK standard deviations below 0.8
+go. The rest is verified exactly on the 5-grams of both whole lines.
+
+Defined results: null text has no lines and stays null; a null doc_id orders first and is a document
+like others; rows that repeat a doc_id with different texts are documents of their own; of rows that
+repeat doc_id and text all but one lose all their lines, as copies; an empty table gives an empty
+result; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import Scratch
 from quillstone.llm.components import components
 
 GRAM = 5
-#: Least and most 5-grams (distinct), hashes in a band, bits of an interval (None: every hash starts a
-#: band), highest hash that is looked at (None: all).
-FAMILIES = ((0, 40, 4, None, None), (32, 250, 5, 4, None), (200, 1 << 31, 5, 6, -(1 << 62)))
-SKETCH_WORDS = 4
-#: Up to so many rows of (doc_id, line numbers) go to every executor, some 50 MB; more are shuffled.
-BROADCAST_ROWS = 500_000
+#: First characters of the shingles of long lines.
+LEAD = "[bcdglmpy258]"
+ALL_TO, SOME_FROM = 160, 120
+#: Long lines with fewer of these shingles, or fewer than one in 50 characters, have all of them too.
+FEW = 8
+#: Hashes up to which bands of four start at each besides those of five, and up to which each starts a band.
+TINY, SMALL, INTERVALS = 10, 20, 12
+#: Lines from which a bucket is split by finer bands, if its lines have FINE_LENGTH characters.
+FINE_FROM, FINE_LENGTH, FINE_ROWS, FINE_INTERVALS = 32, 100, 8, 40
+SLACK = 3.3
+SKETCH_WORDS = 16
+#: Sides of joins up to so many bytes go to every executor; more are shuffled.
+BROADCAST_BYTES = 64 << 20
+
+
+def flat_text(docs: DataFrame) -> DataFrame:
+    """uid, doc_id, rid (hash of the text), flat: the text in lower case, runs of white space inside lines
+    as one space. Step by step, so that nothing is computed twice; what is rare is looked for first."""
+    flat = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64("text").alias("rid"), F.lower("text").alias("flat"))
+    odd = F.lit(False)
+    for c in "\t\x0b\x0c\r":
+        odd = odd | F.col("flat").contains(c)
+    flat = flat.withColumn("flat", F.when(odd, F.translate("flat", "\t\x0b\x0c\r", "    ")).otherwise(F.col("flat")))
+    return flat.withColumn("flat", F.when(F.col("flat").contains("  "), F.regexp_replace("flat", " {2,}", " ")).otherwise(F.col("flat")))
 
 
-def normal_lines(text: Column) -> Column:
-    """The normal forms of a text's lines; runs are looked for only where two spaces meet."""
-    flat = F.translate(F.lower(text), "\t\x0b\x0c\r", "    ")
-    flat = F.when(flat.contains("  "), F.regexp_replace(flat, " {2,}", " ")).otherwise(flat)
-    return F.transform(F.split(flat, "\n"), lambda x: F.trim(x))
+def split_lines(docs: DataFrame) -> DataFrame:
+    """uid, doc_id, rid, pos, line (normal form), node (its hash) of all lines that have a word."""
+    lines = flat_text(docs).select("uid", "doc_id", "rid", F.posexplode(F.split("flat", "\n")).alias("pos", "line"))
+    return lines.withColumn("line", F.trim("line")).where("line <> ''").withColumn("node", F.xxhash64("line"))
 
 
-def bands(hashes: Column, n: Column) -> Column:
-    """The keys of a line's bands, from its n distinct hashes."""
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that later expressions use several times: the generator keeps Spark from copying
+    their expressions into every use."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
 
-    def of(rows: int, bits: int | None, top: int | None) -> Column:
-        picked = F.sort_array(hashes if top is None else F.filter(hashes, lambda x: x < top))
 
-        def key(all_: Column) -> Column:
-            part = lambda x: F.shiftright(x, 64 - bits)
+def grams(line: Column, lead: str = "") -> Column:
+    """The hashes of a line's distinct 5-grams, or of those that begin with `lead`."""
+    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=({lead or '.'}.{{{GRAM - 1}}}))"), F.lit(1))
+    found = found if lead else F.when(F.length(line) < GRAM, F.array(line)).otherwise(found)
+    return F.array_distinct(F.transform(found, lambda s: F.xxhash64(s)))
 
-            def run(x: Column, i: Column) -> Column:
-                band = F.xxhash64(F.lit(rows), x, *[F.get(all_, (i + k) % F.size(all_)) for k in range(1, rows)])
-                return band if bits is None else F.when((i == 0) | (part(x) != part(F.get(all_, i - 1))), band)
 
-            return F.array_compact(F.transform(all_, run))
+def shingles(lines: DataFrame) -> DataFrame:
+    """lines with `some` (hashes of sampled 5-grams, null for short lines) and `whole` (of all, null for
+    long lines that have enough sampled ones)."""
+    size = F.length("line")
+    lines = once(lines, some=F.when(size >= SOME_FROM, grams(F.col("line"), LEAD)))
+    few = (F.size("some") < FEW) | (F.size("some") * 50 < size)
+    return once(lines, whole=F.when((size <= ALL_TO) | few, grams(F.col("line"))))
 
-        # a lambda's variable holds the sorted hashes, so that they are sorted once
-        return F.flatten(F.transform(F.array(picked), key))
 
-    return F.array_distinct(F.concat(*[F.when((n >= lo) & (n <= hi), of(*how)).otherwise(F.array().cast("array<bigint>")) for lo, hi, *how in FAMILIES]))
+def bands(hashed: DataFrame, keep: list[str], small: int = SMALL, rows: int = 5, intervals: int = INTERVALS) -> DataFrame:
+    """The columns `keep` and the key of every band of the distinct hashes in column `hashes`.
 
-
-def once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Adds columns that later expressions use several times: the generator keeps Spark from copying
-    their expressions into every use."""
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
+    Bands are rows, not array elements, so that generated code makes them.
+    """
+    interval = lambda x: F.shiftright(F.shiftright(x, 32) * intervals, 32)
+    df = once(hashed.where("hashes is not null"), s=F.sort_array("hashes"))
+    df = once(df, n=F.size("s"), part=F.when(F.size("s") > small, F.transform("s", interval)))
+    firsts = F.array(*[F.array_position("part", F.lit(k).cast("long")).cast("int") - 1 for k in range(-(intervals // 2), intervals - intervals // 2)])
+    every = F.sequence(F.lit(0), F.col("n") - 1)
+    # in a very short line, starts from n * TINY on stand for bands of four
+    short = F.concat(every, F.transform(every, lambda i: i + F.col("n") * TINY))
+    starts = F.when(F.col("n") > small, firsts).when(F.col("n") > TINY, every).when(F.col("n") > 0, short)
+    each = df.select(*keep, "s", "n", F.explode(starts).alias("start")).where("start >= 0")
+    wanted = F.when(F.col("n") > small, rows).when((F.col("n") <= TINY) & (F.col("start") >= F.col("n")), 4).otherwise(5)
+    at = lambda k: F.get("s", (F.col("start") + k) % F.col("n"))
+    run = [at(k) if k < 4 else F.when(wanted > k, at(k)).otherwise(F.lit(0).cast("long")) for k in range(max(rows, 5))]
+    return each.select(F.xxhash64(wanted, *run).alias("key"), *keep)
 
 
-def grams(line: Column) -> Column:
-    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
-    return F.array_distinct(F.transform(F.when(F.length(line) < GRAM, F.array(line)).otherwise(found), lambda s: F.xxhash64(s)))
+def sized(small: DataFrame, row_bytes: int) -> DataFrame:
+    """`small`, marked for broadcast if so many rows of this width, which is fixed, are few."""
+    return F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small
 
 
-def sketches(hashes: Column) -> list[Column]:
-    """SKETCH_WORDS words of 64 parities each; a hash counts in one place of one word."""
-    place = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
-    word = lambda h: F.shiftright(h, 6).bitwiseAND(SKETCH_WORDS - 1)
+def buckets(scratch: Scratch, lines: DataFrame) -> DataFrame:
+    """key, node: the lines of every bucket with more than one distinct line."""
+    signed = shingles(lines.select("node", "line")).select("node", F.explode(F.array("some", "whole")).alias("hashes"))
+    keyed = scratch.cut(bands(signed, ["node"]), "keys")
+    shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
+    shared = scratch.cut(shared, "shared")
+    listed = scratch.cut(keyed.join(sized(shared, 48), "key", "left_semi").distinct(), "buckets")
+    scratch.drop(keyed, shared)
+    return listed
 
-    def parities(w: int) -> Column:
-        return F.aggregate(F.filter(hashes, lambda h: word(h) == w), F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(place(h)))
 
-    return [parities(w).alias(f"s{w}") for w in range(SKETCH_WORDS)]
+def bucket_texts(scratch: Scratch, lines: DataFrame, listed: DataFrame) -> DataFrame:
+    """node, line, some, whole of the lines in buckets."""
+    wanted = scratch.cut(listed.select("node").distinct(), "wanted")
+    found = lines.select("node", "line").join(sized(wanted, 48), "node", "left_semi").dropDuplicates(["node"])
+    return scratch.cut(shingles(found), "texts")
 
 
-def sizes(texts: DataFrame, side: str) -> DataFrame:
-    """node, n and sketch of the lines, named for one side of a pair."""
-    return texts.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", *(f"s{w}" for w in range(SKETCH_WORDS)))])
+def hashes_of(texts: DataFrame, side: str) -> DataFrame:
+    return texts.select(F.col("node").alias(side), F.col("some").alias(f"some_{side}"), F.col("whole").alias(f"whole_{side}"))
 
 
-def may_link(a: str, b: str) -> str:
-    """Whether sizes and sketches of two sides allow a Jaccard similarity of 0.8: of two such sets at most
-    a ninth of n_a + n_b are not common."""
-    apart = " + ".join(f"bit_count(s{w}_{a} ^ s{w}_{b})" for w in range(SKETCH_WORDS))
-    return f"5 * least(n_{a}, n_{b}) >= 4 * greatest(n_{a}, n_{b}) and 9 * ({apart}) <= n_{a} + n_{b}"
+def kept(texts: DataFrame, wanted: DataFrame, name: str = "node") -> DataFrame:
+    """The rows of texts whose node is wanted."""
+    return texts.join(sized(wanted.select(F.col(name).alias("node")).distinct(), 48), "node", "left_semi")
 
 
-def split_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, line (normal form), node (its hash) of all lines that have a word."""
-    lines = docs.select("doc_id", F.posexplode(normal_lines(F.col("text"))).alias("pos", "line"))
-    return lines.where("line <> ''").withColumn("node", F.xxhash64("line"))
-
-
-def sized_join(docs: DataFrame, small: DataFrame, how: str) -> DataFrame:
-    """Join by doc_id; `small` is broadcast only if it has been counted and is small."""
-    return docs.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, "doc_id", how)
+def likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose shingle hashes allow a similarity of 0.8."""
+    sets = texts.select("node", "some", "whole")
+    both = pairs.join(hashes_of(sets, "b"), "b").join(hashes_of(kept(sets, pairs, "a"), "a"), "a")
+    known = F.col("whole_a").isNotNull() & F.col("whole_b").isNotNull()
+    common = F.when(known, F.size(F.array_intersect("whole_a", "whole_b"))).otherwise(F.size(F.array_intersect("some_a", "some_b")))
+    total = F.when(known, F.size("whole_a") + F.size("whole_b")).otherwise(F.size("some_a") + F.size("some_b"))
+    both = once(both, known=known, common=common, total=total, least=F.least(F.size("some_a"), F.size("some_b")))
+    sampled = f"least < {FEW} or common >= (0.8 - {SLACK} * sqrt(0.32 / total)) * (total - common)"
+    return both.where(f"case when known then 9 * common >= 4 * total when common is null then true else {sampled} end").select("a", "b")
 
 
 def verify(scratch: Scratch, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of lines whose Jaccard similarity is at least 0.8."""
-    for s in "ab":  # sizes and sketches alone rule most pairs out
-        pairs = pairs.join(sizes(texts, s), s)
-    near = scratch.cut(pairs.where(may_link("a", "b")).select("a", "b"), "near")
-    side = lambda c: texts.select(F.col("node").alias(c), F.col("line").alias(f"line_{c}"))
-    both = near.join(side("b"), "b").join(side("a"), "a")
+    """Those of the pairs (a, b) of lines whose Jaccard similarity is at least 0.8, as edges (u, v)."""
+    near = scratch.cut(likely(pairs, texts), "near")
+    lines = scratch.cut(kept(texts.select("node", "line"), near.select(F.explode(F.array("a", "b")).alias("node"))), "near-lines")
+    line = lambda c: lines.select(F.col("node").alias(c), F.col("line").alias(f"line_{c}"))
+    both = near.join(line("b"), "b").join(line("a"), "a")
     both = once(both.select("a", "b", "line_a", "line_b"), ga=grams(F.col("line_a")), gb=grams(F.col("line_b")))
     both = once(both, common=F.size(F.array_intersect("ga", "gb")))
-    return scratch.cut(both.where("100 * common >= 80 * (size(ga) + size(gb) - common)").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    return scratch.cut(both.where("9 * common >= 4 * (size(ga) + size(gb))").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+
+
+def sketches(hashed: DataFrame) -> DataFrame:
+    """node, n, s0, s1, ...: how many hashes a line has, and 1,024 parities, each of the hashes that fall to
+    it. Two lines' parities differ in no more places than their sets do."""
+    word = F.col("h").bitwiseAND(SKETCH_WORDS - 1)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("h", 8).bitwiseAND(63).cast("int"))
+    each = hashed.select("node", F.explode("hashes").alias("h")).select("node", word.alias("w"), bit.alias("bit"))
+    parities = [F.coalesce(F.bit_xor(F.when(F.col("w") == k, F.col("bit"))), F.lit(0)).alias(f"s{k}") for k in range(SKETCH_WORDS)]
+    return each.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *parities)
+
+
+def may_link(a: str, b: str) -> str:
+    """Whether sizes and sketches of two sides allow a similarity of 0.8: of two such sets at most a ninth
+    of n_a + n_b is not common. No link is lost by it."""
+    apart = " + ".join(f"bit_count({a}s{k} ^ {b}s{k})" for k in range(SKETCH_WORDS))
+    return f"5 * least({a}n, {b}n) >= 4 * greatest({a}n, {b}n) and 9 * ({apart}) <= {a}n + {b}n"
 
 
 def open_buckets(scratch: Scratch, listed: DataFrame, comps: DataFrame) -> DataFrame:
-    """key, node, comp, main of the buckets with more than one component; main is the most frequent one."""
-    entries = listed.join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
-    spread = entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.mode("comp", True).alias("main")).where("lo <> hi")
-    return scratch.cut(entries.join(spread.select("key", "main"), "key"), "open")
+    """key, node, copies, length, comp of the buckets with several components, with the bucket's main one
+    (the most frequent), its size and its least length. Members are counted by component first, so that
+    a large bucket costs a row a task."""
+    entries = listed.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    per = entries.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("length").alias("length"))
+    per = per.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("held"), F.min("length").alias("least"))
+    return scratch.cut(entries.join(per.where("comps > 1").drop("comps"), "key"), "open")
 
 
 def grown(scratch: Scratch, comps: DataFrame, links: DataFrame) -> DataFrame:
@@ -138,67 +201,101 @@ def grown(scratch: Scratch, comps: DataFrame, links: DataFrame) -> DataFrame:
     return components(scratch, comps.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links))
 
 
-def line_components(scratch: Scratch, docs: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """node, component, first (doc_id, pos of the line that stays) for every distinct line."""
-    at = F.struct("doc_id", "pos")
-    signed = occurrences.groupBy("node").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
-    signed = scratch.cut(signed, "signed")
-    bucket = Window.partitionBy("key")
-    listed = signed.select("node", F.explode("bands").alias("key")).withColumn("held", F.count(F.lit(1)).over(bucket)).withColumn("hub", F.min("node").over(bucket))
-    listed = scratch.cut(listed.where("held > 1").select("key", "node", "hub"), "buckets")
-
-    refs = listed.select("node").distinct().join(signed.select("node", "first"), "node")
-    refs = refs.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("node", F.col("first.pos").alias("pos"))).alias("refs"))
-    refs = scratch.cut(refs, "refs")
-    found = sized_join(docs.select("doc_id", "text").where("doc_id is not null"), refs, "inner")
-    found = once(found.select("refs", "text"), all=normal_lines(F.col("text"))).select(F.explode("refs").alias("r"), "all").select("r.node", F.get("all", F.col("r.pos")).alias("line"))
-    found = found.where(F.xxhash64("line") == F.col("node")).dropDuplicates(["node"])
-    found = once(found, hashes=grams(F.col("line")))
-    texts = scratch.cut(found.select("node", "line", F.size("hashes").alias("n"), *sketches(F.col("hashes"))), "texts")
-
-    star = scratch.cut(listed.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = verify(scratch, star, texts)
-    comps = components(scratch, links)
+def ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
+def with_hubs(entries: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Pairs of the entries with their bucket's hub, the line with the most exact copies."""
+    hub = hubs.groupBy("key").agg(F.max_by("node", F.struct("copies", "node")).alias("hub"))
+    return ordered(entries.select("key", "node").join(hub, "key").where("node <> hub"), "node", "hub")
+
+
+def across(entries: DataFrame, on: list[str]) -> DataFrame:
+    """Pairs of entries of different components that agree in `on` and may link, one of them outside the
+    main one."""
+    named = {c: f"o_{c}" for c in ("node", "comp", "n", *(f"s{k}" for k in range(SKETCH_WORDS)))}
+    others = entries.where("comp <> main").select(*on, *[F.col(c).alias(o) for c, o in named.items()])
+    met = entries.join(others, on).where(f"comp <> o_comp and (comp = main or node < o_node) and {may_link('', 'o_')}")
+    return ordered(met, "node", "o_node")
+
+
+def line_components(scratch: Scratch, lines: DataFrame) -> DataFrame:
+    """node, first (place of the line that stays), copies, own_first of the lines that are linked or copied."""
+    at = F.struct("doc_id", "rid", "pos")
+    signed = scratch.cut(lines.groupBy("node").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("copies")), "signed")
+    listed = buckets(scratch, lines)
+    texts = bucket_texts(scratch, lines, listed)
+    known = texts.select("node", F.length("line").alias("length")).join(signed.select("node", "copies"), "node")
+    listed = scratch.cut(listed.join(known, "node"), "listed")
+
+    tried = scratch.cut(with_hubs(listed, listed), "pairs")
+    comps = components(scratch, verify(scratch, tried, texts))
     entries = open_buckets(scratch, listed, comps)
-    hubs = entries.where("comp = main").groupBy("key").agg(F.min_by("node", F.xxhash64("node")).alias("hub"))
-    second = entries.where("comp <> main").join(hubs, "key").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    texts = scratch.cut(kept(texts, entries), "open-texts")
+    second = with_hubs(entries, entries.where("comp <> main"))
     second = scratch.cut(second.join(tried, ["a", "b"], "left_anti"), "pairs")
     comps = grown(scratch, comps, verify(scratch, second, texts))
+
     entries = open_buckets(scratch, listed, comps)
-    tried = tried.union(second.select("a", "b"))
-    others = entries.where("comp <> main").select("key", F.col("node").alias("other"), F.col("comp").alias("comp2")).join(sizes(texts, "other"), "other")
-    entries = entries.join(sizes(texts, "node"), "node")
-    cross = entries.join(others, "key").where("comp <> comp2 and (comp = main or node < other)").where(may_link("node", "other"))
-    cross = cross.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    comps = grown(scratch, comps, verify(scratch, scratch.cut(cross.join(tried, ["a", "b"], "left_anti"), "pairs"), texts))
-
-    named = signed.select("node", "first", "copies").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    firsts = named.join(comps.select("node"), "node", "left_semi").groupBy("component").agg(F.min("first").alias("comp_first"))
-    return named.join(firsts, "component", "left").select("node", "component", "copies", F.coalesce("comp_first", "first").alias("first"), F.col("first").alias("own_first"))
-
-
-def dropped_lines(scratch: Scratch, docs: DataFrame) -> DataFrame:
-    """doc_id and the numbers of its lines (from 0) that go, for documents that lose any."""
-    lines = once(split_lines(docs), hashes=grams(F.col("line")))
-    lines = scratch.cut(lines.select("doc_id", "pos", "node", bands(F.col("hashes"), F.size("hashes")).alias("bands")), "lines")
-    named = line_components(scratch, docs, lines)
-    doubtful = scratch.cut(named.where("copies > 1 or not first <=> own_first").select("node", "first"), "doubtful")
-    where = lines.select("doc_id", "pos", "node").join(doubtful, "node").where("not (doc_id <=> first.doc_id and pos = first.pos)")
-    gone = where.select("doc_id", "pos").distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("pos")).alias("gone"))
+    hashed = scratch.cut(kept(texts, entries).select("node", grams(F.col("line")).alias("hashes")), "open-sets")
+    entries = scratch.cut(entries.join(sketches(hashed), "node"), "sketched")
+    large = (F.col("held") >= FINE_FROM) & (F.col("least") >= FINE_LENGTH)
+    fine = bands(kept(hashed, entries.where(large)), ["node"], 0, FINE_ROWS, FINE_INTERVALS).select("node", F.col("key").alias("fine"))
+    rest = across(entries.where(~large), ["key"]).union(across(entries.where(large).join(fine, "node"), ["key", "fine"])).distinct()
+    rest = rest.join(tried.union(second), ["a", "b"], "left_anti")
+    comps = grown(scratch, comps, verify(scratch, scratch.cut(rest, "pairs"), texts))
+
+    linked = scratch.cut(signed.join(comps, "node"), "linked")
+    firsts = linked.groupBy("component").agg(F.min("first").alias("comp_first"))
+    linked = linked.join(firsts, "component").select("node", "copies", F.col("comp_first").alias("stays"), "first")
+    alone = signed.where("copies > 1").join(comps, "node", "left_anti").select("node", "copies", F.col("first").alias("stays"), "first")
+    named = linked.union(alone)
+    return named.select("node", "copies", F.col("stays").alias("first"), F.col("first").alias("own_first"))
+
+
+def dropped_lines(scratch: Scratch, lines: DataFrame) -> DataFrame:
+    """doc_id, rid and the numbers of the lines (from 0) that go, for documents that lose any."""
+    named = line_components(scratch, lines)
+    doubtful = scratch.cut(named.where("copies > 1 or first <> own_first").select("node", "first"), "doubtful")
+    gone = lines.select("doc_id", "rid", "pos", "node").join(doubtful, "node").where("not (doc_id <=> first.doc_id and rid = first.rid and pos = first.pos)")
+    gone = gone.groupBy("doc_id", "rid").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
     return scratch.cut(gone, "gone")
 
 
+def spare_copies(scratch: Scratch, packed: DataFrame, lines: DataFrame) -> DataFrame:
+    """packed with `spare`: true for all but one of the rows that are equal in doc_id and text."""
+    again = lines.groupBy("doc_id", "rid").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi")).where("lo <> hi")
+    again = scratch.cut(again.select(F.col("doc_id").alias("again_id"), F.col("rid").alias("again_rid")), "again")
+    if again.isEmpty():
+        return packed.withColumn("spare", F.lit(False))
+    same = F.expr("doc_id <=> again_id and rid = again_rid")
+    some = scratch.cut(packed.join(again, same, "left_semi").withColumn("uid", F.monotonically_increasing_id()), "repeated")
+    stays = some.groupBy("doc_id", "rid").agg(F.min("uid").alias("stays")).select("stays")
+    some = some.join(stays, F.col("uid") == F.col("stays"), "left").withColumn("spare", F.col("stays").isNull()).drop("uid", "stays")
+    return packed.join(again, same, "left_anti").withColumn("spare", F.lit(False)).unionByName(some)
+
+
 def mark_lines(scratch: Scratch, docs: DataFrame) -> DataFrame:
-    """docs with `gone` (numbers of lines that go, null if none) and `kept_text`."""
-    gone = dropped_lines(scratch, docs)
-    out = sized_join(docs, gone, "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("gone", i)), "\n")
-    return out.withColumn("kept_text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept))
+    """row (the caller's columns as a struct), gone (numbers of lines that go, null if none), kept_text."""
+    lines = scratch.cut(split_lines(docs.select("doc_id", "text")), "lines")
+    gone = dropped_lines(scratch, lines)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", F.xxhash64("text").alias("rid"))
+    packed = spare_copies(scratch, packed, lines)
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("rid").alias("gone_rid"), "gone")
+    size = gone.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("gone")).alias("m")).first()
+    small = 64 * size["n"] + 4 * (size["m"] or 0) <= BROADCAST_BYTES
+    out = packed.join(F.broadcast(gone) if small else gone, F.expr("doc_id <=> gone_id and rid = gone_rid"), "left")
+    out = once(out, parts=F.when(F.col("spare") | F.col("gone").isNotNull(), F.split("text", "\n")))
+    every = F.sequence(F.lit(0), F.size("parts") - 1)
+    worded = F.filter(every, lambda i: F.get("parts", i).rlike(r"[^\x20\x09-\x0D]"))
+    out = out.withColumn("gone", F.when(F.col("spare"), F.when(F.size(worded) > 0, worded)).otherwise(F.col("gone")))
+    kept = F.array_join(F.transform(F.array_except(every, F.col("gone")), lambda i: F.get("parts", i)), "\n")
+    return out.select("row", "gone", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("kept_text"))
 
 
 def apply_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs with the text of the lines that stay. Documents that lost their last word go."""
     out = mark_lines(scratch, docs)
     out = out.where(F.col("gone").isNull() | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
-    return out.select(*[F.col("kept_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[(F.col("kept_text") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -20,7 +20,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_piece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = vocabulary_bytes(default_path(PIECES))
-    return piece_fst.encode_documents(_documents(spark, sf_dir).select("doc_id", "text"), model, with_ids=False)
+    return piece_fst.encode_documents(_documents(spark, sf_dir).select("doc_id", "text"), model, with_ids=False, with_text=False)
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,9 +31,9 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per document: lines, lines that go, and the digest of the text that stays."""
     marked = line_dedup.mark_lines(Scratch(spark, "lines"), _documents(spark, sf_dir).select("doc_id", "text"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
-    n_gone = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
-    return marked.select("doc_id", n_lines.alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(n_gone).cast("long").alias("n_dropped"), F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+    n_lines = F.when(F.col("row.text").isNull(), 0).otherwise(F.size(F.split("row.text", "\n"))).cast("long")
+    n_gone = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
+    return marked.select("row.doc_id", n_lines.alias("n_lines"), n_gone.alias("n_dropped"), F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op4_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
