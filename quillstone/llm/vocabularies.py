@@ -21,16 +21,17 @@ def default_path(name: str) -> str:
 #: No piece of a SentencePiece model that splits by white space has a space after another character,
 #: so a text falls into these units, which are encoded one by one.
 UNIT = re.compile(rb" *[^ ]+| +")
-GENERATION, _CACHED_LENGTH, _AT_ONCE = 350_000, 64, 1_000_000
+#: Bytes of a generation; an entry costs ENTRY besides its unit and ids.
+GENERATION, ENTRY, _CACHED_LENGTH, _AT_ONCE = 48 << 20, 180, 64, 1_000_000
 HOT = 8_000
 
 
 class Remembered:
-    """unit -> ids as bytes. Two generations are remembered: when the younger is full it becomes the
-    older, so frequent units stay and memory is bounded. `encode` takes a list of new units."""
+    """unit -> ids as bytes. Two generations of so many bytes are remembered: when the younger is full it
+    becomes the older, so frequent units stay and memory is bounded. `encode` takes a list of new units."""
 
     def __init__(self, encode, generation: int = GENERATION):
-        self.encode, self.generation, self.young, self.old = encode, generation, {}, {}
+        self.encode, self.generation, self.young, self.old, self.size = encode, generation, {}, {}, 0
         #: The commonest units again, in a dict small enough for a processor's cache.
         self.hot: dict[bytes, bytes] = {}
         self._chunks = 0
@@ -40,9 +41,12 @@ class Remembered:
         found = {u: self.old[u] for u in units if u in self.old}
         new = [u for u in units if u not in found]
         found.update(zip(new, self.encode(new), strict=True))
-        if len(self.young) + len(found) > self.generation:
-            self.old, self.young = self.young, {}
-        self.young.update((u, v) for u, v in found.items() if len(u) <= _CACHED_LENGTH)
+        held = {u: v for u, v in found.items() if len(u) <= _CACHED_LENGTH}
+        size = sum(map(len, held)) + sum(map(len, held.values())) + ENTRY * len(held)
+        if self.size + size > self.generation:
+            self.old, self.young, self.size = self.young, {}, 0
+        self.young.update(held)
+        self.size += size
         return found
 
     def many(self, texts: list[bytes], split) -> list[bytes]:
@@ -70,9 +74,9 @@ class Remembered:
         return out
 
 
-def units(text: bytes) -> list[bytes]:
-    """A text's units, a space in front of the first."""
-    return UNIT.findall(b" " + text) if text else []
+def plain_units(text: bytes) -> list[bytes]:
+    """The units of a normalised text."""
+    return UNIT.findall(text)
 
 
 _STOPS = re.compile(rb"(?<=[A-Za-z])([.,])(?=[ \n]|\Z)")
@@ -81,7 +85,7 @@ _FINE = re.compile(rb" *[^ \n\xff]+|\n| +")
 
 def fine_units(text: bytes) -> list[bytes]:
     """Units with line feeds, and a stop or comma at the end of a word, on their own. 0xff is in no text."""
-    return _FINE.findall(_STOPS.sub(b"\xff\\1", b" " + text)) if text else []
+    return _FINE.findall(_STOPS.sub(b"\xff\\1", text))
 
 
 def lower_words(text: bytes) -> list[bytes]:
@@ -90,11 +94,12 @@ def lower_words(text: bytes) -> list[bytes]:
     return text.split() if b"<|" in text else _STOPS.sub(rb" \1", text.lower()).split()
 
 
-_SHARED: dict[tuple, Remembered] = {}
+_SHARED: dict[tuple, object] = {}
 
 
-def shared(key: tuple, make) -> Remembered:
-    """The one memory of a Python worker for this key: later tasks of the worker go on with it."""
+def shared(key: tuple, make):
+    """The one object of a Python worker for this key, as an encoder: later tasks of the worker go on with
+    it. Another key replaces it."""
     if key not in _SHARED:
         _SHARED.clear()
         _SHARED[key] = make()
@@ -102,5 +107,5 @@ def shared(key: tuple, make) -> Remembered:
 
 
 def forget() -> None:
-    """Frees the memory that an encoding stage left in this Python worker."""
+    """Frees what an encoding stage left in this Python worker; stages that follow one call it."""
     _SHARED.clear()
