@@ -120,14 +120,14 @@ def apply_mix(docs: DataFrame, scratch: Scratch, **options) -> DataFrame:
     plan = mix(scratch, docs, **options).where("taken > 0")
     same = Window.partitionBy("doc_id", "mark").orderBy("taken", "passes", "from_2", "to_2", "to_1")
     plan = plan.select(F.col("doc_id").alias("p_id"), F.col("mark").alias("p_mark"), "passes", "from_1", "to_1", "from_2", "to_2", F.row_number().over(same).alias("p_nth"))
-    marked = docs.withColumn("_mark", mark)
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_mark").orderBy(F.lit(1)))
-    both = marked.withColumn("_nth", nth).join(plan, F.expr("doc_id <=> p_id and _mark = p_mark and _nth = p_nth"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", mark.alias("mark"))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy(F.lit(1)))
+    both = packed.withColumn("nth", nth).join(plan, F.expr("doc_id <=> p_id and mark = p_mark and nth = p_nth"))
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     cut = lambda a, b: F.slice(words, F.col(a) + 1, F.greatest(F.col(b) - F.col(a), F.lit(0)))
     part = F.array_join(F.concat(cut("from_2", "to_2"), cut("from_1", "to_1")), " ")
     whole = F.when((F.col("from_1") == 0) & (F.col("to_1") == F.size(words)) | (F.col("from_2") == 0) & (F.col("to_2") == F.size(words)), F.col("text")).otherwise(part)
     partial = (F.col("to_1") > F.col("from_1")) | (F.col("to_2") > F.col("from_2"))
     copies = F.concat(F.array_repeat(F.col("text"), F.col("passes").cast("int")), F.when(partial, F.array(whole)).otherwise(F.array().cast("array<string>")))
-    out = both.withColumn("_copy", F.explode(copies))
-    return out.select(*[F.col("_copy").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    out = both.select("row", F.explode(copies).alias("copy"))
+    return out.select(*[(F.col("copy") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])
