@@ -33,6 +33,10 @@ SETTINGS = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.st
 BROADCAST_ROWS = 1_000_000
 
 
+#: Micro-batches of a run over a whole table.
+BATCHES = 4
+
+
 def _located(rows: DataFrame, digest_bits: int) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     sha = F.sha2(text.cast("binary"), 256)
@@ -50,12 +54,19 @@ def read_stream(spark: SparkSession, path: str, max_bytes: int) -> DataFrame:
     return reader.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
 
 
-def run_stream(spark: SparkSession, path: str, folder: str, digest_bits: int = 256, max_bytes: int = 16 << 30) -> DataFrame:
+def batch_bytes(spark: SparkSession, path: str) -> int:
+    """So many bytes that the table comes in BATCHES micro-batches, if its files allow it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+    return max(1, -(-size // BATCHES))
+
+
+def run_stream(spark: SparkSession, path: str, folder: str, digest_bits: int = 256, max_bytes: int | None = None) -> DataFrame:
     """Bring the state in `folder` up to date with the table; returns digest, n, keeper.
 
     Every micro-batch appends the changed keys to a table; the last line of a key is its state.
     """
-    rows = _located(read_stream(spark, path, max_bytes), digest_bits).select("digest", "at")
+    rows = _located(read_stream(spark, path, max_bytes or batch_bytes(spark, path)), digest_bits).select("digest", "at")
     state = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("keeper"))
     before = {k: spark.conf.get(k, None) for k in SETTINGS}
     for k, v in SETTINGS.items():
@@ -85,7 +96,7 @@ def _by_class(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.join(classes, list(keys))
 
 
-def dedup(spark: SparkSession, path: str, digest_bits: int = 256, max_bytes: int = 16 << 30, folder: str | None = None) -> DataFrame:
+def dedup(spark: SparkSession, path: str, digest_bits: int = 256, max_bytes: int | None = None, folder: str | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and the locator `at`."""
     scratch = Scratch(spark, "stream-dedup")
     state = scratch.cut(run_stream(spark, path, folder or scratch.path("stream"), digest_bits, max_bytes), "state")
@@ -100,12 +111,13 @@ def dedup(spark: SparkSession, path: str, digest_bits: int = 256, max_bytes: int
         rough = rows.withColumn("mark", F.xxhash64("digest")).join(F.broadcast(marks), "mark", "left_semi").drop("mark")
     copies = rough.join(hits, "digest").select("digest", "at", "text", "keeper")
     originals = copies.where("at <=> keeper").select("digest", F.col("text").alias("kept_text"))
-    differing = copies.join(originals, "digest").where("text <> kept_text").select("digest").distinct()
-    collided = scratch.cut(differing, "collided")
+    # written before duplicates of it go, so that the join of a digest with very many rows can be split
+    differing = scratch.cut(copies.join(originals, "digest").where("text <> kept_text").select("digest"), "differing")
     known = light.join(state, "digest")
+    if differing.isEmpty():
+        return _result(known.select("at", "text_sha256", "keeper", F.col("n").alias("group_size")))
+    collided = scratch.cut(differing.distinct(), "collided")
     good = known.join(collided, "digest", "left_anti").select("at", "text_sha256", "keeper", F.col("n").alias("group_size"))
-    if collided.isEmpty():
-        return _result(good)
     again = rows.join(collided, "digest", "left_semi")
     exact = _by_class(again, "digest", "text").select("at", "text_sha256", "keeper", "group_size")
     return _result(good.unionByName(exact))
