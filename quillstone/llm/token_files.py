@@ -16,7 +16,8 @@ after shard the doc_ids ascend. Spark's text writer commits the files (a shard i
 feed follows it), so they can lie in any store Spark writes to and lost tasks leave nothing behind.
 
 Defined results: a null text is an empty document of one end id; null doc_ids come first; repeated
-doc_ids keep all their rows, in the order of their texts; an empty table gives no files.
+doc_ids keep all their rows, in the order of their texts' hashes; an empty table gives no files and no
+rows.
 """
 
 from __future__ import annotations
@@ -32,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import Scratch, prefix_sums, text_bytes
+from quillstone.llm.common import Scratch, prefix_sums, slices, text_bytes
 from quillstone.llm.vocabularies import Remembered, lower_words, shared
 
 MAGIC = b"EFSHARD1"
+#: Shards in a file, some 130 MB of 16-bit ids.
+FILE_SHARDS = 16
 SAMPLE = 256
 SHARD_IDS = 1 << 22
 _PLAIN = re.compile(rb"[a-z]+|[.,]").fullmatch
@@ -167,18 +170,20 @@ def library_encoder(vocabulary: bytes, width: int) -> Remembered:
             out[k] = np.array(e.ids, f"<u{width}").tobytes()
         return out
 
-    return Remembered(encode, generation=500_000)
+    return Remembered(encode, generation=80 << 20)
 
 
 def write_files(docs: DataFrame, path: str, vocabulary: bytes, end_id: int, width: int = 2, shard_ids: int = SHARD_IDS) -> None:
+    """Shards of at least `shard_ids` ids, FILE_SHARDS a file, in ascending doc_id order."""
+
     def run(batches):
-        by_words, end = shared(("words", hash(vocabulary), width), lambda: library_encoder(vocabulary, width)), end_id.to_bytes(width, "little")
+        by_words, end = shared(("words", zlib.crc32(vocabulary), width), lambda: library_encoder(vocabulary, width)), end_id.to_bytes(width, "little")
         names, held, size = [], [], 0
 
         def flush():
             return pa.RecordBatch.from_arrays([pa.array([pack_shard(names, held, width)], pa.binary())], names=["shard"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), by_words.many(text_bytes(batch), lower_words), strict=True):
                 names.append(doc_id)
                 held.append(ids + end)
@@ -189,31 +194,35 @@ def write_files(docs: DataFrame, path: str, vocabulary: bytes, end_id: int, widt
         if names:
             yield flush()
 
-    rows = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select("doc_id", "text").withColumn("h", F.xxhash64("text"))
+    rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
     # the writer takes strings; a cast from binary keeps the bytes as they are
     shards = rows.mapInArrow(run, "shard binary").select(F.col("shard").cast("string"))
-    shards.write.option("lineSep", "\n").text(path)
+    shards.write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_SHARDS).text(path)
 
 
 def read_files(scratch: Scratch, path: str, width: int = 2) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files."""
-    files = scratch.spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = scratch.spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    number = lambda pattern: F.regexp_extract("path", pattern, 1).try_cast("int")
+    files = files.select(number(r"/part-(\d+)[^/]*$").alias("part"), number(r"-c(\d+)[^/]*$").alias("nth"), "content")
 
     def run(batches):
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            for part, nth, content in zip(batch.column("part").to_pylist(), batch.column("nth").to_pylist(), batch.column("content"), strict=True):
                 raw = content.as_buffer()
                 for k, shard in enumerate(shards_of(raw, width)):
-                    ends = shard.ends.all()
+                    ends = np.fromiter(map(shard.ends.select, range(shard.n_docs)), np.int64, shard.n_docs)
                     starts = np.concatenate([[0], ends[:-1]])
                     sums = [zlib.crc32(shard.ids[a:b].tobytes() if width == 4 else shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts, ends, strict=True)]
                     n = len(ends)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([path] * n, pa.string()), pa.array([k] * n, pa.int64()), pa.array(shard.doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(sums, pa.int64())],
-                        names=["file", "shard", "doc_id", "inside", "n_tokens", "ids_crc32"],
+                        [pa.array([part] * n, pa.int32()), pa.array([nth] * n, pa.int32()), pa.array([k] * n, pa.int64()), pa.array(shard.doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(sums, pa.int64())],
+                        names=["part", "nth", "shard", "doc_id", "inside", "n_tokens", "ids_crc32"],
                     )
 
-    rows = scratch.cut(files.mapInArrow(run, "file string, shard long, doc_id long, inside long, n_tokens long, ids_crc32 long"), "read")
-    shards = rows.groupBy("file", "shard").agg(F.sum("n_tokens").alias("n"))
-    bases = prefix_sums(scratch, shards, ["file", "shard"], {"base": "n"})
-    return rows.join(bases.drop("n"), ["file", "shard"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    rows = scratch.cut(files.mapInArrow(run, "part int, nth int, shard long, doc_id long, inside long, n_tokens long, ids_crc32 long"), "read")
+    order = ["part", "nth", "shard"]
+    shards = rows.groupBy(*order).agg(F.sum("n_tokens").alias("n"))
+    bases = prefix_sums(scratch, shards, order, {"base": "n"})
+    return rows.join(bases.drop("n"), order).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
