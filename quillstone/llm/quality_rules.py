@@ -42,6 +42,8 @@ FEATURES = {
 _CONTINUATION = bytes(range(0x80, 0xC0))
 _UPPER = bytes(range(0x41, 0x5B))
 _SPACES = b" \t\n\x0b\x0c\r"
+#: Documents that the rules' assumed votes count for in the fit, whatever the size of the corpus.
+PSEUDO_COUNTS = 50.0
 _HAS_LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
 _MARKED = re.compile(rb"(?:!!|[#*$%&|<>]{2})")
 
@@ -147,7 +149,7 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[fl
     table, good = prior.copy(), 0.8
     if not counts.sum():
         return good, table
-    strength = 2.0 + 0.002 * counts.sum()
+    strength = PSEUDO_COUNTS
     hot = np.stack([patterns == v for v in (-1, 0, 1)], 2).astype(float)
     for _ in range(rounds):
         p = posterior(patterns, good, table)
