@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from quillstone.llm import katz, line_dedup, mixing, ngram_join, piece_fst, quality_rules, quotes, separator_scan, stream_dedup, token_files
 from quillstone.llm.common import Scratch, prefix_sums
 from quillstone.llm.components import components
-from quillstone.llm.vocabularies import fine_units, lower_words, vocabulary_bytes
+from quillstone.llm.vocabularies import fine_units, lower_words, plain_units, vocabulary_bytes
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 MODEL = vocabulary_bytes(public_tokenizers.path("piece_bpe_32k.model"))
@@ -124,11 +125,59 @@ def test_stable_pairs_are_those_of_merging():
 
 
 def test_units_join_to_the_text():
-    for t in ("a. b, c", "x.\ny", "  two  spaces .", "é. ,", ""):
-        assert b"".join(fine_units(t.encode())) == (b" " + t.encode() if t else b"")
+    for t in (" a. b, c", " x.\ny", "   two  spaces .", " é. ,", ""):
+        assert b"".join(fine_units(t.encode())) == t.encode() == b"".join(plain_units(t.encode()))
     assert lower_words(b"A. b,<|x") == [b"A.", b"b,<|x"] and lower_words(b"Ab. c,") == [b"ab", b".", b"c", b","]
 
 
+def hand_model(r, rule=None, kind=1):
+    """A model of pieces made up here (nothing is trained), with byte fallback."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    add = lambda piece, score, type_: m.pieces.add(piece=piece, score=score, type=type_)
+    for name, type_ in (("<unk>", 2), ("<s>", 3), ("</s>", 3)):
+        add(name, 0, type_)
+    for b in range(256):
+        add(f"<0x{b:02X}>", 0, 6)
+    pieces = {"▁", *"abcdeéfi1"} | {("▁" if r.random() < 0.4 else "") + "".join(r.choices("abcdeéf", k=r.randint(2, 5))) for _ in range(150)}
+    for p in sorted(pieces):
+        add(p, -r.uniform(1, 12), 1)
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback, m.trainer_spec.vocab_size = kind, True, len(m.pieces)
+    m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces = True, rule is not None
+    if rule:
+        import sentencepiece
+
+        spec = pb.ModelProto()
+        spec.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+        m.normalizer_spec.precompiled_charsmap = spec.normalizer_spec.precompiled_charsmap
+    return m.SerializeToString()
+
+
+@pytest.mark.parametrize("rule", [None, "nmt_nfkc", "nfkc_cf"])
+def test_unigram_models_and_normalisers_equal_the_library(rule):
+    import sentencepiece
+
+    r = random.Random(3)
+    model = hand_model(r, rule)
+    library, machine = sentencepiece.SentencePieceProcessor(model_proto=model), piece_fst.Encoder(model)
+    texts = ["", " ", "a", "  abc  def ", "ﬁ ①Ａｂｃ\u3000é e\u0301 \u00a0x", "漢字 abc\tdef\nab"]
+    texts += ["".join(r.choices("abcdeéfﬁ① xＡ\u0301\u200b\t", k=r.randint(1, 60))) for _ in range(400)]
+    normal = [machine.machine.normalise(t.encode()) for t in texts]
+    for text, raw, n in zip(texts, machine.many(normal), normal, strict=True):
+        ids = np.frombuffer(raw, "<u2")
+        assert ids.tolist() == library.encode(text), text
+        assert machine.machine.decode(ids) == n
+
+
+def test_pieces_of_odd_tables(spark, docs):
+    clash = docs.withColumn("ids", F.lit("mine")).withColumn("n_pieces_", F.lit(7)).withColumn("n_pieces", F.lit(8)).withColumn("row", F.lit(1))
+    out = piece_fst.encode_documents(clash, MODEL, with_text=False)
+    assert out.columns == ["doc_id", "lang", "source", "n_chars", "ids", "n_pieces_", "n_pieces", "row", "ids_", "n_pieces__", "n_fallback", "ids_crc32", "decodes"]
+    assert {(r["ids"], r["n_pieces_"], r["n_pieces"], r["row"]) for r in out.collect()} == {("mine", 7, 8, 1)}
+    assert piece_fst.encode_documents(empty(spark), MODEL).count() == 0
+
+
 # ---- 2
 
 
@@ -213,7 +262,7 @@ def brute_lines(rows):
 
 def test_line_dedup_finds_what_brute_force_finds(spark, scratch, rows, docs):
     want = brute_lines(rows)
-    got = {r["doc_id"]: r["gone"] or [] for r in line_dedup.mark_lines(scratch, docs).collect()}
+    got = {r["row"]["doc_id"]: r["gone"] or [] for r in line_dedup.mark_lines(scratch, docs).collect()}
     pairs = lambda d: {(i, k) for i, ks in d.items() for k in ks}
     assert pairs(got) <= pairs(want)
     assert len(pairs(got)) >= 0.97 * len(pairs(want)) > 10
@@ -224,7 +273,7 @@ def test_line_dedup_finds_what_brute_force_finds(spark, scratch, rows, docs):
 
 def lines_gone(spark, scratch, lines):
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
-    return {r["doc_id"] for r in line_dedup.mark_lines(scratch, rows).collect() if r["gone"]}
+    return {r["row"]["doc_id"] for r in line_dedup.mark_lines(scratch, rows).collect() if r["gone"]}
 
 
 def test_line_dedup_of_lines_that_differ_in_spacing(spark, scratch):
@@ -259,6 +308,29 @@ def test_line_dedup_of_lines_without_spaces_and_of_short_ones(spark, scratch):
     assert got <= set(range(1, 44, 2)) and 41 in got and len(got) >= 21
 
 
+def test_line_dedup_of_null_and_repeated_ids(spark, scratch):
+    a = "The quick brown fox jumps over the lazy dog near the river bank today."
+    b = a.replace("today", "todaz")
+    schema = "doc_id long, text string, gone int, kept_text string, row string, line string"
+    of = lambda *rows: sorted(((r["doc_id"], r["text"]) for r in line_dedup.apply_lines(spark.createDataFrame([(*x, 1, "k", "r", "l") for x in rows], schema), scratch).collect()), key=str)
+    assert of((None, a), (1, b)) == [(None, a)]
+    assert of((None, a), (1, a), (2, b)) == [(None, a)]
+    two = "something else entirely, words that occur nowhere"
+    assert of((1, a), (1, two)) == sorted([(1, a), (1, two)], key=str)
+    assert of((1, a), (1, a), (1, a), (2, None), (3, "")) == sorted([(1, a), (2, None), (3, "")], key=str)
+    assert of((5, a + "\n\n" + a), (4, two + "\n" + b)) == sorted([(4, two + "\n" + b), (5, "")][:1], key=str)
+
+
+def test_line_dedup_of_large_buckets_of_lines_that_share_a_passage(spark, scratch):
+    r = random.Random(11)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(3, 8)))
+    core = " ".join(word() for _ in range(12))
+    lines = [core + " " + " ".join(word() for _ in range(9)) for _ in range(120)]
+    copies = [x[:-1] + "#" for x in lines[:100:5]]
+    assert lines_gone(spark, scratch, lines + copies) >= set(range(120, 140))
+    assert lines_gone(spark, scratch, lines) == set()
+
+
 # ---- 4
 
 
@@ -276,6 +348,91 @@ def test_quotes(spark, scratch):
     assert quotes.order_replies(scratch, spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def brute_quotes(messages):
+    """What order_replies does, message by message."""
+    marks, attribution = re.compile(r"^[ \t]*((?:>[ \t]?)+)"), re.compile(r"(?i)^\s*(on|am|le|el)\b.*(wrote|schrieb|écrit|escribió)\s*:\s*$")
+    normal = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t).lower().strip(" ")
+
+    def parse(text):
+        found = []
+        for raw in (text or "").split("\n"):
+            m = marks.match(raw)
+            found.append((m[1].count(">"), raw[m.end() :]) if m else (0, raw))
+        return found
+
+    units = defaultdict(set)
+    for conv, turn, _, text in messages:
+        lines, runs, whole, before = parse(text), [], defaultdict(list), None
+        for level, body in lines:
+            blank = not normal(body)
+            if blank or before is None or before[0] != level or before[1]:
+                runs.append((level, []))
+            if not blank:
+                runs[-1][1].append(body)
+                whole[level].append(body)
+                if len(body.strip(" ")) >= 8:
+                    units[conv, turn].add((level, normal(body)))
+            before = (level, blank)
+        for level, b in [*runs, *whole.items()]:
+            if normal(" ".join(b)):
+                units[conv, turn].add((level, normal(" ".join(b))))
+    told = {}
+    for (conv, turn), mine in units.items():
+        quoted = {}
+        for level, u in mine:
+            if level:
+                quoted[u] = min(level, quoted.get(u, level))
+        source = {u: max((t for (c, t), other in units.items() if c == conv and t < turn and (0, u) in other), default=None) for u in quoted}
+        votes = Counter()
+        for u, level in quoted.items():
+            if level == 1 and source[u] is not None:
+                votes[source[u]] += len(u)
+        reply = max(votes, key=lambda t: (votes[t], t)) if votes else None
+        told[conv, turn] = (reply, len(quoted), sum(x is not None for x in source.values()))
+    out = []
+    for conv, turn, role, text in messages:
+        reply, n, linked = told.get((conv, turn), (None, 0, 0))
+        root, depth, up = turn, 0, reply
+        while up is not None:
+            root, depth, up = up, depth + 1, told[conv, up][0]
+        lines = parse(text)
+        own = [b for k, (level, b) in enumerate(lines) if not level and not (k + 1 < len(lines) and lines[k + 1][0] and attribution.match(b))]
+        out.append((conv, root, turn, role, text or "", depth, reply, n, linked, "\n".join(own).strip(" ")))
+    out.sort(key=lambda r: r[:5])
+    places = Counter()
+    result = []
+    for conv, root, turn, role, _, *rest in out:
+        result.append((conv, root, places[conv], turn, role, *rest))
+        places[conv] += 1
+    return result
+
+
+def test_quotes_equal_brute_force(spark, scratch):
+    r, messages = random.Random(12), []
+    word = lambda: "".join(r.choices("abcdefgh", k=r.randint(1, 7)))
+    for conv in range(25):
+        said = []
+        for turn in range(r.randint(1, 9)):
+            lines = []
+            for _ in range(r.randint(0, 3) if said else 0):  # quotes of earlier messages, their own quotes nested
+                lines += ["On Monday X wrote:"] * (r.random() < 0.5)
+                earlier = r.choice(said).split("\n")
+                at = r.randrange(len(earlier))
+                lines += ["> " * r.choice([1, 1, 1, 2]) + x for x in earlier[at : at + r.randint(1, 4)]]
+                lines += [""] * (r.random() < 0.3)
+            lines += [" ".join(word() for _ in range(r.randint(0, 8))) for _ in range(r.randint(1, 4))]
+            text = "\n".join(lines)
+            said.append(text.upper() if r.random() < 0.1 else text)
+            messages.append((conv, turn, r.choice("ab"), said[-1]))
+    messages += [(3, 0, "a", None), (4, 1, "c", messages[5][3]), (99, 0, "a", " ".join(word() for _ in range(60_000)))]
+    messages.append((99, 1, "b", "> " + messages[-1][3]))
+    got = quotes.order_replies(scratch, spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")).collect()
+    columns = ["conv_id", "thread", "position", "turn", "role", "depth", "reply_to", "n_quotes", "n_linked", "text"]
+    want = brute_quotes(messages)
+    assert sorted((tuple(x[c] for c in columns) for x in got), key=str) == sorted(want, key=str)
+    assert sum(x[6] is not None for x in want) > 30 and max(x[5] for x in want) > 2
+
+
 # ---- 5 and 8
 
 
@@ -285,7 +442,7 @@ def test_separator_scan_counts_tokens(spark, scratch, rows, docs, block):
 
     library = sentencepiece.SentencePieceProcessor(model_proto=MODEL)
     path = scratch.path("flat")
-    separator_scan.write_flat(docs, path, MODEL, records_per_file=17)
+    separator_scan.write_flat(docs, path, MODEL, file_bytes=4000)
     counted = separator_scan.count_tokens(scratch, f"{path}/kind=ids", block_ids=block)
     got = {r["doc_id"]: r["n_tokens"] for r in separator_scan.name_documents(scratch, path, counted).collect()}
     assert got == {i: len(library.encode(t or "")) + 1 for i, t, *_ in rows}
@@ -293,6 +450,17 @@ def test_separator_scan_counts_tokens(spark, scratch, rows, docs, block):
     assert all(a[1] + a[2] == b[1] for a, b in zip(starts, starts[1:], strict=False))
 
 
+def test_separator_scan_of_an_empty_table_and_of_null_ids(spark, scratch):
+    path = scratch.path("none")
+    separator_scan.write_flat(empty(spark), path, MODEL)
+    counted = separator_scan.count_tokens(scratch, f"{path}/kind=ids")
+    assert separator_scan.name_documents(scratch, path, counted).count() == 0
+    path = scratch.path("odd")
+    separator_scan.write_flat(spark.createDataFrame([(None, None), (None, "a"), (3, "b c")], "doc_id long, text string"), path, MODEL)
+    counted = separator_scan.count_tokens(scratch, f"{path}/kind=ids")
+    assert sorted(((r["doc_id"], r["n_tokens"]) for r in separator_scan.name_documents(scratch, path, counted).collect()), key=str) == [(3, 3), (None, 1), (None, 2)]
+
+
 def test_token_files_round_trip(spark, scratch, rows, docs):
     from tokenizers import Tokenizer
 
@@ -384,6 +552,13 @@ def test_katz_without_training(spark, scratch):
     assert katz.unpack_sorted(katz.pack_sorted(a)).tolist() == a.tolist()
 
 
+def test_katz_keeps_ids_beside_nulls(spark, scratch):
+    big = next(i for i in range(2**53 + 1, 2**53 + 99, 2) if zlib.crc32(str(i).encode()) % 5 != 1)
+    got = katz.score(scratch, spark.createDataFrame([(None, "a b"), (big, "a c"), (0, None)], "doc_id long, text string").coalesce(1)).collect()
+    assert {r["doc_id"]: (r["n_tokens"], r["held_out"]) for r in got} == {None: (3, False), big: (3, False), 0: (1, zlib.crc32(b"0") % 5 == 1)}
+    assert katz.unpack_ids(katz.pack_ids([None, 2**62 + 1, -3])) == [None, 2**62 + 1, -3]
+
+
 # ---- 9
 
 
@@ -472,6 +647,43 @@ def test_quality_separates_labelled_documents(spark, scratch):
     assert quality_rules.apply_rules(empty(spark), scratch).count() == 0
 
 
+def test_quality_fit_recovers_known_accuracies():
+    r = np.random.default_rng(4)
+    n, share = 60_000, 0.7
+    right = {1: (0.05, 0.15, 0.8), 0: (0.7, 0.2, 0.1)}  # bad, abstain, good
+    truth = r.random(n) < share
+    votes = np.empty((n, len(quality_rules.RULES)), int)
+    for k in range(votes.shape[1]):
+        u = r.random(n)
+        for c in (0, 1):
+            edges = np.cumsum(right[c])
+            votes[truth == c, k] = np.searchsorted(edges, u[truth == c]).clip(0, 2) - 1
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    good, table = quality_rules.fit(patterns, counts.astype(float))
+    assert good == pytest.approx(share, abs=0.02)
+    assert np.abs(table - np.array([right[0], right[1]])[None]).max() < 0.02
+    p = quality_rules.posterior(votes, good, table)
+    assert ((p >= 0.5) == truth).mean() > 0.99
+
+
+@pytest.mark.parametrize("stage", [0, 1, 2, 3])
+def test_stages_leave_columns_of_any_name(spark, docs, tmp_path, stage):
+    import corpus_pipeline
+
+    names = ["n_words", "row", "gone", "kept_text", "passes", "_mark", "_nth", "_copy", "from_1", "mark", "rid", "spare", "component_id", "class_id", "kept", "line", "node", "Doc", "a b", "a.b"]
+    odd = docs.select("*", *[F.lit(f"x {k}").alias(n) for k, n in enumerate(names)])
+    out = corpus_pipeline.STAGES[stage][1](spark, odd, str(tmp_path))
+    assert out.columns == odd.columns
+    assert {tuple(r[n] for n in names) for r in out.collect()} == {tuple(f"x {k}" for k in range(len(names)))}
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    write(empty(spark), tmp_path)
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
 # ---- pipeline
 
 
