@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ from quillstone.plans import quality as qp
 from quillstone.plans.sql import ENTRIES
 from quillstone.sources import files
 from quillstone.sources import tables as t
+from quillstone.sources.shared import scratch_folder
 
 QUERIES, ORACLE = {}, {}
 
@@ -92,8 +91,7 @@ def deprecation_plan(spark, sf_dir) -> DataFrame:
 @query(f"WITH {ENTRIES} SELECT zone, count(*) AS entries, CAST(sum(version + 1) AS BIGINT) AS versions FROM entries GROUP BY zone")
 def blue_green(spark, sf_dir) -> DataFrame:
     """Two versions built below the shared folder, verified, swapped; the old one is deleted."""
-    folder = spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints")
-    table = m.VersionedTable(spark, f"{folder}/quillstone-versions-{uuid.uuid4().hex}")
+    table = m.VersionedTable(spark, scratch_folder(spark, "versions"))
     e = t.entries(spark, sf_dir).select("kid", "zone", "version")
     table.swap(table.build(e, ["zone"]))
     new = table.build(table.read().withColumn("version", F.col("version") + 1), ["zone"])

@@ -25,11 +25,12 @@ def _parse_front(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
                 meta = yaml.safe_load(text or "")
             except yaml.YAMLError:
                 meta = None
-            meta = meta if isinstance(meta, dict) else {}
+            mapping = isinstance(meta, dict)
+            meta = meta if mapping else {}
             row = {k: None if meta.get(k) is None else str(meta[k]) for k in names}
             row["tags"] = [str(x) for x in meta["tags"]] if isinstance(meta.get("tags"), list) else None
             row["version"] = int(meta["version"]) if str(meta.get("version", "")).isdigit() else None
-            row["keys"] = sorted(map(str, meta))
+            row["keys"] = sorted(map(str, meta)) if mapping else None
             rows.append(row)
         yield pd.DataFrame(rows, columns=names)
 
@@ -53,14 +54,16 @@ def read_markdown(spark: SparkSession, folder: str, skip_underscore: bool = True
     rows = rows.withColumns({"front": F.regexp_extract("text", FRONT, 1), "body": strip(F.regexp_extract("text", FRONT, 2)), "has": F.col("text").rlike(FRONT)})
     rows = rows.withColumn("meta", front_matter()(F.when(F.col("has"), F.col("front"))))
     error = (
-        F.when(F.trim("text") == "", "empty").when(~F.col("text").startswith("---"), "no_delimiter").when(~F.col("has"), "unclosed").when(F.size("meta.keys") == 0, "not_a_mapping")
+        F.when(F.trim("text") == "", "empty").when(~F.col("text").startswith("---"), "no_delimiter").when(~F.col("has"), "unclosed").when(F.col("meta.keys").isNull(), "not_a_mapping")
     )
     return rows.select("path", "meta", "body", error.alias("error"))
 
 
 def write_markdown(entries: DataFrame, folder: str) -> None:
-    """One text per entry, absent fields left out, in files of Spark's text writer; `kid` partitions them."""
-    line = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}: "), F.to_json(F.struct(F.col(c).alias("v")))))
+    """One text per entry, absent fields left out, as read_markdown reads it. Spark's text writer has a file for
+    each partition value, so every entry is a folder named by its id with one file."""
+    named = {"kid": "knowledge_id"}
+    line = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{named.get(c, c)}: "), F.to_json(F.struct(F.col(c).alias("v")))))
     clean = lambda c: F.regexp_replace(line(c), r'\{"v":(.*)\}$', "$1")
     head = F.concat_ws("\n", F.lit("---"), *[clean(c) for c in ("kid", "domain", "subject", "project", "status", "version")], F.lit("---"))
     entries.select("kid", F.concat_ws("\n", head, "content").alias("value")).write.partitionBy("kid").text(folder)

@@ -5,7 +5,6 @@ State lives in RocksDB; results are written by batch id, so a repeated batch ove
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,22 +12,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quillstone.operators.events import MINUTE_CAP
+from quillstone.operators.events import BURST_COOLDOWN, BURST_COUNT, BURST_FACTOR, BURST_HISTORY, MINUTE_CAP
+from quillstone.sources.shared import scratch_folder
 
 _STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
 def read_events(spark: SparkSession, sf_dir: str, files_per_batch: int = 64) -> DataFrame:
-    """The events table as a stream of files; times are taken as UTC timestamps."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").option("maxFilesPerTrigger", files_per_batch).parquet(sf_dir)
+    """The events table, a folder of files or one file, as a stream; times are taken as UTC timestamps."""
+    path = f"{sf_dir}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        stream = stream.parquet(path)
+    else:  # a stream reads folders, so a single file is named by a filter
+        stream = stream.option("pathGlobFilter", place.getName()).parquet(sf_dir)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def run(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
     """Runs a stream over what is there and returns everything it has written, with its batch."""
     spark = stream.sparkSession
-    folder = folder or f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/quillstone-stream-{uuid.uuid4().hex}"
+    folder = folder or scratch_folder(spark, "stream")
     before = {k: spark.conf.get(k, None) for k in _STATE}
     for k, v in _STATE.items():
         spark.conf.set(k, v)
@@ -39,6 +44,9 @@ def run(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = stream.schema.add("batch", "long")
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/out")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):  # nothing has come yet
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{folder}/out")
 
 
@@ -83,3 +91,57 @@ def guard(events: DataFrame, keep_ms: int | None = None) -> DataFrame:
         yield pd.DataFrame({"seq": rows["seq"].to_numpy(), "sig": key[0], "allowed": allowed, "carried": carried})
 
     return events.groupBy("sig").applyInPandasWithState(step, "seq long, sig string, allowed boolean, carried long", "minute long, passed long, pending long", "append", GroupStateTimeout.ProcessingTimeTimeout if keep_ms else GroupStateTimeout.NoTimeout)
+
+
+def silences(events: DataFrame, minutes: int = 30) -> DataFrame:
+    """Gaps of more than so many minutes between two events of a source; what is kept is a source's last time."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        times = pd.concat([f["at"] for f in frames]).sort_values().to_numpy()
+        before = times[:-1] if last is None else [last, *times[:-1]]
+        after = times[1:] if last is None else times
+        rows = pd.DataFrame({"source": key[0], "before": before, "after": after}).astype({"before": "int64", "after": "int64"})
+        state.update((int(times[-1]) if last is None else max(last, int(times[-1])),))
+        yield rows[rows["after"] - rows["before"] > minutes * 60]
+
+    return events.groupBy("source").applyInPandasWithState(step, "source string, before long, after long", "last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def bursts(events: DataFrame) -> DataFrame:
+    """The burst machine on a stream of (sig, cycle): a signature's cycle is judged when a later one begins. Kept
+    are the open cycle with its count, the counts of the last active cycles, and the machine's state."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        cycle, count, state, since, history = held.get if held.exists else (-1, 0, "armed", -1, "")
+        past, out = [int(x) for x in history.split(",") if x], []
+        counts = pd.concat([f["cycle"] for f in frames]).value_counts().sort_index()
+        for c, n in counts.items():
+            if c <= cycle:  # the open cycle goes on; what is late counts to it
+                count += int(n)
+                continue
+            if cycle >= 0:
+                mean = sum(past) / len(past) if past else 0.0
+                hit = count >= BURST_COUNT or (mean >= 1 and count >= BURST_FACTOR * mean)
+                quiet = state in ("fired", "held")
+                fires = not quiet and hit and (since < 0 or since >= BURST_COOLDOWN)
+                state = ("held" if hit else "re-armed") if quiet else "fired" if fires else "held" if hit else state
+                since = 0 if fires else since + (since >= 0)
+                out.append((key[0], cycle, count, state))
+                past = [*past, count][-BURST_HISTORY:]
+            cycle, count = int(c), int(n)
+        held.update((cycle, count, state, since, ",".join(map(str, past))))
+        yield pd.DataFrame(out, columns=["sig", "cycle", "n", "state"])
+
+    kept = "cycle long, count long, state string, since long, history string"
+    return events.groupBy("sig").applyInPandasWithState(step, "sig string, cycle long, n long, state string", kept, "append", GroupStateTimeout.NoTimeout)
+
+
+def raw_sink(events: DataFrame, folder: str) -> DataFrame:
+    """Appends events to a table by day, a folder a batch and day, so that a repeated batch overwrites itself;
+    returns what is there."""
+    spark = events.sparkSession
+    rows = events.withColumn("day", F.to_date("ts"))
+    write = lambda b, i: b.write.mode("overwrite").partitionBy("day").json(f"{folder}/raw/batch={i}")
+    rows.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(rows.schema.add("batch", "long")).json(f"{folder}/raw")
