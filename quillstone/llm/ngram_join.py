@@ -182,7 +182,8 @@ def link_documents(scratch: Scratch, docs: DataFrame) -> DataFrame:
     docs = one_row_per_id(docs)
     signed = scratch.cut(signatures(docs, sketch(docs)), "signed")
     full = signed.where("n_shingles > 0")
-    classes = full.groupBy("set_digest").agg(F.min("doc_id").alias("class_id"))
+    # written first, so that the join of a digest with very many rows can be split
+    classes = scratch.cut(full.groupBy("set_digest").agg(F.min("doc_id").alias("class_id")), "classes")
     members = scratch.cut(signed.select("doc_id", "n_shingles", "set_digest").join(classes, "set_digest", "left").drop("set_digest"), "members")
     heads = full.select("doc_id", "n_shingles", "prefix_digest").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
     named = heads.groupBy("prefix_digest", "n_shingles").agg(F.min("doc_id").alias("gid"), F.count(F.lit(1)).alias("classes"))
@@ -203,7 +204,9 @@ def link_documents(scratch: Scratch, docs: DataFrame) -> DataFrame:
     comps = components(scratch, links)
     entries = lists.join(groups, "gid").join(comps.withColumnRenamed("node", "class_id"), "class_id", "left")
     entries = entries.select("token", "n", "pos", "class_id", F.coalesce("component", "class_id").alias("comp"))
-    open_lists = entries.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.mode("comp", True).alias("main")).where("lo <> hi")
+    # counted by component first, so that no task holds a map of a list's components
+    per = entries.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("token")
+    open_lists = per.agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     entries = scratch.cut(entries.join(open_lists.select("token", "main"), "token"), "open")
     others = entries.where("comp <> main").select("token", F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("class_id").alias("other"), F.col("comp").alias("comp2"))
     cross = entries.join(others, "token").where("comp <> comp2 and (comp = main or class_id < other)").where(_CLOSE)
