@@ -532,14 +532,15 @@ def test_katz_sums_to_one(spark, scratch, docs, monkeypatch):
     assert level.p1.sum() == pytest.approx(1)
     r = np.random.default_rng(1)
     classes = len(level.p1)
-    keys = np.unique(r.integers(1, classes, 4000).astype(np.uint32) << np.uint32(16) | r.integers(0, classes, 4000).astype(np.uint32))
+    keys = np.unique(r.integers(1, classes, 4000).astype(np.uint64) << np.uint64(32) | r.integers(0, classes, 4000).astype(np.uint64))
+    keys = np.concatenate([keys, np.uint64(katz.START) << np.uint64(32) | np.arange(0, classes, 3, dtype=np.uint64)])
     counts = r.geometric(0.4, len(keys))
     table = spark.createDataFrame([(katz.pack_sorted(keys), katz.pack(counts.astype("<u8")))], "a binary, b binary")
     b = katz.Backoff(level, table, np.bincount(np.minimum(counts, 7), minlength=8))
-    for h in range(1, classes, 17):
-        mine = keys >> 16 == h
+    for h in [*range(1, classes, 17), katz.START]:
+        mine = keys >> np.uint64(32) == h
         full = np.zeros(classes, np.int64)
-        full[keys[mine] & 0xFFFF] = counts[mine]
+        full[(keys[mine] & np.uint64(katz.START)).astype(np.int64)] = counts[mine]
         p = 10 ** b.log10(level, np.full(classes, h), np.arange(classes), full)
         assert p.sum() == pytest.approx(1, abs=1e-9)
     tail = [x["c"] for x in words.collect() if np.array(x["word"], np.int64).view(np.uint64) not in level.hashes]
@@ -552,6 +553,39 @@ def test_katz_without_training(spark, scratch):
     assert katz.unpack_sorted(katz.pack_sorted(a)).tolist() == a.tolist()
 
 
+def test_katz_scores_equal_brute_force(spark, scratch, rows, docs):
+    """The whole model by dictionaries, every word with an id of its own."""
+    train = [(t or "").encode().lower().split() + [None] for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    uni, big = Counter(w for d in train for w in d), Counter((a, b) for d in train for a, b in zip(["<start>", *d], d, strict=False))
+    words = {w: c for w, c in uni.items() if w is not None}
+    histogram = lambda counts: np.array([0, *(sum(c == r for c in counts) for r in range(1, 7))], float)
+    d1, d2 = katz.discounts(histogram(words.values())), katz.discounts(histogram(big.values()))
+    n = sum(uni.values())
+    p1 = {w: (c if w is None else float(katz.discounted(np.array([c]), d1)[0])) / n for w, c in uni.items()}
+    rare = max(1 - sum(p1.values()), sum((1 - d1[r]) * r * histogram(words.values())[r] for r in range(1, 6)) / n)
+    total = sum(p1.values()) + rare
+    p1 = {w: p / total for w, p in p1.items()}
+    after = defaultdict(dict)
+    for (h, w), c in big.items():
+        after[h][w] = c
+    got = {r["doc_id"]: r["score"] for r in katz.score(scratch, docs).collect()}
+    for i, t, *_ in rows:
+        want, h = 0.0, "<start>"
+        for w in [*(t or "").encode().lower().split(), None]:
+            low = p1.get(w, rare / total)
+            seen, c = after.get(h, {}), sum(after.get(h, {}).values())
+            kept = sum(float(katz.discounted(np.array([x]), d2)[0]) for x in seen.values())
+            left, open_p = (1 - kept / c if c else 1.0), 1 - sum(p1[x] for x in seen)
+            whole = c and left < 1e-9
+            if w in seen:
+                p = float(katz.discounted(np.array([seen[w]]), d2)[0]) / c * (c / (c + 1) * c / kept if whole else 1)
+            else:
+                p = low * ((1 / (c + 1) if whole else left) / open_p if c else 1)
+            want += math.log10(p)
+            h = w if w in uni else "<rare>"
+        assert got[i] == pytest.approx(want, rel=1e-6), i
+
+
 def test_katz_keeps_ids_beside_nulls(spark, scratch):
     big = next(i for i in range(2**53 + 1, 2**53 + 99, 2) if zlib.crc32(str(i).encode()) % 5 != 1)
     got = katz.score(scratch, spark.createDataFrame([(None, "a b"), (big, "a c"), (0, None)], "doc_id long, text string").coalesce(1)).collect()
