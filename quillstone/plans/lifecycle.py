@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.functions import score as sc
+from quillstone.functions import text as tx
+from quillstone.functions import time as tm
 from quillstone.operators import lifecycle as lc
+from quillstone.operators.events import alert_budget as alert_rows
 from quillstone.operators.events import resolve
 from quillstone.plans import events as pe
 from quillstone.plans import quality as pq
@@ -340,3 +344,23 @@ def weekly_metrics(spark, sf_dir) -> DataFrame:
     done = (F.col("status") == "resolved") | (n % 2 == 0)
     a = a.withColumns({"fixed_at": F.when(done, F.when(n % 3 == 0, F.col("first_seen")).otherwise(F.col("last_seen"))), "status": F.when(n % 2 == 0, "resolved").otherwise("active")})
     return lc.weekly_metrics(a, now)
+
+
+@query(f"""WITH c AS (SELECT sig, kind, last_seen FROM ({pe.ORACLE['alert_candidates']}) a JOIN ({E}, {pe.AGG} SELECT sig, last_seen FROM agg) l USING (sig)),
+    r AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN kind = 'new_p0' THEN 0 ELSE 1 END, last_seen DESC, sig) AS rank FROM c)
+    SELECT kind, sig, 1 AS n, true AS sent FROM r WHERE rank <= 2 UNION ALL SELECT kind, NULL, count(*), false FROM r WHERE rank > 2 GROUP BY kind""")
+def alert_budget(spark, sf_dir) -> DataFrame:
+    last = pe.aggregates(spark, sf_dir).select("sig", "last_seen")
+    return alert_rows(pe.QUERIES["alert_candidates"](spark, sf_dir).join(last, "sig"))
+
+
+@query("""SELECT event_id AS id, CAST(floor((event_id % 100 + user_id + 3) / 4) AS BIGINT) AS tokens, sha256('ask ' || event_type || chr(10) || 'end') AS prompt,
+    CASE event_id % 4 WHEN 0 THEN CAST(floor(epoch(ts)) AS BIGINT) WHEN 1 THEN CAST(floor(epoch(ts)) AS BIGINT) - 10800 WHEN 2 THEN CAST(floor(epoch(ts)) AS BIGINT) END AS at_s FROM events""")
+def calls_and_times(spark, sf_dir) -> DataFrame:
+    """Token estimates, prompt hashes that ignore white space at line ends, and times as they are written."""
+    n = F.col("event_id")
+    prompt = F.concat(F.lit("ask "), F.col("event_type"), F.when(n % 2 == 0, F.lit("  \t")).otherwise(F.lit("")), F.lit("\nend"))
+    plain = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    written = F.when(n % 4 == 0, F.concat(plain, F.lit(".123456789Z"))).when(n % 4 == 1, F.concat(plain, F.lit("+03:00"))).when(n % 4 == 2, plain).otherwise(F.concat(F.lit("on "), plain))
+    at = F.unix_timestamp(tm.parse_instant(written))
+    return t.table(spark, sf_dir, "events").select(n.alias("id"), sc.usage_tokens(n % 100, F.col("user_id")).alias("tokens"), tx.prompt_hash(prompt).alias("prompt"), at.alias("at_s"))

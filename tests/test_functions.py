@@ -79,3 +79,40 @@ def test_markdown_and_versions(spark, tmp_path):
     t.swap(t.build(spark.range(5)))
     t.drop_others()
     assert t.read().count() == 5
+
+
+def test_written_markdown_is_read_back(spark, tmp_path):
+    rows = [("k1", "d", "s", None, "draft", 2, "Body\nof one"), ("k2", "d", None, "p", None, 1, "Two")]
+    files.write_markdown(spark.createDataFrame(rows, "kid string, domain string, subject string, project string, status string, version int, content string"), f"file://{tmp_path}/out")
+    for f in (tmp_path / "out").rglob("part-*.txt"):
+        f.rename(f.with_suffix(".md"))
+    got = {r["meta"]["knowledge_id"]: r for r in files.read_markdown(spark, f"file://{tmp_path}/out").collect()}
+    assert {k: (r["body"], r["meta"]["subject"], r["meta"]["project"], r["meta"]["version"], r["error"]) for k, r in got.items()} == {"k1": ("Body\nof one", "s", None, 2, None), "k2": ("Two", None, "p", 1, None)}
+    (tmp_path / "x.jsonl").write_text('{"a": 1}\nno json\n{"a": 2}\n')
+    assert sorted(r["a"] for r in files.read_json_lines(spark, str(tmp_path / "x.jsonl"), "a int").collect()) == [1, 2]
+
+
+def test_ids_and_long_documents(spark):
+    make = lambda *a: one(spark, tx.knowledge_id(*map(F.lit, a)))
+    assert make("Engineering", "physical training", "Знания и опыт", "007") == "engineering-physical-training-znaniya-i-opyt-007"
+    assert make("!", "", "", "001") == "domain-subject-section-001"
+    long = make("d" * 60, "s" * 60, "t" * 60, "deadbeef")
+    assert long == f"{'d' * 40}-{'s' * 40}-{'t' * 36}-deadbeef" and len(long) == 127
+    v = spark.range(6).selectExpr("cast(1 as long) as doc", "id as nth", "array(1.0d, 0.0d) as vector").union(spark.range(3).selectExpr("cast(2 as long)", "id", "array(1.0d, 0.0d)"))
+    got = dc.cluster_paragraphs(v, most=4).collect()
+    assert sorted((r["doc"], r["nth"]) for r in got) == [(1, k) for k in range(6)] + [(2, k) for k in range(3)]
+
+
+def test_paths_of_any_length(spark):
+    edges = spark.range(40).selectExpr("cast(0 as int) as g", "id as src", "id + 1 as dst")
+    assert w.reachable(spark, edges).count() == 40 * 41 // 2
+
+
+def test_snapshots_an_hour_after_the_last(spark):
+    from quillstone.operators import events as ev
+
+    at = lambda m: f"2024-01-01 {int(m) // 60:02d}:{int(m) % 60:02d}:{int(m * 60) % 60:02d}"
+    rows = [("cpu", at(m), k, m != 200) for k, m in enumerate((0, 61, 120.5, 121, 200, 201, 202))]
+    d = spark.createDataFrame(rows, "metric string, ts string, seq long, breached boolean").withColumn("ts", F.col("ts").cast("timestamp"))
+    # the last snapshot of an earlier breach counts
+    assert [(r["seq"], r["kind"]) for r in ev.edge_trigger(d).orderBy("seq").collect()] == [(0, "edge"), (1, "snapshot"), (3, "snapshot"), (5, "edge"), (6, "snapshot")]
