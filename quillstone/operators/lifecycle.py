@@ -262,3 +262,15 @@ def weekly_metrics(aggregates: DataFrame, now: Column) -> DataFrame:
     ranked = running_sum(aggregates.where(fixed).select("sig", hours.alias("h")), [], F.floor("h"), ["h", "sig"], F.lit(1), "rn")
     median = ranked.join(F.broadcast(counts.select("fixed"))).where(F.col("rn") == F.floor(F.col("fixed") / 2) + 1).select(F.round("h", 1).alias("median_hours"))
     return counts.join(F.broadcast(median), how="left")
+
+
+def filtered(aggregates: DataFrame, status: str | None = None, sig: str | None = None, text: str | None = None) -> DataFrame:
+    """Aggregates of a status, with exactly that signature, or whose signature has a text in any case."""
+    rows = aggregates
+    if status:
+        rows = rows.where(F.col("status") == status)
+    if sig:
+        rows = rows.where(F.col("sig") == sig)
+    if text:
+        rows = rows.where(F.lower("sig").contains(text.lower()))
+    return rows

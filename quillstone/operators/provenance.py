@@ -97,14 +97,15 @@ def reason() -> Column:
     )
 
 
-FIELDS = ("role", "size", "mime")
+#: What a change of a blob's registry row is; creation times don't count.
+FIELDS = ("role", "size", "mime", "filename", "derived_from", "tool", "params_hash")
 
 
-def registry_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+def registry_diff(old: DataFrame, new: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """added, removed, updated by sha; creation times don't count."""
     o, n = old.alias("o"), new.alias("n")
     changed = F.lit(False)
-    for f in FIELDS:
+    for f in fields:
         changed = changed | ~F.col(f"o.{f}").eqNullSafe(F.col(f"n.{f}"))
     state = F.when(F.col("o.known").isNull(), "added").when(F.col("n.known").isNull(), "removed").when(changed, "updated")
     return o.join(n, "sha256", "full_outer").select("sha256", state.alias("state")).where("state is not null")

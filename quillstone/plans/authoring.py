@@ -201,3 +201,22 @@ def answers_and_titles(spark, sf_dir) -> DataFrame:
     return t.table(spark, sf_dir, "events").select(
         n.alias("id"), au.verdict(answer).alias("verdict"), au.clean_title(title).alias("title"), heading.alias("content"), au.served_type(mime).alias("mime")
     )
+
+
+@query(f"WITH {MARKED} SELECT kid, coalesce(nullif(trim(regexp_extract(content, '(?m)^#{{1,6}}\\s+(.+)$', 1)), ''), kid) AS title FROM marked")
+def heading_titles(spark, sf_dir) -> DataFrame:
+    """Titles of texts that mostly have a heading."""
+    return marked(spark, sf_dir).select("kid", tx.derive_title(F.col("content"), F.col("kid")).alias("title"))
+
+
+# a text in Cyrillic letters, its slug, a tag and its normal form
+_LETTERS = [
+    ("Съешь ещё этих мягких", "sesh-eshchyo-etikh-myagkikh", "Жизнь!", "zhizn"), ("Щука, Юла & Цех №5", "shchuka-yula-tsekh-5", "a--Б-", "a-b"),
+    ("  Чай по-русски ", "chay-po-russki", "C++", "c"), ("Plain words", "plain-words", "Ёж_1", "yozh1"), ("— ! —", "", "--", ""),
+]
+
+
+@query(f"SELECT p_partkey AS id, {[x[1] for x in _LETTERS]}[p_partkey % 5 + 1] AS slug, {[x[3] for x in _LETTERS]}[p_partkey % 5 + 1] AS tag FROM part")
+def cyrillic_slugs(spark, sf_dir) -> DataFrame:
+    pick = lambda k: F.get(F.array(*[F.lit(x[k]) for x in _LETTERS]), (F.col("p_partkey") % 5).cast("int"))
+    return t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), tx.slugify(pick(0)).alias("slug"), tx.normalize_tag(pick(2)).alias("tag"))

@@ -110,7 +110,11 @@ def byte_ranges(spark, sf_dir) -> DataFrame:
     return t.table(spark, sf_dir, "events").select(n.alias("id"), r["start"].alias("start"), r["end"].alias("stop"))
 
 
-@query(None)
+_HEX = "sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(zone || ':' || kid || ':0'))"
+
+
+@query(f"""WITH {ENTRIES}, h AS (SELECT kid, {_HEX} AS h FROM entries)
+    SELECT kid, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ['8', '9', 'a', 'b'][(strpos('0123456789abcdef', h[17]) - 1) % 4 + 1] || h[18:20] || '-' || h[21:32] AS point_id FROM h""")
 def uuid5_points(spark, sf_dir) -> DataFrame:
     return t.entries(spark, sf_dir).select("kid", dc.point_id(NAMESPACE, F.concat_ws(":", "zone", "kid", F.lit("0"))).alias("point_id"))
 

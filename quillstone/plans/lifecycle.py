@@ -10,8 +10,10 @@ from quillstone.functions import text as tx
 from quillstone.functions import time as tm
 from quillstone.operators import lifecycle as lc
 from quillstone.operators.events import alert_budget as alert_rows
+from quillstone.operators.events import examples as newest_events
 from quillstone.operators.events import resolve
 from quillstone.plans import events as pe
+from quillstone.plans import provenance as pr
 from quillstone.plans import quality as pq
 from quillstone.plans.sql import ENTRIES
 from quillstone.plans.events import E
@@ -364,3 +366,28 @@ def calls_and_times(spark, sf_dir) -> DataFrame:
     written = F.when(n % 4 == 0, F.concat(plain, F.lit(".123456789Z"))).when(n % 4 == 1, F.concat(plain, F.lit("+03:00"))).when(n % 4 == 2, plain).otherwise(F.concat(F.lit("on "), plain))
     at = F.unix_timestamp(tm.parse_instant(written))
     return t.table(spark, sf_dir, "events").select(n.alias("id"), sc.usage_tokens(n % 100, F.col("user_id")).alias("tokens"), tx.prompt_hash(prompt).alias("prompt"), at.alias("at_s"))
+
+
+@query(f"""{E}, {pe.AGG}, x AS (SELECT *, CASE WHEN count_total % 2 = 0 THEN 'resolved' ELSE 'active' END AS status FROM agg),
+    e AS (SELECT sig, seq, row_number() OVER (PARTITION BY sig ORDER BY ts DESC, seq DESC) AS rank FROM error_events)
+    SELECT x.sig, status, count(e.seq) AS examples, max(e.seq) AS newest FROM x JOIN e ON e.sig = x.sig AND rank <= 3 WHERE status = 'active' AND contains(lower(x.sig), 'e') GROUP BY ALL""")
+def errors_with_examples(spark, sf_dir) -> DataFrame:
+    """Active signatures that match, each with its three newest events."""
+    a = pe.aggregates(spark, sf_dir).withColumn("status", F.when(F.col("count_total") % 2 == 0, "resolved").otherwise("active"))
+    found = lc.filtered(a, status="active", text="E")
+    e = newest_events(t.error_events(spark, sf_dir)).select("sig", "seq")
+    return found.join(e, "sig").groupBy("sig", "status").agg(F.count("seq").alias("examples"), F.max("seq").alias("newest"))
+
+
+@query(f"""{E}, {pe.AGG} SELECT sig, count_total FROM agg WHERE sig = 'error|3'""")
+def exact_signature(spark, sf_dir) -> DataFrame:
+    return lc.filtered(pe.aggregates(spark, sf_dir), sig="error|3").select("sig", "count_total")
+
+
+@query(f"""WITH {pr.REFS}, {pr.BLOBS}, d AS (SELECT CASE WHEN actual_sha256 IS NULL THEN 'missing' WHEN actual_sha256 <> refs.sha256 THEN 'mismatch' END AS defect, ref_kind = 'canonical' AS lost
+        FROM refs LEFT JOIN blobs ON blobs.sha256 = refs.sha256) SELECT coalesce(defect, 'ok') AS defect, count(*) AS n, count(*) FILTER (lost AND defect IS NOT NULL) AS canonical_lost FROM d GROUP BY 1""")
+def integrity_counts(spark, sf_dir) -> DataFrame:
+    all_ = pr.refs(spark, sf_dir)
+    bad = pr.QUERIES["integrity"](spark, sf_dir).groupBy("defect").agg(F.count(F.lit(1)).alias("n"), F.count_if("canonical_lost").alias("canonical_lost"))
+    rest = all_.agg(F.count(F.lit(1)).alias("all")).join(F.broadcast(bad.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("bad"))))
+    return bad.unionByName(rest.select(F.lit("ok").alias("defect"), (F.col("all") - F.col("bad")).alias("n"), F.lit(0).cast("long").alias("canonical_lost")).where("n > 0"))

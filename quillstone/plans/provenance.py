@@ -152,7 +152,7 @@ def citation_reason(spark, sf_dir) -> DataFrame:
 def registry_diff(spark, sf_dir) -> DataFrame:
     p = t.table(spark, sf_dir, "part")
     k = F.col("p_partkey")
-    rows = lambda d, size: d.select(sha(F.concat(F.lit("p"), k.cast("string"))).alias("sha256"), F.col("p_brand").alias("role"), size.alias("size"), F.col("p_type").alias("mime"), F.lit(True).alias("known"))
+    rows = lambda d, size: d.select(sha(F.concat(F.lit("p"), k.cast("string"))).alias("sha256"), F.col("p_brand").alias("role"), size.alias("size"), F.col("p_type").alias("mime"), F.col("p_name").alias("filename"), F.lit(None).cast("string").alias("derived_from"), F.col("p_type").alias("tool"), F.col("p_brand").alias("params_hash"), F.lit(True).alias("known"))
     return pv.registry_diff(rows(p.where("p_partkey % 5 <> 0"), F.col("p_size")), rows(p.where("p_partkey % 7 <> 0"), F.when(k % 8 != 0, F.col("p_size"))))
 
 
