@@ -216,3 +216,35 @@ SERVED_TYPES = ("application/pdf", "text/plain", "text/markdown", "image/png", "
 def served_type(mime: Column) -> Column:
     plain = F.lower(F.trim(F.split(mime, ";").getItem(0)))
     return F.when(plain.isin(*SERVED_TYPES), plain).otherwise("application/octet-stream")
+
+
+def located(text: Column, chunk: Column, least: int = 24) -> Column:
+    """Where a chunk begins in a text (from 0) if runs of white space count as one space in both; null if it is
+    not there, or shorter than `least` characters then."""
+    flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    at = F.instr(flat(text), flat(chunk))
+    before = F.substr(flat(text), F.lit(1), F.greatest(at - 1, F.lit(0)))
+    words, gaps = F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)), F.regexp_extract_all(text, F.lit(r"\s+"), F.lit(0))
+    whole = F.length(F.regexp_replace(before, "[^ ]", ""))  # words that end before the chunk
+    inner = F.length(F.regexp_extract(before, r"[^ ]*$", 0))
+    lead = F.length(F.regexp_extract(text, r"^\s*", 0))
+    inside = F.when(lead > 0, F.slice(gaps, 2, F.size(gaps))).otherwise(gaps)
+    sums = lambda a: F.aggregate(F.slice(a, 1, whole), F.lit(0), lambda n, x: n + F.length(x))
+    return F.when((F.length(flat(chunk)) >= least) & (at > 0), lead + sums(words) + sums(inside) + inner)
+
+
+def book_titles(entries: DataFrame) -> DataFrame:
+    """kid, book_title: the title of an entry's book in its own zone, or null."""
+    books = entries.select(F.col("kid").alias("parent"), "zone", tx.derive_title(F.col("content"), F.col("kid")).alias("book_title"))
+    return entries.where("parent is not null").select("kid", "parent", "zone").join(books, ["parent", "zone"], "left").select("kid", "book_title")
+
+
+def registry_findings(rows: DataFrame, models: DataFrame) -> DataFrame:
+    """cell, code of what is wrong with rows of a registry (cell, model, price, limit): a cell that is there
+    more than once, a model that is not known, a price below 0, a limit that is no positive number."""
+    twice = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell", F.lit("dup_cell").alias("code"))
+    known = models.select("model", F.lit(True).alias("known"))
+    codes = F.array_compact(F.array(
+        F.when(F.col("known").isNull(), "unknown_model"), F.when(F.coalesce(F.col("price"), F.lit(-1)) < 0, "bad_price"), F.when(F.coalesce(F.col("limit").try_cast("long"), F.lit(0)) <= 0, "bad_limit")
+    ))
+    return rows.join(known, "model", "left").select("cell", F.explode(codes).alias("code")).unionByName(twice)

@@ -220,3 +220,36 @@ _LETTERS = [
 def cyrillic_slugs(spark, sf_dir) -> DataFrame:
     pick = lambda k: F.get(F.array(*[F.lit(x[k]) for x in _LETTERS]), (F.col("p_partkey") % 5).cast("int"))
     return t.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), tx.slugify(pick(0)).alias("slug"), tx.normalize_tag(pick(2)).alias("tag"))
+
+
+@query(f"""WITH {ENTRIES}, x AS (SELECT kid, n, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS flat, content FROM entries WHERE NOT regexp_matches(content, '\\s\\s|\\n|^\\s|\\s$'))
+    SELECT kid, CASE WHEN n % 5 = 0 THEN NULL WHEN length(trim(flat[12:12 + 60])) < 24 THEN NULL
+        ELSE 1 + 11 + length(regexp_replace(flat[1:11], '[^ ]', '', 'g')) + CASE WHEN flat[12] = ' ' THEN 2 ELSE 0 END END AS start FROM x WHERE strpos(flat, trim(flat[12:12 + 60])) = CASE WHEN flat[12] = ' ' THEN 13 ELSE 12 END""")
+def located_chunks(spark, sf_dir) -> DataFrame:
+    """Chunks of texts whose spaces were doubled, looked for in those; every fifth is not there."""
+    e = t.entries(spark, sf_dir).where(~F.col("content").rlike(r"\s\s|\n|^\s|\s$"))
+    part = F.trim(F.substring("content", 12, 61))
+    at = F.when(F.substring("content", 12, 1) == " ", 13).otherwise(12)
+    e = e.where(F.instr("content", part) == at)
+    wide = F.concat(F.lit("\n"), F.replace("content", F.lit(" "), F.when(F.col("n") % 2 == 0, "  ").otherwise("\n ")))
+    chunk = F.when(F.col("n") % 5 == 0, F.lit("words that no text has, that is sure")).otherwise(part)
+    return e.select("kid", au.located(wide, chunk).cast("long").alias("start"))
+
+
+@query(f"""WITH {ENTRIES}, b AS (SELECT kid AS parent, zone, coalesce(nullif(trim(regexp_extract(content, '(?m)^#{{1,6}}\\s+(.+)$', 1)), ''), kid) AS book_title FROM entries)
+    SELECT kid, book_title FROM entries LEFT JOIN b USING (parent, zone) WHERE parent IS NOT NULL""")
+def book_titles(spark, sf_dir) -> DataFrame:
+    return au.book_titles(t.entries(spark, sf_dir))
+
+
+@query("""WITH r AS (SELECT CASE WHEN p_partkey % 50 = 1 THEN p_partkey - 1 ELSE p_partkey END AS cell, 'm' || p_partkey % 9 AS model, CASE WHEN p_partkey % 7 = 0 THEN -1 ELSE p_size END AS price,
+        CASE WHEN p_partkey % 11 = 0 THEN 'many' ELSE CAST(p_size AS VARCHAR) END AS lim FROM part)
+    SELECT cell, 'dup_cell' AS code FROM r GROUP BY cell HAVING count(*) > 1 UNION ALL SELECT cell, 'unknown_model' FROM r WHERE model IN ('m7', 'm8')
+    UNION ALL SELECT cell, 'bad_price' FROM r WHERE price < 0 UNION ALL SELECT cell, 'bad_limit' FROM r WHERE coalesce(try_cast(lim AS BIGINT), 0) <= 0""")
+def registry_findings(spark, sf_dir) -> DataFrame:
+    n = F.col("p_partkey")
+    rows = t.table(spark, sf_dir, "part").select(
+        F.when(n % 50 == 1, n - 1).otherwise(n).alias("cell"), F.concat(F.lit("m"), (n % 9).cast("string")).alias("model"), F.when(n % 7 == 0, -1).otherwise(F.col("p_size")).alias("price"),
+        F.when(n % 11 == 0, "many").otherwise(F.col("p_size").cast("string")).alias("limit"),
+    )
+    return au.registry_findings(rows, spark.range(7).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("model")))
