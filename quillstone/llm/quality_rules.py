@@ -43,7 +43,7 @@ _CONTINUATION = bytes(range(0x80, 0xC0))
 _UPPER = bytes(range(0x41, 0x5B))
 _SPACES = b" \t\n\x0b\x0c\r"
 #: Documents that the rules' assumed votes count for in the fit, whatever the size of the corpus.
-PSEUDO_COUNTS = 50.0
+PSEUDO_COUNTS = 4.0
 _HAS_LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
 _MARKED = re.compile(rb"(?:!!|[#*$%&|<>]{2})")
 
