@@ -38,43 +38,51 @@ def stale_books(scores: DataFrame) -> DataFrame:
     return out.where("stale > 0").withColumn("fraction", F.round(F.col("stale") / F.col("sections"), 3)).orderBy(F.desc("fraction"), F.desc("max_score"), "parent")
 
 
-def eligible(entries: DataFrame) -> DataFrame:
-    """What takes part in the duplicate scan: not deprecated, no table of contents, the first 500 of a domain."""
+def eligible(entries: DataFrame, first: int | None = PAIR_FIRST) -> DataFrame:
+    """What takes part in the duplicate scan: not deprecated, no table of contents, the first 500 of a domain, or
+    all (None)."""
     rows = entries.where((F.coalesce("status", F.lit("")) != "deprecated") & ~F.col("kid").contains("table-of-content"))
-    rank = F.row_number().over(Window.partitionBy("domain").orderBy("kid"))
-    return rows.withColumn("rn", rank).where(F.col("rn") <= PAIR_FIRST)
+    rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy("domain").orderBy("kid")))
+    return rows if first is None else rows.where(F.col("rn") <= first)
 
 
-def cap_pairs(pairs: DataFrame) -> DataFrame:
-    """At most ten pairs per left id, in scan order."""
-    return pairs.withColumn("nth", F.row_number().over(Window.partitionBy("kid_a").orderBy("kid_b"))).where(F.col("nth") <= PAIR_CAP).drop("nth")
+def cap_pairs(pairs: DataFrame, cap: int | None = PAIR_CAP) -> DataFrame:
+    """At most ten pairs per left id, in scan order, or all (None)."""
+    if cap is None:
+        return pairs
+    return pairs.withColumn("nth", F.row_number().over(Window.partitionBy("kid_a").orderBy("kid_b"))).where(F.col("nth") <= cap).drop("nth")
 
 
-def vector_pairs(points: DataFrame) -> DataFrame:
-    """kid_a < kid_b of one domain with a cosine of at least 0.92: one matrix product per domain of at
-    most 500 entries (the scan's own bound)."""
+def vector_pairs(points: DataFrame, first: int | None = PAIR_FIRST, cap: int | None = PAIR_CAP) -> DataFrame:
+    """kid_a < kid_b of one domain with a cosine of at least 0.92: a matrix product for each pair of blocks of
+    PAIR_FIRST entries, so a task holds two blocks whatever the size of a domain."""
     firsts = points.groupBy("domain", "kid").agg(F.min_by("vector", "vec_id").alias("vector"), F.first("status").alias("status"))
+    rows = eligible(firsts, first).withColumn("block", F.floor((F.col("rn") - 1) / PAIR_FIRST))
+    blocks = rows.groupBy("domain").agg(F.max("block").alias("last"))
+    rows = rows.join(F.broadcast(blocks), "domain").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+    rows = rows.select("domain", "kid", "vector", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
 
     def near(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("kid")
-        m = unit_rows(rows.column("vector").to_pylist())
+        m, block = unit_rows(rows.column("vector").to_pylist()), rows.column("block").to_numpy()
         c = np.round(m @ m.T, 4)
-        a, b = np.nonzero(np.triu(c >= NEAR, 1))
+        p, q = rows.column("p")[0].as_py(), rows.column("q")[0].as_py()
+        a, b = np.nonzero(np.triu(c >= NEAR, 1) & (block[:, None] == p) & (block[None] == q))
         names = rows.column("kid").combine_chunks()
         domain = pa.array([rows.column("domain")[0].as_py()] * len(a), pa.string())
         return pa.table({"domain": domain, "kid_a": names.take(pa.array(a)), "kid_b": names.take(pa.array(b)), "cosine": pa.array(c[a, b], pa.float64())})
 
-    return cap_pairs(eligible(firsts).groupBy("domain").applyInArrow(near, "domain string, kid_a string, kid_b string, cosine double"))
+    return cap_pairs(rows.groupBy("domain", "p", "q").applyInArrow(near, "domain string, kid_a string, kid_b string, cosine double"), cap)
 
 
-def tag_pairs(entries: DataFrame) -> DataFrame:
+def tag_pairs(entries: DataFrame, first: int | None = PAIR_FIRST, cap: int | None = PAIR_CAP) -> DataFrame:
     """Pairs of one domain and subject with at least half of the smaller tag set in common. A pair shares a
     tag, so candidates come from an equi-join on it."""
-    rows = eligible(entries).select("domain", "subject", "kid", "rn", "tags", F.explode("tags").alias("tag"))
+    rows = eligible(entries, first).select("domain", "subject", "kid", "rn", "tags", F.explode("tags").alias("tag"))
     a, b = rows.alias("a"), rows.alias("b")
     both = a.join(b, F.expr("a.domain = b.domain and a.subject = b.subject and a.tag = b.tag and a.rn < b.rn"))
     both = both.groupBy("a.domain", F.col("a.kid").alias("kid_a"), F.col("b.kid").alias("kid_b")).agg(F.count(F.lit(1)).alias("common"), F.first(F.least(F.size("a.tags"), F.size("b.tags"))).alias("least_size"))
-    return cap_pairs(both.where(F.col("common") / F.col("least_size") >= 0.5).select("domain", "kid_a", "kid_b", "common"))
+    return cap_pairs(both.where(F.col("common") / F.col("least_size") >= 0.5).select("domain", "kid_a", "kid_b", "common"), cap)
 
 
 def hash_pairs(entries: DataFrame) -> DataFrame:

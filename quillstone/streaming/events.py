@@ -68,7 +68,7 @@ def deduplicated(events: DataFrame, late: str = "1 minute") -> DataFrame:
 
 def guard(events: DataFrame, keep_ms: int | None = None) -> DataFrame:
     """The storm guard as a stateful operator: per signature the open minute, how many passed in it, and
-    what was suppressed since the last that passed. With keep_ms (a week, say, in a stream that runs for
+    what was suppressed since the last that passed. Immune events (column `immune`) pass and count nothing. With keep_ms (a week, say, in a stream that runs for
     good) the state of a signature goes after so long a silence; a run to the end has no timeouts."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -78,7 +78,11 @@ def guard(events: DataFrame, keep_ms: int | None = None) -> DataFrame:
         minute, passed, pending = state.get if state.exists else (-1, 0, 0)
         rows = pd.concat(list(frames)).sort_values(["minute", "seq"])
         allowed, carried = [], []
-        for m in rows["minute"]:
+        for m, free in zip(rows["minute"], rows["immune"], strict=True):
+            if free:
+                allowed.append(True)
+                carried.append(0)
+                continue
             if m != minute:
                 minute, passed = int(m), 0
             ok = passed < MINUTE_CAP

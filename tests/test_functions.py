@@ -116,3 +116,18 @@ def test_snapshots_an_hour_after_the_last(spark):
     d = spark.createDataFrame(rows, "metric string, ts string, seq long, breached boolean").withColumn("ts", F.col("ts").cast("timestamp"))
     # the last snapshot of an earlier breach counts
     assert [(r["seq"], r["kind"]) for r in ev.edge_trigger(d).orderBy("seq").collect()] == [(0, "edge"), (1, "snapshot"), (3, "snapshot"), (5, "edge"), (6, "snapshot")]
+
+
+def test_pairs_without_bounds(spark, monkeypatch):
+    from quillstone.operators import quality as q
+
+    r = np.random.default_rng(2)
+    base = r.normal(size=(8, 4))
+    rows = [("d", f"k{i:03d}", (base[i % 8] + 0.01 * r.normal(size=4)).tolist(), i, "published") for i in range(60)]
+    d = spark.createDataFrame(rows, "domain string, kid string, vector array<double>, vec_id long, status string")
+    u = np.array([x[2] for x in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = {(f"k{a:03d}", f"k{b:03d}") for a in range(60) for b in range(a + 1, 60) if round(float(u[a] @ u[b]), 4) >= 0.92}
+    monkeypatch.setattr(q, "PAIR_FIRST", 7)  # blocks of seven
+    assert {(x["kid_a"], x["kid_b"]) for x in q.vector_pairs(d, None, None).collect()} == want
+    assert q.vector_pairs(d, 14, 2).groupBy("kid_a").count().agg(F.max("count")).first()[0] <= 2
