@@ -16,9 +16,9 @@ INTERVALS equal intervals starts a band of five, which is common with a probabil
 Buckets are the lines that share a band. In each, the line with the most exact copies is the hub, and
 all others are compared with it. After components are taken, only buckets with several components are
 looked at again: lines outside the main component with a second hub, then with all lines of another
-component. There, sizes and 1,024 parities of all 5-grams rule pairs out while they are joined, by an
-exact bound, and buckets of FINE_FROM lines or more are first split by finer bands (eight neighbours,
-40 intervals, all 5-grams), so that lines that only share a passage do not meet. A bucket of copies
+component. Buckets of FINE_FROM lines or more are first split by finer bands (eight neighbours, 40
+intervals, all 5-grams), so that lines that only share a passage do not meet, and sizes and 1,024
+parities of all 5-grams rule pairs out while they are joined, by an exact bound. A bucket of copies
 thus costs a pair a line, not a pair per pair of lines.
 
 Pairs are verified in two steps. The shingle hashes tell the similarity exactly, if those of all
@@ -48,7 +48,7 @@ FEW = 8
 #: Hashes up to which bands of four start at each besides those of five, and up to which each starts a band.
 TINY, SMALL, INTERVALS = 10, 20, 12
 #: Lines from which a bucket is split by finer bands, if its lines have FINE_LENGTH characters.
-FINE_FROM, FINE_LENGTH, FINE_ROWS, FINE_INTERVALS = 32, 100, 8, 40
+FINE_FROM, FINE_LENGTH, FINE_ROWS, FINE_INTERVALS = 16, 100, 8, 40
 SLACK = 3.3
 SKETCH_WORDS = 16
 #: Sides of joins up to so many bytes go to every executor; more are shuffled.
@@ -193,7 +193,8 @@ def open_buckets(scratch: Scratch, listed: DataFrame, comps: DataFrame) -> DataF
     entries = listed.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     per = entries.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("length").alias("length"))
     per = per.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("held"), F.min("length").alias("least"))
-    return scratch.cut(entries.join(per.where("comps > 1").drop("comps"), "key"), "open")
+    per = scratch.cut(per.where("comps > 1").drop("comps"), "spread")
+    return scratch.cut(entries.join(per, "key"), "open")
 
 
 def grown(scratch: Scratch, comps: DataFrame, links: DataFrame) -> DataFrame:
@@ -211,12 +212,12 @@ def with_hubs(entries: DataFrame, hubs: DataFrame) -> DataFrame:
     return ordered(entries.select("key", "node").join(hub, "key").where("node <> hub"), "node", "hub")
 
 
-def across(entries: DataFrame, on: list[str]) -> DataFrame:
-    """Pairs of entries of different components that agree in `on` and may link, one of them outside the
-    main one."""
-    named = {c: f"o_{c}" for c in ("node", "comp", "n", *(f"s{k}" for k in range(SKETCH_WORDS)))}
-    others = entries.where("comp <> main").select(*on, *[F.col(c).alias(o) for c, o in named.items()])
-    met = entries.join(others, on).where(f"comp <> o_comp and (comp = main or node < o_node) and {may_link('', 'o_')}")
+def across(entries: DataFrame, on: list[str], sketched: bool = False) -> DataFrame:
+    """Pairs of entries of different components that agree in `on`, one of them outside the main one; of
+    entries with sketches, those that may link."""
+    carried = ["node", "comp", *(["n", *(f"s{k}" for k in range(SKETCH_WORDS))] if sketched else [])]
+    others = entries.where("comp <> main").select(*on, *[F.col(c).alias(f"o_{c}") for c in carried])
+    met = entries.join(others, on).where("comp <> o_comp and (comp = main or node < o_node)" + (f" and {may_link('', 'o_')}" if sketched else ""))
     return ordered(met, "node", "o_node")
 
 
@@ -238,16 +239,18 @@ def line_components(scratch: Scratch, lines: DataFrame) -> DataFrame:
     comps = grown(scratch, comps, verify(scratch, second, texts))
 
     entries = open_buckets(scratch, listed, comps)
-    hashed = scratch.cut(kept(texts, entries).select("node", grams(F.col("line")).alias("hashes")), "open-sets")
-    entries = scratch.cut(entries.join(sketches(hashed), "node"), "sketched")
     large = (F.col("held") >= FINE_FROM) & (F.col("least") >= FINE_LENGTH)
-    fine = bands(kept(hashed, entries.where(large)), ["node"], 0, FINE_ROWS, FINE_INTERVALS).select("node", F.col("key").alias("fine"))
-    rest = across(entries.where(~large), ["key"]).union(across(entries.where(large).join(fine, "node"), ["key", "fine"])).distinct()
+    wide = entries.where(large)
+    hashed = kept(texts.select("node", "line"), wide).select("node", grams(F.col("line")).alias("hashes"))
+    fine = bands(hashed, ["node"], 0, FINE_ROWS, FINE_INTERVALS).select("node", F.col("key").alias("fine"))
+    wide = scratch.cut(wide.join(sketches(hashed), "node").join(fine, "node"), "sketched")
+    rest = across(entries.where(~large), ["key"]).union(across(wide, ["key", "fine"], True)).distinct()
     rest = rest.join(tried.union(second), ["a", "b"], "left_anti")
     comps = grown(scratch, comps, verify(scratch, scratch.cut(rest, "pairs"), texts))
 
     linked = scratch.cut(signed.join(comps, "node"), "linked")
-    firsts = linked.groupBy("component").agg(F.min("first").alias("comp_first"))
+    # written first, so that the join of a component with very many lines can be split
+    firsts = scratch.cut(linked.groupBy("component").agg(F.min("first").alias("comp_first")), "firsts")
     linked = linked.join(firsts, "component").select("node", "copies", F.col("comp_first").alias("stays"), "first")
     alone = signed.where("copies > 1").join(comps, "node", "left_anti").select("node", "copies", F.col("first").alias("stays"), "first")
     named = linked.union(alone)

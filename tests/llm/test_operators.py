@@ -309,16 +309,16 @@ def test_line_dedup_of_lines_without_spaces_and_of_short_ones(spark, scratch):
 
 
 def test_line_dedup_of_null_and_repeated_ids(spark, scratch):
-    a = "The quick brown fox jumps over the lazy dog near the river bank today."
-    b = a.replace("today", "todaz")
+    a, c, d, e, f, g = (
+        "The quick brown fox jumps over the lazy dog near the river bank today.", "Colourless ideas sleep now and then on a bed of words, furiously.", "something else entirely, words that occur nowhere",
+        "Quarterly figures were moved to the next page of this booklet", "Zebras migrate at dusk when plains turn dry and hot", "Whisk two eggs with sugar until the mixture holds its form",
+    )
+    near = lambda x: x[:-3] + "#" + x[-2:]
     schema = "doc_id long, text string, gone int, kept_text string, row string, line string"
-    of = lambda *rows: sorted(((r["doc_id"], r["text"]) for r in line_dedup.apply_lines(spark.createDataFrame([(*x, 1, "k", "r", "l") for x in rows], schema), scratch).collect()), key=str)
-    assert of((None, a), (1, b)) == [(None, a)]
-    assert of((None, a), (1, a), (2, b)) == [(None, a)]
-    two = "something else entirely, words that occur nowhere"
-    assert of((1, a), (1, two)) == sorted([(1, a), (1, two)], key=str)
-    assert of((1, a), (1, a), (1, a), (2, None), (3, "")) == sorted([(1, a), (2, None), (3, "")], key=str)
-    assert of((5, a + "\n\n" + a), (4, two + "\n" + b)) == sorted([(4, two + "\n" + b), (5, "")][:1], key=str)
+    rows = [(None, a), (1, near(a)), (None, c), (11, c), (12, near(c)), (21, d), (21, e), (31, f), (31, f), (31, f), (32, None), (33, ""), (45, g + "\n\n" + g), (44, "x y z\n" + near(g))]
+    got = line_dedup.apply_lines(spark.createDataFrame([(*x, 1, "k", "r", "l") for x in rows], schema), scratch).collect()
+    want = [(None, a), (None, c), (21, d), (21, e), (31, f), (32, None), (33, ""), (44, "x y z\n" + near(g))]
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(want, key=str)
 
 
 def test_line_dedup_of_large_buckets_of_lines_that_share_a_passage(spark, scratch):
@@ -327,8 +327,7 @@ def test_line_dedup_of_large_buckets_of_lines_that_share_a_passage(spark, scratc
     core = " ".join(word() for _ in range(12))
     lines = [core + " " + " ".join(word() for _ in range(9)) for _ in range(120)]
     copies = [x[:-1] + "#" for x in lines[:100:5]]
-    assert lines_gone(spark, scratch, lines + copies) >= set(range(120, 140))
-    assert lines_gone(spark, scratch, lines) == set()
+    assert lines_gone(spark, scratch, lines + copies) == set(range(120, 140))
 
 
 # ---- 4
