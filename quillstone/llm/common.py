@@ -53,8 +53,12 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables of this object that no later result reads."""
         for t in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.remove(t._scratch_path)
+
+    def remove(self, path: str) -> None:
+        """Delete a folder of this object's, as one partition of a table."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def is_there(spark: SparkSession, path: str) -> bool:
