@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import katz, line_dedup, mixing, ngram_join, piece_fst, quality_rules, quotes, separator_scan, stream_dedup, token_files
+from quillstone.llm import katz, line_dedup, mixing, ngram_join, piece_fst, quality_rules, quotes, separator_scan, sort_means, stream_dedup, token_files
 from quillstone.llm.common import Scratch
 from quillstone.llm.vocabularies import default_path, vocabulary_bytes
 
@@ -75,6 +75,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def op11_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return sort_means.sort_means(Scratch(spark, "sort-means"), vectors, k=40, dimension=64, rounds=5, scale=256, salt="2")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_fst": op1_piece_fst,
     "op2_mix_sources": op2_mix_sources,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_ngram_join": op9_ngram_join,
     "op10_quality_rules": op10_quality_rules,
+    "op11_sort_means": op11_sort_means,
 }
 
 ORACLE: dict[str, str] = {
