@@ -33,7 +33,8 @@ BLOCK = 4096
 #: Components up to this size give distances below 2^53 in up to 512 dimensions.
 _EXACT = 1 << 20
 _LONG = (1 << 63) - 1
-_STATE = "kind string, ids array<long>, form string, numbers binary, assigned binary, distances array<long>, part array<struct<cluster:int,component:int,total:decimal(30,0)>>"
+_LIMB = (1 << 60) - 1
+_STATE = "kind string, ids array<long>, form string, numbers binary, assigned binary, distances array<long>, part array<struct<cluster:int,component:int,limb:int,total:decimal(30,0)>>"
 
 
 def usable(vectors: DataFrame, dimension: int, vector: str = "embedding") -> DataFrame:
@@ -107,11 +108,15 @@ class Centroids:
 
 
 def _sums(totals: dict[int, tuple[int, int, list[int]]]) -> list[dict]:
-    """Component -1 is the count, -2 the inertia."""
+    """Component -1 is the count, -2 the inertia. A total goes in limbs of 60 bits, so that any size adds up."""
     out = []
     for cluster, (count, inertia, parts) in totals.items():
         for component, total in [(-1, count), (-2, inertia), *enumerate(parts)]:
-            out.append({"cluster": cluster, "component": component, "total": Decimal(total)})
+            sign, rest, limb = -1 if total < 0 else 1, abs(total), 0
+            while rest or not limb:
+                out.append({"cluster": cluster, "component": component, "limb": limb, "total": Decimal(sign * (rest & _LIMB))})
+                rest >>= 60
+                limb += 1
     return out
 
 
@@ -153,7 +158,7 @@ def _blocks(vectors: DataFrame, key: str, vector: str, dimension: int, scale: in
             columns = {
                 "kind": pa.array(["blocks"]), "ids": pa.array([batch.column("id").to_pylist()], pa.list_(pa.int64())), "form": pa.array([form]), "numbers": pa.array([raw], pa.binary()),
                 "assigned": pa.array([bytes(2 * n)], pa.binary()), "distances": pa.array([None], pa.list_(pa.int64())),
-                "part": pa.array([None], pa.list_(pa.struct([("cluster", pa.int32()), ("component", pa.int32()), ("total", pa.decimal128(30, 0))]))),
+                "part": pa.array([None], pa.list_(pa.struct([("cluster", pa.int32()), ("component", pa.int32()), ("limb", pa.int32()), ("total", pa.decimal128(30, 0))]))),
             }
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
@@ -181,8 +186,11 @@ def sort_means(
     totals: dict[tuple[int, int], int] = {}
     for n in range(rounds + 1):
         done = scratch.cut(_pass(state.filter("kind = 'blocks'"), Centroids(rows), dimension, n == rounds), "round", ["kind"])
-        sums = done.filter("kind = 'sums'").select(F.explode("part").alias("p")).groupBy("p.cluster", "p.component").agg(F.sum("p.total").alias("total"))
-        totals = {(r["cluster"], r["component"]): int(r["total"]) for r in sums.collect()}  # k times (dimension + 2)
+        sums = done.filter("kind = 'sums'").select(F.explode("part").alias("p")).groupBy("p.cluster", "p.component", "p.limb").agg(F.sum("p.total").alias("total"))
+        totals = {}
+        for r in sums.collect():  # some k times (dimension + 2)
+            at = r["cluster"], r["component"]
+            totals[at] = totals.get(at, 0) + (int(r["total"]) << 60 * r["limb"])
         scratch.drop(state)
         state = done
         if n < rounds:
