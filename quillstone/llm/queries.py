@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import chat_repair, katz, line_dedup, mixing, ngram_join, piece_fst, quality_rules, quotes, separator_scan, sort_means, stream_dedup, token_files
+from quillstone.llm import chat_repair, katz, line_dedup, mixing, ngram_join, piece_fst, quality_rules, quotes, retrieval_packing, separator_scan, sort_means, stream_dedup, token_files
 from quillstone.llm.common import Scratch
 from quillstone.llm.vocabularies import default_path, vocabulary_bytes
 
@@ -80,6 +80,10 @@ def op11_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sort_means.sort_means(Scratch(spark, "sort-means"), vectors, k=40, dimension=64, rounds=5, scale=256, salt="2")
 
 
+def op12_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval_packing.pack(Scratch(spark, "packing"), _documents(spark, sf_dir).select("doc_id", "text"), vocabulary_bytes(default_path(WORDS)), end_id=2)
+
+
 def op13_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     return chat_repair.digests(chat_repair.repair(Scratch(spark, "chat-repair"), chat_repair.damaged(messages)))
@@ -97,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_join": op9_ngram_join,
     "op10_quality_rules": op10_quality_rules,
     "op11_sort_means": op11_sort_means,
+    "op12_retrieval_packing": op12_retrieval_packing,
     "op13_chat_repair": op13_chat_repair,
 }
 
