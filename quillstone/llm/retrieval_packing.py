@@ -29,9 +29,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import Scratch, mix64, slices, text_bytes
-from quillstone.llm.token_files import library_encoder
-from quillstone.llm.vocabularies import forget, lower_words, shared
+from quillstone.llm.common import Scratch, mix64, slices
+from quillstone.llm.token_files import by_bytes, encode_texts, library_encoder
+from quillstone.llm.vocabularies import forget, shared
 
 WINDOW = 4096
 #: BM25's constants, and how many of a seed's terms are asked for.
@@ -41,9 +41,9 @@ _ENCODED = "kind string, doc_id long, ids binary, n long, signature long, counts
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def term_counts(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, term and how often it has it, ordered by document and term."""
-    keys = np.concatenate([d.astype(np.int64) for d in documents]) | np.repeat(np.arange(len(documents), dtype=np.int64) << 32, [len(d) for d in documents])
+def term_counts(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, term and how often it has it, ordered by document and term; the documents' ids lie end to end."""
+    keys = ids.astype(np.int64) | np.repeat(np.arange(len(lengths), dtype=np.int64) << 32, lengths)
     keys.sort()
     at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return (keys[at] >> 32).astype(np.int32), (keys[at] & 0xFFFFFFFF).astype(np.int32), np.diff(np.append(at, len(keys)))
@@ -54,13 +54,14 @@ def encode(docs: DataFrame, vocabulary: bytes, end_id: int, width: int) -> DataF
 
     def run(batches):
         words = shared(("words", zlib.crc32(vocabulary), width), lambda: library_encoder(vocabulary, width))
-        end, dtype = end_id.to_bytes(width, "little"), f"<u{width}"
         seen, spread = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         counts = pa.list_(pa.struct([("term", pa.int32()), ("n", pa.int64())]))
-        for batch in slices(batches):
-            raw = [ids + end for ids in words.many(text_bytes(batch), lower_words)]
-            documents = [np.frombuffer(r, dtype) for r in raw]
-            owner, term, _ = term_counts(documents)
+        for batch in by_bytes(batches):
+            ids, ends = encode_texts(words, batch.column("text"), width, end_id)
+            lengths = np.diff(ends, prepend=0)
+            offsets = pa.py_buffer(np.append(0, ends * width).astype(np.int32).tobytes())
+            raw = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, offsets, pa.py_buffer(ids.tobytes())])
+            owner, term, _ = term_counts(ids, lengths)
             if (top := int(term.max()) + 1) > len(seen):
                 seen = np.append(seen, np.zeros(top - len(seen), np.int64))
                 spread = mix64(np.arange(1, top + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -71,7 +72,7 @@ def encode(docs: DataFrame, vocabulary: bytes, end_id: int, width: int) -> DataF
             low = np.minimum.reduceat(hashed & np.uint64(0xFFFFFFFF), starts)
             high = np.minimum.reduceat(hashed >> np.uint64(32), starts)
             n = batch.num_rows
-            columns = [["docs"] * n, batch.column("doc_id"), raw, [len(d) for d in documents], (low >> np.uint64(1) << np.uint64(32) | high).astype(np.int64), [None] * n]
+            columns = [["docs"] * n, batch.column("doc_id"), raw, lengths, (low >> np.uint64(1) << np.uint64(32) | high).astype(np.int64), [None] * n]
             kinds = [pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), counts]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["kind", "doc_id", "ids", "n", "signature", "counts"])
         if len(seen):
@@ -89,8 +90,8 @@ class Index:
 
     def __init__(self, documents: list[np.ndarray], idf: np.ndarray, mean_length: float):
         self.idf, self.mean = idf, mean_length
-        self.owner, self.term, often = term_counts(documents)
-        lengths = np.array([len(d) for d in documents], np.float32)
+        lengths = np.array([len(d) for d in documents])
+        self.owner, self.term, often = term_counts(np.concatenate(documents), lengths)
         self.weight = self.weights(self.term, often, lengths[self.owner])
         self.rows = np.searchsorted(self.owner, np.arange(len(documents) + 1))
         by_term = np.argsort(self.term, kind="stable")
@@ -104,7 +105,7 @@ class Index:
     def query(self, ids: np.ndarray, k: int | None = None) -> np.ndarray:
         """The heaviest terms of document k of the shard, or of another document's ids."""
         if k is None:
-            _, term, often = term_counts([ids])
+            _, term, often = term_counts(ids, [len(ids)])
             weight = self.weights(term, often, len(ids))
         else:
             term, weight = self.term[self.rows[k] : self.rows[k + 1]], self.weight[self.rows[k] : self.rows[k + 1]]

@@ -30,18 +30,22 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import Scratch, prefix_sums, slices, text_bytes
-from quillstone.llm.vocabularies import Remembered, lower_words, shared
+from quillstone.llm.common import Scratch, prefix_sums
+from quillstone.llm.vocabularies import Remembered, shared
 
 MAGIC = b"EFSHARD1"
 #: Shards in a file, some 130 MB of 16-bit ids.
 FILE_SHARDS = 16
 SAMPLE = 256
 SHARD_IDS = 1 << 22
-_PLAIN = re.compile(rb"[a-z]+|[.,]").fullmatch
+#: Letters of Latin-1, all in composed form; as bytes too.
+_LETTERS = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+_STOPS = frozenset((b".", b",", b"!", b"?", b";", b":"))
+_LETTER_BYTES = re.compile(rb"(?:[a-zA-Z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 
 
 class EliasFano:
@@ -144,50 +148,97 @@ def shards_of(content: bytes, width: int):
 
 
 def library_encoder(vocabulary: bytes, width: int) -> Remembered:
-    """The tokenizers library on words; its pieces never span the white space that it drops."""
+    """The tokenizers library on units between white space; its pieces never span the white space that it drops.
+
+    A unit of letters is one group of the library's, which an end-of-word id closes, and its normalised form is its
+    lower case. Many such units go through in one call, by a tokenizer that only splits at spaces."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    library = Tokenizer.from_str(vocabulary.decode())
-    suffix = json.loads(vocabulary)["model"].get("end_of_word_suffix") or None
+    library, spec = Tokenizer.from_str(vocabulary.decode()), json.loads(vocabulary)
+    suffix = spec["model"].get("end_of_word_suffix") or None
     size = library.get_vocab_size()
     closes = np.zeros(size, bool)
     closes[[k for w, k in library.get_vocab().items() if suffix and w.endswith(suffix)]] = True
-
-    def encode(words: list[bytes]) -> list[bytes]:
-        # plain words are one piece group each, which an end-of-word id closes: one call does for all
-        plain = [k for k, w in enumerate(words) if suffix and _PLAIN(w)]
-        out: list[bytes] = [b""] * len(words)
+    bytewise = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}
+    spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, bytewise]}}
+    by_spaces = Tokenizer.from_str(json.dumps(spec)) if suffix else None
+
+    def encode(units: list[bytes]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(units)
+        texts = [u.decode() for u in units]
+        plain = [k for k, t in enumerate(texts) if t.isascii() and t.isalpha() or _LETTERS(t)] if suffix else []
         if plain:
-            ids = np.array(library.encode_batch_fast([" ".join([words[k].decode() for k in plain])], add_special_tokens=False)[0].ids, f"<u{width}")
-            ends = ((np.flatnonzero(closes[ids]) + 1) * width).tolist()
+            ids = np.array(by_spaces.encode_batch_fast([" ".join([texts[k] for k in plain]).lower()], add_special_tokens=False)[0].ids, f"<u{width}")
+            ends, raw = ((np.flatnonzero(closes[ids]) + 1) * width).tolist(), ids.tobytes()
             if len(ends) == len(plain):
-                raw, start = ids.tobytes(), 0
+                start = 0
                 for k, end in zip(plain, ends, strict=True):
                     out[k], start = raw[start:end], end
-        rest = [k for k in range(len(words)) if not out[k]]
-        for k, e in zip(rest, library.encode_batch_fast([words[k].decode() for k in rest], add_special_tokens=False), strict=True):
+        rest = [k for k in range(len(units)) if not out[k]]
+        for k, e in zip(rest, library.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
             out[k] = np.array(e.ids, f"<u{width}").tobytes()
         return out
 
     return Remembered(encode, generation=80 << 20)
 
 
+def encode_texts(units: Remembered, texts: pa.Array, width: int, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts end to end, an end id behind each, and where each text's ids end. Only distinct units are
+    looked up. A text that may name a special token isn't lower-cased first."""
+    texts = pc.fill_null(texts, "")
+    parts = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+    named = parts.flatten().dictionary_encode()
+    ids = _ids_of(units, named.dictionary.cast(pa.binary()).to_pylist())
+    pool, code = np.frombuffer(b"".join(ids), f"<u{width}"), named.indices.to_numpy()
+    lengths = np.fromiter(map(len, ids), np.int32, len(ids)) // width
+    starts, n = np.cumsum(lengths, dtype=np.int32) - lengths, lengths[code]
+    ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+    place = np.repeat(starts[code] - ends[:-1].astype(np.int32), n)
+    place += np.arange(ends[-1], dtype=np.int32)
+    flat = pool[place]
+    bounds = ends[parts.offsets.to_numpy()[1:] - parts.offsets[0].as_py()]
+    return np.insert(flat, bounds, end_id).astype(f"<u{width}", copy=False), bounds + np.arange(1, len(bounds) + 1)
+
+
+def _ids_of(units: Remembered, words: list[bytes]) -> list[bytes]:
+    """The ids of distinct words. A stop behind letters is a group of its own for the library, so it is taken off."""
+    body = [w[:-1] if w[-1:] in _STOPS and _LETTER_BYTES(w, 0, len(w) - 1) else w for w in words]
+    distinct = list(dict.fromkeys(body + list(_STOPS)))
+    found = dict(zip(distinct, units.each(distinct), strict=True))
+    return [found[b] if len(b) == len(w) else found[b] + found[w[-1:]] for b, w in zip(body, words, strict=True)]
+
+
+def by_bytes(batches, column: str = "text", most: int = 16 << 20):
+    """Arrow batches in pieces whose column holds so many bytes at most, or one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def write_files(docs: DataFrame, path: str, vocabulary: bytes, end_id: int, width: int = 2, shard_ids: int = SHARD_IDS) -> None:
     """Shards of at least `shard_ids` ids, FILE_SHARDS a file, in ascending doc_id order."""
 
     def run(batches):
-        by_words, end = shared(("words", zlib.crc32(vocabulary), width), lambda: library_encoder(vocabulary, width)), end_id.to_bytes(width, "little")
+        by_words = shared(("words", zlib.crc32(vocabulary), width), lambda: library_encoder(vocabulary, width))
         names, held, size = [], [], 0
 
         def flush():
             return pa.RecordBatch.from_arrays([pa.array([pack_shard(names, held, width)], pa.binary())], names=["shard"])
 
-        for batch in slices(batches):
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), by_words.many(text_bytes(batch), lower_words), strict=True):
+        for batch in by_bytes(batches):
+            ids, ends = encode_texts(by_words, batch.column("text"), width, end_id)
+            start = 0
+            for doc_id, end in zip(batch.column("doc_id").to_pylist(), ends.tolist(), strict=True):
                 names.append(doc_id)
-                held.append(ids + end)
-                size += len(held[-1]) // width
+                held.append(ids[start:end].tobytes())
+                size += end - start
+                start = end
                 if size >= shard_ids:
                     yield flush()
                     names, held, size = [], [], 0
@@ -205,7 +256,7 @@ def read_files(scratch: Scratch, path: str, width: int = 2) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files."""
     files = scratch.spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     number = lambda pattern: F.regexp_extract("path", pattern, 1).try_cast("int")
-    files = files.select(number(r"/part-(\d+)[^/]*$").alias("part"), number(r"-c(\d+)[^/]*$").alias("nth"), "content")
+    files = files.select(number(r"/part-(\d+)-[^/]*$").alias("part"), number(r"-c(\d+)\.txt$").alias("nth"), "content")
 
     def run(batches):
         for batch in batches:

@@ -36,7 +36,7 @@ class Remembered:
         self.hot: dict[bytes, bytes] = {}
         self._chunks = 0
 
-    def _learn(self, units: set[bytes]) -> dict[bytes, bytes]:
+    def _learn(self, units) -> dict[bytes, bytes]:
         """Ids of units that the younger generation lacks."""
         found = {u: self.old[u] for u in units if u in self.old}
         new = [u for u in units if u not in found]
@@ -49,6 +49,14 @@ class Remembered:
         self.size += size
         return found
 
+    def each(self, units: list[bytes]) -> list[bytes]:
+        """The ids of distinct units."""
+        known = list(map(self.young.get, units))
+        if new := [u for u, x in zip(units, known, strict=True) if x is None]:
+            found = self._learn(new)
+            known = [found[u] if x is None else x for u, x in zip(units, known, strict=True)]
+        return known
+
     def many(self, texts: list[bytes], split) -> list[bytes]:
         """The ids of each text; `split` makes a text's units. Some texts at a time are held as units."""
         out, flat, ends, size = [], [], [0], 0
