@@ -6,7 +6,8 @@ model's character map that rewrites the longest match, dummy space and white spa
 with an input they give a lattice, an arc per piece that occurs there. Weights are in the tropical
 semiring (min, +) and the encoding is the shortest path. One routine finds it for both model kinds:
 
-* unigram: an arc weighs minus the piece's score, whatever piece came before;
+* unigram: an arc weighs minus the piece's score (in whole units of 2^-32, so that sums are exact and a
+  path's weight doesn't depend on the text before it), whatever piece came before;
 * BPE: a path is the model's own encoding exactly if each piece is what merging makes of its text and
   each neighbouring pair stays a pair when merging its joint text. So the state is the last piece, and
   the pair automaton weighs an arc 0 when the pair is stable and infinite otherwise. One path of finite
@@ -146,7 +147,7 @@ class Transducer:
         self.is_byte = np.zeros(len(m.pieces), bool)
         self.is_byte[list(self.bytes.values())] = True
         scores = [s for _, s in self.pieces.values()]
-        self.fallback = _UNKNOWN_PENALTY - min(scores, default=0.0)  # weight of a character by its bytes
+        self.fallback = self.whole(min(scores, default=0.0) - _UNKNOWN_PENALTY)  # weight of a character by its bytes
         #: Pieces that can be on a path: of a BPE model, those that merging makes of their own text.
         self.proper = {p: k for p, (k, _) in self.pieces.items() if not self.bpe or self.merged(p) == [p]}
         self.trie = Trie(self.proper)
@@ -157,7 +158,7 @@ class Transducer:
         #: the user defined always wins over others.
         top = max(scores, default=0.0)
         own = {k for k, p in enumerate(m.pieces) if p.type == USER_DEFINED}
-        self.fixed = {} if self.bpe else {k: -(len(p) * top - 0.1 if k in own else s) for p, (k, s) in self.pieces.items()}
+        self.fixed = {} if self.bpe else {k: self.whole(len(p) * top - 0.1 if k in own else s) for p, (k, s) in self.pieces.items()}
         self.weights = dict(self.fixed)
         #: A weight below which no path can get; a state that has it needs no other arc.
         self.floor = 0.0 if self.bpe else -_INF
@@ -166,6 +167,10 @@ class Transducer:
         else:  # finer units where the model has no piece across their borders
             self.split = plain_units if any(re.search("[A-Za-z][.,]|\n", p) for p in self.pieces) else fine_units
 
+    @staticmethod
+    def whole(score: float) -> int:
+        return round(-score * 2**32)
+
     def merged(self, text: str, least: int = 1) -> list[str]:
         """What merging makes of a short text, or what it is when `least` parts are left: always the
         best-scored pair, leftmost first."""
@@ -218,10 +223,11 @@ class Transducer:
         """The pieces (or characters to be given by their bytes) on the path of least weight.
 
         A state is a place in the text, with the piece that ends there on the best path to it: a BPE
-        model has one finite path to each place, and a unigram model forgets the piece.
+        model has one finite path to each place, and a unigram model forgets the piece. Of paths of equal weight the
+        one with the longest last piece stays, and so on backward.
         """
         arcs, emits, bpe, floor, n = self.trie.next, self.trie.emits, self.bpe, self.floor, len(text)
-        total, last, back = [0.0] + [_INF] * n, [0] * (n + 1), [0] * (n + 1)
+        total, last, back = [0] + [_INF] * n, [0] * (n + 1), [0] * (n + 1)
         for start in range(n):
             base = total[start]
             if base == _INF:

@@ -1,6 +1,7 @@
 """The ten operators against brute force, exact round trips, and odd inputs on small fixtures."""
 
 import math
+import os
 import random
 import re
 import zlib
@@ -163,11 +164,26 @@ def test_unigram_models_and_normalisers_equal_the_library(rule):
     library, machine = sentencepiece.SentencePieceProcessor(model_proto=model), piece_fst.Encoder(model)
     texts = ["", " ", "a", "  abc  def ", "ﬁ ①Ａｂｃ\u3000é e\u0301 \u00a0x", "漢字 abc\tdef\nab"]
     texts += ["".join(r.choices("abcdeéfﬁ① xＡ\u0301\u200b\t", k=r.randint(1, 60))) for _ in range(400)]
-    normal = [machine.machine.normalise(t.encode()) for t in texts]
+    normal, other = [machine.machine.normalise(t.encode()) for t in texts], 0
+    weight = lambda ids: sum(library.get_score(i) if not library.is_byte(i) else 0.0 for i in ids)
     for text, raw, n in zip(texts, machine.many(normal), normal, strict=True):
-        ids = np.frombuffer(raw, "<u2")
-        assert ids.tolist() == library.encode(text), text
-        assert machine.machine.decode(ids) == n
+        ids, theirs = np.frombuffer(raw, "<u2").tolist(), library.encode(text)
+        assert machine.machine.decode(np.array(ids, int)) == n
+        if ids != theirs:  # the library adds in 32 bits over the whole text, so a tie can end otherwise
+            other += 1
+            assert abs(weight(ids) - weight(theirs)) < 1e-4 and [i for i in ids if library.is_byte(i)] == [i for i in theirs if library.is_byte(i)], text
+    assert other <= 4
+
+
+def test_paths_of_equal_weight_end_in_the_longest_piece():
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    for name, score, kind in (("<unk>", 0, 2), *((f"<0x{b:02X}>", 0, 6) for b in range(256)), ("a", -1.0, 1), ("aa", -1.1, 1), ("▁", -9.0, 1)):
+        m.pieces.add(piece=name, score=score, type=kind)
+    m.trainer_spec.model_type, m.normalizer_spec.add_dummy_prefix = 1, False
+    machine = piece_fst.Transducer(m.SerializeToString())
+    assert machine.shortest_path("aaa") == ["a", "aa"] and machine.shortest_path("aaaaa") == ["a", "aa", "aa"]
 
 
 def test_pieces_of_odd_tables(spark, docs):
@@ -472,6 +488,37 @@ def test_token_files_round_trip(spark, scratch, rows, docs):
         at += len(ids)
 
 
+def test_token_files_of_several_files_a_task(spark, scratch, tmp_path, monkeypatch):
+    """A shard a document and two shards a file; the names' uuids begin with c and digits, as one in nine does."""
+    monkeypatch.setattr(token_files, "FILE_SHARDS", 2)
+    rows = [(i, f"word{'s' * (i % 5)} of {i}") for i in range(40)]
+    path = scratch.path("several")
+    token_files.write_files(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), path, WORDS, 2, shard_ids=1)
+    folder = path.removeprefix("file://")
+    for name in os.listdir(folder):
+        if found := re.fullmatch(r"part-(\d+)-[0-9a-f]{8}(.*)-c(\d+)\.txt", name):
+            os.rename(f"{folder}/{name}", f"{folder}/part-{found[1]}-c1234567{found[2]}-c{found[3]}.txt")
+    assert sum(name.startswith("part-") for name in os.listdir(folder)) >= 20
+    got, at = {r["doc_id"]: r for r in token_files.read_files(scratch, path).collect()}, 0
+    for i, _ in rows:
+        assert got[i]["start"] == at
+        at += got[i]["n_tokens"]
+
+
+def test_token_files_of_odd_tables(spark, scratch):
+    """Empty tables, null ids, repeated rows, other columns of any name, long words."""
+    path = scratch.path("empty")
+    token_files.write_files(empty(spark), path, WORDS, 2)
+    assert token_files.read_files(scratch, path).count() == 0
+    rows = [(None, "no id"), (None, None), (4, "same"), (4, "same"), (4, ""), (9, "x" * 60_000), (10, " ".join(f"w{i}q" for i in range(20_000)))]
+    odd = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS shard", "'x' AS h", "2 AS start")
+    path = scratch.path("odd")
+    token_files.write_files(odd, path, WORDS, 2, shard_ids=50)
+    got = token_files.read_files(scratch, path).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None, None, 4, 4, 4, 9, 10]
+    assert all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(got, got[1:], strict=False)) and got[0]["start"] == 0
+
+
 @pytest.mark.parametrize("values", [[], [0], [5, 5, 5], list(range(0, 99_000, 7)), [0, 1, 2, 10**9], sorted(random.Random(4).choices(range(50_000), k=3000))])
 def test_elias_fano(values):
     e = token_files.EliasFano.from_bytes(memoryview(token_files.EliasFano.of(np.array(values, np.uint64)).to_bytes()))
