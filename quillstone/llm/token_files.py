@@ -147,7 +147,7 @@ def shards_of(content: bytes, width: int):
         at += shard.size + 1  # the line feed
 
 
-def library_encoder(vocabulary: bytes, width: int) -> Remembered:
+def library_encoder(vocabulary: bytes, width: int, generation: int = 80 << 20) -> Remembered:
     """The tokenizers library on units between white space; its pieces never span the white space that it drops.
 
     A unit of letters is one group of the library's, which an end-of-word id closes, and its normalised form is its
@@ -180,7 +180,7 @@ def library_encoder(vocabulary: bytes, width: int) -> Remembered:
             out[k] = np.array(e.ids, f"<u{width}").tobytes()
         return out
 
-    return Remembered(encode, generation=80 << 20)
+    return Remembered(encode, generation)
 
 
 def encode_texts(units: Remembered, texts: pa.Array, width: int, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,13 +225,13 @@ def write_files(docs: DataFrame, path: str, vocabulary: bytes, end_id: int, widt
     """Shards of at least `shard_ids` ids, FILE_SHARDS a file, in ascending doc_id order."""
 
     def run(batches):
-        by_words = shared(("words", zlib.crc32(vocabulary), width), lambda: library_encoder(vocabulary, width))
+        by_words = shared(("words", zlib.crc32(vocabulary), width), lambda: library_encoder(vocabulary, width, 48 << 20))
         names, held, size = [], [], 0
 
         def flush():
             return pa.RecordBatch.from_arrays([pa.array([pack_shard(names, held, width)], pa.binary())], names=["shard"])
 
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, most=4 << 20):
             ids, ends = encode_texts(by_words, batch.column("text"), width, end_id)
             start = 0
             for doc_id, end in zip(batch.column("doc_id").to_pylist(), ends.tolist(), strict=True):
