@@ -153,16 +153,15 @@ def library_encoder(vocabulary: bytes, width: int, generation: int = 80 << 20) -
     A unit of letters is one group of the library's, which an end-of-word id closes, and its normalised form is its
     lower case. Many such units go through in one call, by a tokenizer that only splits at spaces."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
-    library, spec = Tokenizer.from_str(vocabulary.decode()), json.loads(vocabulary)
-    suffix = spec["model"].get("end_of_word_suffix") or None
+    library = Tokenizer.from_str(vocabulary.decode())
+    suffix = json.loads(vocabulary)["model"].get("end_of_word_suffix") or None
     size = library.get_vocab_size()
     closes = np.zeros(size, bool)
     closes[[k for w, k in library.get_vocab().items() if suffix and w.endswith(suffix)]] = True
-    bytewise = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}
-    spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, bytewise]}}
-    by_spaces = Tokenizer.from_str(json.dumps(spec)) if suffix else None
+    by_spaces = Tokenizer(library.model)  # the same model, without the normaliser
+    by_spaces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def encode(units: list[bytes]) -> list[bytes]:
         out: list[bytes] = [b""] * len(units)
@@ -225,13 +224,13 @@ def write_files(docs: DataFrame, path: str, vocabulary: bytes, end_id: int, widt
     """Shards of at least `shard_ids` ids, FILE_SHARDS a file, in ascending doc_id order."""
 
     def run(batches):
-        by_words = shared(("words", zlib.crc32(vocabulary), width), lambda: library_encoder(vocabulary, width, 48 << 20))
+        by_words = shared(("words", zlib.crc32(vocabulary), width), lambda: library_encoder(vocabulary, width, 72 << 20))
         names, held, size = [], [], 0
 
         def flush():
             return pa.RecordBatch.from_arrays([pa.array([pack_shard(names, held, width)], pa.binary())], names=["shard"])
 
-        for batch in by_bytes(batches, most=4 << 20):
+        for batch in by_bytes(batches, most=8 << 20):
             ids, ends = encode_texts(by_words, batch.column("text"), width, end_id)
             start = 0
             for doc_id, end in zip(batch.column("doc_id").to_pylist(), ends.tolist(), strict=True):
