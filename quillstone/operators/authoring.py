@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as tx
+from quillstone.operators import documents as dc
 
 MAX_TOKENS, CHARS_PER_TOKEN, CHUNK_TOKENS = 512, 4, 120
 _HEADER = r"(?m)^(#{1,3}\s+.+)$"
@@ -18,19 +19,40 @@ def structural_sections(texts: DataFrame) -> DataFrame:
     Fewer than two headings give one section of the whole text; what stands before the first of several
     headings is put in front of the first section. Blank texts give none.
     """
-    parts = F.split(F.regexp_replace("content", _HEADER, f"{_CUT}$1"), _CUT)
-    rows = texts.where(tx.strip(F.col("content")) != "").select("kid", "content", parts.alias("parts"))
+    rows = texts.where(tx.strip(F.col("content")) != "")
+    return _numbered(rows.select("kid", _structural(F.col("content")).alias("sections")))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    return rows.select("kid", F.posexplode("sections").alias("nth", "s")).select("kid", (F.col("nth") + 1).alias("nth"), "s.title", "s.body")
+
+
+def _structural(content: Column) -> Column:
+    parts = F.split(F.regexp_replace(content, _HEADER, f"{_CUT}$1"), _CUT)
     title = lambda part: tx.strip(F.regexp_extract(part, r"^#{1,3}\s+(.+)", 1))
-    single = F.struct(F.when(F.size("parts") == 2, title(F.get("parts", F.lit(1)))).otherwise("Untitled").alias("title"), tx.strip(F.col("content")).alias("body"))
-    before = tx.strip(F.get("parts", F.lit(0)))
+    single = F.struct(F.when(F.size(parts) == 2, title(F.get(parts, F.lit(1)))).otherwise("Untitled").alias("title"), tx.strip(content).alias("body"))
+    before = tx.strip(F.get(parts, F.lit(0)))
 
     def section(part: Column, i: Column) -> Column:
         body = tx.strip(part)
         return F.struct(title(part).alias("title"), F.when((i == 0) & (before != ""), F.concat(before, F.lit("\n\n"), body)).otherwise(body).alias("body"))
 
-    several = F.transform(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), section)
-    sections = F.when(F.size("parts") < 3, F.array(single)).otherwise(several)
-    return rows.select("kid", F.posexplode(sections).alias("nth", "s")).select("kid", (F.col("nth") + 1).alias("nth"), "s.title", "s.body")
+    several = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), section)
+    return F.when(F.size(parts) < 3, F.array(single)).otherwise(several)
+
+
+def clustered_sections(pieces: Column, section: Column) -> Column:
+    """Paragraphs with one section number after the other, joined: title (the first line, 120 characters) and body.
+    `section` has a number per paragraph."""
+    opens = F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), lambda i: (i == 0) | (F.get(section, i) != F.get(section, i - 1)))
+
+    def joined(at: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(opens, k + 1), F.size(pieces))
+        body = F.array_join(F.slice(pieces, at + 1, end - at), "\n\n")
+        head = F.substring(tx.strip(F.split(body, "\n").getItem(0)), 1, 120)
+        return F.struct(tx.or_else(head, F.concat(F.lit("Section "), (k + 1).cast("string"))).alias("title"), body.alias("body"))
+
+    return F.transform(opens, joined)
 
 
 def recursive_parts(sections: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
@@ -62,9 +84,27 @@ def recursive_parts(sections: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFr
     return out.select("kid", "nth", "part", named.alias("title"), "body")
 
 
-def hybrid_sections(texts: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """kid, seq (1..n over the parts of a text), title, body."""
-    parts = recursive_parts(structural_sections(texts), max_tokens)
+def hybrid_sections(texts: DataFrame, max_tokens: int = MAX_TOKENS, vectors: DataFrame | None = None, most: int = 2000) -> DataFrame:
+    """kid, seq (1..n over the parts of a text), title, body.
+
+    Structural sections, unless there are fewer than two or one is over the limit: then, if `vectors` (kid, nth from
+    0, vector) has the text's paragraphs, two to `most` of them, sections are its clusters. What is over
+    the limit is cut between sentences at last. A text without vectors for all its paragraphs keeps its structure.
+    """
+    if vectors is None:
+        parts = recursive_parts(structural_sections(texts), max_tokens)
+    else:
+        rows = texts.where(tx.strip(F.col("content")) != "")
+        rows = rows.select("kid", _structural(F.col("content")).alias("sections"), dc.paragraphs(F.col("content")).alias("pieces"))
+        over = F.exists("sections", lambda s: F.floor(F.length(s["body"]) / CHARS_PER_TOKEN) > max_tokens)
+        asked = ((F.size("sections") < 2) | over) & F.size("pieces").between(2, most)
+        rows = rows.withColumn("asked", asked)
+        wanted = vectors.join(rows.where("asked").select("kid"), "kid", "left_semi")
+        found = dc.cluster_paragraphs(wanted, most=most, doc="kid").groupBy("kid").agg(F.array_sort(F.collect_list(F.struct("nth", "section"))).alias("found"))
+        rows = rows.join(found, "kid", "left")
+        whole = F.col("asked") & (F.size(F.coalesce("found", F.array().cast("array<struct<nth:bigint,section:bigint>>"))) == F.size("pieces"))
+        numbers = F.transform("found", lambda x: x["section"])
+        parts = recursive_parts(_numbered(rows.select("kid", F.when(whole, clustered_sections(F.col("pieces"), numbers)).otherwise(F.col("sections")).alias("sections"))), max_tokens)
     order = Window.partitionBy("kid").orderBy("nth", "part")
     return parts.select("kid", F.row_number().over(order).alias("seq"), "title", "body")
 

@@ -81,39 +81,63 @@ def tree_checksum(rows: DataFrame, group: str, key: str, digest: str, cuts: tupl
 
 
 def average_linkage(vectors: np.ndarray, threshold: float) -> np.ndarray:
-    """Labels of agglomerative clustering by mean cosine distance, up to a distance."""
+    """Labels of agglomerative clustering by mean cosine distance: clusters nearer than the threshold merge.
+
+    A chain of nearest neighbours grows until two are each other's nearest; those merge. Mean distance never falls by
+    a merge elsewhere, so that gives the tree of always merging the nearest two, in quadratic time; and a cluster
+    whose nearest neighbour is at the threshold or beyond is final."""
     n = len(vectors)
     unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     d = 1 - unit @ unit.T
     np.fill_diagonal(d, np.inf)
-    size, label = np.ones(n), np.arange(n)
-    for _ in range(n - 1):
-        a, b = divmod(int(d.argmin()), n)
-        if d[a, b] > threshold:
-            break
-        a, b = min(a, b), max(a, b)
-        d[a] = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
-        d[:, a] = d[a]
-        d[a, a] = np.inf
-        d[b], d[:, b] = np.inf, np.inf
-        size[a] += size[b]
-        label[label == b] = a
-    return label
-
-
-def cluster_paragraphs(paragraphs: DataFrame, threshold: float = 0.25, most: int = 2000) -> DataFrame:
+    size, label, alive = np.ones(n), np.arange(n), np.ones(n, bool)
+    members, chain, first = [[k] for k in range(n)], [], 0
+    while True:
+        while not chain and first < n:
+            if alive[first]:
+                chain.append(first)
+            else:
+                first += 1
+        if not chain:
+            return label
+        a = chain[-1]
+        b = int(d[a].argmin())
+        if d[a, b] >= threshold:
+            alive[a], d[:, a] = False, np.inf
+            chain.pop()
+            continue
+        if len(chain) > 1 and d[a, chain[-2]] <= d[a, b]:
+            b = chain[-2]
+            del chain[-2:]
+            a, b = min(a, b), max(a, b)
+            d[a] = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+            d[:, a] = d[a]
+            d[~alive, a] = d[a, ~alive] = d[a, a] = np.inf
+            d[b], d[:, b], alive[b] = np.inf, np.inf, False
+            d[a, b] = d[b, a] = np.inf
+            size[a] += size[b]
+            members[a] += members[b]
+            label[members[b]] = a
+        else:
+            chain.append(b)
+
+
+def cluster_paragraphs(paragraphs: DataFrame, threshold: float = 0.25, most: int = 2000, doc: str = "doc") -> DataFrame:
     """doc, nth, section: paragraphs of a document clustered by vector; neighbours of one cluster form a
-    section. Documents of more than `most` paragraphs are not clustered: all of theirs are returned, as one
-    section, for the recursive split."""
-    n = paragraphs.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
-    sized = paragraphs.join(n, "doc")
-    capped = sized.where(F.col("n") <= most).drop("n")
-    long = sized.where(F.col("n") > most).select(F.col("doc").cast("long").alias("doc"), F.col("nth").cast("long").alias("nth"), F.lit(0).cast("long").alias("section"))
+    section. Documents of more than `most` paragraphs are not clustered and have no rows: their structural
+    sections go on. That bounds a group's matrix."""
+    few = paragraphs.groupBy(doc).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most).select(doc)
+    slim = paragraphs.join(few, doc, "left_semi").select(doc, F.col("nth").cast("long").alias("nth"), "vector")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("nth")
         label = average_linkage(np.array(list(rows["vector"]), float), threshold)
-        section = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])]) if len(label) else label
-        return pd.DataFrame({"doc": rows["doc"].to_numpy(), "nth": rows["nth"].to_numpy(), "section": section.astype(np.int64)})
+        section = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
+        return pd.DataFrame({doc: rows[doc].to_numpy(), "nth": rows["nth"].to_numpy(), "section": section.astype(np.int64)})
+
+    return slim.groupBy(doc).applyInPandas(run, f"{doc} {dict(slim.dtypes)[doc]}, nth long, section long")
+
 
-    return capped.groupBy("doc").applyInPandas(run, "doc long, nth long, section long").unionByName(long)
+def paragraphs(text: Column) -> Column:
+    """Stripped paragraphs between empty lines, without blank ones."""
+    return F.filter(F.transform(F.split(text, "\n\n"), tx.strip), lambda p: p != "")

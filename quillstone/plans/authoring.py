@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as tx
 from quillstone.operators import authoring as au
+from quillstone.operators import documents as dc
 from quillstone.plans.sql import ENTRIES, POINTS
 from quillstone.sources import tables as t
 
@@ -15,7 +16,9 @@ QUERIES, ORACLE = {}, {}
 
 def query(sql: str):
     def add(f):
-        QUERIES[f.__name__], ORACLE[f.__name__] = f, sql
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
         return f
 
     return add
@@ -83,6 +86,25 @@ def hybrid_sections(spark, sf_dir) -> DataFrame:
     return s.select("kid", F.col("seq").cast("long").alias("seq"), "title", F.length("body").cast("long").alias("chars"), F.sha2(F.col("body").cast("binary"), 256).alias("digest"))
 
 
+def paragraph_texts(spark, sf_dir) -> DataFrame:
+    """The marked texts with a paragraph a line; every other one has no headings."""
+    body = F.when(F.col("n") % 2 == 0, F.regexp_replace("content", r"(?m)^#+\s", "")).otherwise(F.col("content"))
+    return marked(spark, sf_dir).select("kid", "n", F.replace(body, F.lit("\n"), F.lit("\n\n")).alias("content"))
+
+
+def paragraph_vectors(spark, sf_dir) -> DataFrame:
+    """A vector per paragraph: those of two neighbours are often the same."""
+    p = paragraph_texts(spark, sf_dir).select("kid", "n", F.posexplode(dc.paragraphs(F.col("content"))).alias("nth", "text"))
+    v = t.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return p.select("kid", "nth", ((F.col("n") * 31 + F.expr("nth div 2")) % 500).alias("vec_id")).join(v, "vec_id").select("kid", "nth", "vector")
+
+
+@query(None)
+def hybrid_clustered(spark, sf_dir) -> DataFrame:
+    s = au.hybrid_sections(paragraph_texts(spark, sf_dir), vectors=paragraph_vectors(spark, sf_dir))
+    return s.select("kid", F.col("seq").cast("long").alias("seq"), "title", F.length("body").cast("long").alias("chars"), F.sha2(F.col("body").cast("binary"), 256).alias("digest"))
+
+
 @query(f"""WITH {SECTIONS}, w AS (SELECT *, ceil(length(body) / 4) <= 120 AS short, unnest(range(0, CASE WHEN ceil(length(body) / 4) <= 120 THEN 1
         ELSE 1 + CAST(greatest(0, ceil((length(body) - 480) / 240)) AS BIGINT) END)) AS w FROM sec)
     SELECT kid, row_number() OVER (PARTITION BY kid ORDER BY nth, w) - 1 AS chunk, w * 240 AS start,
