@@ -85,21 +85,6 @@ def cited(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return both.withColumns({"citation": citation, "reason": reason}).drop("source_title", "source_zone", "available")
 
 
-def put_blobs(puts: DataFrame, stored: DataFrame, quota: int) -> DataFrame:
-    """puts (seq, sha, size) with their outcome: a hash that is stored, or put before, is no new blob; others
-    are stored while the sum of sizes stays within the quota, and refused beyond.
-
-    The sum counts what was asked for, so that one refusal does not make room for the next.
-    """
-    used = stored.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("used"))
-    first = puts.groupBy("sha").agg(F.min("seq").alias("first"))
-    rows = puts.join(first, "sha").join(stored.select("sha", F.lit(True).alias("there")), "sha", "left")
-    rows = rows.withColumn("fresh", F.col("there").isNull() & (F.col("seq") == F.col("first")))
-    rows = running_sum(rows, [], F.floor(F.col("seq") / 10_000), ["seq"], F.when(F.col("fresh"), F.col("size")).otherwise(0), "asked").join(F.broadcast(used))
-    outcome = F.when(~F.col("fresh"), "known").when(F.col("used") + F.col("asked") <= quota, "stored").otherwise("refused")
-    return rows.select("seq", "sha", outcome.alias("outcome"))
-
-
 def merged_blobs(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """source_id, canonical, derived, attached: a canonical form is attached only where there is none, new
     derived ones behind those that are there."""
@@ -126,12 +111,12 @@ def job_priorities(jobs: DataFrame, valid: tuple[str, ...]) -> DataFrame:
 
 
 def retries(attempts: DataFrame, most: int = 3) -> DataFrame:
-    """key, attempts, wait, dead: failures since the last success; the wait before the next try is 1, 4, 16
-    seconds; after `most` tries the key is dead. attempts: key, seq, ok."""
+    """key, attempts, wait, dead: failures since the last success; a try follows after 1 and 4 seconds, and the
+    third failure in a row is dead (a key that is tried again begins anew). attempts: key, seq, ok."""
     last = attempts.groupBy("key").agg(F.max(F.when(F.col("ok"), F.col("seq"))).alias("good"))
     fails = attempts.join(last, "key").where(~F.col("ok") & (F.col("good").isNull() | (F.col("seq") > F.col("good"))))
-    n = fails.groupBy("key").agg(F.count(F.lit(1)).alias("attempts"))
-    return n.withColumns({"dead": F.col("attempts") > most, "wait": F.when(F.col("attempts") <= most, F.pow(F.lit(4), F.col("attempts") - 1).cast("long"))})
+    n = fails.groupBy("key").agg(((F.count(F.lit(1)) - 1) % most + 1).alias("attempts"))
+    return n.withColumns({"dead": F.col("attempts") >= most, "wait": F.when(F.col("attempts") < most, F.pow(F.lit(4), F.col("attempts") - 1).cast("long"))})
 
 
 def artifacts(rows: DataFrame, now_day: int, days: int = 30) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillstone.plans import authoring, bookkeeping, documents, events, lifecycle, maintenance, provenance, quality, retrieval, streams, workspace
+from quillstone.plans import authoring, bookkeeping, documents, events, lifecycle, maintenance, overtime, provenance, quality, retrieval, streams, workspace
 
 QUERIES, ORACLE = {}, {}
-for _part in (retrieval, quality, events, provenance, workspace, documents, authoring, lifecycle, bookkeeping, maintenance, streams):
+for _part in (retrieval, quality, events, provenance, workspace, documents, authoring, lifecycle, bookkeeping, maintenance, overtime, streams):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE

@@ -143,19 +143,6 @@ def cited_entries(spark, sf_dir) -> DataFrame:
     return lc.cited(e, sources(spark, sf_dir)).select("kid", "citation", "reason")
 
 
-@query("""WITH p AS (SELECT event_id AS seq, 'b' || (event_id * 7 % 997) AS sha, event_id * 7 % 997 % 50 + 1 AS size FROM events),
-    st AS (SELECT 'b' || x AS sha, x % 50 + 1 AS size FROM range(0, 100) r(x)),
-    f AS (SELECT seq, p.sha, p.size, st.sha IS NULL AND seq = min(seq) OVER (PARTITION BY p.sha) AS fresh FROM p LEFT JOIN st USING (sha)),
-    a AS (SELECT seq, sha, fresh, sum(CASE WHEN fresh THEN size ELSE 0 END) OVER (ORDER BY seq) AS asked FROM f)
-    SELECT seq, sha, CASE WHEN NOT fresh THEN 'known' WHEN asked + (SELECT sum(size) FROM st) <= 12000 THEN 'stored' ELSE 'refused' END AS outcome FROM a""")
-def blob_put(spark, sf_dir) -> DataFrame:
-    N = F.col("event_id")  # noqa: N806
-    key = N * 7 % 997
-    puts = events(spark, sf_dir).select(N.alias("seq"), F.concat(F.lit("b"), key.cast("string")).alias("sha"), (key % 50 + 1).alias("size"))
-    stored = spark.range(100).select(F.concat(F.lit("b"), F.col("id").cast("string")).alias("sha"), (F.col("id") % 50 + 1).alias("size"))
-    return lc.put_blobs(puts, stored, 12_000)
-
-
 @query("""WITH x AS (SELECT p_partkey AS n, 's' || p_partkey AS source_id, CASE WHEN p_partkey % 3 = 0 THEN 'c1' END AS c, CASE WHEN p_partkey % 4 <> 0 THEN ['d1', 'd2'] END AS d,
         CASE WHEN p_partkey % 5 = 0 THEN 'c2' END AS c2, CASE WHEN p_partkey % 7 < 3 THEN ['d2', 'd3'] END AS d2 FROM part)
     SELECT source_id, coalesce(c, c2) AS canonical, array_to_string(coalesce(d, []) || list_filter(coalesce(d2, []), lambda v: NOT list_contains(coalesce(d, []), v)), ',') AS derived,
@@ -202,8 +189,8 @@ def collection_sizes(spark, sf_dir) -> DataFrame:
 
 
 @query("""WITH a AS (SELECT user_id AS key, event_id AS seq, event_id % 4 = 0 AS ok FROM events), g AS (SELECT key, max(seq) FILTER (ok) AS good FROM a GROUP BY key),
-    n AS (SELECT key, count(*) AS attempts FROM a JOIN g USING (key) WHERE NOT ok AND (good IS NULL OR seq > good) GROUP BY key)
-    SELECT key, attempts, attempts > 3 AS dead, CASE WHEN attempts <= 3 THEN CAST(pow(4, attempts - 1) AS BIGINT) END AS wait FROM n""")
+    n AS (SELECT key, (count(*) - 1) % 3 + 1 AS attempts FROM a JOIN g USING (key) WHERE NOT ok AND (good IS NULL OR seq > good) GROUP BY key)
+    SELECT key, attempts, attempts >= 3 AS dead, CASE WHEN attempts < 3 THEN CAST(pow(4, attempts - 1) AS BIGINT) END AS wait FROM n""")
 def retry_state(spark, sf_dir) -> DataFrame:
     N = F.col("event_id")  # noqa: N806
     return lc.retries(events(spark, sf_dir).select(F.col("user_id").alias("key"), N.alias("seq"), (N % 4 == 0).alias("ok")))
