@@ -213,21 +213,6 @@ def recommended_missing(entries: DataFrame, fields: list[str]) -> DataFrame:
     return entries.select("kid", F.explode(F.array_compact(F.array(*map(missing, fields)))).alias("field"))
 
 
-def duplicate_gate(new: DataFrame, points: DataFrame, threshold: float = 0.92, k: int = 8) -> DataFrame:
-    """kid, other, score: of the k nearest entries of the domain, other than itself, those at the threshold.
-
-    new and points: kid, domain, vector. The query set is given, so this is a scan per domain; scores keep
-    four decimals.
-    """
-    unit = lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y)))
-    q = new.select("kid", "domain", unit(F.col("vector")).alias("q"))
-    p = points.select(F.col("kid").alias("other"), "domain", unit(F.col("vector")).alias("p"))
-    dot = F.aggregate(F.zip_with("q", "p", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    scored = q.join(p, "domain").where("kid <> other").select("kid", "other", dot.alias("cosine"))
-    rank = F.row_number().over(Window.partitionBy("kid").orderBy(F.desc("cosine"), "other"))
-    return scored.withColumn("rank", rank).where((F.col("rank") <= k) & (F.col("cosine") >= threshold)).select("kid", "other", F.round("cosine", 4).alias("score"))
-
-
 def verdict(answer: Column) -> Column:
     """The first word of an answer's first line, in capitals, without Markdown marks and closing signs."""
     body = F.regexp_replace(F.regexp_replace(tx.strip(answer), r"^```[^\n]*\n?", ""), r"\s*(```\s*)+$", "")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as tx
 from quillstone.operators import authoring as au
 from quillstone.operators import documents as dc
+from quillstone.operators import neighbours as nb
 from quillstone.plans.sql import ENTRIES, POINTS
 from quillstone.sources import tables as t
 
@@ -136,7 +137,7 @@ def duplicate_gate(spark, sf_dir) -> DataFrame:
     """New texts whose vector is that of an entry, and updates of entries themselves."""
     p = t.points(spark, sf_dir)
     kid = F.when(F.col("vec_id") % 100 == 0, F.col("kid")).otherwise(F.concat(F.lit("new-"), "kid"))
-    return au.duplicate_gate(p.where("vec_id % 50 = 0").select(kid.alias("kid"), "domain", "vector"), p.select("kid", "domain", "vector"))
+    return nb.duplicate_gate(p.where("vec_id % 50 = 0").select(kid.alias("kid"), "domain", "vector"), p.select("kid", "domain", "vector"))
 
 
 _SLUG = "regexp_replace(trim(regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g'), '-')[1:40], '-+$', '')"

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.plans.sql import EVENTS
+from quillstone.sources import tail
 from quillstone.sources.shared import scratch_folder
+from quillstone.sources.tables import table
 from quillstone.streaming import events as st
 
 QUERIES, ORACLE = {}, {}
@@ -79,3 +81,16 @@ def stream_bursts(spark, sf_dir) -> DataFrame:
 def stream_raw_sink(spark, sf_dir) -> DataFrame:
     out = st.raw_sink(st.read_events(spark, sf_dir), scratch_folder(spark, "raw"))
     return out.groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("SELECT event_id || ' ' || event_type AS line FROM events")
+def tailed_lines(spark, sf_dir) -> DataFrame:
+    """Log files written from the events in two rounds, each followed by a run that goes on at the last offsets."""
+    folder = scratch_folder(spark, "logs")
+    spark.dataSource.register(tail.TailedLines)
+    lines = table(spark, sf_dir, "events").select("event_id", F.concat(F.col("event_id").cast("string"), F.lit(" "), "event_type").alias("line"))
+    for k in range(2):
+        lines.where(F.col("event_id") % 2 == k).select("line").write.text(f"{folder}/logs/{k}")
+        stream = spark.readStream.format("tailed_lines").option("pattern", f"{folder.removeprefix('file://')}/logs/*/part-*").load()
+        out = st.run(stream, "append", f"{folder}/state")
+    return out.select("line")
