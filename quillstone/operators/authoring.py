@@ -173,15 +173,16 @@ def normal_tags(tags: Column, most: int = 10) -> Column:
 
 def suggested_tags(entries: DataFrame) -> DataFrame:
     """kid, suggested: up to five of the ten most frequent tags of the entry's domain that it lacks, then
-    domain, subject and project as tags, seven in all. Counts are those of the whole domain; equal counts
-    go by alphabet."""
+    domain, subject and project as tags, seven in all. What it lacks is neither in its tags nor in its
+    cross_subjects. Counts are those of the whole domain; equal counts go by alphabet."""
     counts = entries.select("domain", F.explode("tags").alias("tag")).groupBy("domain", "tag").count()
     rank = F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("count"), "tag"))
     top = counts.withColumn("rank", rank).where("rank <= 10").groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("rank", "tag"))).alias("top"))
-    rows = entries.join(F.broadcast(top), "domain", "left")  # ten tags a domain
-    often = F.slice(F.filter(F.transform("top", lambda x: x["tag"]), lambda t: ~F.array_contains("tags", t)), 1, 5)
+    own = F.concat("tags", F.coalesce("cross_subjects", F.array().cast("array<string>")))
+    rows = entries.withColumn("own", own).join(F.broadcast(top), "domain", "left")  # ten tags a domain
+    often = F.slice(F.filter(F.transform("top", lambda x: x["tag"]), lambda t: ~F.array_contains("own", t)), 1, 5)
     path = F.transform(F.array_compact(F.array("domain", "subject", "project")), lambda p: F.translate(F.lower(p), "_/", "--"))
-    path = F.filter(path, lambda p: ~F.array_contains("tags", p))
+    path = F.filter(path, lambda p: ~F.array_contains("own", p))
     return rows.select("kid", F.slice(F.array_distinct(F.concat(F.coalesce(often, F.array().cast("array<string>")), path)), 1, 7).alias("suggested"))
 
 
@@ -234,13 +235,27 @@ def with_heading(content: Column, title: Column) -> Column:
     return F.when(start > 0, renamed).otherwise(F.concat(F.lit("# "), title, F.lit("\n\n"), content))
 
 
-# The content types that are served as they are.
-SERVED_TYPES = ("application/pdf", "text/plain", "text/markdown", "image/png", "image/jpeg")
+# The content types that are served as they are, with the extension of a file without a name.
+SERVED_TYPES = {
+    "application/pdf": ".pdf", "application/epub+zip": ".epub", "image/png": ".png", "image/jpeg": ".jpg",
+    "image/gif": ".gif", "image/webp": ".webp", "text/plain": ".txt", "text/markdown": ".md",
+}
+OTHER_TYPE, OTHER_EXTENSION = "application/octet-stream", ".bin"
 
 
 def served_type(mime: Column) -> Column:
-    plain = F.lower(F.trim(F.split(mime, ";").getItem(0)))
-    return F.when(plain.isin(*SERVED_TYPES), plain).otherwise("application/octet-stream")
+    """Without parameters, in lower case; what isn't on the list, HTML among it, is bytes to be saved."""
+    plain = F.lower(tx.strip(F.split(mime, ";").getItem(0)))
+    return F.when(plain.isin(*SERVED_TYPES), plain).otherwise(OTHER_TYPE)
+
+
+def download_name(name: Column, sha: Column, mime: Column) -> Column:
+    """The file's name without control characters, quotes and slashes; if nothing is left, its hash with the extension
+    of its (served) type."""
+    ending = F.lit(OTHER_EXTENSION)
+    for kind, extension in SERVED_TYPES.items():
+        ending = F.when(mime == kind, extension).otherwise(ending)
+    return tx.or_else(tx.strip(F.regexp_replace(name, r'[\x00-\x1f\x7f"\\/]', "")), F.concat(sha, ending))
 
 
 def located(text: Column, chunk: Column, least: int = 24) -> Column:
@@ -264,12 +279,36 @@ def book_titles(entries: DataFrame) -> DataFrame:
     return entries.where("parent is not null").select("kid", "parent", "zone").join(books, ["parent", "zone"], "left").select("kid", "book_title")
 
 
-def registry_findings(rows: DataFrame, models: DataFrame) -> DataFrame:
-    """cell, code of what is wrong with rows of a registry (cell, model, price, limit): a cell that is there
-    more than once, a model that is not known, a price below 0, a limit that is no positive number."""
-    twice = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell", F.lit("dup_cell").alias("code"))
-    known = models.select("model", F.lit(True).alias("known"))
-    codes = F.array_compact(F.array(
-        F.when(F.col("known").isNull(), "unknown_model"), F.when(F.coalesce(F.col("price"), F.lit(-1)) < 0, "bad_price"), F.when(F.coalesce(F.col("limit").try_cast("long"), F.lit(0)) <= 0, "bad_limit")
-    ))
-    return rows.join(known, "model", "left").select("cell", F.explode(codes).alias("code")).unionByName(twice)
+# What quotas may say.
+PRIORITIES, CURRENCIES = ("high", "med", "low"), ("RUB", "USD")
+
+
+def quota_findings(participants: DataFrame, budgets: DataFrame, classes: DataFrame, default_role: str) -> DataFrame:
+    """code, path of what is wrong with a table of quotas. participants: role, priority, tokens_per_day, conc, grants; budgets:
+    name, limit, currency, period, reconcile, per_user_mirror; scalars as they are written, so that a number that is
+    none can be told; null tokens_per_day and conc are no limit. classes: model_class."""
+    whole = lambda c: F.col(c).rlike("^[+-]?[0-9]+$")
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    below = lambda c, least: F.col(c).isNotNull() & ~F.coalesce(whole(c) & (F.col(c).try_cast("decimal(38,0)") >= least), F.lit(False))
+
+    def told(rows: DataFrame, base: Column, checks: list[tuple[Column, str, str]]) -> DataFrame:
+        found = [F.when(c, F.struct(F.lit(code).alias("code"), F.concat(base, F.lit(end)).alias("path"))) for c, code, end in checks]
+        return rows.select(F.inline(F.array_compact(F.array(*found))))
+
+    p, at = participants.withColumn("n", F.size(F.coalesce("grants", F.array().cast("array<string>")))), F.concat(F.lit("participants."), "role")
+    mine = told(p, at, [
+        (blank(F.col("role")), "Q3", ""), (~F.coalesce(F.col("priority").isin(*PRIORITIES), F.lit(False)), "Q5", ".priority"), (below("tokens_per_day", 0), "Q6", ".tokens_per_day"),
+        (below("conc", 1), "Q7", ".conc"), (F.col("n") == 0, "Q8", ".grants"), ((F.col("role") == default_role) & (F.col("tokens_per_day").isNull() | F.col("conc").isNull()), "Q14", ""),
+    ])
+    mine = mine.withColumn("path", F.when(F.col("code") == "Q14", "defaults.role").otherwise(F.col("path")))
+    each = p.select(at.alias("path"), F.explode("grants").alias("model_class")).join(classes.select("model_class", F.lit(True).alias("known")).distinct(), "model_class", "left")
+    granted = each.where(blank(F.col("model_class")) | F.col("known").isNull()).select(F.lit("Q8").alias("code"), F.concat("path", F.lit(".grants")).alias("path"))
+    number = F.col("limit").try_cast("double")
+    spent = told(budgets, F.concat(F.lit("budgets."), "name"), [
+        (~F.coalesce((number > 0) & ~F.lower("limit").isin("true", "false"), F.lit(False)), "Q11", ".limit"), (~F.coalesce(F.col("currency").isin(*CURRENCIES), F.lit(False)), "Q12", ".currency"),
+        (blank(F.col("period")), "Q3", ".period"), (blank(F.col("reconcile")), "Q3", ".reconcile"), (~F.coalesce(F.lower("per_user_mirror").isin("true", "false"), F.lit(False)), "Q13", ".per_user_mirror"),
+    ])
+    none = lambda rows, code, path: rows.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(code).alias("code"), F.lit(path).alias("path"))
+    whole_table = none(p, "Q4", "participants").union(none(budgets.where("name = 'ext'"), "Q10", "budgets"))
+    named = p.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("role") == default_role).alias("there")).where("n > 0 and there = 0").select(F.lit("Q9").alias("code"), F.lit("defaults.role").alias("path"))
+    return mine.union(granted).union(spent).union(whole_table).union(named)

@@ -22,11 +22,17 @@ def imported_book(texts: DataFrame, store: DataFrame | None = None) -> DataFrame
     return made.unionByName(store.join(roots.select("book"), "book", "left_anti"))
 
 
-def import_report(sections: DataFrame, most: int = 500, short: int = 40) -> DataFrame:
-    """kid, sections, checked, short: books of more than `most` sections are not checked."""
-    n = sections.groupBy("kid").agg(F.count(F.lit(1)).alias("sections"), F.count_if(F.length("body") < short).alias("short"))
-    checked = F.col("sections") <= most
-    return n.select("kid", "sections", checked.alias("checked"), F.when(checked, F.col("short")).alias("short"))
+def import_report(sections: DataFrame, issues: DataFrame, duplicates: DataFrame, most: int = 500) -> DataFrame:
+    """book, kid, checked, issues, warnings, duplicates: per section the gates' critical issues, their warnings (one more where
+    there are near duplicates) and the near duplicates. Sections of books with more than `most` aren't checked.
+    sections: book, kid. issues: kid, severity. duplicates: kid, other."""
+    size = sections.groupBy("book").agg(F.count(F.lit(1)).alias("n"))
+    found = issues.groupBy("kid").agg(F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") != "critical").alias("warned"))
+    near = duplicates.groupBy("kid").agg(F.count(F.lit(1)).alias("near"))
+    rows = sections.select("book", "kid").join(size, "book").join(found, "kid", "left").join(near, "kid", "left").withColumn("checked", F.col("n") <= most)
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    told = lambda c: F.when(F.col("checked"), c)
+    return rows.select("book", "kid", "checked", told(n("critical")).alias("issues"), told(n("warned") + (n("near") > 0).cast("long")).alias("warnings"), told(n("near")).alias("duplicates"))
 
 
 def sessions(messages: DataFrame, limit: int) -> DataFrame:
@@ -67,12 +73,24 @@ def once_a_day(ticks: DataFrame, zone: str, hour: int = 10) -> DataFrame:
     return due.groupBy(F.date_format(local, "yyyy-MM-dd").alias("day")).agg(F.min_by("seq", F.struct("ts", "seq")).alias("seq"))
 
 
-def drift(profiles: DataFrame, facts: DataFrame, registry: DataFrame) -> DataFrame:
-    """cell, kind, blocked: t1 if the model is not registered any more, t2 if its version changed, t3 if the
-    measured speed fell below half of the profile's; t1 and t2 block."""
-    rows = profiles.join(registry.select("model", F.col("version").alias("now")), "model", "left").join(facts.select("cell", "speed"), "cell", "left")
-    kind = F.when(F.col("now").isNull(), "t1").when(F.col("now") != F.col("version"), "t2").when(F.col("speed") * 2 < F.col("expected"), "t3")
-    return rows.select("cell", kind.alias("kind")).where("kind is not null").withColumn("blocked", F.col("kind").isin("t1", "t2"))
+def drift(profiles: DataFrame, facts: DataFrame, registry: DataFrame, golden: str | None = None, prices: str | None = None) -> DataFrame:
+    """cell, status, marks, reason, blocked.
+
+    t1: the shelf has another model, or the same with another digest (a shelf that isn't seen is no drift). Marks: the
+    golden tasks', or the prices', manifest is another than the profile's evidence; without t1 they make it t2
+    or t3. Blocked: the class's status in the registry is another than the profile's.
+    profiles: cell, model_class, model, digest, golden, prices, status. facts: cell, model, digest. registry: model_class, status."""
+    f = facts.select("cell", F.col("model").alias("fact_model"), F.col("digest").alias("fact_digest"), F.lit(True).alias("seen"))
+    r = registry.select("model_class", F.col("status").alias("class_status"))
+    rows = profiles.join(f, "cell", "left").join(r, "model_class", "left")
+    other = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
+    moved = F.when(F.col("seen") & other("fact_model", "model"), "model_mismatch").when(F.col("seen") & other("fact_digest", "digest"), "digest_mismatch")
+    stale = lambda now, c: F.lit(now is not None) & ~F.col(c).eqNullSafe(F.lit(now).cast("string"))
+    marks = F.array_compact(F.array(F.when(stale(golden, "golden"), "evidence_stale"), F.when(stale(prices, "prices"), "price_stale")))
+    rows = rows.withColumns({"moved": moved, "marks": marks, "blocked": F.col("class_status").isNotNull() & other("class_status", "status")})
+    state = F.when(F.col("moved").isNotNull(), "t1").when(F.array_contains("marks", "evidence_stale"), "t2").when(F.size("marks") > 0, "t3").otherwise("ok")
+    reason = F.coalesce("moved", F.when(F.col("blocked"), "status_divergence"))
+    return rows.select("cell", state.alias("status"), F.array_join("marks", ",").alias("marks"), reason.alias("reason"), "blocked")
 
 
 def resolved_signatures(aggregates: DataFrame, state: DataFrame, sigs: DataFrame, now: Column) -> DataFrame:

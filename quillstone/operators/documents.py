@@ -49,13 +49,15 @@ def keywords(documents: DataFrame, corpus: list[str], stop_words: list[str], fea
     rows = documents.select(*corpus, "kid", F.explode(words).alias("word"))
     if stop_words:
         rows = rows.where(~F.col("word").isin(*stop_words))
-    tf = rows.groupBy(*corpus, "kid", "word").agg(F.count(F.lit(1)).alias("tf"))
-    n = documents.groupBy(*corpus).agg(F.countDistinct("kid").alias("n_docs"))
-    stats = tf.groupBy(*corpus, "word").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    # words are counted first, so that only the kept ones, `features` a corpus, are counted by document
+    totals = rows.groupBy(*corpus, "word").agg(F.count(F.lit(1)).alias("total"))
     rank = F.row_number().over(Window.partitionBy(*corpus).orderBy(F.desc("total"), "word"))
-    kept = stats.withColumn("f", rank).where(F.col("f") <= features).join(n, corpus)
-    idf = F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1
-    weighted = tf.join(F.broadcast(kept.select(*corpus, "word", idf.alias("idf"))), [*corpus, "word"]).withColumn("w", F.col("tf") * F.col("idf"))
+    kept = totals.withColumn("f", rank).where(F.col("f") <= features).select(*corpus, "word")
+    tf = rows.join(kept, [*corpus, "word"], "left_semi").groupBy(*corpus, "kid", "word").agg(F.count(F.lit(1)).alias("tf"))
+    n = documents.groupBy(*corpus).agg(F.countDistinct("kid").alias("n_docs"))
+    df = tf.groupBy(*corpus, "word").agg(F.count(F.lit(1)).alias("df")).join(n, corpus)
+    rows = tf.join(df, [*corpus, "word"])
+    weighted = rows.withColumn("w", F.col("tf") * (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*corpus, "kid")))
     weighted = weighted.withColumn("weight", F.round(F.col("w") / norm, 6))
     best = F.row_number().over(Window.partitionBy(*corpus, "kid").orderBy(F.desc("weight"), F.desc("word")))

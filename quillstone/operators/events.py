@@ -155,15 +155,17 @@ def alert_candidates(aggregates: DataFrame, state: DataFrame, suppression: DataF
     return rows.withColumn("kind", F.when(new, "new_p0").when(burst, "burst")).where("kind is not null")
 
 
-def alert_budget(candidates: DataFrame, per_run: int = 2, sent_this_hour: int = 0, per_hour: int = 6) -> DataFrame:
-    """New P0 before bursts, newest first: the first ones are sent, within what the hour leaves; the rest is
-    one row a kind with its number."""
-    room = max(0, min(per_run, per_hour - sent_this_hour))
+def alert_budget(candidates: DataFrame, per_run: int = 2, sent_this_hour: int = 0, per_hour: int = 3) -> DataFrame:
+    """One run: new P0 before bursts, newest first. The first ones are sent within what the hour leaves; if there are
+    more, one tail with their number, which counts to the hour and is not sent when the hour is full. Runs in
+    a row, with their cooldowns, are operators/overtime.py: sent_alerts."""
+    left = max(0, per_hour - sent_this_hour)
+    room = min(per_run, left)
     order = [F.when(F.col("kind") == "new_p0", 0).otherwise(1), F.desc("last_seen"), F.col("sig")]
     sent = candidates.orderBy(*order).limit(room).select("kind", "sig", F.lit(1).cast("long").alias("n"), F.lit(True).alias("sent"))
     rest = candidates.join(F.broadcast(sent.select("kind", "sig")), ["kind", "sig"], "left_anti")  # `room` rows
-    summed = rest.groupBy("kind").agg(F.lit(None).cast("string").alias("sig"), F.count(F.lit(1)).alias("n"), F.lit(False).alias("sent"))
-    return sent.unionByName(summed)
+    tail = rest.agg(F.lit("tail").alias("kind"), F.lit(None).cast("string").alias("sig"), F.count(F.lit(1)).alias("n"), F.lit(left > room).alias("sent"))
+    return sent.unionByName(tail.where("n > 0"))
 
 
 def weekly_status(rows: DataFrame, now: Column) -> DataFrame:

@@ -74,17 +74,6 @@ def egress(calls: DataFrame) -> DataFrame:
     return calls.where("zone = 'private' and shelf <> 'local'")
 
 
-def cited(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """rows with the citation of their source and its reason; both null where the source is not there or
-    not visible to the row's zone."""
-    s = sources.select(F.col("source_id"), F.col("title").alias("source_title"), F.col("zone").alias("source_zone"), "available")
-    both = rows.join(s, "source_id", "left")
-    seen = F.col("source_title").isNotNull() & ((F.col("source_zone") == "public") | (F.col("zone") == "private"))
-    citation = F.when(seen, F.concat("source_title", F.when(F.col("page").isNotNull(), F.concat(F.lit(", p. "), F.col("page").cast("string"))).otherwise("")))
-    reason = F.when(seen & ~F.col("available"), "original is gone").when(seen & F.col("page").isNull(), "no page")
-    return both.withColumns({"citation": citation, "reason": reason}).drop("source_title", "source_zone", "available")
-
-
 def merged_blobs(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """source_id, canonical, derived, attached: a canonical form is attached only where there is none, new
     derived ones behind those that are there."""
@@ -202,30 +191,63 @@ def pulled_rows(lines: DataFrame) -> DataFrame:
     return rows.select("id", "kind", "r.message", F.coalesce("r.persons", F.lit(0)).alias("persons"), F.when(F.col("r.persons") >= 3, "P1").alias("hint"))
 
 
-def hinted(aggregates: DataFrame, needles: dict[str, str], name: str, only: Column | None = None, default: str | None = None) -> DataFrame:
-    """aggregates with the text of the first needle that the signature contains."""
-    first = F.lit(default).cast("string")
-    for needle, text in reversed(needles.items()):
-        first = F.when(F.col("sig").contains(needle), text).otherwise(first)
-    return aggregates.withColumn(name, first if only is None else F.when(only, first))
-
-
-def error_blocks(lines: DataFrame, most: int = 20) -> DataFrame:
-    """source, start, lines, last: tracebacks as one event. A block begins with the head line and goes on while
-    lines are indented; the first that is not belongs to it and ends it. lines: source, seq, line."""
+# Signatures that look like an expected answer, and why.
+SUPPRESS_HINTS = {
+    "degraded:http_401": "401 = auth-required (ожидаемый ответ консоли)",
+    "|LIFECYCLE|docker event: die": "lifecycle Docker (перезапуск/деплой)",
+    "|404|": "404 пробы/сканера — ожидаемый ответ",
+    "|400|": "400 пробы/сканера — ожидаемый ответ",
+}
+# The kind of rule for a cause.
+RULE_HINTS = {
+    "traceback": "pytest-регресс (воспроизвести traceback тестом)",
+    "critical": "pytest-регресс / postmortem incidents.md",
+    "5xx": "pytest-регресс (HTTP-контракт)",
+    "oom": "ansible-гард (mem_limit) / postmortem",
+    "restart": "ansible-preflight-гард (health-гейт)",
+    "cron_nonzero": "ansible-гард (cron dry-run) / backup --verify",
+    "health_degraded": "ansible-preflight-гард (health-гейт)",
+    "hang": "pytest-регресс (timeout-контракт tool-вызова)",
+    "disk_critical": "ansible-гард (host-пороги df)",
+    "burst": "разбор источника шторма (§11.2-чеклист) + проверка стоп-условий",
+}
+OTHER_RULE = "L2-инсайт (причина вне словаря M5) — разбор вручную"
+
+
+def suppress_hint(sig: Column, non_routine: Column) -> Column:
+    """Why a signature looks like no incident; null once it had an event that is not routine."""
+    first = F.lit(None).cast("string")
+    for needle, why in reversed(SUPPRESS_HINTS.items()):
+        first = F.when(sig.contains(needle), why).otherwise(first)
+    return F.when(~F.coalesce(non_routine, F.lit(False)), first)
+
+
+def rule_hint(sig: Column, example: Column) -> Column:
+    """The rule for the first cause that the signature names, or its last example (with spaces for "_")."""
+    first, text = F.lit(OTHER_RULE), F.lower(F.coalesce(example, F.lit("")))
+    for cause, rule in reversed(RULE_HINTS.items()):
+        first = F.when(sig.contains(cause) | text.contains(cause.replace("_", " ")), rule).otherwise(first)
+    return first
+
+
+def error_blocks(lines: DataFrame) -> DataFrame:
+    """source, start, lines, message: tracebacks as one event. A block begins with the head line and goes on while
+    lines begin with a space or tab; the first that does not belongs to it and ends it, even if it is a head itself.
+    lines: source, seq, line.
+
+    A group is a line at the margin with the indented ones behind it. A group opens a block if it begins with a head
+    and the group before it is none that is open, so of heads in a row every other one opens."""
     order = Window.partitionBy("source").orderBy("seq")
-    head = F.col("line").startswith("Traceback (most recent call last)")
-    indented = F.col("line").rlike(r"^\s")
-    rows = lines.withColumns({"head": head, "inner": indented})
-    # a line continues if the one before it is a head or an indented line
-    rows = rows.withColumn("goes_on", F.coalesce(F.lag(head | indented).over(order), F.lit(False)) & ~head)
-    rows = rows.withColumn("block", F.sum((~F.col("goes_on")).cast("long")).over(order))
-    place = F.row_number().over(Window.partitionBy("source", "block").orderBy("seq"))
-    rows = rows.withColumn("place", place)
-    out = rows.groupBy("source", "block").agg(
-        F.min("seq").alias("start"), F.count(F.lit(1)).alias("lines"), F.max_by("line", "seq").alias("last"), F.max(F.col("head") & (F.col("place") == 1)).alias("trace")
-    )
-    return out.where("trace").select("source", "start", F.least("lines", F.lit(most)).alias("lines"), "last")
+    margin = ~F.substring("line", 1, 1).isin(" ", "\t")
+    rows = lines.withColumn("group", F.sum(margin.cast("long")).over(order))
+    groups = rows.groupBy("source", "group").agg(F.min("seq").alias("start"), F.max(margin & F.col("line").startswith("Traceback (")).alias("head"))
+    by_group = Window.partitionBy("source").orderBy("group")
+    groups = groups.withColumn("run", F.sum((~F.col("head")).cast("long")).over(by_group))
+    nth = F.row_number().over(Window.partitionBy("source", "run", "head").orderBy("group"))
+    opens = groups.where("head").withColumn("nth", nth).where("nth % 2 = 1").select("source", "start", F.explode(F.array(F.struct("group", F.lit(False).alias("ends")), F.struct((F.col("group") + 1).alias("group"), F.lit(True).alias("ends")))).alias("g"))
+    inside = rows.withColumn("margin", margin).join(opens.select("source", "start", "g.group", "g.ends"), ["source", "group"]).where("not ends or margin")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]), "\n")
+    return inside.groupBy("source", "start").agg(F.count(F.lit(1)).alias("lines"), text.alias("message"))
 
 
 def priority_view(aggregates: DataFrame) -> DataFrame:

@@ -97,6 +97,31 @@ def reason() -> Column:
     )
 
 
+def cited(refs: DataFrame, sources: DataFrame, scope: tuple) -> DataFrame:
+    """refs with level, citation and reason of their source (source_id).
+
+    Nothing where the source isn't there, may not be shown in the scope, or has no title or author. Level b, with its
+    blob, has no reason; level a has the reason why there is no canonical form, if there is one.
+    sources: source_id, what `available` and `reason` look at, title, authors, year, publisher, url, and blob_shown,
+    whether some reference allows to show its canonical blob."""
+    text = citation(F.col("title"), F.col("authors"), F.col("year"), F.col("publisher"), F.col("url"))
+    s = sources.select("source_id", F.coalesce(available(scope), F.lit(False)).alias("_shown"), text.alias("_text"), (F.col("present") & F.col("blob_shown")).alias("_blob"), reason().alias("_why"))
+    rows = refs.join(s, "source_id", "left")
+    seen = F.coalesce(F.col("_shown"), F.lit(False)) & F.col("_text").isNotNull()
+    level = F.when(seen, F.when(F.col("_blob"), "b").otherwise("a"))
+    out = rows.withColumns({"level": level, "citation": F.when(seen, F.col("_text"))})
+    return out.withColumn("reason", F.when(F.col("level") == "a", F.col("_why"))).drop("_shown", "_text", "_blob", "_why")
+
+
+def source_views(sources: DataFrame, refs: DataFrame, scope: tuple) -> DataFrame:
+    """source_id, blobs, reason of the sources that may be shown: their blobs (kind and hash, in order) that some reference
+    allows to show, and why a canonical form is absent."""
+    shown = sources.where(F.coalesce(available(scope), F.lit(False)))
+    own = refs.join(blob_available(refs, sources, scope), "sha256", "left_semi").select("source_id", "ref_kind", "sha256").distinct()
+    blobs = own.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("ref_kind", "sha256"))).alias("blobs"))
+    return shown.select("source_id", reason().alias("reason")).join(blobs, "source_id", "left")
+
+
 #: What a change of a blob's registry row is; creation times don't count.
 FIELDS = ("role", "size", "mime", "filename", "derived_from", "tool", "params_hash")
 

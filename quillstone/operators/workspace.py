@@ -129,8 +129,10 @@ def context_mode(referenced: Column, changed: Column) -> Column:
 
 # The states a job may go to.
 TRANSITIONS = {
-    "new": ("queued", "cancelled"), "queued": ("running", "parked", "cancelled"), "running": ("done", "failed", "parked", "review", "cancelled"),
-    "parked": ("queued", "cancelled"), "review": ("running", "done", "failed"), "failed": ("queued",),
+    "queued": ("running", "cancelled", "failed", "parked"),
+    "running": ("queued", "waiting_human", "sleeping", "preempted", "parked", "done", "failed", "cancelled"),
+    "waiting_human": ("running", "cancelled", "failed"), "sleeping": ("running", "cancelled", "failed", "parked"),
+    "preempted": ("running", "queued", "cancelled", "failed", "parked"), "parked": ("queued", "cancelled", "failed"), "failed": ("queued",),
 }
 
 

@@ -178,14 +178,17 @@ def tag_lists(spark, sf_dir) -> DataFrame:
     return e.select("kid", F.array_join(merged, ",").alias("merged"), F.array_join(au.normal_tags(own, 4), ",").alias("clean"))
 
 
-@query(f"""WITH {ENTRIES}, c AS (SELECT domain, tag, row_number() OVER (PARTITION BY domain ORDER BY count(*) DESC, tag) AS rank FROM (SELECT domain, unnest(tags) AS tag FROM entries) GROUP BY domain, tag),
-    f AS (SELECT kid, tag, row_number() OVER (PARTITION BY kid ORDER BY rank) AS o FROM entries JOIN c USING (domain) WHERE rank <= 10 AND NOT list_contains(tags, tag)),
-    p AS (SELECT kid, tags, unnest([domain, subject, project]) AS part, unnest([101, 102, 103]) AS o FROM entries),
+@query(f"""WITH {ENTRIES.replace("SELECT doc_id AS n,", "SELECT doc_id AS n, CASE doc_id % 4 WHEN 0 THEN [lang, 'k3'] WHEN 1 THEN ['k1', 'k2'] ELSE [] END AS x,")}, c AS (SELECT domain, tag, row_number() OVER (PARTITION BY domain ORDER BY count(*) DESC, tag) AS rank FROM (SELECT domain, unnest(tags) AS tag FROM entries) GROUP BY domain, tag),
+    f AS (SELECT kid, tag, row_number() OVER (PARTITION BY kid ORDER BY rank) AS o FROM entries JOIN c USING (domain) WHERE rank <= 10 AND NOT list_contains(tags || x, tag)),
+    p AS (SELECT kid, tags || x AS tags, unnest([domain, subject, project]) AS part, unnest([101, 102, 103]) AS o FROM entries),
     u AS (SELECT kid, tag, o FROM f WHERE o <= 5 UNION ALL SELECT kid, translate(lower(part), '_/', '--'), o FROM p WHERE part IS NOT NULL AND NOT list_contains(tags, translate(lower(part), '_/', '--'))),
     d AS (SELECT kid, tag, min(o) AS o FROM u GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY kid ORDER BY o) AS nth FROM d)
     SELECT kid, coalesce(string_agg(tag, ',' ORDER BY nth) FILTER (nth <= 7), '') AS suggested FROM entries LEFT JOIN r USING (kid) GROUP BY kid""")
 def suggested_tags(spark, sf_dir) -> DataFrame:
-    return au.suggested_tags(t.entries(spark, sf_dir)).select("kid", F.array_join("suggested", ",").alias("suggested"))
+    n = F.col("n")
+    crossed = F.when(n % 4 == 0, F.array("subject", F.lit("k3"))).when(n % 4 == 1, F.array(F.lit("k1"), F.lit("k2")))
+    s = au.suggested_tags(t.entries(spark, sf_dir).withColumn("cross_subjects", crossed))
+    return s.select("kid", F.array_join("suggested", ",").alias("suggested"))
 
 
 @query(f"""WITH {ENTRIES}, c AS (SELECT parent, CASE n % 3 WHEN 0 THEN 'gone-' || kid WHEN 1 THEN 'doc-' || n ELSE kid || '-lost' END AS child FROM entries WHERE parent IS NOT NULL),
@@ -209,7 +212,8 @@ def recommended_missing(spark, sf_dir) -> DataFrame:
 
 @query("""SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN 'ACCEPT' WHEN 1 THEN 'REVISE' WHEN 2 THEN upper(event_type) WHEN 3 THEN NULL ELSE 'REJECT' END AS verdict,
     CASE event_id % 3 WHEN 0 THEN 'Title of ' || event_type ELSE 'a b ' || event_id END AS title, '# T' || chr(10) || 'body ' || event_id AS content,
-    CASE event_id % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'text/plain' ELSE 'application/octet-stream' END AS mime FROM events""")
+    CASE event_id % 6 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'text/plain' WHEN 4 THEN 'image/webp' WHEN 5 THEN 'application/epub+zip' ELSE 'application/octet-stream' END AS mime,
+    CASE event_id % 3 WHEN 0 THEN 'a b ' || event_id || '.txt' ELSE 'f' || event_id || CASE event_id % 6 WHEN 1 THEN '.txt' WHEN 4 THEN '.webp' WHEN 5 THEN '.epub' ELSE '.bin' END END AS name FROM events""")
 def answers_and_titles(spark, sf_dir) -> DataFrame:
     n, kind = F.col("event_id"), F.col("event_type")
     answer = (
@@ -220,9 +224,11 @@ def answers_and_titles(spark, sf_dir) -> DataFrame:
     body = F.concat(F.lit("body "), n.cast("string"))
     content = F.when(n % 2 == 0, F.concat(F.lit("# Old name\n"), body)).otherwise(body)
     heading = F.when(n % 2 == 0, au.with_heading(content, F.lit("T"))).otherwise(F.replace(au.with_heading(content, F.lit("T")), F.lit("\n\n"), F.lit("\n")))
-    mime = F.when(n % 4 == 0, "Application/PDF; charset=x").when(n % 4 == 1, "text/plain").when(n % 4 == 2, "text/html")
+    mime = F.when(n % 6 == 0, "Application/PDF; charset=x").when(n % 6 == 1, "text/plain").when(n % 6 == 2, "text/html").when(n % 6 == 4, " image/webp").when(n % 6 == 5, "application/epub+zip")
+    name = F.when(n % 3 == 0, F.concat(F.lit('a/ "b\n ').substr(1, 1), F.lit("/ b\t "), n.cast("string"), F.lit('".txt'))).when(n % 3 == 1, F.lit(' /"\n'))
     return t.table(spark, sf_dir, "events").select(
-        n.alias("id"), au.verdict(answer).alias("verdict"), au.clean_title(title).alias("title"), heading.alias("content"), au.served_type(mime).alias("mime")
+        n.alias("id"), au.verdict(answer).alias("verdict"), au.clean_title(title).alias("title"), heading.alias("content"), au.served_type(mime).alias("mime"),
+        au.download_name(name, F.concat(F.lit("f"), n.cast("string")), au.served_type(mime)).alias("name"),
     )
 
 
@@ -265,14 +271,27 @@ def book_titles(spark, sf_dir) -> DataFrame:
     return au.book_titles(t.entries(spark, sf_dir))
 
 
-@query("""WITH r AS (SELECT CASE WHEN p_partkey % 50 = 1 THEN p_partkey - 1 ELSE p_partkey END AS cell, 'm' || p_partkey % 9 AS model, CASE WHEN p_partkey % 7 = 0 THEN -1 ELSE p_size END AS price,
-        CASE WHEN p_partkey % 11 = 0 THEN 'many' ELSE CAST(p_size AS VARCHAR) END AS lim FROM part)
-    SELECT cell, 'dup_cell' AS code FROM r GROUP BY cell HAVING count(*) > 1 UNION ALL SELECT cell, 'unknown_model' FROM r WHERE model IN ('m7', 'm8')
-    UNION ALL SELECT cell, 'bad_price' FROM r WHERE price < 0 UNION ALL SELECT cell, 'bad_limit' FROM r WHERE coalesce(try_cast(lim AS BIGINT), 0) <= 0""")
-def registry_findings(spark, sf_dir) -> DataFrame:
-    n = F.col("p_partkey")
-    rows = t.table(spark, sf_dir, "part").select(
-        F.when(n % 50 == 1, n - 1).otherwise(n).alias("cell"), F.concat(F.lit("m"), (n % 9).cast("string")).alias("model"), F.when(n % 7 == 0, -1).otherwise(F.col("p_size")).alias("price"),
-        F.when(n % 11 == 0, "many").otherwise(F.col("p_size").cast("string")).alias("limit"),
+@query("""WITH p AS (SELECT 'participants.r' || c_custkey AS path, c_custkey AS n, CASE c_custkey % 5 WHEN 0 THEN 'urgent' WHEN 1 THEN NULL ELSE 'med' END AS priority,
+        CASE c_custkey % 6 WHEN 0 THEN '-1' WHEN 1 THEN 'many' WHEN 2 THEN NULL ELSE '100' END AS tokens, CASE c_custkey % 7 WHEN 0 THEN '0' WHEN 1 THEN '2.5' WHEN 2 THEN NULL ELSE '3' END AS conc,
+        CASE c_custkey % 8 WHEN 0 THEN [] ELSE ['c' || c_custkey % 9, 'c1'] END AS grants FROM customer),
+    b AS (SELECT 'budgets.b' || s_suppkey AS path, CASE s_suppkey % 4 WHEN 0 THEN '0' WHEN 1 THEN 'yes' WHEN 2 THEN '1.5' ELSE '10' END AS lim, CASE s_suppkey % 3 WHEN 0 THEN 'EUR' ELSE 'RUB' END AS cur,
+        CASE s_suppkey % 5 WHEN 0 THEN ' ' ELSE 'month' END AS period, CASE s_suppkey % 6 WHEN 0 THEN 'maybe' ELSE 'true' END AS mirror FROM supplier)
+    SELECT 'Q5' AS code, path || '.priority' AS path FROM p WHERE coalesce(priority, '') <> 'med' UNION ALL SELECT 'Q6', path || '.tokens_per_day' FROM p WHERE tokens IN ('-1', 'many')
+    UNION ALL SELECT 'Q7', path || '.conc' FROM p WHERE conc IN ('0', '2.5') UNION ALL SELECT 'Q8', path || '.grants' FROM p WHERE len(grants) = 0
+    UNION ALL SELECT 'Q8', path || '.grants' FROM p WHERE len(grants) > 0 AND n % 9 >= 7 UNION ALL SELECT 'Q14', 'defaults.role' FROM p WHERE n = 2
+    UNION ALL SELECT 'Q11', path || '.limit' FROM b WHERE lim IN ('0', 'yes') UNION ALL SELECT 'Q12', path || '.currency' FROM b WHERE cur = 'EUR'
+    UNION ALL SELECT 'Q3', path || '.period' FROM b WHERE period = ' ' UNION ALL SELECT 'Q13', path || '.per_user_mirror' FROM b WHERE mirror = 'maybe' UNION ALL SELECT 'Q10', 'budgets'""")
+def quota_findings(spark, sf_dir) -> DataFrame:
+    """A role per customer and a budget per supplier, none of them the external one."""
+    n, s = F.col("c_custkey"), F.col("s_suppkey")
+    name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    roles = t.table(spark, sf_dir, "customer").select(
+        name("r", n).alias("role"), F.when(n % 5 == 0, "urgent").when(n % 5 > 1, "med").alias("priority"), F.when(n % 6 == 0, "-1").when(n % 6 == 1, "many").when(n % 6 > 2, "100").alias("tokens_per_day"),
+        F.when(n % 7 == 0, "0").when(n % 7 == 1, "2.5").when(n % 7 > 2, "3").alias("conc"), F.when(n % 8 == 0, F.array().cast("array<string>")).otherwise(F.array(name("c", n % 9), F.lit("c1"))).alias("grants"),
+    )
+    budgets = t.table(spark, sf_dir, "supplier").select(
+        name("b", s).alias("name"), F.when(s % 4 == 0, "0").when(s % 4 == 1, "yes").when(s % 4 == 2, "1.5").otherwise("10").alias("limit"), F.when(s % 3 == 0, "EUR").otherwise("RUB").alias("currency"),
+        F.when(s % 5 == 0, " ").otherwise("month").alias("period"), F.lit("nightly").alias("reconcile"), F.when(s % 6 == 0, "maybe").otherwise("true").alias("per_user_mirror"),
     )
-    return au.registry_findings(rows, spark.range(7).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("model")))
+    classes = t.table(spark, sf_dir, "customer").where(n % 9 < 7).select(name("c", n % 9).alias("model_class")).distinct()
+    return au.quota_findings(roles, budgets, classes, "r2")

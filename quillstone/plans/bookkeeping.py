@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from quillstone.operators import bookkeeping as bk
 from quillstone.operators import authoring as au
 from quillstone.plans import authoring as pa
+from quillstone.operators import neighbours as nb
 from quillstone.plans import events as pe
+from quillstone.plans import quality as pq
 from quillstone.plans.events import E
-from quillstone.plans.sql import ENTRIES
+from quillstone.plans.sql import ENTRIES, POINTS
 from quillstone.sources import tables as t
 
 QUERIES, ORACLE = {}, {}
@@ -42,9 +44,22 @@ def import_book(spark, sf_dir) -> DataFrame:
     return bk.imported_book(texts, old)
 
 
-@query(f"WITH {pa.SECTIONS} SELECT kid, count(*) AS sections, count(*) <= 8 AS checked, CASE WHEN count(*) <= 8 THEN count(*) FILTER (length(body) < 400) END AS short FROM sec GROUP BY kid")
+_ISSUES = pq.ORACLE["frontmatter_gate"].removeprefix(f"WITH {ENTRIES} ")
+
+
+@query(f"""WITH {POINTS}, gate AS ({_ISSUES}), f AS (SELECT kid, count(*) FILTER (severity = 'critical') AS c, count(*) FILTER (severity <> 'critical') AS w FROM gate GROUP BY kid),
+    q AS (SELECT kid, domain, vector FROM points WHERE vec_id % 50 = 0),
+    s AS (SELECT q.kid, p.kid AS other, list_cosine_similarity(q.vector, p.vector) AS cs FROM q JOIN points p USING (domain) WHERE q.kid <> p.kid),
+    r AS (SELECT *, row_number() OVER (PARTITION BY kid ORDER BY cs DESC, other) AS rank FROM s), d AS (SELECT kid, count(*) AS d FROM r WHERE rank <= 8 AND cs >= 0.92 GROUP BY kid),
+    b AS (SELECT *, count(*) OVER (PARTITION BY book) <= 9 AS checked FROM (SELECT coalesce(parent, kid) AS book, kid FROM entries))
+    SELECT book, kid, checked, CASE WHEN checked THEN coalesce(c, 0) END AS issues, CASE WHEN checked THEN coalesce(w, 0) + CASE WHEN d > 0 THEN 1 ELSE 0 END END AS warnings,
+        CASE WHEN checked THEN coalesce(d, 0) END AS duplicates FROM b LEFT JOIN f USING (kid) LEFT JOIN d USING (kid)""")
 def import_report(spark, sf_dir) -> DataFrame:
-    return bk.import_report(au.structural_sections(pa.marked(spark, sf_dir)), 8, 400)
+    """Books of ten entries are too large here, those with fewer are checked."""
+    p = t.points(spark, sf_dir)
+    near = nb.duplicate_gate(p.where("vec_id % 50 = 0").select("kid", "domain", "vector"), p.select("kid", "domain", "vector"))
+    sections = t.entries(spark, sf_dir).select(F.coalesce("parent", "kid").alias("book"), "kid")
+    return bk.import_report(sections, pq.QUERIES["frontmatter_gate"](spark, sf_dir), near, 9)
 
 
 @query("SELECT conv_id, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id ORDER BY conv_id DESC LIMIT 20")
@@ -88,15 +103,24 @@ def digest_days(spark, sf_dir) -> DataFrame:
     return bk.once_a_day(ticks, "Europe/Moscow")
 
 
-@query("""WITH p AS (SELECT p_partkey AS cell, 'm' || p_partkey % 9 AS model, p_partkey % 3 AS version, 100 AS expected FROM part), r AS (SELECT 'm' || x AS model, 1 AS now FROM range(0, 7) g(x)),
-    d AS (SELECT cell, CASE WHEN now IS NULL THEN 't1' WHEN now <> version THEN 't2' WHEN cell % 4 <> 0 AND cell % 100 * 2 < 100 THEN 't3' END AS kind FROM p LEFT JOIN r USING (model))
-    SELECT cell, kind, kind IN ('t1', 't2') AS blocked FROM d WHERE kind IS NOT NULL""")
+@query("""WITH p AS (SELECT p_partkey AS n, p_partkey AS cell, 'c' || p_partkey % 9 AS model_class, 'm' || p_partkey % 5 AS model, CASE WHEN p_partkey % 6 <> 0 THEN 'd1' END AS digest,
+        CASE WHEN p_partkey % 7 = 0 THEN 'g0' ELSE 'g1' END AS golden, CASE WHEN p_partkey % 8 = 0 THEN NULL ELSE 'p1' END AS prices, CASE WHEN p_partkey % 10 = 0 THEN 'draft' ELSE 'active' END AS status FROM part),
+    j AS (SELECT *, n % 4 <> 0 AS seen, CASE WHEN n % 11 = 0 THEN 'mx' ELSE model END AS fm, 'd1' AS fd, CASE WHEN n % 9 < 7 THEN CASE WHEN n % 9 = 3 THEN 'retired' ELSE 'active' END END AS cs FROM p),
+    k AS (SELECT *, CASE WHEN seen AND fm <> model THEN 'model_mismatch' WHEN seen AND fd IS DISTINCT FROM digest THEN 'digest_mismatch' END AS moved,
+        list_filter([CASE WHEN golden <> 'g1' THEN 'evidence_stale' END, CASE WHEN prices IS DISTINCT FROM 'p1' THEN 'price_stale' END], lambda x: x IS NOT NULL) AS marks, cs IS NOT NULL AND cs <> status AS blocked FROM j)
+    SELECT cell, CASE WHEN moved IS NOT NULL THEN 't1' WHEN list_contains(marks, 'evidence_stale') THEN 't2' WHEN len(marks) > 0 THEN 't3' ELSE 'ok' END AS status,
+        coalesce(array_to_string(marks, ','), '') AS marks, coalesce(moved, CASE WHEN blocked THEN 'status_divergence' END) AS reason, blocked FROM k""")
 def profile_drift(spark, sf_dir) -> DataFrame:
-    n = F.col("p_partkey")
+    n, name = F.col("p_partkey"), lambda p, c: F.concat(F.lit(p), c.cast("string"))
     part = t.table(spark, sf_dir, "part")
-    profiles = part.select(n.alias("cell"), F.concat(F.lit("m"), (n % 9).cast("string")).alias("model"), (n % 3).alias("version"), F.lit(100).alias("expected"))
-    registry = spark.range(7).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("model"), F.lit(1).alias("version"))
-    return bk.drift(profiles, part.where(n % 4 != 0).select(n.alias("cell"), (n % 100).alias("speed")), registry)
+    profiles = part.select(
+        n.alias("cell"), name("c", n % 9).alias("model_class"), name("m", n % 5).alias("model"), F.when(n % 6 != 0, "d1").alias("digest"), F.when(n % 7 == 0, "g0").otherwise("g1").alias("golden"),
+        F.when(n % 8 != 0, "p1").alias("prices"), F.when(n % 10 == 0, "draft").otherwise("active").alias("status"),
+    )
+    facts = part.where(n % 4 != 0).select(n.alias("cell"), F.when(n % 11 == 0, "mx").otherwise(name("m", n % 5)).alias("model"), F.lit("d1").alias("digest"))
+    c = n % 9
+    registry = part.where(c < 7).select(name("c", c).alias("model_class"), F.when(c == 3, "retired").otherwise("active").alias("status")).distinct()
+    return bk.drift(profiles, facts, registry, "g1", "p1")
 
 
 @query(f"""{E}, {pe.AGG}, {pe.STATE} SELECT sig, CASE WHEN sig LIKE 'click%' THEN 'resolved' ELSE 'active' END AS status, CASE WHEN sig LIKE 'click%' THEN 'resolved' ELSE state END AS state,

@@ -124,25 +124,6 @@ def egress_guard(spark, sf_dir) -> DataFrame:
     return lc.egress(events(spark, sf_dir).select(N.alias("id"), zone.alias("zone"), shelf.alias("shelf"))).select("id")
 
 
-SOURCES = """src AS (SELECT 's' || p_partkey AS source_id, p_name AS title, CASE WHEN p_partkey % 4 = 0 THEN 'private' ELSE 'public' END AS zone, p_partkey % 6 <> 0 AS available FROM part)"""
-
-
-def sources(spark, sf_dir) -> DataFrame:
-    n = F.col("p_partkey")
-    return t.table(spark, sf_dir, "part").select(
-        F.concat(F.lit("s"), n.cast("string")).alias("source_id"), F.col("p_name").alias("title"), F.when(n % 4 == 0, "private").otherwise("public").alias("zone"), (n % 6 != 0).alias("available")
-    )
-
-
-@query(f"""WITH {ENTRIES}, {SOURCES}, e AS (SELECT kid, zone, 's' || (n % 400) AS source_id, CASE WHEN n % 2 = 0 THEN n % 50 END AS page FROM entries)
-    SELECT kid, CASE WHEN seen THEN title || coalesce(', p. ' || page, '') END AS citation, CASE WHEN seen AND NOT available THEN 'original is gone' WHEN seen AND page IS NULL THEN 'no page' END AS reason
-    FROM (SELECT e.*, title, available, title IS NOT NULL AND (s.zone = 'public' OR e.zone = 'private') AS seen FROM e LEFT JOIN src s USING (source_id))""")
-def cited_entries(spark, sf_dir) -> DataFrame:
-    n = F.col("n")
-    e = t.entries(spark, sf_dir).select("kid", "zone", F.concat(F.lit("s"), (n % 400).cast("string")).alias("source_id"), F.when(n % 2 == 0, n % 50).alias("page"))
-    return lc.cited(e, sources(spark, sf_dir)).select("kid", "citation", "reason")
-
-
 @query("""WITH x AS (SELECT p_partkey AS n, 's' || p_partkey AS source_id, CASE WHEN p_partkey % 3 = 0 THEN 'c1' END AS c, CASE WHEN p_partkey % 4 <> 0 THEN ['d1', 'd2'] END AS d,
         CASE WHEN p_partkey % 5 = 0 THEN 'c2' END AS c2, CASE WHEN p_partkey % 7 < 3 THEN ['d2', 'd3'] END AS d2 FROM part)
     SELECT source_id, coalesce(c, c2) AS canonical, array_to_string(coalesce(d, []) || list_filter(coalesce(d2, []), lambda v: NOT list_contains(coalesce(d, []), v)), ',') AS derived,
@@ -292,21 +273,33 @@ def pulled_rows(spark, sf_dir) -> DataFrame:
     return lc.pulled_rows(events(spark, sf_dir).select(N.alias("id"), line.alias("line")))
 
 
-@query(f"{E}, {pe.AGG} SELECT sig, CASE WHEN sig NOT LIKE 'view%' AND contains(sig, '|4') THEN 'four' WHEN sig NOT LIKE 'view%' AND contains(sig, 'click') THEN 'a click' END AS why, CASE WHEN contains(sig, 'error') THEN 'test it' ELSE 'by hand' END AS rule FROM agg")
-def signature_hints(spark, sf_dir) -> DataFrame:
-    a = lc.hinted(pe.aggregates(spark, sf_dir), {"|4": "four", "click": "a click"}, "why", ~F.col("sig").startswith("view"))
-    return lc.hinted(a, {"error": "test it"}, "rule", None, "by hand").select("sig", "why", "rule")
+_WHYS = " ".join(f"WHEN contains(sig, '{k}') THEN '{v}'" for k, v in lc.SUPPRESS_HINTS.items())
+_RULES = " ".join(f"WHEN contains(sig, '{k}') OR contains(lower(example), '{k.replace('_', ' ')}') THEN '{v}'" for k, v in lc.RULE_HINTS.items())
 
 
-@query("""WITH l AS (SELECT event_id // 100 AS source, event_id AS seq, event_id % 10 AS k FROM events), h AS (SELECT source, seq AS start FROM l WHERE k = 3)
-    SELECT source, start, count(*) AS lines, 'ValueError: ' || max(seq) AS last FROM h JOIN l USING (source) WHERE seq BETWEEN start AND start + 3 GROUP BY ALL HAVING count(*) = 4""")
+@query(f"""WITH x AS (SELECT event_id AS id, 'api|' || CASE event_id % 7 WHEN 0 THEN '404|x' WHEN 1 THEN 'LIFECYCLE|docker event: die' WHEN 2 THEN 'degraded:http_401' WHEN 3 THEN 'cron_nonzero' WHEN 4 THEN '400|5xx' ELSE event_type END AS sig,
+        event_id % 3 = 0 AS odd, CASE event_id % 5 WHEN 0 THEN 'Disk Critical on a' WHEN 1 THEN 'a hang' WHEN 2 THEN 'health degraded' WHEN 3 THEN '' END AS example FROM events)
+    SELECT id, CASE WHEN NOT odd THEN CASE {_WHYS} END END AS why, CASE {_RULES} ELSE '{lc.OTHER_RULE}' END AS rule FROM (SELECT id, sig, odd, coalesce(example, '') AS example FROM x)""")
+def signature_hints(spark, sf_dir) -> DataFrame:
+    n = F.col("event_id")
+    kind = F.when(n % 7 == 0, "404|x").when(n % 7 == 1, "LIFECYCLE|docker event: die").when(n % 7 == 2, "degraded:http_401").when(n % 7 == 3, "cron_nonzero").when(n % 7 == 4, "400|5xx").otherwise(F.col("event_type"))
+    sig = F.concat(F.lit("api|"), kind)
+    example = F.when(n % 5 == 0, "Disk Critical on a").when(n % 5 == 1, "a hang").when(n % 5 == 2, "health degraded").when(n % 5 == 3, "")
+    return events(spark, sf_dir).select(n.alias("id"), lc.suppress_hint(sig, n % 3 == 0).alias("why"), lc.rule_hint(sig, example).alias("rule"))
+
+
+@query("""WITH RECURSIVE l AS MATERIALIZED (SELECT event_id // 200 AS source, event_id AS seq, row_number() OVER (PARTITION BY event_id // 200 ORDER BY event_id) AS i, CASE WHEN event_id % 11 IN (3, 4) THEN 'Traceback (most recent call last):'
+        WHEN event_id % 11 IN (5, 6, 9) THEN '  at ' || event_id WHEN event_id % 11 = 7 THEN 'ValueError: ' || event_id ELSE 'fine' END AS line FROM events),
+    w AS (SELECT source, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS start, false AS more, CAST(NULL AS BIGINT) AS block FROM (SELECT DISTINCT source FROM l)
+        UNION ALL SELECT source, i, block, block IS NOT NULL AND (NOT old OR indented), block FROM (
+            SELECT l.source, l.i, w.more AS old, l.line[1] = ' ' AS indented, CASE WHEN w.more THEN w.block WHEN starts_with(l.line, 'Traceback (') THEN l.seq END AS block FROM w JOIN l ON l.source = w.source AND l.i = w.i + 1))
+    SELECT source, block AS start, count(*) AS lines, string_agg(line, chr(10) ORDER BY i) AS message FROM w JOIN l USING (source, i) WHERE block IS NOT NULL GROUP BY ALL""")
 def error_blocks(spark, sf_dir) -> DataFrame:
-    """Head, two indented lines and the error itself, between other lines."""
-    N = F.col("event_id")  # noqa: N806
-    k = N % 10
-    line = F.when(k == 3, "Traceback (most recent call last):").when(k.isin(4, 5), "  at x").when(k == 6, F.concat(F.lit("ValueError: "), N.cast("string"))).otherwise("fine")
-    b = lc.error_blocks(events(spark, sf_dir).select(F.expr("event_id div 100").alias("source"), N.alias("seq"), line.alias("line")))
-    return b.where("lines = 4").select("source", "start", F.col("lines").cast("long").alias("lines"), "last")
+    """Heads, one of them closing another's block, indented lines inside and outside of blocks, and errors."""
+    n = F.col("event_id")
+    k, at = n % 11, F.concat(F.lit("  at "), n.cast("string"))
+    line = F.when(k.isin(3, 4), "Traceback (most recent call last):").when(k.isin(5, 6, 9), at).when(k == 7, F.concat(F.lit("ValueError: "), n.cast("string"))).otherwise("fine")
+    return lc.error_blocks(events(spark, sf_dir).select(F.expr("event_id div 200").alias("source"), n.alias("seq"), line.alias("line")))
 
 
 @query(f"{E}, {pe.WEEKS}, {pe.AGG} SELECT sig, priority, count_7d FROM agg JOIN w USING (sig) ORDER BY priority, count_7d DESC, sig LIMIT 100")
@@ -337,7 +330,7 @@ def weekly_metrics(spark, sf_dir) -> DataFrame:
 
 @query(f"""WITH c AS (SELECT sig, kind, last_seen FROM ({pe.ORACLE['alert_candidates']}) a JOIN ({E}, {pe.AGG} SELECT sig, last_seen FROM agg) l USING (sig)),
     r AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN kind = 'new_p0' THEN 0 ELSE 1 END, last_seen DESC, sig) AS rank FROM c)
-    SELECT kind, sig, 1 AS n, true AS sent FROM r WHERE rank <= 2 UNION ALL SELECT kind, NULL, count(*), false FROM r WHERE rank > 2 GROUP BY kind""")
+    SELECT kind, sig, 1 AS n, true AS sent FROM r WHERE rank <= 2 UNION ALL SELECT 'tail', NULL, count(*), true FROM r WHERE rank > 2 HAVING count(*) > 0""")
 def alert_budget(spark, sf_dir) -> DataFrame:
     last = pe.aggregates(spark, sf_dir).select("sig", "last_seen")
     return alert_rows(pe.QUERIES["alert_candidates"](spark, sf_dir).join(last, "sig"))

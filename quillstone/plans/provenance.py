@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.operators import provenance as pv
+from quillstone.plans.sql import ENTRIES
 from quillstone.sources import tables as t
 
 QUERIES, ORACLE = {}, {}
@@ -147,6 +148,39 @@ def citation_reason(spark, sf_dir) -> DataFrame:
     return s.select("source_id", pv.reason().alias("reason"))
 
 
+_WHY = """CASE WHEN n % 5 = 0 THEN NULL WHEN n % 5 = 1 AND n % 2 = 0 THEN 'blob_missing' WHEN n % 7 = 0 THEN 'url_no_blobs' WHEN format = 'png' THEN 'outside_pdf_axis' WHEN n % 11 = 0 THEN 'policy_pdf_only'
+    WHEN n % 4 = 2 THEN 'timeout' WHEN n % 4 = 3 THEN 'conversion_failed' WHEN format = 'docx' THEN 'queued' ELSE 'blob_missing' END"""
+
+
+def described(spark, sf_dir) -> DataFrame:
+    """Sources with what citations need."""
+    n, kind = F.col("n"), "array<struct<literal:string,family:string,given:string>>"
+    someone = F.array(F.struct(F.concat(F.lit("Org"), n.cast("string")).alias("literal"), F.lit(None).cast("string").alias("family"), F.lit(None).cast("string").alias("given")))
+    return sources(spark, sf_dir).withColumns({
+        "title": F.when(n % 6 != 0, F.col("name")), "authors": F.when(n % 13 != 0, someone).otherwise(F.array().cast(kind)), "year": F.when(n % 2 == 0, "2020"), "publisher": F.lit(None).cast("string"),
+        "url": F.when(n % 3 == 0, "https://e.org"), "blob_shown": n % 10 == 0, "present": n % 5 == 0, "promised": n % 5 == 1, "exists": n % 2 != 0, "has_original": n % 7 != 0,
+        "policy": F.when(n % 11 == 0, "pdf_only").otherwise("normalize"), "error": F.when(n % 4 == 2, "timeout").when(n % 4 == 3, "odd"),
+    })
+
+
+@query(f"""WITH {ENTRIES}, {SOURCES}, c AS (SELECT source_id, n % 10 = 0 AS blob, 'Org' || n || '. ' || name || CASE WHEN n % 3 = 0 THEN '. — https://e.org' ELSE '' END || CASE WHEN n % 2 = 0 THEN '. — 2020' ELSE '' END AS text,
+        {_WHY} AS why FROM sources WHERE {_SHOWN} AND n % 6 <> 0 AND n % 13 <> 0)
+    SELECT kid, CASE WHEN text IS NOT NULL THEN CASE WHEN blob THEN 'b' ELSE 'a' END END AS level, text AS citation, CASE WHEN NOT blob THEN why END AS reason
+    FROM (SELECT kid, 's' || (n % 140) AS source_id FROM entries) LEFT JOIN c USING (source_id)""")
+def cited_entries(spark, sf_dir) -> DataFrame:
+    rows = t.entries(spark, sf_dir).select("kid", F.concat(F.lit("s"), (F.col("n") % 140).cast("string")).alias("source_id"))
+    return pv.cited(rows, described(spark, sf_dir), ("public", "private")).select("kid", "level", "citation", "reason")
+
+
+@query(f"""WITH {SOURCES}, {REFS}, ok AS (SELECT source_id, {_WHY} AS reason FROM sources WHERE zone = 'public' AND {_SHOWN}),
+    b AS (SELECT DISTINCT source_id, ref_kind, sha256 FROM refs WHERE sha256 IN (SELECT sha256 FROM refs WHERE source_id IN (SELECT source_id FROM ok)))
+    SELECT source_id, reason, sha256(string_agg(ref_kind || sha256, ',' ORDER BY ref_kind, sha256)) AS blobs FROM ok LEFT JOIN b USING (source_id) GROUP BY ALL""")
+def source_views(spark, sf_dir) -> DataFrame:
+    v = pv.source_views(described(spark, sf_dir), refs(spark, sf_dir), ("public",))
+    text = F.array_join(F.transform("blobs", lambda x: F.concat(x["ref_kind"], x["sha256"])), ",")
+    return v.select("source_id", "reason", F.when(F.col("blobs").isNotNull(), sha(text)).alias("blobs"))
+
+
 @query("""WITH o AS (SELECT sha256('p' || p_partkey) AS sha256, p_brand AS role, p_size AS size, p_type AS mime FROM part WHERE p_partkey % 5 <> 0), n AS (SELECT sha256('p' || p_partkey) AS sha256, p_brand AS role, CASE WHEN p_partkey % 8 = 0 THEN NULL ELSE p_size END AS size, p_type AS mime FROM part WHERE p_partkey % 7 <> 0)
     SELECT sha256, CASE WHEN o.role IS NULL THEN 'added' WHEN n.role IS NULL THEN 'removed' ELSE 'updated' END AS state FROM o FULL JOIN n USING (sha256) WHERE o.role IS NULL OR n.role IS NULL OR o.size IS DISTINCT FROM n.size""")
 def registry_diff(spark, sf_dir) -> DataFrame:

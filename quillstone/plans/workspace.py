@@ -192,12 +192,14 @@ def context_mode(spark, sf_dir) -> DataFrame:
     return t.table(spark, sf_dir, "part").select(n.alias("id"), w.context_mode(referenced, changed).alias("mode"))
 
 
-_STATES = ("new", "queued", "running", "parked", "review", "failed", "done", "cancelled")
+_STATES = ("queued", "running", "waiting_human", "sleeping", "preempted", "parked", "done", "failed", "cancelled")
+_PICK = "['queued', 'running', 'waiting_human', 'sleeping', 'preempted', 'parked', 'done', 'failed', 'cancelled'][CAST({} % 9 + 1 AS INTEGER)]"
 
 
-@query("""WITH s AS (SELECT o_orderkey AS id, ['new', 'queued', 'running', 'parked', 'review', 'failed', 'done', 'cancelled'][CAST(o_orderkey % 8 + 1 AS INTEGER)] AS f, ['new', 'queued', 'running', 'parked', 'review', 'failed', 'done', 'cancelled'][CAST(o_custkey % 8 + 1 AS INTEGER)] AS t FROM orders)
-    SELECT id, f AS from_state, t AS to_state FROM s WHERE NOT ((f = 'new' AND t IN ('queued', 'cancelled')) OR (f = 'queued' AND t IN ('running', 'parked', 'cancelled')) OR (f = 'running' AND t IN ('done', 'failed', 'parked', 'review', 'cancelled'))
-      OR (f = 'parked' AND t IN ('queued', 'cancelled')) OR (f = 'review' AND t IN ('running', 'done', 'failed')) OR (f = 'failed' AND t = 'queued'))""")
+@query(f"""WITH s AS (SELECT o_orderkey AS id, {_PICK.format('o_orderkey')} AS f, {_PICK.format('o_custkey')} AS t FROM orders)
+    SELECT id, f AS from_state, t AS to_state FROM s WHERE NOT ((f = 'queued' AND t IN ('running', 'cancelled', 'failed', 'parked')) OR (f = 'running' AND t <> 'running')
+      OR (f = 'waiting_human' AND t IN ('running', 'cancelled', 'failed')) OR (f = 'sleeping' AND t IN ('running', 'cancelled', 'failed', 'parked'))
+      OR (f = 'preempted' AND t IN ('running', 'queued', 'cancelled', 'failed', 'parked')) OR (f = 'parked' AND t IN ('queued', 'cancelled', 'failed')) OR (f = 'failed' AND t = 'queued'))""")
 def illegal_transitions(spark, sf_dir) -> DataFrame:
     return w.illegal_transitions(t.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), pick(F.col("o_orderkey"), _STATES).alias("from_state"), pick(F.col("o_custkey"), _STATES).alias("to_state")))
 
