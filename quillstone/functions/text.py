@@ -117,9 +117,9 @@ def signature(source: Column, marker: Column, code: Column, message: Column) ->
 
 
 def marker(line: Column) -> Column:
-    """The first bracketed capital word that is no log level."""
+    """The first bracketed capital word that is no log level, nor HTTP."""
     found = F.regexp_extract_all(line, F.lit(r"\[([A-Z][A-Z_]+)\]"), F.lit(1))
-    levels = F.array(*map(F.lit, ("INFO", "DEBUG", "WARNING", "ERROR", "CRITICAL")))
+    levels = F.array(*map(F.lit, ("INFO", "DEBUG", "WARNING", "ERROR", "CRITICAL", "HTTP")))
     return F.get(F.filter(found, lambda x: ~F.array_contains(levels, x)), 0)
 
 

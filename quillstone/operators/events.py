@@ -71,19 +71,20 @@ def priority_ladder(cycle: DataFrame, weeks: DataFrame) -> DataFrame:
 
 def guard(events: DataFrame) -> DataFrame:
     """Storm guard: at most five events per signature and minute pass; the next that passes carries the
-    number suppressed since the one before. Cap-immune events pass and count nothing."""
-    minute = F.date_trunc("minute", "ts")
-    nth = F.row_number().over(Window.partitionBy("sig", "immune", minute).orderBy("ts", "seq"))
-    rows = events.withColumn("allowed", F.col("immune") | (nth <= MINUTE_CAP))
-    counting = ~F.col("immune")
-    order = Window.partitionBy("sig", "immune").orderBy("ts", "seq")
-    # suppressed rows since the last allowed one: the running number of suppressed ones, minus that
-    # number at the previous allowed row
-    held = F.sum((~F.col("allowed")).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("held", held)
-    before = F.last(F.when(F.col("allowed"), F.col("held")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    carried = F.when(F.col("allowed") & counting, F.col("held") - F.coalesce(before, F.lit(0))).otherwise(0)
-    return rows.withColumn("carried", carried).drop("held")
+    number suppressed since the one before. Cap-immune events pass and count nothing.
+
+    The first event of a minute always passes and what is behind the fifth never does, so what an event carries is
+    what the signature's last active minute suppressed, and only a minute's first event carries any. So rows meet
+    inside their minute only; the order of minutes is taken from their counts."""
+    rows = events.withColumn("_minute", F.date_trunc("minute", "ts"))
+    nth = F.row_number().over(Window.partitionBy("sig", "immune", "_minute").orderBy("ts", "seq"))
+    rows = rows.withColumn("_nth", nth).withColumn("allowed", F.col("immune") | (F.col("_nth") <= MINUTE_CAP))
+    minutes = events.where("not immune").groupBy("sig", F.date_trunc("minute", "ts").alias("_minute")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.lag(F.greatest(F.col("_n") - MINUTE_CAP, F.lit(0))).over(Window.partitionBy("sig").orderBy("_minute"))
+    minutes = minutes.select("sig", "_minute", F.coalesce(before, F.lit(0)).alias("_held")).where("_held > 0")
+    rows = rows.join(minutes, ["sig", "_minute"], "left")
+    carried = F.when(~F.col("immune") & (F.col("_nth") == 1), F.coalesce("_held", F.lit(0))).otherwise(F.lit(0))
+    return rows.withColumn("carried", carried.cast("long")).select(*events.columns, "allowed", "carried")
 
 
 def burst_means(cycles: DataFrame) -> DataFrame:

@@ -78,10 +78,13 @@ def vector_pairs(points: DataFrame, first: int | None = PAIR_FIRST, cap: int | N
 def tag_pairs(entries: DataFrame, first: int | None = PAIR_FIRST, cap: int | None = PAIR_CAP) -> DataFrame:
     """Pairs of one domain and subject with at least half of the smaller tag set in common. A pair shares a
     tag, so candidates come from an equi-join on it."""
-    rows = eligible(entries, first).select("domain", "subject", "kid", "rn", "tags", F.explode("tags").alias("tag"))
+    rows = eligible(entries, first).select("domain", "subject", "kid", "rn", F.array_distinct("tags").alias("tags"), F.size("tags").alias("size"))
+    rows = rows.withColumn("tag", F.explode("tags"))
     a, b = rows.alias("a"), rows.alias("b")
-    both = a.join(b, F.expr("a.domain = b.domain and a.subject = b.subject and a.tag = b.tag and a.rn < b.rn"))
-    both = both.groupBy("a.domain", F.col("a.kid").alias("kid_a"), F.col("b.kid").alias("kid_b")).agg(F.count(F.lit(1)).alias("common"), F.first(F.least(F.size("a.tags"), F.size("b.tags"))).alias("least_size"))
+    # a pair is made at the least tag that both have, so once
+    both = a.join(b, F.expr("a.domain = b.domain and a.subject = b.subject and a.tag = b.tag and a.rn < b.rn and a.tag = array_min(array_intersect(a.tags, b.tags))"))
+    common = F.size(F.array_intersect("a.tags", "b.tags")).cast("long")
+    both = both.select("a.domain", F.col("a.kid").alias("kid_a"), F.col("b.kid").alias("kid_b"), common.alias("common"), F.least("a.size", "b.size").alias("least_size"))
     return cap_pairs(both.where(F.col("common") / F.col("least_size") >= 0.5).select("domain", "kid_a", "kid_b", "common"), cap)
 
 

@@ -88,15 +88,19 @@ def endpoint_hist(spark, sf_dir) -> DataFrame:
 
 
 P0 = "('" + "', '".join(ev.P0_HINTS) + "')"
-LADDER = f"""{WEEKS}, f AS (SELECT sig, bool_or(coalesce(hint IN {P0}, false) AND NOT expected) AS p0, bool_and(expected) AS routine, count(DISTINCT actor) AS actors,
+LADDER = f"""{WEEKS}, f AS (SELECT sig, bool_or(coalesce(hint IN {P0}, false) AND NOT expected) AS p0, bool_or(hint = 'slow') AS slow, bool_or(hint = 'burst_routine') AS calm, bool_or(hint IN ('burst', 'watchdog_silent')) AS loud, bool_and(expected) AS routine, count(DISTINCT actor) AS actors,
     bool_and(coalesce(status IN (401, 403, 404, 429) AND actor IS NULL, false) OR coalesce(marker = 'HEALTH', false) OR contains(message, '[AUTH]')) AS baseline
-    FROM error_events WHERE day >= DATE '2024-01-29' GROUP BY sig),
-    ladder AS (SELECT sig, CASE WHEN p0 THEN 'P0' WHEN routine THEN 'P3' WHEN actors >= 2 OR coalesce(count_prev_7d > 0 AND count_7d > count_prev_7d, false) THEN 'P1' WHEN baseline THEN 'P3' ELSE 'P2' END AS priority,
-    CASE WHEN p0 OR routine THEN 'T' WHEN actors >= 2 OR coalesce(count_prev_7d > 0 AND count_7d > count_prev_7d, false) THEN CASE WHEN actors > 0 THEN 'U' ELSE 'T' END WHEN baseline THEN 'T' WHEN actors > 0 THEN 'U' ELSE 'T' END AS class FROM f LEFT JOIN w USING (sig))"""
+    FROM (SELECT * REPLACE (CASE WHEN seq % 40 = 0 AND k % 10 IN (1, 3, 5, 7) THEN ['slow', 'burst_routine', 'burst', 'watchdog_silent'][k % 10 // 2 + 1] ELSE hint END AS hint) FROM error_events WHERE day >= DATE '2024-01-29') GROUP BY sig),
+    ladder AS (SELECT sig, CASE WHEN p0 THEN 'P0' WHEN slow THEN 'P1' WHEN calm THEN 'P2' WHEN loud THEN 'P1' WHEN routine THEN 'P3' WHEN actors >= 2 OR coalesce(count_prev_7d > 0 AND count_7d > count_prev_7d, false) THEN 'P1' WHEN baseline THEN 'P3' ELSE 'P2' END AS priority,
+    CASE WHEN p0 THEN 'T' WHEN slow THEN 'U' WHEN calm OR loud OR routine THEN 'T' WHEN actors >= 2 OR coalesce(count_prev_7d > 0 AND count_7d > count_prev_7d, false) THEN CASE WHEN actors > 0 THEN 'U' ELSE 'T' END WHEN baseline THEN 'T' WHEN actors > 0 THEN 'U' ELSE 'T' END AS class FROM f LEFT JOIN w USING (sig))"""
 
 
 def ladder(spark, sf_dir) -> DataFrame:
-    return ev.priority_ladder(t.error_events(spark, sf_dir).where("day >= date'2024-01-29'"), weeks(spark, sf_dir))
+    """Every 40th event of some signatures is slow, of a burst, or of a silent watchdog."""
+    k = F.col("k") % 10
+    planted = F.when(k == 1, "slow").when(k == 3, "burst_routine").when(k == 5, "burst").when(k == 7, "watchdog_silent").otherwise(F.col("hint"))
+    e = t.error_events(spark, sf_dir).where("day >= date'2024-01-29'").withColumn("hint", F.when(F.col("seq") % 40 == 0, planted).otherwise(F.col("hint")))
+    return ev.priority_ladder(e, weeks(spark, sf_dir))
 
 
 @query(f"{E}, {LADDER} SELECT * FROM ladder")

@@ -110,11 +110,10 @@ def cron_lines(spark, sf_dir) -> DataFrame:
 
 
 @query("""WITH l AS (SELECT event_id AS id, event_id % 4 AS r, 200 + event_id % 5 * 100 AS s FROM events) SELECT id, CASE WHEN r = 0 THEN '/items/<id>/x' END AS endpoint, CASE WHEN r < 2 THEN CAST(s AS INTEGER) END AS status,
-    CASE WHEN r = 2 THEN 'SLOW' END AS marker FROM l WHERE (r < 2 AND s >= 400) OR r = 2 OR r = 3 AND id % 8 = 7""")
+    CASE r WHEN 1 THEN 'GIN' WHEN 2 THEN 'SLOW' END AS marker FROM l WHERE r = 0 AND s >= 400 OR r IN (1, 2) OR r = 3 AND id % 8 = 7""")
 def log_capture(spark, sf_dir) -> DataFrame:
     n = F.col("event_id")
     s = (200 + n % 5 * 100).cast("string")
     line = F.when(n % 4 == 0, F.concat(F.lit('1.2.3.4 "GET /items/'), n.cast("string"), F.lit('/x?q=1 HTTP/1.1" '), s)).when(n % 4 == 1, F.concat(F.lit("[GIN] | "), s, F.lit(" | 3ms"))).when(n % 4 == 2, F.lit("[INFO] [SLOW] waiting")).when(n % 8 == 7, F.lit("WARNING: disk")).otherwise(F.lit("INFO: fine"))
-    line = F.replace(line, F.lit("[GIN]"), F.lit("gin"))
     rows = t.table(spark, sf_dir, "events").select(n.alias("id"), line.alias("line")).where(files.captured(F.col("line")))
     return rows.select("id", tx.endpoint(F.col("line")).alias("endpoint"), files.access_status(F.col("line")).alias("status"), tx.marker(F.col("line")).alias("marker"))

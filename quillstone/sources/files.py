@@ -82,9 +82,9 @@ def cron_line(line: Column) -> Column:
 
 
 def access_status(line: Column) -> Column:
-    """The status of an access line in either format."""
+    """The status of an access line; in the format with bars only of a line marked GIN."""
     a = F.regexp_extract(line, r'"(\S+) (\S+) HTTP/[\d.]+" (\d{3})', 3)
-    b = F.regexp_extract(line, r"\|\s*(\d{3})\s*\|", 1)
+    b = F.when(marker(line) == "GIN", F.regexp_extract(line, r"\|\s*(\d{3})\s*\|", 1))
     return F.coalesce(F.nullif(a, F.lit("")), F.nullif(b, F.lit(""))).cast("int")
 
 
