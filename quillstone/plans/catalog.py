@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillstone.plans import authoring, bookkeeping, checks, documents, events, lifecycle, maintenance, overtime, provenance, quality, reports, retrieval, streams, workspace
+from quillstone.plans import authoring, bookkeeping, checks, documents, events, lifecycle, maintenance, overtime, provenance, quality, reports, retrieval, serving, streams, workspace
 
 QUERIES, ORACLE = {}, {}
-for _part in (retrieval, quality, events, provenance, workspace, documents, authoring, lifecycle, bookkeeping, maintenance, overtime, checks, reports, streams):
+for _part in (retrieval, quality, events, provenance, workspace, documents, authoring, lifecycle, bookkeeping, maintenance, overtime, checks, reports, serving, streams):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE

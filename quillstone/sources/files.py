@@ -49,14 +49,18 @@ def read_markdown(spark: SparkSession, folder: str, skip_underscore: bool = True
     files = files.where(~F.col("path").contains("/.trash/"))
     if skip_underscore:
         files = files.where(~F.element_at(F.split("path", "/"), -1).startswith("_"))
-    text = F.decode("content", "UTF-8")
-    rows = files.select("path", text.alias("text"))
+    rows = parsed_markdown(files.select("path", F.decode("content", "UTF-8").alias("text")))
+    return rows.select("path", "meta", "body", "error")
+
+
+def parsed_markdown(rows: DataFrame) -> DataFrame:
+    """rows with meta, body and error of their `text`, as read_markdown has them."""
     rows = rows.withColumns({"front": F.regexp_extract("text", FRONT, 1), "body": strip(F.regexp_extract("text", FRONT, 2)), "has": F.col("text").rlike(FRONT)})
     rows = rows.withColumn("meta", front_matter()(F.when(F.col("has"), F.col("front"))))
     error = (
-        F.when(F.trim("text") == "", "empty").when(~F.col("text").startswith("---"), "no_delimiter").when(~F.col("has"), "unclosed").when(F.col("meta.keys").isNull(), "not_a_mapping")
+        F.when(strip(F.col("text")) == "", "empty").when(~F.col("text").startswith("---"), "no_delimiter").when(~F.col("has"), "unclosed").when(F.col("meta.keys").isNull(), "not_a_mapping")
     )
-    return rows.select("path", "meta", "body", error.alias("error"))
+    return rows.withColumn("error", error).drop("front", "has")
 
 
 def write_markdown(entries: DataFrame, folder: str) -> None:
