@@ -40,11 +40,11 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def cut(self, df: DataFrame, name: str = "t", partition_by: list[str] | None = None) -> DataFrame:
-        """Write df and read it back: the lineage ends here."""
+    def cut(self, df: DataFrame, name: str = "t", partition_by: list[str] | None = None, most: int = 0) -> DataFrame:
+        """Write df and read it back: the lineage ends here. most: rows of a file, if they are bounded."""
         self._n += 1
         path = self.path(f"{name}-{self._n}")
-        writer = df.write.option("compression", "zstd")
+        writer = df.write.option("compression", "zstd").option("maxRecordsPerFile", most)
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path

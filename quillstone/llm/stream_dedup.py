@@ -62,11 +62,23 @@ def batch_bytes(spark: SparkSession, path: str) -> int:
 
 
 def run_stream(spark: SparkSession, path: str, folder: str, digest_bits: int = 256, max_bytes: int | None = None) -> DataFrame:
-    """Bring the state in `folder` up to date with the table; returns digest, n, keeper.
+    """Bring the state in `folder` up to date with the table; returns digest, n, keeper."""
+    rows = _located(read_stream(spark, path, max_bytes or batch_bytes(spark, path)), digest_bits)
+    return keep_state(rows.select("digest", "at"), folder)
+
+
+def stream_of(located: DataFrame, batches: int) -> DataFrame:
+    """A written table of digests and locators as a stream in so many micro-batches, fewer only if it has fewer files."""
+    files = max(1, -(-len(located.inputFiles()) // batches))
+    return located.sparkSession.readStream.schema(located.schema).option("maxFilesPerTrigger", files).parquet(located._scratch_path).select("digest", "at")
+
+
+def keep_state(rows: DataFrame, folder: str) -> DataFrame:
+    """Runs a stream of (digest, at) through the keyed state.
 
     Every micro-batch appends the changed keys to a table; the last line of a key is its state.
     """
-    rows = _located(read_stream(spark, path, max_bytes or batch_bytes(spark, path)), digest_bits).select("digest", "at")
+    spark = rows.sparkSession
     state = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("keeper"))
     before = {k: spark.conf.get(k, None) for k in SETTINGS}
     for k, v in SETTINGS.items():
@@ -97,11 +109,21 @@ def _by_class(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, path: str, digest_bits: int = 256, max_bytes: int | None = None, folder: str | None = None) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and the locator `at`."""
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256, and the locator `at`.
+
+    Digests and locators are written once, in files of a quarter of the rows at most, and streamed from there, so that
+    also a table of one file comes in several micro-batches. With `folder`, a state that goes on, or
+    `max_bytes`, the table itself is the stream."""
     scratch = Scratch(spark, "stream-dedup")
-    state = scratch.cut(run_stream(spark, path, folder or scratch.path("stream"), digest_bits, max_bytes), "state")
-    rows = _located(spark.read.parquet(path), digest_bits)
-    light = scratch.cut(rows.select("at", "digest", "text_sha256"), "rows")
+    table = spark.read.parquet(path)
+    rows = _located(table, digest_bits)
+    most = max(1, -(-table.count() // BATCHES))
+    light = scratch.cut(rows.select("at", "digest", "text_sha256"), "rows", most=most)
+    if folder or max_bytes:
+        state = run_stream(spark, path, folder or scratch.path("stream"), digest_bits, max_bytes)
+    else:
+        state = keep_state(stream_of(light, BATCHES), scratch.path("stream"))
+    state = scratch.cut(state, "state")
     hits = scratch.cut(state.where("n > 1").select("digest", "keeper"), "hits")
     # full bytes: each row of a digest with hits against the text at the keeper's locator. A filter
     # by hash keeps the other texts out of the shuffle.

@@ -88,6 +88,18 @@ def test_streamed_copies(spark, odd, tmp_path):
     assert stream_dedup.dedup(spark, empty).count() == 0
 
 
+def test_one_file_comes_in_several_batches(spark, scratch, tmp_path):
+    """Copies are told over batches: the state is met again."""
+    path = f"file://{tmp_path}/one.parquet"
+    spark.createDataFrame([(i, f"text {i % 7}") for i in range(40)], "doc_id long, text string").coalesce(1).write.parquet(path)
+    rows = stream_dedup._located(spark.read.parquet(path), 256).select("at", "digest")
+    light = scratch.cut(rows, "light", most=10)
+    folder = scratch.path("state")
+    state = stream_dedup.keep_state(stream_dedup.stream_of(light, 4), folder)
+    assert sorted(r["n"] for r in state.collect()) == [5, 5, 6, 6, 6, 6, 6]
+    assert spark.read.parquet(f"{folder}/changes").select("batch").distinct().count() == 4
+
+
 def test_katz(odd, scratch):
     out = katz.score(scratch, odd).collect()
     assert Counter((r["doc_id"], r["n_tokens"]) for r in out) == Counter((i, len((t or "").encode().split()) + 1) for i, t, _ in ROWS)
