@@ -105,7 +105,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_chat_repair": op13_chat_repair,
 }
 
+
+
+def _means(rounds: int) -> str:
+    """Plain k-means over all pairs: a CTE per round. `//` cuts towards zero, so sums are made floors by their rest."""
+    square = "list_sum(list_transform(list_zip(v.x, c.m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    near = "SELECT v.r, v.x, min({{'d': CAST({square} AS BIGINT), 'c': c.c}}) AS b FROM v CROSS JOIN c{n} c GROUP BY v.r, v.x"
+    parts = ["""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)""",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x AS m FROM (SELECT sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, x FROM v ORDER BY h, x LIMIT 40))"]
+    for n in range(rounds + 1):
+        parts.append(f"a{n} AS MATERIALIZED ({near.format(square=square, n=n)})")
+        if n < rounds:
+            parts.append(f"""s{n} AS MATERIALIZED (SELECT c, i, sum(y) AS s, count(*) AS k FROM (SELECT b.c AS c, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM a{n}) GROUP BY c, i),
+        c{n + 1} AS MATERIALIZED (SELECT c{n}.c, coalesce(f.m, c{n}.m) AS m FROM c{n} LEFT JOIN (
+            SELECT c, list(CAST((s - ((s % k) + k) % k) // k AS BIGINT) ORDER BY i) AS m FROM s{n} GROUP BY c) f USING (c))""")
+    return "WITH " + ",\n        ".join(parts)
+
+
 ORACLE: dict[str, str] = {
+    "op11_sort_means": f"""{_means(5)}
+        SELECT vec_id, CAST(b.c AS INTEGER) AS cluster, b.d AS distance, CAST(sum(b.d) OVER (PARTITION BY b.c) AS BIGINT) AS cluster_inertia, CAST(sum(b.d) OVER () AS BIGINT) AS inertia,
+            sha256(array_to_string(m, ',')) AS centroid_sha256 FROM a5 JOIN v USING (r) JOIN c5 ON c5.c = b.c""",
     "op9_ngram_join": r"""
         WITH RECURSIVE words AS MATERIALIZED (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
