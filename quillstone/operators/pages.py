@@ -10,7 +10,7 @@ from quillstone.operators import authoring as au
 
 # How a page is called, what is behind the last heading, and parts from the second on.
 PAGE, REST, PART = "Страница ", "Последний раздел", " (часть "
-LONG = 4000
+LONG = 4000  # characters of a section that is not cut
 
 
 def page_of(places: DataFrame, pages: DataFrame, at: str = "start") -> DataFrame:
@@ -25,17 +25,17 @@ def page_of(places: DataFrame, pages: DataFrame, at: str = "start") -> DataFrame
     return both.withColumn("page", F.last("_page", ignorenulls=True).over(order)).where("_kind = 1").select(*columns, "page")
 
 
-def _parts(rows: DataFrame) -> DataFrame:
-    """rows (doc, seq, title, body, page, last_page) with bodies over LONG characters cut as any long text is; parts share
+def _parts(rows: DataFrame, longest: int) -> DataFrame:
+    """rows (doc, seq, title, body, page, last_page) with bodies over so many characters cut as any long text is; parts share
     their section's number."""
     rows = rows.withColumn("kid", F.concat_ws("/", F.col("doc").cast("string"), F.col("seq").cast("string")))
-    cut = au.hybrid_sections(rows.where(F.length("body") > LONG).select("kid", F.col("body").alias("content"))).select("kid", F.col("seq").alias("part"), F.col("body").alias("piece"))
+    cut = au.hybrid_sections(rows.where(F.length("body") > longest).select("kid", F.col("body").alias("content"))).select("kid", F.col("seq").alias("part"), F.col("body").alias("piece"))
     out = rows.join(cut, "kid", "left").withColumns({"part": F.coalesce("part", F.lit(1)), "body": F.coalesce("piece", "body")})
     title = F.when(F.col("part") == 1, F.col("title")).otherwise(F.concat("title", F.lit(PART), F.col("part").cast("string"), F.lit(")")))
     return out.select("doc", "seq", "part", title.alias("title"), "body", "page", "last_page")
 
 
-def sections_by_heading(texts: DataFrame, headings: DataFrame, pages: DataFrame) -> DataFrame:
+def sections_by_heading(texts: DataFrame, headings: DataFrame, pages: DataFrame, longest: int = LONG) -> DataFrame:
     """doc, seq, part, title, body, page, last_page. headings: doc, nth, title.
 
     Headings are looked for one behind the other; one that isn't there is passed over. The rule is kept as it is: a
@@ -58,22 +58,22 @@ def sections_by_heading(texts: DataFrame, headings: DataFrame, pages: DataFrame)
     slim = rows.select("doc", "seq", "start", "last")
     begins = page_of(slim.select("doc", "seq", "start"), pages).select("doc", "seq", "page")
     ends = page_of(slim.select("doc", "seq", "last"), pages, "last").select("doc", "seq", F.col("page").alias("last_page"))
-    return _parts(rows.select("doc", "seq", "title", "body").join(begins, ["doc", "seq"]).join(ends, ["doc", "seq"]))
+    return _parts(rows.select("doc", "seq", "title", "body").join(begins, ["doc", "seq"]).join(ends, ["doc", "seq"]), longest)
 
 
-def sections_by_page(texts: DataFrame, pages: DataFrame) -> DataFrame:
+def sections_by_page(texts: DataFrame, pages: DataFrame, longest: int = LONG) -> DataFrame:
     """doc, seq, part, title, body, page, last_page: a section per page that isn't blank, in order. pages: doc, page, start,
     stop."""
     rows = pages.join(texts.select("doc", "content"), "doc")
     rows = rows.withColumn("body", tx.strip(F.substr("content", F.col("start") + 1, F.col("stop") - F.col("start")))).where("body <> ''")
     seq = F.row_number().over(Window.partitionBy("doc").orderBy("start", "page"))
     rows = rows.withColumn("seq", seq).withColumn("title", F.concat(F.lit(PAGE), F.col("seq").cast("string")))
-    return _parts(rows.select("doc", "seq", "title", "body", "page", F.col("page").alias("last_page")))
+    return _parts(rows.select("doc", "seq", "title", "body", "page", F.col("page").alias("last_page")), longest)
 
 
-def imported_sections(texts: DataFrame, headings: DataFrame, pages: DataFrame) -> DataFrame:
+def imported_sections(texts: DataFrame, headings: DataFrame, pages: DataFrame, longest: int = LONG) -> DataFrame:
     """By headings where a document has two or more, else by pages."""
     enough = headings.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("doc")
-    by_heading = sections_by_heading(texts.join(enough, "doc", "left_semi"), headings.join(enough, "doc", "left_semi"), pages)
+    by_heading = sections_by_heading(texts.join(enough, "doc", "left_semi"), headings.join(enough, "doc", "left_semi"), pages, longest)
     rest = texts.join(enough, "doc", "left_anti")
-    return by_heading.unionByName(sections_by_page(rest, pages.join(rest.select("doc"), "doc", "left_semi")))
+    return by_heading.unionByName(sections_by_page(rest, pages.join(rest.select("doc"), "doc", "left_semi"), longest))

@@ -75,7 +75,8 @@ _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
         SELECT doc, page, {_STRIP.format('content[start + 1:stop]')} AS body FROM p JOIN d USING (doc) WHERE doc NOT IN (SELECT doc FROM many)) WHERE body <> '')
     SELECT doc, seq, title, sha256(body) AS digest, page, last_page FROM x UNION ALL SELECT doc, seq, 'Страница ' || seq, sha256(body), page, page FROM y""")
 def imported_sections(spark, sf_dir) -> DataFrame:
-    """Pages of 1,500 characters; a heading every 900 in two documents of three, each fifth of them not in the text."""
+    """Pages of 1,500 characters; a heading every 900 in two documents of three, each fifth of them not in the text. Long
+    sections stay whole here, as SQL can't cut them; tests/test_checks.py does."""
     text = F.coalesce("text", F.lit(""))
     d = t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), text.alias("content"), F.length(text).alias("n"))
     k = F.col("k")
@@ -83,5 +84,5 @@ def imported_sections(spark, sf_dir) -> DataFrame:
     pages = p.select("doc", (k + 1).cast("long").alias("page"), (k * 1500).alias("start"), F.least("n", k * 1500 + 1500).alias("stop"))
     h = d.where("doc % 3 <> 0 and n >= 900").select("doc", "content", F.explode(F.sequence(F.lit(0), F.expr("n div 900 - 1").cast("int"))).alias("k"))
     title = F.when(k % 5 == 4, "not there").otherwise(F.substr("content", k * 900 + 41, F.lit(20)))
-    out = pg.imported_sections(d.select("doc", "content"), h.select("doc", (k + 1).alias("nth"), title.alias("title")), pages)
+    out = pg.imported_sections(d.select("doc", "content"), h.select("doc", (k + 1).alias("nth"), title.alias("title")), pages, longest=10**9)
     return out.select("doc", F.col("seq").cast("long").alias("seq"), "title", F.sha2(F.col("body").cast("binary"), 256).alias("digest"), "page", "last_page")

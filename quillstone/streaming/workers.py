@@ -51,7 +51,8 @@ def index_worker(attempts: DataFrame, late: str = "1 minute") -> DataFrame:
         state.update((failures, seq, due))
         if due >= 0:
             state.setTimeoutTimestamp(due * 1000)
-        yield pd.DataFrame(out, columns=["key", "seq", "retries", "action", "due", "error"]).astype({"due": "Int64"})
+        if out:
+            yield pd.DataFrame(out, columns=["key", "seq", "retries", "action", "due", "error"]).astype({"due": "Int64"})
 
     slim = attempts.withWatermark("ts", late).select("key", "seq", F.unix_timestamp("ts").alias("at"), "ok", "error", "ts")
     out = "key string, seq long, retries long, action string, due long, error string"
@@ -79,7 +80,8 @@ def silent_sources(events: DataFrame, silence: int = SILENCE_MIN, cooldown: int
         silent(now)
         state.update((last, rest))
         state.setTimeoutTimestamp(max(last + silence * 60 + 1, rest) * 1000)
-        yield pd.DataFrame(out, columns=["source", "last", "at"]).astype({"last": "int64", "at": "int64"})
+        if out:
+            yield pd.DataFrame(out, columns=["source", "last", "at"]).astype({"last": "int64", "at": "int64"})
 
     slim = events.withWatermark("ts", late).select("source", F.unix_timestamp("ts").alias("at"), "ts")
     return slim.groupBy("source").applyInPandasWithState(step, "source string, last long, at long", "last long, rest long", "append", GroupStateTimeout.EventTimeTimeout)
@@ -97,7 +99,8 @@ def digests(ticks: DataFrame, zone: str) -> DataFrame:
             if action:
                 out.append((host, seq, day, action))
         state.update((held.get("last"), held.get("attempt"), held.get("spooled"), held.get("not_before", 0)))
-        yield pd.DataFrame(out, columns=["host", "seq", "day", "action"])
+        if out:
+            yield pd.DataFrame(out, columns=["host", "seq", "day", "action"])
 
     out = "host string, seq long, day string, action string"
     kept = "last string, attempt string, spooled string, not_before long"
