@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as tx
 from quillstone.operators import documents as dc
+from quillstone.sources.shared import scratch_folder
 
 MAX_TOKENS, CHARS_PER_TOKEN, CHUNK_TOKENS = 512, 4, 120
 _HEADER = r"(?m)^(#{1,3}\s+.+)$"
@@ -98,7 +99,9 @@ def hybrid_sections(texts: DataFrame, max_tokens: int = MAX_TOKENS, vectors: Dat
         rows = rows.select("kid", _structural(F.col("content")).alias("sections"), dc.paragraphs(F.col("content")).alias("pieces"))
         over = F.exists("sections", lambda s: F.floor(F.length(s["body"]) / CHARS_PER_TOKEN) > max_tokens)
         asked = ((F.size("sections") < 2) | over) & F.size("pieces").between(2, most)
-        rows = rows.withColumn("asked", asked)
+        path = scratch_folder(texts.sparkSession, "sections")  # read three times, so that texts are split once
+        rows.withColumn("asked", asked).write.parquet(path)
+        rows = texts.sparkSession.read.parquet(path)
         wanted = vectors.join(rows.where("asked").select("kid"), "kid", "left_semi")
         found = dc.cluster_paragraphs(wanted, most=most, doc="kid").groupBy("kid").agg(F.array_sort(F.collect_list(F.struct("nth", "section"))).alias("found"))
         rows = rows.join(found, "kid", "left")

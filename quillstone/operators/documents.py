@@ -88,11 +88,23 @@ def average_linkage(vectors: np.ndarray, threshold: float) -> np.ndarray:
     A chain of nearest neighbours grows until two are each other's nearest; those merge. Mean distance never falls by
     a merge elsewhere, so that gives the tree of always merging the nearest two, in quadratic time; and a cluster
     whose nearest neighbour is at the threshold or beyond is final."""
-    n = len(vectors)
     unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    if threshold <= 0:
+        return np.arange(len(vectors))
+    # equal vectors merge first, at distance 0; who has no neighbour below the threshold stays alone
+    _, firsts, same, size = np.unique(unit, axis=0, return_index=True, return_inverse=True, return_counts=True)
+    unit, out = unit[firsts], firsts.copy()
     d = 1 - unit @ unit.T
     np.fill_diagonal(d, np.inf)
-    size, label, alive = np.ones(n), np.arange(n), np.ones(n, bool)
+    near = np.flatnonzero(d.min(1) < threshold)
+    if len(near):
+        out[near] = firsts[near][_chained(d[np.ix_(near, near)], size[near].astype(float), threshold)]
+    return out[same.ravel()]
+
+
+def _chained(d: np.ndarray, size: np.ndarray, threshold: float) -> np.ndarray:
+    n = len(d)
+    label, alive = np.arange(n), np.ones(n, bool)
     members, chain, first = [[k] for k in range(n)], [], 0
     while True:
         while not chain and first < n:
