@@ -99,7 +99,8 @@ def average_linkage(vectors: np.ndarray, threshold: float) -> np.ndarray:
     near = np.flatnonzero(d.min(1) < threshold)
     if len(near):
         out[near] = firsts[near][_chained(d[np.ix_(near, near)], size[near].astype(float), threshold)]
-    return out[same.ravel()]
+    _, least, named = np.unique(out[same.ravel()], return_index=True, return_inverse=True)
+    return least[named.ravel()]  # a cluster is called after its first member
 
 
 def _chained(d: np.ndarray, size: np.ndarray, threshold: float) -> np.ndarray:
