@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillstone.functions.text import marker, strip
 
 FRONT = r"(?s)^---\r?\n(.*?)\r?\n---\r?\n?(.*)$"
-_META = "knowledge_id string, domain string, subject string, project string, tags array<string>, status string, zone string, version int, updated_at string, parent_knowledge_id string, keys array<string>"
+_META = "knowledge_id string, domain string, subject string, project string, tags array<string>, status string, zone string, version int, updated_at string, parent_knowledge_id string, keys array<string>, broken boolean"
 
 
 def _parse_front(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -21,22 +21,24 @@ def _parse_front(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         rows = []
         for text in texts:
+            broken = False
             try:
                 meta = yaml.safe_load(text or "")
             except yaml.YAMLError:
-                meta = None
+                meta, broken = None, True
             mapping = isinstance(meta, dict)
             meta = meta if mapping else {}
             row = {k: None if meta.get(k) is None else str(meta[k]) for k in names}
             row["tags"] = [str(x) for x in meta["tags"]] if isinstance(meta.get("tags"), list) else None
             row["version"] = int(meta["version"]) if str(meta.get("version", "")).isdigit() else None
             row["keys"] = sorted(map(str, meta)) if mapping else None
+            row["broken"] = broken
             rows.append(row)
         yield pd.DataFrame(rows, columns=names)
 
 
 def front_matter():
-    """A pandas UDF: YAML front matter -> known fields and the keys that are there."""
+    """A pandas UDF: YAML front matter -> known fields, the keys that are there, and whether it is no YAML."""
     return F.pandas_udf(_parse_front, _META)
 
 
