@@ -78,3 +78,28 @@ def delta_view(changed: Column, sections: Column, inputs: Column, critiques: Col
     enough = changed.isNotNull() & plain & (F.size(scope) > 0) & (F.size(F.array_except(scope, changed)) == 0)
     whole = F.size(F.array_except(inputs, sections)) == 0
     return F.when(whole, F.when(F.coalesce(enough, F.lit(False)), F.array_sort(F.array_intersect(changed, sections))).otherwise(inputs))
+
+
+def entry_views(asked: DataFrame, entries: DataFrame, sources: DataFrame, scope: tuple) -> DataFrame:
+    """kid, found, version, children, citation, citation_reason, citations of entries asked for (kid, distinct).
+
+    What isn't there and what is outside the scope look alike: found is false, the rest null. Children are counted of collections, in
+    the entry's own zone. entries: kid, zone, version, parent, content_type, source_refs (ids of sources, or null), source_id, which
+    counts where there are no refs. References to one source give citation and reason, those to more give citations
+    (JSON, in their order, without what may not be told). sources: as `provenance.cited` wants them."""
+    rows = asked.select("kid").join(entries.where(F.col("zone").isin(*scope)).drop("parent"), "kid", "left")
+    own = F.filter(F.coalesce("source_refs", F.array().cast("array<string>")), lambda s: F.coalesce(s, F.lit("")) != "")
+    refs = F.when(F.size(own) > 0, own).when(F.coalesce("source_id", F.lit("")) != "", F.array("source_id")).otherwise(F.array().cast("array<string>"))
+    rows = rows.select("kid", "zone", "version", "content_type", refs.alias("refs"))
+    links = rows.select("kid", F.posexplode("refs").alias("pos", "source_id"), F.size(F.array_distinct("refs")).alias("distinct"))
+    told = pv.cited(links, sources, scope)
+    item = F.struct("source_id", "citation", F.col("reason").alias("citation_reason"))
+    told = told.groupBy("kid").agg(F.max("distinct").alias("distinct"), F.array_sort(F.collect_list(F.struct("pos", item.alias("x")))).alias("all"))
+    told = told.select("kid", "distinct", F.transform("all", lambda a: a["x"]).alias("all"))
+    children = entries.where("parent is not null").groupBy(F.col("parent").alias("kid"), "zone").agg(F.count(F.lit(1)).alias("children"))
+    rows = rows.join(told, "kid", "left").join(children, ["kid", "zone"], "left")
+    one = lambda c: F.when(F.col("distinct") == 1, F.get("all", 0)[c])
+    return rows.select(
+        "kid", F.col("zone").isNotNull().alias("found"), "version", F.when(F.col("zone").isNotNull(), F.when(F.col("content_type") == "collection", F.coalesce("children", F.lit(0))).otherwise(0)).alias("children"),
+        one("citation").alias("citation"), one("citation_reason").alias("citation_reason"), F.when(F.col("distinct") > 1, F.to_json("all")).alias("citations"),
+    )

@@ -115,3 +115,44 @@ def found_points(points: DataFrame) -> DataFrame:
     title = F.coalesce(F.nullif("section_header", F.lit("")), tx.derive_title(F.col("content"), F.col("kid")))
     chunk = F.coalesce("chunk_id", F.col("id").cast("string"))
     return points.select("kid", chunk.alias("chunk_id"), F.round("score", 4).alias("score"), title.alias("title"), F.when(any_, F.to_json(F.struct(*fields))).alias("locator"))
+
+
+def corrected_budget(counters: DataFrame, journal: DataFrame, month: str, most: int | None = None) -> DataFrame:
+    """user (null: all), before, after, refused of a month's counters, which are set to the sums of the journal.
+
+    counters: user, micro; journal: month, user, micro. A user without a line in the journal is left alone, one without a
+    counter gets one. Where the counter of all would go down by more than `most`, the journal is taken to be cut off:
+    everything is refused and nothing changes."""
+    lines = journal.where(F.col("month") == month)
+    sums = lines.groupBy("user").agg(F.sum("micro").alias("sum")).where("user is not null")
+    total = lines.agg(F.coalesce(F.sum("micro"), F.lit(0)).cast("long").alias("sum"))
+    before = counters.where("user is null").agg(F.coalesce(F.max("micro"), F.lit(0)).cast("long").alias("before"))
+    world = before.join(F.broadcast(total)).withColumn("refused", F.lit(False) if most is None else F.col("before") - F.col("sum") > most)
+    verdict = F.broadcast(world.select("refused"))
+    users = counters.where("user is not null").join(sums, "user", "full_outer").join(verdict)
+    after = F.when(F.col("refused"), F.col("micro")).otherwise(F.coalesce("sum", "micro"))
+    users = users.select("user", F.coalesce("micro", F.lit(0)).cast("long").alias("before"), F.coalesce(after, F.lit(0)).cast("long").alias("after"), "refused")
+    none = F.lit(None).cast(dict(users.dtypes)["user"]).alias("user")
+    return users.unionByName(world.select(none, "before", F.when(F.col("refused"), F.col("before")).otherwise(F.col("sum")).alias("after"), "refused"))
+
+
+# The status that an action gives.
+STATUS = {"deprecate": "deprecated", "restore": "published"}
+
+
+def cascaded(entries: DataFrame, actions: DataFrame) -> DataFrame:
+    """kid, status, reached: entries (kid, parent, zone, status) after deprecations and restorations (n distinct, kid, action, cascade).
+
+    An action reaches its entry and, if it cascades or the entry has no parent, the sections below it in the entry's own
+    zone. Of the actions that reach an entry, whose number is `reached`, the last one counts. What names no entry does nothing."""
+    target = F.coalesce(*[F.when(F.col("action") == a, s) for a, s in STATUS.items()])
+    heads = entries.select("kid", "zone", F.col("parent").isNull().alias("root"))
+    known = actions.withColumn("to", target).where("to is not null").join(heads, "kid")
+    wide = F.coalesce("cascade", F.lit(False)) | F.col("root")
+    # Last actions by head come before the sections, so that a head's sections are met once.
+    last = lambda d: d.agg(F.max(F.struct("n", "to")).alias("last"), F.count(F.lit(1)).alias("reached"))
+    own = last(known.groupBy("kid"))
+    below = last(known.where(wide).groupBy(F.col("kid").alias("parent"), "zone"))
+    below = entries.where("parent is not null and parent <> kid").select("kid", "parent", "zone").join(below, ["parent", "zone"]).select("kid", "last", "reached")
+    total = own.union(below).groupBy("kid").agg(F.max("last").alias("last"), F.sum("reached").alias("reached"))
+    return entries.join(total, "kid", "left").select("kid", F.coalesce("last.to", "status").alias("status"), F.coalesce("reached", F.lit(0)).alias("reached"))

@@ -120,3 +120,24 @@ def normalised_tags(spark, sf_dir) -> DataFrame:
     n = F.col("event_id")
     word = F.when(n % 4 == 0, F.concat(F.lit("Тег--"), n.cast("string"))).when(n % 4 == 1, F.concat(F.upper("event_type"), F.lit("_ "), n.cast("string"))).when(n % 4 == 2, "-A - B-").otherwise("…")
     return t.table(spark, sf_dir, "events").select(n.alias("id"), tx.normalize_tag(word).alias("tag"))
+
+
+_ASKED = "k AS (SELECT CASE WHEN n % 17 = 0 THEN 'gone-' || n ELSE kid END AS kid, n FROM entries)"
+_CITED = f"""c AS (SELECT source_id, 'Org' || n || '. ' || name || CASE WHEN n % 3 = 0 THEN '. — https://e.org' ELSE '' END || CASE WHEN n % 2 = 0 THEN '. — 2020' ELSE '' END AS text,
+    CASE WHEN n % 10 <> 0 THEN {pr._WHY} END AS why FROM sources WHERE {pr._SHOWN} AND zone = 'private' AND n % 6 <> 0 AND n % 13 <> 0)"""
+
+
+@query(f"""WITH {ENTRIES}, {pr.SOURCES}, {_ASKED}, {_CITED}, e AS (SELECT k.kid, e.n, e.version, content_type, 's' || (e.n % 140) AS a, 's' || (e.n % 9) AS b FROM k LEFT JOIN entries e ON e.kid = k.kid AND zone = 'private'),
+    ch AS (SELECT parent AS kid, count(*) AS children FROM entries WHERE zone = 'private' GROUP BY parent),
+    j AS (SELECT e.*, '{{"source_id":"' || a || '"' || coalesce(',"citation":"' || x.text || '"', '') || coalesce(',"citation_reason":"' || x.why || '"', '') || '}}' AS ja, '{{"source_id":"' || b || '"' || coalesce(',"citation":"' || y.text || '"', '') || coalesce(',"citation_reason":"' || y.why || '"', '') || '}}' AS jb,
+        x.text, x.why FROM e LEFT JOIN c x ON x.source_id = a LEFT JOIN c y ON y.source_id = b)
+    SELECT kid, n IS NOT NULL AS found, version, CASE WHEN n IS NOT NULL THEN CASE WHEN content_type = 'collection' THEN coalesce(children, 0) ELSE 0 END END AS children,
+        CASE WHEN n % 4 IN (0, 1) OR n % 4 = 2 AND a = b THEN text END AS citation, CASE WHEN n % 4 IN (0, 1) OR n % 4 = 2 AND a = b THEN why END AS citation_reason, CASE WHEN n % 4 = 2 AND a <> b THEN '[' || ja || ',' || jb || ',' || ja || ']' END AS citations FROM j LEFT JOIN ch USING (kid)""")
+def entry_views(spark, sf_dir) -> DataFrame:
+    """Every entry asked for in the private zone: with one source, one that is named twice, two, or none."""
+    n, e = F.col("n"), t.entries(spark, sf_dir)
+    a, b = F.concat(F.lit("s"), (n % 140).cast("string")), F.concat(F.lit("s"), (n % 9).cast("string"))
+    e = e.withColumns({"source_refs": F.when(n % 4 == 1, F.array(a, a)).when(n % 4 == 2, F.array(a, b, a)).when(n % 4 == 3, F.array(F.lit(""))), "source_id": F.when(n % 4 == 0, a)})
+    asked = e.select(F.when(n % 17 == 0, F.concat(F.lit("gone-"), n.cast("string"))).otherwise(F.col("kid")).alias("kid"))
+    e = e.select("kid", "zone", "version", "parent", "content_type", "source_refs", "source_id")
+    return sv.entry_views(asked, e, pr.described(spark, sf_dir), ("private",))

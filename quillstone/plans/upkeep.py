@@ -111,3 +111,21 @@ def found_points(spark, sf_dir) -> DataFrame:
         with_(F.lit("page")).alias("locator_kind"), with_(n % 9).alias("locator_start"), with_(n % 9 + 1).alias("locator_end"),
     )
     return uk.found_points(rows)
+
+
+@query(f"""WITH {pw.SPEND}, j AS (SELECT user, CAST(sum({pw._COST}) AS BIGINT) AS s FROM spend WHERE month = '1995-03' GROUP BY user), m AS (SELECT c_custkey AS user, c_custkey * 1000 AS b FROM customer WHERE c_custkey % 3 <> 0)
+    SELECT user, coalesce(b, 0) AS before, coalesce(s, b) AS after, false AS refused FROM j FULL JOIN m USING (user) UNION ALL SELECT NULL, 5000, coalesce((SELECT CAST(sum(s) AS BIGINT) FROM j), 0), false""")
+def corrected_budget(spark, sf_dir) -> DataFrame:
+    c = t.table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").cast("long").alias("user"), (F.col("c_custkey") * 1000).cast("long").alias("micro"))
+    return uk.corrected_budget(c.union(spark.createDataFrame([(None, 5000)], "user long, micro long")), pw.spend(spark, sf_dir), "1995-03", 5000)
+
+
+@query(f"""WITH {ENTRIES}, a AS (SELECT event_id AS n, 'doc-' || lpad(CAST(event_id % 1300 AS VARCHAR), 8, '0') AS kid, CASE WHEN event_id % 3 = 0 THEN 'published' ELSE 'deprecated' END AS target, event_id % 2 = 0 AS cascade FROM events WHERE event_id % 5 <> 0),
+    h AS (SELECT a.*, e.zone, e.parent FROM a JOIN entries e USING (kid)), r AS (SELECT n, kid, target FROM h UNION ALL SELECT h.n, c.kid, h.target FROM h JOIN entries c ON c.parent = h.kid AND c.zone = h.zone WHERE h.cascade OR h.parent IS NULL),
+    l AS (SELECT kid, arg_max(target, n) AS target, count(*) AS reached FROM r GROUP BY kid) SELECT kid, coalesce(target, status) AS status, coalesce(reached, 0) AS reached FROM entries LEFT JOIN l USING (kid)""")
+def cascaded_statuses(spark, sf_dir) -> DataFrame:
+    """Deprecations, restorations, and every fifth time something else."""
+    n = F.col("event_id")
+    action = F.when(n % 5 == 0, "resolve").when(n % 3 == 0, "restore").otherwise("deprecate")
+    acts = t.table(spark, sf_dir, "events").select(n.alias("n"), t.doc_name(n % 1300).alias("kid"), action.alias("action"), (n % 2 == 0).alias("cascade"))
+    return uk.cascaded(t.entries(spark, sf_dir), acts)

@@ -1,10 +1,12 @@
 """The guard with its list against a replay, and what is old, queued or not ready."""
 
 import datetime as dt
+import json
 import random
 
 from pyspark.sql import functions as F
 
+from quillstone.operators import serving as sv
 from quillstone.operators import upkeep as uk
 
 EVENT = "sig string, ts timestamp, seq long, source string, marker string, hint string, status int, actor string"
@@ -74,3 +76,43 @@ def test_queue_of_jobs(spark):
     assert got["k"] == (None, None, False, "low", "batch", 1, None, None, "?", "account")
     shelves = uk.queue_shelves(calls, spark.createDataFrame([("x", 9)], "shelf string, depth long")).collect()
     assert {tuple(x) for x in shelves} == {("local", 3, "waiting", 3), ("ext", 0, "waiting", 0), ("x", 9, "posq", 1)}
+
+
+def test_budget(spark):
+    counters = spark.createDataFrame([(None, 100), (1, 60), (2, 40)], "user long, micro long")
+    journal = spark.createDataFrame([("2024-01", 1, 30), ("2024-01", 3, 5), ("2024-01", None, 1), ("2023-12", 1, 999)], "month string, user long, micro long")
+    rows = lambda most: {x["user"]: (x["before"], x["after"], x["refused"]) for x in uk.corrected_budget(counters, journal, "2024-01", most).collect()}
+    want = {None: (100, 36, False), 1: (60, 30, False), 2: (40, 40, False), 3: (0, 5, False)}
+    assert rows(None) == rows(64) == want
+    assert rows(63) == {None: (100, 100, True), 1: (60, 60, True), 2: (40, 40, True), 3: (0, 0, True)}
+    assert {tuple(x) for x in uk.corrected_budget(counters.limit(0), journal.limit(0), "2024-01", 0).collect()} == {(None, 0, 0, False)}
+
+
+def test_cascades(spark):
+    entries = [("book", None, "public", None), ("a", "book", "public", "draft"), ("b", "book", "private", None), ("a1", "a", "public", None), ("x", "gone", "public", "archived")]
+    entries = spark.createDataFrame(entries, "kid string, parent string, zone string, status string")
+    acts = [(1, "book", "deprecate", False), (2, "a", "restore", False), (3, "a", "deprecate", True), (4, "nobody", "deprecate", True), (5, "x", "ignore", True), (6, None, "restore", None)]
+    acts = spark.createDataFrame(acts, "n long, kid string, action string, cascade boolean")
+    got = {x["kid"]: (x["status"], x["reached"]) for x in uk.cascaded(entries, acts).collect()}
+    assert got == {"book": ("deprecated", 1), "a": ("deprecated", 3), "b": (None, 0), "a1": ("deprecated", 1), "x": ("archived", 0)}
+    assert {x["reached"] for x in uk.cascaded(entries, acts.limit(0)).collect()} == {0}
+
+
+def test_views_of_entries(spark):
+    entries = [
+        ("k1", "public", 1, None, "collection", ["s1", "s1"], None), ("k2", "public", 2, "k1", None, None, "s2"), ("k3", "public", 1, "k1", None, ["s1", None, "s9"], "s2"), ("k4", "private", 1, "k1", None, None, None),
+    ]
+    entries = spark.createDataFrame(entries, "kid string, zone string, version long, parent string, content_type string, source_refs array<string>, source_id string")
+    person = "array<struct<literal:string,family:string,given:string>>"
+    s = spark.createDataFrame([("s1", "One"), ("s2", None)], "source_id string, title string").selectExpr(
+        "*", f"cast(array(named_struct('literal', 'Org', 'family', null, 'given', null)) as {person}) as authors", "'2020' as year", "cast(null as string) as publisher", "cast(null as string) as url", "'public' as zone", "cast(null as string) as status",
+        "true as public_allowed", "'own' as license", "'pdf' as format", "true as present", "false as promised", "true as `exists`", "true as has_original", "'normalize' as policy", "cast(null as string) as error", "true as blob_shown",
+    )
+    asked = spark.createDataFrame([("k1",), ("k2",), ("k3",), ("k4",), ("no",)], "kid string")
+    got = {x["kid"]: tuple(x)[1:] for x in sv.entry_views(asked, entries, s, ("public",)).collect()}
+    text = got["k1"][3]
+    assert text and got["k1"] == (True, 1, 2, text, None, None)
+    assert got["k2"] == (True, 2, 0, None, None, None)
+    assert got["k3"][:5] == (True, 1, 0, None, None)
+    assert json.loads(got["k3"][5]) == [{"source_id": "s1", "citation": text}, {"source_id": "s9"}]
+    assert got["k4"] == got["no"] == (False, None, None, None, None, None)
