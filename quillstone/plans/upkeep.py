@@ -81,7 +81,7 @@ def waiting(spark, sf_dir) -> DataFrame:
 
 
 @query(f"""WITH {_QUEUE}, g AS (SELECT shelf, coalesce(nullif(j, ''), call) AS job, min(pos) AS position, bool_or(starved) AS starved, arg_min(prio, (pos IS NULL, pos, call)) AS prio, arg_min(class, (pos IS NULL, pos, call)) AS class, count(*) AS calls FROM q GROUP BY 1, 2)
-    SELECT shelf, job, position, position - 1 AS ahead, starved, prio, class, calls, CASE WHEN shelf <> 'shelf2' THEN (position - 1) * 1.5 END AS lower, CASE WHEN shelf <> 'shelf2' THEN position * 4.0 END AS upper,
+    SELECT shelf, job, position, position - 1 AS ahead, starved, prio, class, calls, CAST(CASE WHEN shelf <> 'shelf2' THEN (position - 1) * 1.5 END AS DOUBLE) AS lower, CAST(CASE WHEN shelf <> 'shelf2' THEN position * 4.0 END AS DOUBLE) AS upper,
         CASE WHEN job LIKE 'j%1' THEN 'high' WHEN job LIKE 'j%2' THEN 'urgent' END AS override, CASE WHEN job LIKE 'j%1' THEN 'job' ELSE 'account' END AS prio_source FROM g""")
 def queue_jobs(spark, sf_dir) -> DataFrame:
     times = spark.createDataFrame([("shelf0", 1.5, 4.0), ("shelf1", 1.5, 4.0)], "shelf string, ema_s double, p95_s double")
