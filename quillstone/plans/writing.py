@@ -91,12 +91,14 @@ def known_sources(spark, sf_dir) -> DataFrame:
 
 
 def ingests(spark, sf_dir) -> DataFrame:
-    """Original documents as order lines bring them, some with a hash that has another's beginning, some with none."""
-    n, p = F.expr("l_orderkey * 10 + l_linenumber"), F.col("l_partkey").cast("string")
+    """Original documents as order lines bring them (lines of one number are one), some with a hash that has another's
+    beginning, some with none."""
+    n, p = F.col("number"), F.col("l_partkey").cast("string")
     own = sha(F.concat(F.lit("p"), p))
     text = F.when(n % 41 == 0, "no hash").when(n % 13 == 0, F.concat(F.substring(own, 1, 16), F.substring(sha(F.lit("q")), 17, 48))).otherwise(own)
     word = lambda m: F.concat(F.lit("d"), (F.col("l_suppkey") % m).cast("string"))
-    return t.table(spark, sf_dir, "lineitem").select(
+    lines = t.table(spark, sf_dir, "lineitem").groupBy(F.expr("l_orderkey * 10 + l_linenumber").alias("number")).agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    return lines.select(
         n.alias("n"), text.alias("sha256"), F.when(n % 9 == 0, F.concat(F.lit("c"), (n % 4).cast("string"))).alias("canonical"), F.when(n % 3 == 0, F.array(word(3), word(4))).alias("derived"),
         F.when((n % 9 != 0) & (n % 5 == 0), F.concat(F.lit("e"), (n % 7).cast("string"))).alias("error"), F.when(n % 2 == 0, "cc-by").alias("license"), F.when(n % 7 == 0, n % 3 == 0).alias("public_allowed"),
     )
@@ -104,7 +106,7 @@ def ingests(spark, sf_dir) -> DataFrame:
 
 _INGESTS = """old AS (SELECT 'src-' || left(sha256('p' || p_partkey), 16) AS source_id, sha256('p' || p_partkey) AS sha256, CASE WHEN p_partkey % 4 = 0 THEN 'c0' END AS canonical, CASE WHEN p_partkey % 5 < 2 THEN ['d1', 'd9'] ELSE [] END AS derived,
         CASE WHEN p_partkey % 6 < 3 THEN 'timeout' END AS error, 'own' AS license, p_partkey % 2 = 0 AS public_allowed FROM part WHERE p_size % 3 = 0),
-    l AS (SELECT l_orderkey * 10 + l_linenumber AS n, sha256('p' || l_partkey) AS own, l_suppkey FROM lineitem),
+    l AS (SELECT l_orderkey * 10 + l_linenumber AS n, sha256('p' || min(l_partkey)) AS own, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1),
     i AS (SELECT n, CASE WHEN n % 41 = 0 THEN 'no hash' WHEN n % 13 = 0 THEN left(own, 16) || sha256('q')[17:] ELSE own END AS sha256, CASE WHEN n % 9 = 0 THEN 'c' || (n % 4) END AS canonical,
         CASE WHEN n % 3 = 0 THEN ['d' || (l_suppkey % 3), 'd' || (l_suppkey % 4)] ELSE [] END AS derived, CASE WHEN n % 9 <> 0 AND n % 5 = 0 THEN 'e' || (n % 7) END AS error, CASE WHEN n % 2 = 0 THEN 'cc-by' END AS license,
         CASE WHEN n % 7 = 0 THEN n % 3 = 0 END AS public_allowed, CASE WHEN n % 41 <> 0 THEN 'src-' || left(own, 16) END AS source_id FROM l),
