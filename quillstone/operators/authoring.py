@@ -44,16 +44,17 @@ def _structural(content: Column) -> Column:
 
 def clustered_sections(pieces: Column, section: Column) -> Column:
     """Paragraphs with one section number after the other, joined: title (the first line, 120 characters) and body.
-    `section` has a number per paragraph."""
+    `section` has a number per paragraph. Both are columns, no expressions: lambdas here look into them by position, and
+    Spark computes what a lambda holds anew for every element."""
     opens = F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), lambda i: (i == 0) | (F.get(section, i) != F.get(section, i - 1)))
+    ends = lambda starts: F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(pieces)))
 
-    def joined(at: Column, k: Column) -> Column:
-        end = F.coalesce(F.get(opens, k + 1), F.size(pieces))
-        body = F.array_join(F.slice(pieces, at + 1, end - at), "\n\n")
+    def joined(x: Column, k: Column) -> Column:
+        body = F.array_join(F.slice(pieces, x["at"] + 1, x["end"] - x["at"]), "\n\n")
         head = F.substring(tx.strip(F.split(body, "\n").getItem(0)), 1, 120)
         return F.struct(tx.or_else(head, F.concat(F.lit("Section "), (k + 1).cast("string"))).alias("title"), body.alias("body"))
 
-    return F.transform(opens, joined)
+    return F.transform(F.arrays_zip(opens.alias("at"), ends(opens).alias("end")), joined)
 
 
 def recursive_parts(sections: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
@@ -103,11 +104,10 @@ def hybrid_sections(texts: DataFrame, max_tokens: int = MAX_TOKENS, vectors: Dat
         rows.withColumn("asked", asked).write.parquet(path)
         rows = texts.sparkSession.read.parquet(path)
         wanted = vectors.join(rows.where("asked").select("kid"), "kid", "left_semi")
-        found = dc.cluster_paragraphs(wanted, most=most, doc="kid").groupBy("kid").agg(F.array_sort(F.collect_list(F.struct("nth", "section"))).alias("found"))
-        rows = rows.join(found, "kid", "left")
-        whole = F.col("asked") & (F.size(F.coalesce("found", F.array().cast("array<struct<nth:bigint,section:bigint>>"))) == F.size("pieces"))
-        numbers = F.transform("found", lambda x: x["section"])
-        parts = recursive_parts(_numbered(rows.select("kid", F.when(whole, clustered_sections(F.col("pieces"), numbers)).otherwise(F.col("sections")).alias("sections"))), max_tokens)
+        found = dc.cluster_paragraphs(wanted, most=most, doc="kid").groupBy("kid").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "section"))), lambda x: x["section"]).alias("numbers"))
+        rows = rows.join(found, "kid", "left")  # a join apart, so numbers are a column by now
+        whole = F.col("asked") & (F.size(F.coalesce("numbers", F.array().cast("array<bigint>"))) == F.size("pieces"))
+        parts = recursive_parts(_numbered(rows.select("kid", F.when(whole, clustered_sections(F.col("pieces"), F.col("numbers"))).otherwise(F.col("sections")).alias("sections"))), max_tokens)
     order = Window.partitionBy("kid").orderBy("nth", "part")
     return parts.select("kid", F.row_number().over(order).alias("seq"), "title", "body")
 

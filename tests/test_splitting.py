@@ -100,3 +100,17 @@ def test_too_many_paragraphs_and_missing_vectors_keep_the_structure(spark):
     assert got == {("a", 1): ("A", "# A\n\none\n\ntwo"), ("b", 1): ("Untitled", "x\n\ny\n\nz"), ("c", 1): ("Untitled", "x\n\ny")}
     got = {(r["kid"], r["seq"]): (r["title"], r["body"]) for r in au.hybrid_sections(texts, vectors=v).collect()}
     assert got["b", 1] == ("x", "x\n\ny\n\nz")
+
+
+def test_many_clusters_of_one_text_take_linear_time(spark):
+    """2,000 paragraphs, each a section: what a lambda looks up must not be computed anew for every element."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    n = 2000
+    rows = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("p"), i.cast("string"))).alias("pieces"), F.sequence(F.lit(1), F.lit(n)).alias("numbers"))
+    begun = time.time()
+    got = rows.persist().select(au.clustered_sections(F.col("pieces"), F.col("numbers")).alias("s")).first()["s"]
+    assert [(x["title"], x["body"]) for x in got] == [(f"p{k}", f"p{k}") for k in range(1, n + 1)]
+    assert time.time() - begun < 3
