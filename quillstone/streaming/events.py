@@ -5,8 +5,9 @@ State lives in RocksDB; results are written by batch id, so a repeated batch ove
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,38 +76,64 @@ def guard(events: DataFrame, keep_ms: int | None = None) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
+        told = lambda seq, allowed, carried=0: pd.DataFrame({"seq": seq, "sig": key[0], "allowed": allowed, "carried": carried})
+        minutes, seqs = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        refused: dict[int, int] = {}  # by minute; of a minute only its first rows are held, the others are told at once
+        for f in frames:
+            free = f["immune"].to_numpy(bool)
+            if free.any():
+                yield told(f["seq"].to_numpy()[free], True)
+            minutes, seqs = np.append(minutes, f["minute"].to_numpy()[~free]), np.append(seqs, f["seq"].to_numpy()[~free])
+            order = np.lexsort((seqs, minutes))
+            minutes, seqs = minutes[order], seqs[order]
+            over = np.arange(len(minutes)) - np.searchsorted(minutes, minutes) >= MINUTE_CAP
+            if over.any():
+                for m, n in zip(*np.unique(minutes[over], return_counts=True), strict=True):
+                    refused[int(m)] = refused.get(int(m), 0) + int(n)
+                yield told(seqs[over], False)
+                minutes, seqs = minutes[~over], seqs[~over]
         minute, passed, pending = state.get if state.exists else (-1, 0, 0)
-        rows = pd.concat(list(frames)).sort_values(["minute", "seq"])
-        allowed, carried = [], []
-        for m, free in zip(rows["minute"], rows["immune"], strict=True):
-            if free:
-                allowed.append(True)
-                carried.append(0)
-                continue
-            if m != minute:
-                minute, passed = int(m), 0
-            ok = passed < MINUTE_CAP
-            allowed.append(ok)
-            carried.append(pending if ok else 0)
-            passed, pending = (passed + 1, 0) if ok else (passed, pending + 1)
+        allowed, carried = np.zeros(len(seqs), bool), np.zeros(len(seqs), np.int64)
+        starts = np.flatnonzero(np.diff(minutes, prepend=minutes[:1] - 1))
+        for start, end in zip(starts, [*starts[1:], len(minutes)], strict=True):
+            if minutes[start] != minute:
+                minute, passed = int(minutes[start]), 0
+            room = min(MINUTE_CAP - passed, int(end - start))
+            if room > 0:
+                allowed[start : start + room], carried[start], pending = True, pending, 0
+            passed, pending = passed + max(room, 0), pending + int(end - start) - max(room, 0) + refused.get(minute, 0)
         state.update((minute, passed, pending))
         if keep_ms:
             state.setTimeoutDuration(keep_ms)
-        yield pd.DataFrame({"seq": rows["seq"].to_numpy(), "sig": key[0], "allowed": allowed, "carried": carried})
+        yield told(seqs, allowed, carried)
 
     return events.groupBy("sig").applyInPandasWithState(step, "seq long, sig string, allowed boolean, carried long", "minute long, passed long, pending long", "append", GroupStateTimeout.ProcessingTimeTimeout if keep_ms else GroupStateTimeout.NoTimeout)
 
 
+def runs(times: Iterable[pd.Series], gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last times of the runs whose neighbours lie no more than `gap` apart. Times come in any order and in
+    pieces; runs are held, times are not."""
+    starts, ends = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for piece in times:
+        piece = np.sort(piece.to_numpy(np.int64))
+        starts, ends = np.append(starts, piece), np.append(ends, piece)
+        order = np.argsort(starts, kind="stable")
+        starts, ends = starts[order], np.maximum.accumulate(ends[order])
+        opens = np.flatnonzero(np.append(True, starts[1:] - ends[:-1] > gap)[: len(starts)])
+        starts, ends = starts[opens], ends[np.append(opens[1:], len(ends)) - 1]
+    return starts, ends
+
+
 def silences(events: DataFrame, minutes: int = 30) -> DataFrame:
     """Gaps of more than so many minutes between two events of a source; what is kept is a source's last time."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        times = pd.concat([f["at"] for f in frames]).sort_values().to_numpy()
-        before = times[:-1] if last is None else [last, *times[:-1]]
-        after = times[1:] if last is None else times
+        starts, ends = runs((f["at"] for f in frames), minutes * 60)
+        before = ends[:-1] if last is None else [last, *ends[:-1]]
+        after = starts[1:] if last is None else starts
         rows = pd.DataFrame({"source": key[0], "before": before, "after": after}).astype({"before": "int64", "after": "int64"})
-        state.update((int(times[-1]) if last is None else max(last, int(times[-1])),))
+        state.update((int(ends[-1]) if last is None else max(last, int(ends[-1])),))
         yield rows[rows["after"] - rows["before"] > minutes * 60]
 
     return events.groupBy("source").applyInPandasWithState(step, "source string, before long, after long", "last long", "append", GroupStateTimeout.NoTimeout)
@@ -119,7 +146,10 @@ def bursts(events: DataFrame) -> DataFrame:
     def step(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         cycle, count, state, since, history = held.get if held.exists else (-1, 0, "armed", -1, "")
         past, out = [int(x) for x in history.split(",") if x], []
-        counts = pd.concat([f["cycle"] for f in frames]).value_counts().sort_index()
+        counts = pd.Series(dtype="int64")
+        for f in frames:  # a number a cycle is held
+            counts = counts.add(f["cycle"].value_counts(), fill_value=0)
+        counts = counts.sort_index()
         for c, n in counts.items():
             if c <= cycle:  # the open cycle goes on; what is late counts to it
                 count += int(n)
