@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quillstone.operators.overtime import COOLDOWN_MIN, SILENCE_MIN, TRIES, WAITS, digest_step, digest_ticks
+from quillstone.operators.overtime import COOLDOWN_MIN, DIGEST_HOUR, SILENCE_MIN, TRIES, WAITS, digest_step, digest_ticks
+from quillstone.streaming.events import runs
 
 
 def _rows(frames: Iterator[pd.DataFrame], order: list[str]) -> Iterator[tuple]:
@@ -74,9 +76,9 @@ def silent_sources(events: DataFrame, silence: int = SILENCE_MIN, cooldown: int
                 rest = at + cooldown * 60
 
         if not state.hasTimedOut:
-            for _, at, _ in _rows(frames, ["at"]):
-                silent(int(at))
-                last = max(last, int(at))
+            for start, end in zip(*runs((f["at"] for f in frames), silence * 60), strict=True):
+                silent(int(start))  # inside a run nothing is silent
+                last = max(last, int(end))
         silent(now)
         state.update((last, rest))
         state.setTimeoutTimestamp(max(last + silence * 60 + 1, rest) * 1000)
@@ -87,24 +89,45 @@ def silent_sources(events: DataFrame, silence: int = SILENCE_MIN, cooldown: int
     return slim.groupBy("source").applyInPandasWithState(step, "source string, last long, at long", "last long, rest long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def first_ticks(ticks: pd.DataFrame) -> pd.DataFrame:
+    """Ticks of one host by time, the first two of every second: after a crash the next one counts, and behind that the day is
+    done or rests for an hour."""
+    ticks = ticks.sort_values(["now", "seq"], ignore_index=True)
+    now = ticks["now"].to_numpy()
+    return ticks[np.arange(len(now)) - np.searchsorted(now, now) < 2].reset_index(drop=True)
+
+
 def digests(ticks: DataFrame, zone: str) -> DataFrame:
     """host, seq, day, action: the digest's machine over a stream of ticks; its state outlives a restart."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, attempt, spooled, not_before = state.get if state.exists else (None, None, None, 0)
         held = {k: v for k, v in (("last", last), ("attempt", attempt), ("spooled", spooled), ("not_before", not_before)) if v}
-        out = []
-        for host, seq, day, hour, now, outcome, flushed in _rows(frames, ["now", "seq"]):
-            action = digest_step(held, day, hour, now, outcome, flushed)
+        slim, most = None, 200_000
+        for f in frames:
+            slim = f.drop(columns="host") if slim is None else pd.concat([slim, f.drop(columns="host")], ignore_index=True)
+            if len(slim) > most:
+                slim = first_ticks(slim)
+                most = max(most, 2 * len(slim))
+        slim = first_ticks(slim)
+        out, now, at = [], slim["now"].to_numpy(), 0
+        turns = np.flatnonzero(slim["day"].ne(slim["day"].shift()))
+        while at < len(slim):
+            r = slim.iloc[at]
+            action = digest_step(held, r["day"], int(r["hour"]), int(r["now"]), r["outcome"], bool(r["flushed"]))
             if action:
-                out.append((host, seq, day, action))
+                out.append((key[0], int(r["seq"]), r["day"], action))
+            at = max(at + 1, int(np.searchsorted(now, held.get("not_before", 0))))  # what rests is passed over, and what is done for the day
+            if at < len(slim) and held.get("last") == slim["day"].iat[at]:
+                at = int(np.append(turns, len(slim))[np.searchsorted(turns, at, side="right")])
         state.update((held.get("last"), held.get("attempt"), held.get("spooled"), held.get("not_before", 0)))
         if out:
             yield pd.DataFrame(out, columns=["host", "seq", "day", "action"])
 
     out = "host string, seq long, day string, action string"
     kept = "last string, attempt string, spooled string, not_before long"
-    return digest_ticks(ticks, zone).groupBy("host").applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.NoTimeout)
+    due = digest_ticks(ticks, zone).where(F.col("hour") >= DIGEST_HOUR)  # earlier ones do nothing
+    return due.groupBy("host").applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.NoTimeout)
 
 
 def deliver(actions: DataFrame, folder: str, send) -> None:
