@@ -13,6 +13,8 @@ from quillstone.functions.vectors import unit_rows
 
 #: Pivots, a sample by hash. Results don't depend on them. CELL: points of a cell that one task compares at a time.
 PIVOTS, CELL = 64, 4096
+#: Rows with a vector that a task makes at a time, and queries that it compares at a time.
+PIECE, QUERIES = 4096, 256
 _MARGIN = 1e-6
 
 
@@ -26,8 +28,9 @@ def angles(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(m @ pivots.T, -1, 1))
 
 
-def near_pairs(new: DataFrame, points: DataFrame, threshold: float, group: str = "domain") -> DataFrame:
-    """kid, other, cosine >= threshold, within a group. new and points: kid, group, vector (of one length; a vector
+def near_pairs(new: DataFrame, points: DataFrame, threshold: float, group: str = "domain", k: int | None = None) -> DataFrame:
+    """kid, other, cosine >= threshold, within a group; with k only others than itself, and of a slice of points the k
+    nearest (equal ones by name), so the k nearest of all are among them. new and points: kid, group, vector (of one length; a vector
     of length 0 is near to nothing).
 
     A point belongs to the cell (nearest pivot, angle to it in steps of the threshold's angle t). For a query the
@@ -56,7 +59,8 @@ def near_pairs(new: DataFrame, points: DataFrame, threshold: float, group: str =
                 row = np.flatnonzero(real)
                 pivot = a[row].argmin(1) if len(row) else row
                 step = np.floor(a[row, pivot] / t).astype(int)
-            yield pd.DataFrame({"kid": f["kid"].to_numpy()[row], "grp": f["grp"].to_numpy()[row], "pivot": pivot, "step": step, "vector": list(m[row])})
+            for s in (slice(i, i + PIECE) for i in range(0, len(row), PIECE)):  # a query can lie in hundreds of cells
+                yield pd.DataFrame({"kid": f["kid"].to_numpy()[row[s]], "grp": f["grp"].to_numpy()[row[s]], "pivot": pivot[s], "step": step[s], "vector": list(m[row[s]])})
 
     def placed(df: DataFrame, queries: bool) -> DataFrame:
         slim = df.where(F.size("vector") > 0).select("kid", F.col(group).alias("grp"), F.col("vector").cast("array<double>").alias("vector"))
@@ -78,11 +82,19 @@ def near_pairs(new: DataFrame, points: DataFrame, threshold: float, group: str =
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         b, names = np.stack(right["vector"].to_list()), right["kid"].to_numpy()
-        parts = []
-        for start in range(0, len(left), 1024):
-            some = left.iloc[start : start + 1024]
+        parts, asked = [], left["kid"].to_numpy()
+        codes = np.unique(np.concatenate([asked, names]), return_inverse=True)[1] if k else None
+        for start in range(0, len(left), QUERIES):
+            some = left.iloc[start : start + QUERIES]
             c = np.stack(some["vector"].to_list()) @ b.T
             row, col = np.nonzero(c >= threshold - _MARGIN)
+            if k:
+                mine, others = codes[start + row], codes[len(asked) + col]
+                row, col, others = row[mine != others], col[mine != others], others[mine != others]
+                order = np.lexsort((others, -c[row, col], row))
+                row, col = row[order], col[order]
+                best = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, col = row[best], col[best]
             parts.append(pd.DataFrame({"kid": some["kid"].to_numpy()[row], "other": names[col], "cosine": c[row, col]}))
         return pd.concat(parts) if parts else pd.DataFrame({"kid": [], "other": [], "cosine": []})
 
@@ -100,6 +112,6 @@ def duplicate_gate(new: DataFrame, points: DataFrame, threshold: float = 0.92, k
     """kid, other, score: of the k nearest entries of the domain, other than itself, those at the threshold; scores
     keep four decimals. As the nearest k at the threshold are the threshold's nearest k, pairs below it are never
     made."""
-    pairs = near_pairs(new, points, threshold).where("kid <> other")
+    pairs = near_pairs(new, points, threshold, k=k)
     rank = F.row_number().over(Window.partitionBy("kid").orderBy(F.desc("cosine"), "other"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("kid", "other", F.round("cosine", 4).alias("score"))

@@ -64,3 +64,14 @@ def test_pages_long_blank_and_before_the_first(spark):
     marks = spark.createDataFrame([("d", 3), ("d", 5), ("f", 1)], "doc string, start long")
     late = spark.createDataFrame([("d", 7, 4, 9)], "doc string, page long, start long, stop long")
     assert sorted((r["doc"], r["start"], r["page"]) for r in pg.page_of(marks, late).collect()) == [("d", 3, None), ("d", 5, 7), ("f", 1, None)]
+
+
+def test_equal_vectors_make_k_pairs_a_slice(spark):
+    """All points alike: what a query sends on is k rows a slice, not the group, and the gate's answer stays that of all pairs."""
+    points = spark.createDataFrame([(f"k{i:03}", "a", [1.0, 0.5]) for i in range(300)], "kid string, domain string, vector array<double>")
+    new = points.where("kid < 'k003'")
+    few = nb.near_pairs(new, points, 0.9, k=8)
+    assert few.count() == 3 * 8
+    names = [f"k{i:03}" for i in range(300)]
+    want = {(q, o) for q in names[:3] for o in [x for x in names if x != q][:8]}
+    assert {(r["kid"], r["other"]) for r in nb.duplicate_gate(new, points, 0.9).collect()} == want
