@@ -17,13 +17,13 @@ _META = "knowledge_id string, domain string, subject string, project string, tag
 def _parse_front(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     import yaml
 
-    names = [x.strip().split(" ")[0] for x in _META.split(", ")]
+    names, loader = [x.strip().split(" ")[0] for x in _META.split(", ")], getattr(yaml, "CSafeLoader", yaml.SafeLoader)
     for texts in batches:
         rows = []
         for text in texts:
             broken = False
             try:
-                meta = yaml.safe_load(text or "")
+                meta = yaml.load(text or "", Loader=loader)
             except yaml.YAMLError:
                 meta, broken = None, True
             mapping = isinstance(meta, dict)

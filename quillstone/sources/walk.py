@@ -130,10 +130,18 @@ def strict_faults(rows: DataFrame) -> DataFrame:
     return rows.withColumn("fault", fault).drop("_front", "_meta")
 
 
+def pieces(batches: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:
+    """Batches of texts in pieces, so that what is made of one at a time stays small."""
+    for batch in batches:
+        for k in range(0, len(batch), rows):
+            yield batch.iloc[k : k + rows]
+
+
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import yaml
 
-    for batch in batches:
+    dumper = getattr(yaml, "CSafeDumper", yaml.SafeDumper)
+    for batch in pieces(batches):
         rows = []
         for row in batch.to_dict("records"):
             body = row.pop("content")
@@ -142,7 +150,7 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             parts = [str(meta[k]) for k in ("domain", "subject", "project") if meta.get(k)]
             if any("/" in p or p in ("", ".", "..", TRASH) for p in [*parts, str(meta["knowledge_id"])]):
                 raise ValueError(f"no name of a file: {parts}, {meta['knowledge_id']}")
-            front = yaml.safe_dump(meta, allow_unicode=True, default_flow_style=False, sort_keys=False).strip()
+            front = yaml.dump(meta, Dumper=dumper, allow_unicode=True, default_flow_style=False, sort_keys=False).strip()
             rows.append(("/".join([*parts, f"{meta['knowledge_id']}.md"]), f"{DELIMITER}\n{front}\n{DELIMITER}\n{body or ''}\n"))
         yield pd.DataFrame(rows, columns=["path", "text"])
 
@@ -155,7 +163,7 @@ def entry_texts(entries: DataFrame) -> DataFrame:
 
 def _write(root: str):
     def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in pieces(batches):
             size = 0
             for path, text in zip(batch["path"], batch["text"], strict=True):
                 target = os.path.join(root, path)
