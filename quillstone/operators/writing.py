@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillstone.operators import authoring as au
 from quillstone.operators.provenance import public_licence
+from quillstone.sources.shared import scratch_folder
 
 # Zones, fields that are recommended, and what a source's id begins with.
 ZONES = ("public", "private")
@@ -99,7 +100,9 @@ def registered(sources: DataFrame, incoming: DataFrame) -> tuple[DataFrame, Data
     ones are added behind; an error stands while there is no canonical form, the last one counts, and every one that comes is
     a change, as it has its own time. A source without licence is not public unless told so.
     """
-    rows = incoming.withColumn("source_id", source_id(F.col("sha256")))
+    spark, path = incoming.sparkSession, scratch_folder(incoming.sparkSession, "ingests")
+    incoming.withColumn("source_id", source_id(F.col("sha256"))).write.parquet(path)  # read several times, made once
+    rows = every = spark.read.parquet(path)
     old = sources.select("source_id", F.struct(F.col("sha256"), "canonical", "derived", "error", "license", "public_allowed").alias("old"))
     rows = rows.where("source_id is not null").join(old, "source_id", "left")
     firsts = rows.groupBy("source_id").agg(F.min_by("sha256", "n").alias("own"))
@@ -135,7 +138,7 @@ def registered(sources: DataFrame, incoming: DataFrame) -> tuple[DataFrame, Data
         .when(attached, "attached").otherwise("reused")
     )
     outcomes = told.select("n", "source_id", outcome.alias("outcome"))
-    invalid = incoming.where(source_id(F.col("sha256")).isNull()).select("n", F.lit(None).cast("string").alias("source_id"), F.lit("invalid").alias("outcome"))
+    invalid = every.where("source_id is null").select("n", F.lit(None).cast("string").alias("source_id"), F.lit("invalid").alias("outcome"))
     return rest.unionByName(after), outcomes.union(invalid)
 
 
