@@ -632,6 +632,22 @@ def test_katz_scores_equal_brute_force(spark, scratch, rows, docs):
         assert got[i] == pytest.approx(want, rel=1e-6), i
 
 
+@pytest.mark.parametrize("vocabulary", [0, 60])
+def test_katz_words_beyond_the_vocabulary_keep_their_bigrams(spark, scratch, rows, docs, monkeypatch, vocabulary):
+    """Scores are those of the whole model, with words in the buckets and in many chunks."""
+    monkeypatch.setattr(katz, "VOCABULARY", vocabulary)
+    monkeypatch.setattr(katz, "CHUNK_TOKENS", 2_500)
+    test_katz_scores_equal_brute_force(spark, scratch, rows, docs)
+
+
+def test_katz_rare_bigrams_are_told_apart():
+    ids = np.array([0, 0, 5, 0, 1, 7, 1, 0, 1])  # rare, rare, 5, rare, end; 7, end; rare, end
+    found = katz.rare_bigrams(ids, np.array([11, 12, 13, 14], np.uint64))
+    got = {k: list(zip(*(x.tolist() for x in v), strict=True)) for k, v in found.items()}
+    assert got == {"fr": [(11, katz.START, 0), (13, 5, 3), (14, katz.START, 7)], "rr": [(12, 11, 1)], "rf": [(12, 5, 2), (13, 1, 4), (14, 1, 8)]}
+    assert katz.unframe(katz.frames([b"a", b"", b"bc"])) == [b"a", b"", b"bc"]
+
+
 def test_katz_keeps_ids_beside_nulls(spark, scratch):
     big = next(i for i in range(2**53 + 1, 2**53 + 99, 2) if zlib.crc32(str(i).encode()) % 5 != 1)
     got = katz.score(scratch, spark.createDataFrame([(None, "a b"), (big, "a c"), (0, None)], "doc_id long, text string").coalesce(1)).collect()
