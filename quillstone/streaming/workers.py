@@ -6,6 +6,7 @@ passes them, whether or not their key has another event.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,47 +19,52 @@ from quillstone.operators.overtime import COOLDOWN_MIN, DIGEST_HOUR, SILENCE_MIN
 from quillstone.streaming.events import runs
 
 
+#: Groups of an index worker's keys. A call of a stream's step costs milliseconds, however few its rows are, so keys share one;
+#: a stream that goes on from a checkpoint keeps their number.
+SHARDS = 1024
+
+
 def _rows(frames: Iterator[pd.DataFrame], order: list[str]) -> Iterator[tuple]:
-    """A key's new rows in order. Only a micro-batch of one key is held, as slim frames."""
+    """A group's new rows in order. Only a micro-batch of one group is held, as slim frames."""
     held = [f for f in frames if len(f)]
     if held:
         rows = held[0] if len(held) == 1 else pd.concat(held)
         yield from rows.sort_values(order).itertuples(index=False, name=None)
 
 
-def index_worker(attempts: DataFrame, late: str = "1 minute") -> DataFrame:
+def index_worker(attempts: DataFrame, late: str = "1 minute", shards: int = SHARDS) -> DataFrame:
     """key, seq, retries, action, due: a dead letter at once, a retry when its wait is over. attempts: key, seq, ts, ok,
-    error. State: failures in a row, and the retry that is pending."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures, seq, due = state.get if state.exists else (0, -1, -1)
-        out = []
-        if state.hasTimedOut:
-            out.append((key[0], seq, failures, "retry", due, None))
-            due = -1
-        else:
-            for _, n, at, ok, error, _ in _rows(frames, ["seq"]):
-                if due >= 0:  # the next attempt is here, so the wait was over
-                    out.append((key[0], seq, failures, "retry", due, None))
-                    due = -1
-                failures = 0 if ok else failures + 1
-                if not ok and failures < TRIES:
-                    seq, due = int(n), int(at) + WAITS[failures - 1]
-                elif not ok:
-                    out.append((key[0], int(n), failures, "dead", None, error))
-                    failures = 0
-        if due >= 0 and due * 1000 <= state.getCurrentWatermarkMs():
-            out.append((key[0], seq, failures, "retry", due, None))
-            due = -1
-        state.update((failures, seq, due))
-        if due >= 0:
-            state.setTimeoutTimestamp(due * 1000)
+    error. State of a shard: of keys that have any, failures in a row, and the retry that is pending."""
+
+    def step(shard: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = {key: (failures, seq, due) for key, failures, seq, due in json.loads(state.get[0])} if state.exists else {}
+        out, now = [], state.getCurrentWatermarkMs()
+        for _, key, n, at, ok, error, _ in () if state.hasTimedOut else _rows(frames, ["seq"]):
+            failures, seq, due = kept.get(key, (0, -1, -1))
+            if due >= 0:  # the next attempt is here, so the wait was over
+                out.append((key, seq, failures, "retry", due, None))
+                due = -1
+            failures = 0 if ok else failures + 1
+            if not ok and failures < TRIES:
+                seq, due = int(n), int(at) + WAITS[failures - 1]
+            elif not ok:
+                out.append((key, int(n), failures, "dead", None, error))
+                failures = 0
+            kept[key] = failures, seq, due
+        for key, (failures, seq, due) in kept.items():
+            if due >= 0 and due * 1000 <= now:
+                out.append((key, seq, failures, "retry", due, None))
+                kept[key] = failures, seq, -1
+        state.update((json.dumps([(key, *x) for key, x in kept.items() if x[0] or x[2] >= 0]),))
+        if pending := [due for _, _, due in kept.values() if due >= 0]:
+            state.setTimeoutTimestamp(min(pending) * 1000)
         if out:
             yield pd.DataFrame(out, columns=["key", "seq", "retries", "action", "due", "error"]).astype({"due": "Int64"})
 
-    slim = attempts.withWatermark("ts", late).select("key", "seq", F.unix_timestamp("ts").alias("at"), "ok", "error", "ts")
+    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")
+    slim = attempts.withWatermark("ts", late).select(shard, "key", "seq", F.unix_timestamp("ts").alias("at"), "ok", "error", "ts")
     out = "key string, seq long, retries long, action string, due long, error string"
-    return slim.groupBy("key").applyInPandasWithState(step, out, "failures long, seq long, due long", "append", GroupStateTimeout.EventTimeTimeout)
+    return slim.groupBy("shard").applyInPandasWithState(step, out, "kept string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def silent_sources(events: DataFrame, silence: int = SILENCE_MIN, cooldown: int = COOLDOWN_MIN, late: str = "1 minute") -> DataFrame:

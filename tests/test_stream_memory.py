@@ -87,3 +87,40 @@ def test_digests_hold_two_ticks_a_second(monkeypatch, seed):
     assert list(out[["seq", "day", "action"]].itertuples(index=False, name=None)) == want
     twice = pd.concat([f] * 3)
     assert len(workers.first_ticks(twice.drop(columns="host"))) <= 2 * f["now"].nunique()
+
+
+class Timed(State):
+    watermark, timeout = -1, None
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+    def setTimeoutTimestamp(self, ms):
+        assert ms > self.watermark
+        self.timeout = ms
+
+
+def test_index_worker_takes_many_keys_in_a_call(monkeypatch):
+    """A call costs milliseconds, so keys share groups; each fails, waits and dies as if alone."""
+    grouped = []
+    for name in ("col", "lit", "xxhash64", "pmod", "unix_timestamp"):
+        monkeypatch.setattr(workers.F, name, lambda *a: type("C", (), {"alias": lambda self, n: n})())
+
+    class Frame:
+        def __getattr__(self, name):
+            if name == "groupBy":
+                return lambda *c: grouped.append(c) or self
+            if name == "applyInPandasWithState":
+                return lambda f, *a: f
+            return lambda *a, **k: self
+
+    step, state = workers.index_worker(Frame()), Timed()
+    assert grouped == [("shard",)]
+    columns = ["shard", "key", "seq", "at", "ok", "error", "ts"]
+    rows = [(0, k, n, 100 + n, ok, f"e{n}", None) for k, n, ok in [("a", 5, False), ("b", 1, False), ("a", 2, False), (None, 3, False), ("b", 4, True), ("a", 7, False), ("c", 8, True)]]
+    told = lambda parts: [tuple(r) for p in parts for r in p[["key", "seq", "retries", "action"]].itertuples(index=False)]
+    got = told(step((0,), iter([pd.DataFrame(rows[:3], columns=columns), pd.DataFrame(rows[3:], columns=columns)]), state))
+    assert got == [("b", 1, 1, "retry"), ("a", 2, 1, "retry"), ("a", 5, 2, "retry"), ("a", 7, 3, "dead")]
+    assert state.get == ('[[null, 1, 3, 104]]',) and state.timeout == 104_000  # keys without failures hold nothing
+    state.watermark, state.hasTimedOut = 105_000, True
+    assert told(step((0,), iter([]), state)) == [(None, 3, 1, "retry")] and state.get == ('[[null, 1, 3, -1]]',)
