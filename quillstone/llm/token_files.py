@@ -35,11 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import Scratch, prefix_sums
-from quillstone.llm.vocabularies import Remembered, shared
+from quillstone.llm.vocabularies import Remembered, forget, shared
 
 MAGIC = b"EFSHARD1"
-#: Shards in a file, some 130 MB of 16-bit ids.
-FILE_SHARDS = 16
+#: Shards in a file, some 65 MB of 16-bit ids: a reader holds a file in the JVM and again in Python.
+FILE_SHARDS = 8
 SAMPLE = 256
 SHARD_IDS = 1 << 22
 #: Letters of Latin-1, all in composed form; as bytes too.
@@ -258,6 +258,7 @@ def read_files(scratch: Scratch, path: str, width: int = 2) -> DataFrame:
     files = files.select(number(r"/part-(\d+)-[^/]*$").alias("part"), number(r"-c(\d+)\.txt$").alias("nth"), "content")
 
     def run(batches):
+        forget()
         for batch in batches:
             for part, nth, content in zip(batch.column("part").to_pylist(), batch.column("nth").to_pylist(), batch.column("content"), strict=True):
                 raw = content.as_buffer()

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 
 
 def vocabulary_bytes(path: str) -> bytes:
@@ -117,3 +118,4 @@ def shared(key: tuple, make):
 def forget() -> None:
     """Frees what an encoding stage left in this Python worker; stages that follow one call it."""
     _SHARED.clear()
+    pa.default_memory_pool().release_unused()

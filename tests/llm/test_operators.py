@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm import katz, line_dedup, mixing, ngram_join, piece_fst, quality_rules, quotes, separator_scan, stream_dedup, token_files
+from quillstone.llm import katz, line_dedup, mixing, ngram_join, piece_fst, quality_rules, quotes, separator_scan, stream_dedup, token_files, vocabularies
 from quillstone.llm.common import Scratch, prefix_sums
 from quillstone.llm.components import components
 from quillstone.llm.vocabularies import fine_units, lower_words, plain_units, vocabulary_bytes
@@ -655,6 +655,17 @@ def test_katz_keeps_ids_beside_nulls(spark, scratch):
     assert katz.unpack_ids(katz.pack_ids([None, 2**62 + 1, -3])) == [None, 2**62 + 1, -3]
 
 
+def test_token_files_that_a_reader_holds_are_bounded():
+    """Readers get whole files, in the JVM and again in Python."""
+    assert 2 * token_files.FILE_SHARDS * token_files.SHARD_IDS <= 70 << 20
+
+
+def test_forget_frees_what_an_encoding_stage_left():
+    vocabularies.shared(("a",), list)
+    vocabularies.forget()
+    assert not vocabularies._SHARED
+
+
 # ---- 9
 
 
