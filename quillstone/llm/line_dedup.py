@@ -33,7 +33,7 @@ result; other columns pass through, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import Scratch
@@ -51,6 +51,8 @@ TINY, SMALL, INTERVALS = 10, 20, 12
 FINE_FROM, FINE_LENGTH, FINE_ROWS, FINE_INTERVALS = 16, 100, 8, 40
 SLACK = 3.3
 SKETCH_WORDS = 16
+#: Copies from which on a line is signed once; others are signed copy by copy, which costs no shuffle of their texts.
+OFTEN = 100
 #: Sides of joins up to so many bytes go to every executor; more are shuffled.
 BROADCAST_BYTES = 64 << 20
 
@@ -119,15 +121,16 @@ def sized(small: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small
 
 
-def buckets(scratch: Scratch, lines: DataFrame) -> DataFrame:
-    """key, node: the lines of every bucket with more than one distinct line."""
-    signed = shingles(lines.select("node", "line")).select("node", F.explode(F.array("some", "whole")).alias("hashes"))
-    keyed = scratch.cut(bands(signed, ["node"]), "keys")
-    shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    shared = scratch.cut(shared, "shared")
-    listed = scratch.cut(keyed.join(sized(shared, 48), "key", "left_semi").distinct(), "buckets")
-    scratch.drop(keyed, shared)
-    return listed
+def buckets(scratch: Scratch, lines: DataFrame, signed: DataFrame) -> DataFrame:
+    """key, node: the lines of every bucket with more than one distinct line. signed: node, copies. Band keys are
+    shuffled once and kept only where they are shared."""
+    often = sized(scratch.cut(signed.where(f"copies > {OFTEN}").select("node"), "often"), 48)
+    texts = lines.select("node", "line")
+    texts = texts.join(often, "node", "left_anti").union(texts.join(often, "node", "left_semi").dropDuplicates(["node"]))
+    hashed = shingles(texts).select("node", F.explode(F.array("some", "whole")).alias("hashes"))
+    keyed = bands(hashed, ["node"]).repartition("key").distinct()
+    held = keyed.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    return scratch.cut(held.where("held > 1").select("key", "node"), "buckets")
 
 
 def bucket_texts(scratch: Scratch, lines: DataFrame, listed: DataFrame) -> DataFrame:
@@ -166,7 +169,9 @@ def verify(scratch: Scratch, pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = near.join(line("b"), "b").join(line("a"), "a")
     both = once(both.select("a", "b", "line_a", "line_b"), ga=grams(F.col("line_a")), gb=grams(F.col("line_b")))
     both = once(both, common=F.size(F.array_intersect("ga", "gb")))
-    return scratch.cut(both.where("9 * common >= 4 * (size(ga) + size(gb))").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    links = scratch.cut(both.where("9 * common >= 4 * (size(ga) + size(gb))").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    scratch.drop(near, lines)
+    return links
 
 
 def sketches(hashed: DataFrame) -> DataFrame:
@@ -225,7 +230,7 @@ def line_components(scratch: Scratch, lines: DataFrame) -> DataFrame:
     """node, first (place of the line that stays), copies, own_first of the lines that are linked or copied."""
     at = F.struct("doc_id", "rid", "pos")
     signed = scratch.cut(lines.groupBy("node").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("copies")), "signed")
-    listed = buckets(scratch, lines)
+    listed = buckets(scratch, lines, signed)
     texts = bucket_texts(scratch, lines, listed)
     known = texts.select("node", F.length("line").alias("length")).join(signed.select("node", "copies"), "node")
     listed = scratch.cut(listed.join(known, "node"), "listed")
@@ -259,11 +264,14 @@ def line_components(scratch: Scratch, lines: DataFrame) -> DataFrame:
 
 def dropped_lines(scratch: Scratch, lines: DataFrame) -> DataFrame:
     """doc_id, rid and the numbers of the lines (from 0) that go, for documents that lose any."""
-    named = line_components(scratch, lines)
-    doubtful = scratch.cut(named.where("copies > 1 or first <> own_first").select("node", "first"), "doubtful")
+    inner = Scratch(scratch.spark, "line-components")
+    named = line_components(inner, lines)
+    doubtful = inner.cut(named.where("copies > 1 or first <> own_first").select("node", "first"), "doubtful")
     gone = lines.select("doc_id", "rid", "pos", "node").join(doubtful, "node").where("not (doc_id <=> first.doc_id and rid = first.rid and pos = first.pos)")
     gone = gone.groupBy("doc_id", "rid").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
-    return scratch.cut(gone, "gone")
+    gone = scratch.cut(gone, "gone")
+    inner.remove(inner.root)  # no later result reads it
+    return gone
 
 
 def spare_copies(scratch: Scratch, packed: DataFrame, lines: DataFrame) -> DataFrame:
@@ -285,6 +293,7 @@ def mark_lines(scratch: Scratch, docs: DataFrame) -> DataFrame:
     gone = dropped_lines(scratch, lines)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", F.xxhash64("text").alias("rid"))
     packed = spare_copies(scratch, packed, lines)
+    scratch.drop(lines)
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("rid").alias("gone_rid"), "gone")
     size = gone.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("gone")).alias("m")).first()
     small = 64 * size["n"] + 4 * (size["m"] or 0) <= BROADCAST_BYTES

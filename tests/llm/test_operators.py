@@ -346,6 +346,20 @@ def test_line_dedup_of_large_buckets_of_lines_that_share_a_passage(spark, scratc
     assert lines_gone(spark, scratch, lines + copies) == set(range(120, 140))
 
 
+def test_line_components_leave_no_tables_and_often_copied_lines_are_signed_once(spark, scratch, monkeypatch):
+    long = "the quick brown fox jumps over the lazy dog near the old river bank"
+    docs = spark.createDataFrame([(i, f"{long}\n{long} {'x' if i % 3 else ''}") for i in range(9)], "doc_id long, text string")
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    got = []
+    for often in (1, 100):
+        monkeypatch.setattr(line_dedup, "OFTEN", often)
+        before = set(os.listdir(folder))
+        got.append(sorted((r["row"]["doc_id"], r["kept_text"]) for r in line_dedup.mark_lines(scratch, docs).collect()))
+        assert not [f for f in set(os.listdir(folder)) - before if "line-components" in f]
+    assert got[0] == got[1] and got[0][0] == (0, long) and {t for _, t in got[0][1:]} == {""}
+    assert not [f for f in os.listdir(scratch.root.removeprefix("file://")) if f.startswith(("lines", "keys", "pairs"))]
+
+
 # ---- 4
 
 
