@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of code points other than the space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Spark's setting by which a query's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,7 +47,12 @@ class Scratch:
         self._n += 1
         path = self.path(f"{name}-{self._n}")
         writer = df.write.option("compression", "zstd").option("maxRecordsPerFile", most)
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")  # the table is read from now on, not what it was made of
+        try:
+            (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before) if before else self.spark.conf.unset(CLEANUP)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -10,20 +10,22 @@ SOME_FROM characters on those that start with a character of LEAD, a sample by c
 eighth; lines between, and long lines with few such characters (other scripts, numbers), have both.
 One 64-bit hash a shingle serves all permutations: a band is a run of neighbours in the circle of a
 line's sorted hashes. Up to SMALL hashes every one starts a band: at a similarity of 0.8 four fifths
-of the union are common, so runs of common ones are long. Of more hashes the first in each of
-INTERVALS equal intervals starts a band of five, which is common with a probability of 0.33.
+of the union are common, so runs of common ones are long. Of more hashes the first in each of so many
+equal intervals starts a band: 12 of five, common with a probability of 0.33 each, and from MANY
+hashes on 20 of six (0.26), since long lines that do not link often share five.
 
 Buckets are the lines that share a band. In each, the line with the most exact copies is the hub, and
 all others are compared with it. After components are taken, only buckets with several components are
-looked at again: lines outside the main component with a second hub, then with all lines of another
+looked at again, and lines of different components are compared there, one of them outside the main
 component. Buckets of FINE_FROM lines or more are first split by finer bands (eight neighbours, 40
-intervals, all 5-grams), so that lines that only share a passage do not meet, and sizes and 1,024
-parities of all 5-grams rule pairs out while they are joined, by an exact bound. A bucket of copies
-thus costs a pair a line, not a pair per pair of lines.
+intervals), so that lines that only share a passage do not meet. In each of these, lines outside the
+main component are first compared with one line of it, and components are taken again; in what is
+still apart, sizes and 1,024 parities of all 5-grams rule pairs out while they are joined, by an exact
+bound. A bucket of copies thus costs a pair a line, not a pair per pair of lines.
 
-Pairs are verified in two steps. The shingle hashes tell the similarity exactly, if those of all
-positions are there, and otherwise estimate it; pairs more than SLACK standard deviations below 0.8
-go. The rest is verified exactly on the 5-grams of both whole lines.
+Pairs are verified by their shingle hashes, if those of all positions are there. Otherwise these
+estimate the similarity; pairs more than SLACK standard deviations below 0.8 go, and the rest is
+verified exactly on the 5-grams of both whole lines.
 
 Defined results: null text has no lines and stays null; a null doc_id orders first and is a document
 like others; rows that repeat a doc_id with different texts are documents of their own; of rows that
@@ -47,8 +49,14 @@ ALL_TO, SOME_FROM = 160, 120
 FEW = 8
 #: Hashes up to which bands of four start at each besides those of five, and up to which each starts a band.
 TINY, SMALL, INTERVALS = 10, 20, 12
+#: Hashes from which bands are longer.
+MANY, MANY_ROWS, MANY_INTERVALS = 41, 6, 20
+#: Up to so many times as many they have both, so that they meet lines with fewer.
+BOTH = 1.5
 #: Lines from which a bucket is split by finer bands, if its lines have FINE_LENGTH characters.
 FINE_FROM, FINE_LENGTH, FINE_ROWS, FINE_INTERVALS = 16, 100, 8, 40
+#: So many sampled hashes do for finer bands.
+FINE_SAMPLE = 100
 SLACK = 3.3
 SKETCH_WORDS = 16
 #: Copies from which on a line is signed once; others are signed copy by copy, which costs no shuffle of their texts.
@@ -96,23 +104,25 @@ def shingles(lines: DataFrame) -> DataFrame:
     return once(lines, whole=F.when((size <= ALL_TO) | few, grams(F.col("line"))))
 
 
-def bands(hashed: DataFrame, keep: list[str], small: int = SMALL, rows: int = 5, intervals: int = INTERVALS) -> DataFrame:
-    """The columns `keep` and the key of every band of the distinct hashes in column `hashes`.
+def bands(hashed: DataFrame, keep: list[str], small: int = SMALL, rows: int = 5, intervals: int = INTERVALS, many: int = 1 << 30) -> DataFrame:
+    """The columns `keep` and the key of every band of the distinct hashes in column `hashes`; many: hashes from
+    which bands have MANY_ROWS in MANY_INTERVALS.
 
     Bands are rows, not array elements, so that generated code makes them.
     """
-    interval = lambda x: F.shiftright(F.shiftright(x, 32) * intervals, 32)
     df = once(hashed.where("hashes is not null"), s=F.sort_array("hashes"))
-    df = once(df, n=F.size("s"), part=F.when(F.size("s") > small, F.transform("s", interval)))
-    firsts = F.array(*[F.array_position("part", F.lit(k).cast("long")).cast("int") - 1 for k in range(-(intervals // 2), intervals - intervals // 2)])
-    every = F.sequence(F.lit(0), F.col("n") - 1)
-    # in a very short line, starts from n * TINY on stand for bands of four
-    short = F.concat(every, F.transform(every, lambda i: i + F.col("n") * TINY))
-    starts = F.when(F.col("n") > small, firsts).when(F.col("n") > TINY, every).when(F.col("n") > 0, short)
-    each = df.select(*keep, "s", "n", F.explode(starts).alias("start")).where("start >= 0")
-    wanted = F.when(F.col("n") > small, rows).when((F.col("n") <= TINY) & (F.col("start") >= F.col("n")), 4).otherwise(5)
+    # starts from n * TINY on stand for bands of the other length: four in a very short line, MANY_ROWS in a long one
+    df = once(df, n=F.size("s"), every=F.sequence(F.lit(0), F.size("s") - 1))
+    other = F.transform("every", lambda i: i + F.col("n") * TINY)
+    starts = F.when(F.col("n") >= BOTH * many, other).when((F.col("n") >= many) | (F.col("n") <= TINY), F.concat("every", other)).otherwise(F.col("every"))
+    each = df.where("n > 0").select(*keep, "s", "n", F.explode(starts).alias("start"))
+    each = each.select(*keep, "s", "n", (F.col("start") % F.col("n")).alias("start"), (F.col("start") >= F.col("n")).alias("other"))
+    parts = F.when(F.col("other"), MANY_INTERVALS).otherwise(intervals)
+    interval = lambda i: F.shiftright(F.shiftright(F.get("s", i), 32) * parts, 32)
+    each = each.where((F.col("n") <= small) | (F.col("start") == 0) | (interval(F.col("start")) != interval(F.col("start") - 1)))
+    wanted = F.when(F.col("other"), F.when(F.col("n") <= TINY, 4).otherwise(MANY_ROWS)).when(F.col("n") > small, rows).otherwise(5)
     at = lambda k: F.get("s", (F.col("start") + k) % F.col("n"))
-    run = [at(k) if k < 4 else F.when(wanted > k, at(k)).otherwise(F.lit(0).cast("long")) for k in range(max(rows, 5))]
+    run = [at(k) if k < 4 else F.when(wanted > k, at(k)).otherwise(F.lit(0).cast("long")) for k in range(max(rows, 5, MANY_ROWS))]
     return each.select(F.xxhash64(wanted, *run).alias("key"), *keep)
 
 
@@ -128,9 +138,9 @@ def buckets(scratch: Scratch, lines: DataFrame, signed: DataFrame) -> DataFrame:
     texts = lines.select("node", "line")
     texts = texts.join(often, "node", "left_anti").union(texts.join(often, "node", "left_semi").dropDuplicates(["node"]))
     hashed = shingles(texts).select("node", F.explode(F.array("some", "whole")).alias("hashes"))
-    keyed = bands(hashed, ["node"]).repartition("key").distinct()
-    held = keyed.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("key")))
-    return scratch.cut(held.where("held > 1").select("key", "node"), "buckets")
+    same = Window.partitionBy("key")
+    held = bands(hashed, ["node"], many=MANY).withColumns({"lo": F.min("node").over(same), "hi": F.max("node").over(same)})
+    return scratch.cut(held.where("lo <> hi").select("key", "node").distinct(), "buckets")
 
 
 def bucket_texts(scratch: Scratch, lines: DataFrame, listed: DataFrame) -> DataFrame:
@@ -150,27 +160,27 @@ def kept(texts: DataFrame, wanted: DataFrame, name: str = "node") -> DataFrame:
 
 
 def likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose shingle hashes allow a similarity of 0.8."""
+    """Those of the pairs (a, b) whose shingle hashes allow a similarity of 0.8; known: the hashes prove it."""
     sets = texts.select("node", "some", "whole")
-    both = pairs.join(hashes_of(sets, "b"), "b").join(hashes_of(kept(sets, pairs, "a"), "a"), "a")
+    both = pairs.join(hashes_of(sets, "b"), "b").join(hashes_of(sets, "a"), "a")
     known = F.col("whole_a").isNotNull() & F.col("whole_b").isNotNull()
     common = F.when(known, F.size(F.array_intersect("whole_a", "whole_b"))).otherwise(F.size(F.array_intersect("some_a", "some_b")))
     total = F.when(known, F.size("whole_a") + F.size("whole_b")).otherwise(F.size("some_a") + F.size("some_b"))
     both = once(both, known=known, common=common, total=total, least=F.least(F.size("some_a"), F.size("some_b")))
     sampled = f"least < {FEW} or common >= (0.8 - {SLACK} * sqrt(0.32 / total)) * (total - common)"
-    return both.where(f"case when known then 9 * common >= 4 * total when common is null then true else {sampled} end").select("a", "b")
+    return both.where(f"case when known then 9 * common >= 4 * total when common is null then true else {sampled} end").select("a", "b", "known")
 
 
 def verify(scratch: Scratch, pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of lines whose Jaccard similarity is at least 0.8, as edges (u, v)."""
     near = scratch.cut(likely(pairs, texts), "near")
-    lines = scratch.cut(kept(texts.select("node", "line"), near.select(F.explode(F.array("a", "b")).alias("node"))), "near-lines")
-    line = lambda c: lines.select(F.col("node").alias(c), F.col("line").alias(f"line_{c}"))
-    both = near.join(line("b"), "b").join(line("a"), "a")
+    line = lambda c: texts.select(F.col("node").alias(c), F.col("line").alias(f"line_{c}"))
+    both = near.where("not known").select("a", "b").join(line("b"), "b").join(line("a"), "a")
     both = once(both.select("a", "b", "line_a", "line_b"), ga=grams(F.col("line_a")), gb=grams(F.col("line_b")))
-    both = once(both, common=F.size(F.array_intersect("ga", "gb")))
-    links = scratch.cut(both.where("9 * common >= 4 * (size(ga) + size(gb))").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-    scratch.drop(near, lines)
+    both = once(both, common=F.size(F.array_intersect("ga", "gb"))).where("9 * common >= 4 * (size(ga) + size(gb))")
+    edge = [F.col("a").alias("u"), F.col("b").alias("v")]
+    links = scratch.cut(near.where("known").select(*edge).union(both.select(*edge)), "links")
+    scratch.drop(near)
     return links
 
 
@@ -203,8 +213,15 @@ def open_buckets(scratch: Scratch, listed: DataFrame, comps: DataFrame) -> DataF
 
 
 def grown(scratch: Scratch, comps: DataFrame, links: DataFrame) -> DataFrame:
-    """The components after more links."""
-    return components(scratch, comps.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links))
+    """The components after more links, which join components."""
+    name = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    named = links.join(name("u"), "u", "left").join(name("v"), "v", "left")
+    named = scratch.cut(named.select("u", "v", F.coalesce("u_in", "u").alias("u_in"), F.coalesce("v_in", "v").alias("v_in")), "joined")
+    joined = components(scratch, named.select(F.col("u_in").alias("u"), F.col("v_in").alias("v")))
+    ends = named.select("u", "u_in").union(named.select("v", "v_in")).toDF("node", "component")
+    old = comps.union(ends).distinct().withColumnRenamed("component", "old")
+    joined = joined.select(F.col("node").alias("old"), F.col("component").alias("new"))
+    return scratch.cut(old.join(joined, "old", "left").select("node", F.coalesce("new", "old").alias("component")), "components")
 
 
 def ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
@@ -217,15 +234,25 @@ def with_hubs(entries: DataFrame, hubs: DataFrame) -> DataFrame:
     return ordered(entries.select("key", "node").join(hub, "key").where("node <> hub"), "node", "hub")
 
 
-def across(entries: DataFrame, on: list[str], sketched: bool = False) -> DataFrame:
-    """Pairs of entries of different components that agree in `on`, one of them outside the main one; of
+def across(entries: DataFrame, sketched: bool = False) -> DataFrame:
+    """Pairs of entries of one bucket and different components, one of them outside the main one; of
     entries with sketches, those that may link."""
     carried = ["node", "comp", *(["n", *(f"s{k}" for k in range(SKETCH_WORDS))] if sketched else [])]
-    others = entries.where("comp <> main").select(*on, *[F.col(c).alias(f"o_{c}") for c in carried])
-    met = entries.join(others, on).where("comp <> o_comp and (comp = main or node < o_node)" + (f" and {may_link('', 'o_')}" if sketched else ""))
+    others = entries.where("comp <> main").select("key", *[F.col(c).alias(f"o_{c}") for c in carried])
+    met = entries.join(others, "key").where("comp <> o_comp and (comp = main or node < o_node)" + (f" and {may_link('', 'o_')}" if sketched else ""))
     return ordered(met, "node", "o_node")
 
 
+def finer(scratch: Scratch, wide: DataFrame, texts: DataFrame) -> DataFrame:
+    """key, node, copies, length: the lines of large buckets in buckets of finer bands, and short ones in their own."""
+    long = wide.where(f"least >= {FINE_LENGTH}").select("node", "copies", "length").distinct()
+    sample = F.when(F.size("some") >= FINE_SAMPLE, F.col("some"))
+    hashed = texts.join(long, "node").select("node", "copies", "length", F.coalesce("whole", sample, grams(F.col("line"))).alias("hashes"))
+    fine = bands(hashed, ["node", "copies", "length"], 0, FINE_ROWS, FINE_INTERVALS)
+    short = wide.where(f"least < {FINE_LENGTH}")
+    return scratch.cut(fine.union(short.select(*fine.columns)), "fine")
+
+
 def line_components(scratch: Scratch, lines: DataFrame) -> DataFrame:
     """node, first (place of the line that stays), copies, own_first of the lines that are linked or copied."""
     at = F.struct("doc_id", "rid", "pos")
@@ -237,20 +264,20 @@ def line_components(scratch: Scratch, lines: DataFrame) -> DataFrame:
 
     tried = scratch.cut(with_hubs(listed, listed), "pairs")
     comps = components(scratch, verify(scratch, tried, texts))
+
     entries = open_buckets(scratch, listed, comps)
     texts = scratch.cut(kept(texts, entries), "open-texts")
-    second = with_hubs(entries, entries.where("comp <> main"))
+    fine = finer(scratch, entries.where(f"held >= {FINE_FROM}"), texts)
+    apart = open_buckets(scratch, fine, comps)
+    second = with_hubs(apart.where("comp <> main"), apart.where("comp = main"))
+    second = second.union(across(entries.where(f"held < {FINE_FROM}"))).distinct()
     second = scratch.cut(second.join(tried, ["a", "b"], "left_anti"), "pairs")
     comps = grown(scratch, comps, verify(scratch, second, texts))
 
-    entries = open_buckets(scratch, listed, comps)
-    large = (F.col("held") >= FINE_FROM) & (F.col("least") >= FINE_LENGTH)
-    wide = entries.where(large)
-    hashed = kept(texts.select("node", "line"), wide).select("node", grams(F.col("line")).alias("hashes"))
-    fine = bands(hashed, ["node"], 0, FINE_ROWS, FINE_INTERVALS).select("node", F.col("key").alias("fine"))
-    wide = scratch.cut(wide.join(sketches(hashed), "node").join(fine, "node"), "sketched")
-    rest = across(entries.where(~large), ["key"]).union(across(wide, ["key", "fine"], True)).distinct()
-    rest = rest.join(tried.union(second), ["a", "b"], "left_anti")
+    apart = open_buckets(scratch, fine, comps)
+    hashed = kept(texts.select("node", "line"), apart).select("node", grams(F.col("line")).alias("hashes"))
+    sketched = scratch.cut(apart.join(sketches(hashed), "node"), "sketched")
+    rest = across(sketched, True).join(tried.union(second), ["a", "b"], "left_anti")
     comps = grown(scratch, comps, verify(scratch, scratch.cut(rest, "pairs"), texts))
 
     linked = scratch.cut(signed.join(comps, "node"), "linked")

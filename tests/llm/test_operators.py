@@ -4,6 +4,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -360,6 +361,47 @@ def test_line_components_leave_no_tables_and_often_copied_lines_are_signed_once(
     assert not [f for f in os.listdir(scratch.root.removeprefix("file://")) if f.startswith(("lines", "keys", "pairs"))]
 
 
+def test_line_dedup_of_near_copies_that_mostly_link_tries_few_pairs(spark, scratch, monkeypatch):
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(3, 8)))
+    core, lines = [word() for _ in range(60)], []
+    for _ in range(300):
+        changed = set(r.sample(range(60), 3))
+        lines.append(" ".join(word() if k in changed else w for k, w in enumerate(core)))
+    tried, verify = [], line_dedup.verify
+    monkeypatch.setattr(line_dedup, "verify", lambda sc, pairs, texts: tried.append(pairs.count()) or verify(sc, pairs, texts))
+    assert lines_gone(spark, scratch, lines) == set(range(1, 300))
+    assert sum(tried) <= 30 * len(lines), tried
+
+
+def test_line_dedup_links_lines_with_bands_of_different_lengths(spark, scratch):
+    r = random.Random(21)
+    lines = []
+    for size in range(36, 66, 2):  # characters, on both sides of MANY 5-grams
+        a = "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=size)).strip().ljust(size, "q")
+        lines += [a, a + "".join(r.choices("0123456789", k=size // 9))]
+    assert lines_gone(spark, scratch, lines) == set(range(1, len(lines), 2))
+
+
+def test_long_lines_that_share_five_hashes_do_not_meet_in_every_band(spark):
+    sets = [list(range(k << 48, (k << 48) + (60 << 40), 1 << 40)) for k in (1, 3)]
+    rows = spark.createDataFrame([(0, [x * 3 for x in sets[0]])], "node long, hashes array<long>")
+    long = {r["key"] for r in line_dedup.bands(rows, ["node"], many=line_dedup.MANY).collect()}
+    assert long and long > {r["key"] for r in line_dedup.bands(rows, ["node"]).collect()}  # near MANY hashes: both kinds
+
+
+def test_shuffle_files_of_a_written_table_are_gone(spark, scratch):
+    places = [d.getPath() for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    there = lambda: {f for p in places for _, _, fs in os.walk(p) for f in fs if f.startswith("shuffle_") and f.endswith(".data")}
+    before = there()
+    t = scratch.cut(spark.range(5000).selectExpr("id % 977 as k", "id").groupBy("k").sum("id"), "summed")
+    for _ in range(50):
+        if there() <= before:
+            break
+        time.sleep(0.1)
+    assert there() <= before and t.count() == 977
+
+
 # ---- 4
 
 
