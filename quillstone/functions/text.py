@@ -59,7 +59,9 @@ def meaningful(content: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without what `\\s` matches at both ends. A pattern would look at every character, and Java's `$` also stands before a
+    last line separator (U+0085, U+2028, U+2029)."""
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def normalized_body(content: Column) -> Column:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as tx
 from quillstone.operators import documents as dc
-from quillstone.sources.shared import scratch_folder
 
 MAX_TOKENS, CHARS_PER_TOKEN, CHUNK_TOKENS = 512, 4, 120
 _HEADER = r"(?m)^(#{1,3}\s+.+)$"
@@ -20,16 +19,23 @@ def structural_sections(texts: DataFrame) -> DataFrame:
     Fewer than two headings give one section of the whole text; what stands before the first of several
     headings is put in front of the first section. Blank texts give none.
     """
-    rows = texts.where(tx.strip(F.col("content")) != "")
-    return _numbered(rows.select("kid", _structural(F.col("content")).alias("sections")))
+    rows = texts.select("kid", "content", _between_heads(F.col("content")).alias("heads"))
+    return _numbered(rows.select("kid", _structural(F.col("content"), F.col("heads")).alias("sections")))
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    return rows.select("kid", F.posexplode("sections").alias("nth", "s")).select("kid", (F.col("nth") + 1).alias("nth"), "s.title", "s.body")
+    """A row a section. The outer form, as for the plain one Spark puts a filter under it that makes the sections once more."""
+    rows = rows.select("kid", F.posexplode_outer("sections").alias("nth", "s")).where("nth is not null")
+    return rows.select("kid", (F.col("nth") + 1).alias("nth"), "s.title", "s.body")
 
 
-def _structural(content: Column) -> Column:
-    parts = F.split(F.regexp_replace(content, _HEADER, f"{_CUT}$1"), _CUT)
+def _between_heads(content: Column) -> Column:
+    return F.split(F.regexp_replace(content, _HEADER, f"{_CUT}$1"), _CUT)
+
+
+def _structural(content: Column, parts: Column) -> Column:
+    """Sections of a text and its parts between headings, which are a column: as an expression they would be made several times.
+    Null for a blank text; a filter before would make the text a second time where it is an expression."""
     title = lambda part: tx.strip(F.regexp_extract(part, r"^#{1,3}\s+(.+)", 1))
     single = F.struct(F.when(F.size(parts) == 2, title(F.get(parts, F.lit(1)))).otherwise("Untitled").alias("title"), tx.strip(content).alias("body"))
     before = tx.strip(F.get(parts, F.lit(0)))
@@ -39,7 +45,7 @@ def _structural(content: Column) -> Column:
         return F.struct(title(part).alias("title"), F.when((i == 0) & (before != ""), F.concat(before, F.lit("\n\n"), body)).otherwise(body).alias("body"))
 
     several = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), section)
-    return F.when(F.size(parts) < 3, F.array(single)).otherwise(several)
+    return F.when(content.rlike(r"\S"), F.when(F.size(parts) < 3, F.array(single)).otherwise(several))
 
 
 def clustered_sections(pieces: Column, section: Column) -> Column:
@@ -51,7 +57,7 @@ def clustered_sections(pieces: Column, section: Column) -> Column:
 
     def joined(x: Column, k: Column) -> Column:
         body = F.array_join(F.slice(pieces, x["at"] + 1, x["end"] - x["at"]), "\n\n")
-        head = F.substring(tx.strip(F.split(body, "\n").getItem(0)), 1, 120)
+        head = F.substring(tx.strip(F.substring_index(F.get(pieces, x["at"]), "\n", 1)), 1, 120)
         return F.struct(tx.or_else(head, F.concat(F.lit("Section "), (k + 1).cast("string"))).alias("title"), body.alias("body"))
 
     return F.transform(F.arrays_zip(opens.alias("at"), ends(opens).alias("end")), joined)
@@ -96,17 +102,13 @@ def hybrid_sections(texts: DataFrame, max_tokens: int = MAX_TOKENS, vectors: Dat
     if vectors is None:
         parts = recursive_parts(structural_sections(texts), max_tokens)
     else:
-        rows = texts.where(tx.strip(F.col("content")) != "")
-        rows = rows.select("kid", _structural(F.col("content")).alias("sections"), dc.paragraphs(F.col("content")).alias("pieces"))
+        found = dc.paragraph_clusters(vectors, most=most, doc="kid").select("kid", F.col("sections").alias("numbers"))
+        rows = texts.select("kid", "content").join(found, "kid", "left")  # texts travel once, before they are split
+        rows = rows.withColumn("heads", _between_heads(F.col("content")))
+        rows = rows.select("kid", "numbers", _structural(F.col("content"), F.col("heads")).alias("sections"), dc.paragraphs(F.col("content")).alias("pieces"))
         over = F.exists("sections", lambda s: F.floor(F.length(s["body"]) / CHARS_PER_TOKEN) > max_tokens)
         asked = ((F.size("sections") < 2) | over) & F.size("pieces").between(2, most)
-        path = scratch_folder(texts.sparkSession, "sections")  # read three times, so that texts are split once
-        rows.withColumn("asked", asked).write.parquet(path)
-        rows = texts.sparkSession.read.parquet(path)
-        wanted = vectors.join(rows.where("asked").select("kid"), "kid", "left_semi")
-        found = dc.cluster_paragraphs(wanted, most=most, doc="kid").groupBy("kid").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "section"))), lambda x: x["section"]).alias("numbers"))
-        rows = rows.join(found, "kid", "left")  # a join apart, so numbers are a column by now
-        whole = F.col("asked") & (F.size(F.coalesce("numbers", F.array().cast("array<bigint>"))) == F.size("pieces"))
+        whole = asked & (F.size(F.coalesce("numbers", F.array().cast("array<bigint>"))) == F.size("pieces"))
         parts = recursive_parts(_numbered(rows.select("kid", F.when(whole, clustered_sections(F.col("pieces"), F.col("numbers"))).otherwise(F.col("sections")).alias("sections"))), max_tokens)
     order = Window.partitionBy("kid").orderBy("nth", "part")
     return parts.select("kid", F.row_number().over(order).alias("seq"), "title", "body")

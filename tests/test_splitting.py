@@ -114,3 +114,45 @@ def test_many_clusters_of_one_text_take_linear_time(spark):
     got = rows.persist().select(au.clustered_sections(F.col("pieces"), F.col("numbers")).alias("s")).first()["s"]
     assert [(x["title"], x["body"]) for x in got] == [(f"p{k}", f"p{k}") for k in range(1, n + 1)]
     assert time.time() - begun < 3
+
+
+def test_documents_across_batches_are_clustered_whole(spark):
+    """Batches of three rows end within documents; one of more than `most` paragraphs has no row, wherever its batches end."""
+    r = np.random.default_rng(5)
+    base = r.normal(size=(4, 3))
+    rows = [(doc, k, [float(x) for x in base[r.integers(0, 4)] + r.normal(size=3) * 0.1]) for doc in range(30) for k in range(1 + doc % 9)]
+    rows += [(99, k, [1.0, 0.0]) for k in range(9)] + [(98, k, [1.0, 0.0, -0.0, 0.0]) for k in range(10)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        frame = spark.createDataFrame(rows, "doc long, nth int, vector array<double>").repartition(3)
+        got = {x["doc"]: (x["nths"], x["sections"]) for x in dc.paragraph_clusters(frame, most=9).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for doc in {x[0] for x in rows} - {98}:
+        v = [x[2] for x in rows if x[0] == doc]
+        labels = naive_labels(v, 0.25)
+        want[doc] = (list(range(len(v))), np.cumsum([0, *(a != b for a, b in zip(labels, labels[1:], strict=False))]).tolist())
+    assert got == want
+
+
+def test_texts_are_split_once(spark):
+    """The pattern of headings stands once in the plan, and nothing is written to be read again."""
+    import os
+
+    sf = "/root/testdata/sf0.001"
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder))
+    out = au.hybrid_sections(pa.paragraph_texts(spark, sf), vectors=pa.paragraph_vectors(spark, sf))
+    assert not [x for x in set(os.listdir(folder)) - before if x.startswith("quillstone-sections")]
+    for df in (out, au.structural_sections(pa.marked(spark, sf))):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("(?m)^(#{1,3}") == 1
+
+
+def test_strip_at_a_line_separator(spark):
+    from pyspark.sql import functions as F
+
+    from quillstone.functions import text as tx
+
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(["\t\x0b\f a \r\n", "a  ", "  a", " ", "\xa0a"])], "k int, x string")
+    assert [r["s"] for r in rows.select("k", tx.strip(F.col("x")).alias("s")).orderBy("k").collect()] == ["a", "a  ", "  a", "", "\xa0a"]
