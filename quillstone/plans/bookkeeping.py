@@ -48,18 +48,17 @@ _ISSUES = pq.ORACLE["frontmatter_gate"].removeprefix(f"WITH {ENTRIES} ")
 
 
 @query(f"""WITH {POINTS}, gate AS ({_ISSUES}), f AS (SELECT kid, count(*) FILTER (severity = 'critical') AS c, count(*) FILTER (severity <> 'critical') AS w FROM gate GROUP BY kid),
-    q AS (SELECT kid, domain, vector FROM points WHERE vec_id % 50 = 0),
-    s AS (SELECT q.kid, p.kid AS other, list_cosine_similarity(q.vector, p.vector) AS cs FROM q JOIN points p USING (domain) WHERE q.kid <> p.kid),
+    s AS (SELECT q.kid, p.kid AS other, list_cosine_similarity(q.vector, p.vector) AS cs FROM points q JOIN points p USING (domain) WHERE q.kid <> p.kid),
     r AS (SELECT *, row_number() OVER (PARTITION BY kid ORDER BY cs DESC, other) AS rank FROM s), d AS (SELECT kid, count(*) AS d FROM r WHERE rank <= 8 AND cs >= 0.92 GROUP BY kid),
-    b AS (SELECT *, count(*) OVER (PARTITION BY book) <= 9 AS checked FROM (SELECT coalesce(parent, kid) AS book, kid FROM entries))
+    b AS (SELECT *, count(*) OVER (PARTITION BY book) <= 500 AS checked FROM (SELECT coalesce(parent, kid) AS book, kid FROM entries))
     SELECT book, kid, checked, CASE WHEN checked THEN coalesce(c, 0) END AS issues, CASE WHEN checked THEN coalesce(w, 0) + CASE WHEN d > 0 THEN 1 ELSE 0 END END AS warnings,
         CASE WHEN checked THEN coalesce(d, 0) END AS duplicates FROM b LEFT JOIN f USING (kid) LEFT JOIN d USING (kid)""")
 def import_report(spark, sf_dir) -> DataFrame:
-    """Books of ten entries are too large here, those with fewer are checked."""
-    p = t.points(spark, sf_dir)
-    near = nb.duplicate_gate(p.where("vec_id % 50 = 0").select("kid", "domain", "vector"), p.select("kid", "domain", "vector"))
+    """Every entry asks the gate, by each of its vectors; books of up to 500 sections are checked, as in the reference."""
+    p = t.points(spark, sf_dir).select("kid", "domain", "vector")
+    near = nb.duplicate_gate(p, p)
     sections = t.entries(spark, sf_dir).select(F.coalesce("parent", "kid").alias("book"), "kid")
-    return bk.import_report(sections, pq.QUERIES["frontmatter_gate"](spark, sf_dir), near, 9)
+    return bk.import_report(sections, pq.QUERIES["frontmatter_gate"](spark, sf_dir), near)
 
 
 @query("SELECT conv_id, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id ORDER BY conv_id DESC LIMIT 20")

@@ -75,3 +75,46 @@ def test_equal_vectors_make_k_pairs_a_slice(spark):
     names = [f"k{i:03}" for i in range(300)]
     want = {(q, o) for q in names[:3] for o in [x for x in names if x != q][:8]}
     assert {(r["kid"], r["other"]) for r in nb.duplicate_gate(new, points, 0.9).collect()} == want
+
+
+def test_every_section_of_an_import_asks_the_gate(spark, tmp_path):
+    """Near copies whose numbers are no multiple of 50, in a book of ten: each is a warning, told by the query and by its SQL."""
+    import os
+    import shutil
+
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from quillstone.plans import bookkeeping as pb
+
+    sf = f"{tmp_path}/sf"
+    shutil.copytree("/root/testdata/sf0.001", sf, ignore=shutil.ignore_patterns("embeddings.parquet", "documents.parquet"))
+    base = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    like = base.where("vec_id = 12").first()["embedding"]
+    copies = F.when(F.col("vec_id").isin(12, 14, 17, 33), F.array(*map(F.lit, like)).cast("array<float>")).otherwise(F.col("embedding"))
+    base.withColumn("embedding", copies).coalesce(1).write.parquet(f"{sf}/embeddings.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("source", F.lit("one")).coalesce(1).write.parquet(f"{sf}/documents.parquet")
+    got = {r["kid"]: tuple(r) for r in pb.QUERIES["import_report"](spark, sf).collect()}
+    found = {k: r for k, r in got.items() if r[5]}
+    assert {k: r[5] for k, r in found.items()} == {f"doc-{n:08}": 3 for n in (12, 14, 16, 32)} and all(r[2] and r[4] > 0 for r in found.values())
+    con = duckdb.connect()
+    for f in os.listdir(sf):
+        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{sf}/{f}{'/*.parquet' if os.path.isdir(f'{sf}/{f}') else ''}'")
+    assert {r[1]: r for r in con.execute(pb.ORACLE["import_report"]).fetchall()} == got
+
+
+def test_a_vector_travels_once_a_block(spark, monkeypatch):
+    """Scattered vectors: a query goes to the blocks of its group, not to every cell that its angle meets."""
+    r = np.random.default_rng(6)
+    points = spark.createDataFrame([(f"k{i}", "a", [float(x) for x in r.normal(size=64)]) for i in range(300)], "kid string, domain string, vector array<double>")
+    seen = spark.sparkContext.accumulator(0)
+    unit = nb.unit_rows
+
+    def counted(rows):
+        seen.add(len(rows))
+        return unit(rows)
+
+    monkeypatch.setattr(nb, "unit_rows", counted)
+    monkeypatch.setattr(nb, "CELL", 100)
+    assert nb.near_pairs(points, points, 0.92, k=8).count() == 0
+    assert 300 * 4 <= seen.value <= 300 * (4 + 2 * 3 + 6)  # cells twice a side, then three blocks that three others meet
