@@ -1,17 +1,20 @@
 """Writes in batches: entries behind their gates, sources with their blobs, changes of a source's licence.
 
-A batch is decided as if its rows came one after the other, by `n`; the order is told by least and greatest n of a
-key, so that nothing walks a key's rows: every group is aggregated before it is shuffled.
+A batch is decided as if its rows came one after the other, by `n`. Of writes and licences the order is told by least and greatest
+n of a key, so that every group is aggregated before it is shuffled. Ingests, whose rows are wide and hardly any
+fewer by source, are shuffled once and stream through a step in order, which holds one source.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.operators import authoring as au
 from quillstone.operators.provenance import public_licence
-from quillstone.sources.shared import scratch_folder
 
 # Zones, fields that are recommended, and what a source's id begins with.
 ZONES = ("public", "private")
@@ -100,46 +103,96 @@ def registered(sources: DataFrame, incoming: DataFrame) -> tuple[DataFrame, Data
     ones are added behind; an error stands while there is no canonical form, the last one counts, and every one that comes is
     a change, as it has its own time. A source without licence is not public unless told so.
     """
-    spark, path = incoming.sparkSession, scratch_folder(incoming.sparkSession, "ingests")
-    incoming.withColumn("source_id", source_id(F.col("sha256"))).write.parquet(path)  # read several times, made once
-    rows = every = spark.read.parquet(path)
-    old = sources.select("source_id", F.struct(F.col("sha256"), "canonical", "derived", "error", "license", "public_allowed").alias("old"))
-    rows = rows.where("source_id is not null").join(old, "source_id", "left")
-    firsts = rows.groupBy("source_id").agg(F.min_by("sha256", "n").alias("own"))
-    rows = rows.join(firsts, "source_id").withColumn("own", F.coalesce("old.sha256", "own"))
-    good, n = rows.where("sha256 = own"), F.col("n")
-    brings = F.col("canonical").isNotNull()
-    facts = good.groupBy("source_id").agg(
-        F.min("n").alias("start"), F.min(F.when(brings, n)).alias("canonical_at"), F.min_by("canonical", F.when(brings, n)).alias("new_canonical"),
-        F.max_by("error", F.when(F.col("error").isNotNull(), n)).alias("last_error"), F.min_by(F.struct("license", "public_allowed"), "n").alias("rights"),
-        F.first("old").alias("old"), F.first("own").alias("own"),
-    )
-    known = F.coalesce("old.derived", _none())
-    fresh = good.select("source_id", "n", F.posexplode(F.array_except(F.coalesce("derived", _none()), known)).alias("pos", "sha"))
-    fresh = fresh.where("sha is not null").groupBy("source_id", "sha").agg(F.min(F.struct("n", "pos")).alias("at"))
-    added = fresh.groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "sha"))), lambda x: x["sha"]).alias("added"))
-    state = facts.join(added, "source_id", "left")
-    canonical = F.coalesce("old.canonical", "new_canonical")
-    allowed = F.when(F.col("old").isNotNull(), F.col("old.public_allowed")).otherwise(F.coalesce("rights.public_allowed", public_licence(F.col("rights.license"))))
-    after = state.select(
-        "source_id", F.col("own").alias("sha256"), canonical.alias("canonical"), F.concat(known, F.coalesce("added", _none())).alias("derived"),
-        F.when(canonical.isNull(), F.coalesce("last_error", "old.error")).alias("error"), F.when(F.col("old").isNotNull(), F.col("old.license")).otherwise(F.col("rights.license")).alias("license"), allowed.alias("public_allowed"),
+    digest, mine = F.unhex("sha256"), F.col("source_id").rlike(rf"^{SOURCE_PREFIX}[0-9a-f]{{16}}\z")
+    kept = ["canonical", "derived", "error", "license", "public_allowed"]
+    valid = source_id(F.col("sha256")).isNotNull()
+    rows = incoming.select(
+        "n", F.when(valid, F.substring(digest, 1, 8)).alias("id"), F.when(valid, F.substring(digest, 9, 24)).alias("rest"), *kept, F.lit(None).cast("string").alias("old_sha"), F.lit(False).alias("old"),
     )
-    rest = sources.join(after.select("source_id"), "source_id", "left_anti").select(*after.columns)
-    bearers = fresh.groupBy("source_id", F.col("at.n").alias("n")).agg(F.lit(True).alias("derives"))
-    told = rows.join(facts.select("source_id", "start", "canonical_at"), "source_id", "left").join(bearers, ["source_id", "n"], "left")
-    had = F.col("old.canonical").isNotNull()
-    first_canonical = ~had & F.coalesce(n == F.col("canonical_at"), F.lit(False))
-    cleared = had & F.col("old.error").isNotNull() & (n == F.col("start"))
-    told_error = F.col("error").isNotNull() & ~had & (F.col("canonical_at").isNull() | (n < F.col("canonical_at")))
-    attached = first_canonical | cleared | told_error | F.col("derives").isNotNull()
-    outcome = (
-        F.when(F.col("sha256") != F.col("own"), "collision").when(F.col("old").isNull() & (n == F.col("start")), "created")
-        .when(attached, "attached").otherwise("reused")
+    there = sources.where(mine).select(
+        F.lit(None).cast(dict(incoming.dtypes)["n"]).alias("n"), F.unhex(F.substring("source_id", len(SOURCE_PREFIX) + 1, 16)).alias("id"), F.lit(None).cast("binary").alias("rest"), *kept, F.col("sha256").alias("old_sha"), F.lit(True).alias("old"),
     )
-    outcomes = told.select("n", "source_id", outcome.alias("outcome"))
-    invalid = every.where("source_id is null").select("n", F.lit(None).cast("string").alias("source_id"), F.lit("invalid").alias("outcome"))
-    return rest.unionByName(after), outcomes.union(invalid)
+    # a source's rows meet once, the store's first; those without an id are dealt out by n
+    dealt = rows.unionByName(there).repartition(F.when(F.col("id").isNotNull(), F.xxhash64("id")).otherwise(F.xxhash64("n")))
+    told = dealt.sortWithinPartitions("id", "n").mapInArrow(_told_in_order, f"n {dict(incoming.dtypes)['n']}, source_id string, outcome string, source {_STATE}")
+    after = told.where("outcome is null").select("source_id", "source.*")
+    allowed = F.when(F.col("made"), F.coalesce("public_allowed", public_licence(F.col("license")))).otherwise(F.col("public_allowed"))
+    after = after.select("source_id", "sha256", "canonical", "derived", "error", "license", allowed.alias("public_allowed"))
+    rest = sources.where(~F.coalesce(mine, F.lit(False))).select(*after.columns)
+    return rest.unionByName(after), told.where("outcome is not null").select("n", "source_id", "outcome")
+
+
+_STATE = "struct<sha256: string, canonical: string, derived: array<string>, error: string, license: string, public_allowed: boolean, made: boolean>"
+
+
+class _Source:
+    """A source as its ingests come, in order of n."""
+
+    def __init__(self, key: bytes):
+        self.id, self.own, self.known, self.good, self.state = key, None, False, 0, None
+        self.had = self.erred = False
+        self.seen: set[str] = set()
+
+    def store(self, sha256: str | None, canonical: str | None, derived: list | None, error: str | None, license: str | None, allowed: bool | None) -> None:
+        self.own, self.known, self.had, self.erred, self.seen = sha256, True, canonical is not None, error is not None, set(derived or [])
+        self.state = {"sha256": sha256, "canonical": canonical, "derived": derived, "error": error, "license": license, "public_allowed": allowed, "made": False}
+
+    def ingest(self, sha256: str, canonical: str | None, derived: list | None, error: str | None, license: str | None, allowed: bool | None) -> str:
+        self.own = self.own if self.own is not None else sha256
+        if sha256 != self.own:
+            return "collision"
+        first, self.good = not self.good, self.good + 1
+        if first:
+            self.state = self.state or {"canonical": None, "derived": [], "error": None, "license": license, "public_allowed": allowed, "made": True}
+            self.state |= {"sha256": self.own, "derived": list(self.state["derived"] or [])}
+        s, attached = self.state, first and self.had and self.erred
+        if s["canonical"] is None:
+            attached |= canonical is not None or error is not None
+            s["canonical"], s["error"] = canonical, s["error"] if error is None else error
+        for d in derived or ():
+            if d is not None and d not in self.seen:
+                self.seen.add(d)
+                s["derived"].append(d)
+                attached = True
+        return "created" if first and not self.known else "attached" if attached else "reused"
+
+    def closed(self) -> dict | None:
+        """What the store has of it behind the batch; an error stands while there is no canonical form, and what had no ingest stays as it was."""
+        return self.state if not self.good or self.state["canonical"] is None else self.state | {"error": None}
+
+
+def _told_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Outcomes of ingests and, with no outcome, sources behind them; rows are in order of (id, n), a source of the store before its
+    ingests. One source is held at a time, never its ingests."""
+    source = None
+    for batch in batches:
+        ns, names, outcomes, states = [], [], [], []
+
+        def tell(n: int | None, key: bytes | None, outcome: str | None, state: dict | None = None, to: tuple = (ns, names, outcomes, states)) -> None:
+            for out, x in zip(to, (n, key and SOURCE_PREFIX + key.hex(), outcome, state), strict=True):
+                out.append(x)
+
+        for n, key, rest, *kept, old_sha, old in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key is None:
+                tell(n, None, "invalid")
+                continue
+            if source is None or source.id != key:
+                if source and source.state:
+                    tell(None, source.id, None, source.closed())
+                source = _Source(key)
+            if old:
+                source.store(old_sha, *kept)
+            else:
+                tell(n, key, source.ingest(key.hex() + rest.hex(), *kept))
+        yield _told(ns, names, outcomes, states, batch.schema.field(0).type)
+    if source and source.state:
+        yield _told([None], [SOURCE_PREFIX + source.id.hex()], [None], [source.closed()], batch.schema.field(0).type)
+
+
+def _told(ns: list, names: list, outcomes: list, states: list, kind: pa.DataType) -> pa.RecordBatch:
+    text = pa.string()
+    state = pa.struct([("sha256", text), ("canonical", text), ("derived", pa.list_(text)), ("error", text), ("license", text), ("public_allowed", pa.bool_()), ("made", pa.bool_())])
+    return pa.RecordBatch.from_arrays([pa.array(ns, kind), pa.array(names, text), pa.array(outcomes, text), pa.array(states, state)], names=["n", "source_id", "outcome", "source"])
 
 
 def relicensed(store: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:

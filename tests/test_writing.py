@@ -105,6 +105,30 @@ def test_ingests_equal_a_replay(spark, seed):
     assert {x["source_id"]: (x["sha256"], x["canonical"], tuple(x["derived"] or ()), x["error"], x["license"], x["public_allowed"]) for x in after.collect()} == state
 
 
+def test_ingests_are_shuffled_once_and_stream(spark):
+    """Nothing is written to be read again, rows travel once, batches of three end within a source, and the store's sources stay, with odd ids too."""
+    import os
+
+    r = random.Random(9)
+    sha = lambda k, tail="0": f"{k:016x}" + tail * 48
+    sources = [("src-" + sha(k)[:16], sha(k), None, ["d1"], "e0", "arr", True) for k in (0, 1, 77)] + [("odd", "x", None, None, "e", None, None), (None, None, None, ["d"], None, None, False)]
+    rows = [(n, sha(r.randint(0, 5), r.choice("00001")), r.choice([None, None, None, "c1"]), r.choice([None, ["d1", "d2"], [f"d{n}"]]), r.choice([None, "e1"]), "own", None) for n in range(120)] + [(n, "no hash", None, None, None, None, None) for n in range(120, 130)]
+    r.shuffle(rows)
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        after, told = wr.registered(spark.createDataFrame(sources, SOURCE), spark.createDataFrame(rows, INGEST))
+        assert told._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        want, state = replay_ingests([s for s in sources if s[1] and len(s[1]) == 64], sorted(rows))
+        assert {x["n"]: x["outcome"] for x in told.collect()} == want
+        got = {x["source_id"]: (x["sha256"], x["canonical"], tuple(x["derived"] or ()), x["error"], x["license"], x["public_allowed"]) for x in after.collect()}
+        assert got == state | {s[0]: (s[1], s[2], tuple(s[3] or ()), *s[4:]) for s in sources[3:]}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert not [x for x in set(os.listdir(folder)) - before if x.startswith("quillstone-ingests")]
+
+
 def test_licences(spark):
     store = spark.createDataFrame([("a", "source", "arr", None, 1), ("b", None, None, None, 4)], "kid string, content_type string, license string, public_allowed boolean, version long")
     asked = [(1, "a", "cc-by", None), (2, "a", None, False), (3, "b", "own", None), (4, "c", "own", None), (5, "", "own", None), (6, "a", None, None), (7, None, "own", True)]
